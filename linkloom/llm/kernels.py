@@ -106,10 +106,10 @@ class Words(NamedTuple):
     counts: np.ndarray  #: words of each text
 
 
-def words(codes: np.ndarray, bounds: np.ndarray) -> Words:
+def words(codes: np.ndarray, bounds: np.ndarray, separator: np.ndarray = SEPARATOR) -> Words:
     """Where the words of a slice lie; a text's end also ends a word."""
     n = len(codes)
-    inside = ~SEPARATOR[codes]
+    inside = ~separator[codes]
     cut = np.zeros(n + 1, dtype=bool)
     cut[bounds] = True
     before = np.empty(n, dtype=bool)
@@ -154,3 +154,24 @@ def shingles(h: np.ndarray, counts: np.ndarray, n: int = 5) -> tuple[np.ndarray,
         order = np.argsort(owner, kind="stable")
         got, owner = got[order], owner[order]
     return got, owner
+
+
+def sequence_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of h[first[i]:first[i + 1]], equal for equal sequences of word hashes."""
+    n = len(h)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(h * _geometric(_BASE, n), out=prefix[1:])
+    sums = (prefix[first[1:]] - prefix[first[:-1]]) * _geometric(_BASE_INV, n + 1)[first[:-1]]
+    return mix(sums + np.diff(first).astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+
+
+def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit SimHashes of the features h[first[i]:first[i + 1]]; 0 for none."""
+    out = np.zeros(len(first) - 1, dtype=np.uint64)
+    n = np.diff(first)
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > n[some][:, None], axis=1).view(np.uint64).ravel()
+    return out
