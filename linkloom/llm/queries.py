@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from linkloom.llm import decontamination, language_id, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
 from linkloom.llm.common import crc_mod, table
 
@@ -70,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
