@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkloom.llm import decontamination, language_id, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from linkloom.llm import decontamination, hpylm, language_id, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
 from linkloom.llm.common import crc_mod, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
