@@ -1 +1,795 @@
-QUERIES = {}
+"""Named queries over the test tables, one for each operator of the engine."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkloom.functions import period as P
+from linkloom.functions import text as X
+from linkloom.functions import vocab as V
+from linkloom.operators import centrality, curation, funnel, graph, resolution, rules
+from linkloom.operators import relations as R
+from linkloom.sources import testdata as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORIGINS = [0, 1, 2, 3]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _edges(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return R.collapse(S.relations(spark, d, kind))
+
+
+def _bp(a, b):
+    """Share in basis points, rounded down; null without a base."""
+    return F.when(b > 0, F.floor(a * 10000 / b).cast("long"))
+
+
+# weights, edges, degrees
+
+
+@query
+def relation_weight(spark, d):
+    return R.with_weight(S.relations(spark, d)).select("id", "confidence", "n_sources", "weight20")
+
+
+@query
+def collapse_edges(spark, d):
+    return _edges(spark, d, "multi")
+
+
+@query
+def collapse_arcs(spark, d):
+    return R.collapse_arcs(S.relations(spark, d))
+
+
+@query
+def node_degree(spark, d):
+    return R.degrees(S.persons(spark, d).select("id"), _edges(spark, d, "multi"))
+
+
+@query
+def rank_degree(spark, d):
+    return R.ranking(node_degree(spark, d), "degree").select("id", "degree")
+
+
+@query
+def rank_strength(spark, d):
+    return R.ranking(node_degree(spark, d), "strength20").select("id", "strength20")
+
+
+@query
+def degree_distribution(spark, d):
+    return node_degree(spark, d).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+@query
+def ranked_neighbors(spark, d):
+    w = Window.partitionBy("node").orderBy(F.desc("weight20"), "other")
+    return R.both_ways(_edges(spark, d, "multi"), "weight20").select("node", "other", "weight20", F.row_number().over(w).alias("rank"))
+
+
+# filters and lookups
+
+
+@query
+def filter_relations(spark, d):
+    return R.filtered(S.relations(spark, d), types=V.TEACHING_TYPES, hypotheses=False, statuses=["verificado", "rascunho"]).select("id", "type", "confidence", "status")
+
+
+@query
+def connected_vertices(spark, d):
+    return graph.vertices(S.persons(spark, d), _edges(spark, d, "sparse")).where("connected").select("id", "name")
+
+
+@query
+def graph_vertices(spark, d):
+    return graph.vertices(S.persons(spark, d), _edges(spark, d, "sparse"))
+
+
+def _named(spark, d, kind="multi"):
+    p = S.persons(spark, d)
+    r = S.relations(spark, d, kind)
+    r = r.join(p.select(F.col("id").alias("src"), F.col("name").alias("src_n")), "src", "left").join(p.select(F.col("id").alias("dst"), F.col("name").alias("dst_n")), "dst", "left")
+    return r.withColumns({"src_name": F.coalesce("src_n", F.col("src").cast("string")), "dst_name": F.coalesce("dst_n", F.col("dst").cast("string"))}).drop("src_n", "dst_n")
+
+
+@query
+def relations_named(spark, d):
+    return _named(spark, d).select("id", "src", "dst", "type", "src_name", "dst_name")
+
+
+@query
+def person_relations(spark, d):
+    return _named(spark, d).where("src = 7 or dst = 7").select("id", "type", "src_name", "dst_name")
+
+
+@query
+def pair_relations(spark, d):
+    return S.relations(spark, d).where((F.least("src", "dst") < 3) & (F.greatest("src", "dst") < 40)).select("id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "type")
+
+
+@query
+def visible_edges(spark, d):
+    return R.collapse(R.filtered(S.relations(spark, d), types=["estudo", "trabalho", "societario"], hypotheses=False))
+
+
+@query
+def search_person(spark, d):
+    p = S.persons(spark, d)
+    name = F.lower("name")
+    ranked = p.select("id", "name", F.when(name == "supplier#000000007", 1).when(F.contains(name, F.lit("00000000")), 2).alias("match")).where("match is not null")
+    return ranked.orderBy("match", "id").limit(5)
+
+
+# scalar functions on texts, names and periods
+
+
+def _lines(spark, d):
+    return S.blocks(spark, d).select(F.concat_ws("-", "doc_id", "idx").alias("id"), "block")
+
+
+@query
+def slugify_names(spark, d):
+    return _lines(spark, d).select("id", X.slugify(F.col("block")).alias("slug"))
+
+
+@query
+def normalize_text(spark, d):
+    return _lines(spark, d).select("id", X.normalize(F.col("block")).alias("norm"))
+
+
+@query
+def clean_text(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", X.clean(F.coalesce("text", F.lit(""))).alias("clean"))
+
+
+@query
+def noise_filter(spark, d):
+    return _lines(spark, d).select("id", X.is_noise(X.clean(F.col("block"))).alias("noise"))
+
+
+@query
+def merge_broken_blocks(spark, d):
+    b = S.blocks(spark, d).withColumn("text", X.clean(F.col("block"))).where("text <> ''")
+    return funnel.merge_blocks(b)
+
+
+@query
+def chunk_documents(spark, d):
+    c = S.chunks(spark, d)
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    return c.select("chunk_id", "doc_id", F.row_number().over(w).alias("paragraph"), F.length("text").cast("long").alias("chars"), "text")
+
+
+@query
+def chunk_meta(spark, d):
+    b = S.blocks(spark, d).withColumn("text", X.clean(F.col("block")))
+    pages = b.groupBy("source", "doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    return pages.groupBy("source").agg(
+        F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.count_if(F.col("chars") < 20).alias("empty_pages"), (F.sum("chars") < 200 * F.count("*")).alias("scanned")
+    )
+
+
+@query
+def clean_person_name(spark, d):
+    p = S.persons(spark, d)
+    titled = F.concat(F.element_at(F.array(*map(F.lit, ["o arquiteto ", "Prof. Dr. ", "engenheiro ", "", "a professora jovem "])), (F.col("id") % 5 + 1).cast("int")), "name", F.when(F.col("id") % 3 == 0, " (1930)").otherwise(","))
+    return p.select("id", X.clean_name(titled).alias("clean"))
+
+
+@query
+def infer_surname(spark, d):
+    p = S.table(spark, d, "part")
+    full = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(", ", F.split("p_name", " ")[1], F.split("p_name", " ")[0])).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" Filho"))).otherwise(F.col("p_name"))
+    return p.select("p_partkey", X.surname(full).alias("surname"))
+
+
+def _files(spark, d):
+    """Documents as files with a name, a declared author and an opening text."""
+    docs = S.table(spark, d, "documents")
+    kind = F.element_at(F.array(*map(F.lit, ["TCC Ana_Silva", "dissertacao", "TESE Joao Lima (2)", "revista", "anais 1987", "scan 2004 1998 2004"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    return docs.select("doc_id", F.concat(kind, F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).when(F.col("doc_id") % 3 == 0, "Microsoft Word").alias("declared"), F.substring(F.coalesce("text", F.lit("")), 1, 1500).alias("opening"))
+
+
+@query
+def infer_source_type(spark, d):
+    return _files(spark, d).select("doc_id", X.source_type(F.col("file"), F.col("opening")).alias("type"))
+
+
+@query
+def infer_year(spark, d):
+    return _files(spark, d).select("doc_id", X.modal_year(F.concat_ws(" ", "file", "opening")).alias("year"))
+
+
+@query
+def infer_author(spark, d):
+    return _files(spark, d).select("doc_id", X.author(F.col("file"), F.col("declared")).alias("author"))
+
+
+@query
+def propose_source(spark, d):
+    f = _files(spark, d).select("doc_id", X.modal_year(F.concat_ws(" ", "file", "opening")).alias("year"), X.surname(X.author(F.col("file"), F.col("declared"))).alias("surname"), "file")
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    base = F.substring(X.slugify(F.when(F.col("surname").isNotNull() & F.col("year").isNotNull(), F.concat_ws("-", "surname", F.col("year").cast("string"))).otherwise(F.coalesce("surname", stem))), 1, 48)
+    named = f.select("doc_id", F.when(base == "", "fonte").otherwise(base).alias("base"))
+    # numbering is by base, of which a common one is a sort of its ids alone
+    rn = F.row_number().over(Window.partitionBy("base").orderBy("doc_id"))
+    return named.select("doc_id", F.when(rn == 1, F.col("base")).otherwise(F.concat_ws("-", "base", rn.cast("string"))).alias("id"))
+
+
+@query
+def inventory_new_sources(spark, d):
+    files = _files(spark, d)
+    listed = files.where("doc_id % 4 = 0").select(F.lower("file").alias("path"))
+    return files.join(listed, F.lower(files["file"]) == listed["path"], "left_anti").select("file")
+
+
+@query
+def parse_period(spark, d):
+    iv = P.parse(F.col("period"))
+    return S.relations(spark, d).select("id", "period", iv["first"].alias("first"), iv["last"].alias("last"))
+
+
+@query
+def effective_interval(spark, d):
+    iv = P.effective(P.parse(F.col("period")))
+    return S.relations(spark, d).where(iv.isNotNull()).select("id", iv["first"].alias("first"), iv["last"].alias("last"))
+
+
+@query
+def next_id(spark, d):
+    ids = S.relations(spark, d).select(F.concat(F.lit("rel-"), F.format_string("%04d", F.col("first_order"))).alias("id"))
+    n = F.max(F.regexp_extract("id", r"^rel-(\d+)$", 1).cast("long")) + 1
+    return ids.agg(F.concat(F.lit("rel-"), F.format_string("%04d", n)).alias("next_id"))
+
+
+@query
+def literal_excerpt_check(spark, d):
+    c = S.chunks(spark, d)
+    said = F.when(F.col("idx") % 2 == 0, F.upper(F.substring("text", 5, 20))).otherwise(F.concat(F.lit("zz "), F.substring("text", 5, 20)))
+    return c.select("chunk_id", X.is_literal(said, F.col("text")).alias("literal"))
+
+
+@query
+def bibliography_filter(spark, d):
+    marks = F.when(F.col("doc_id") % 5 == 0, " SILVA, Ana. Acesso em p. 3 v. 2 n. 4 doi https://x").otherwise("")
+    return S.table(spark, d, "documents").select("doc_id", X.is_bibliography(F.concat(F.coalesce("text", F.lit("")), marks)).alias("bibliography"))
+
+
+@query
+def extract_json_blob(spark, d):
+    e = S.table(spark, d, "events").select("event_id", F.concat(F.lit("said: "), "props", F.lit(" done")).alias("t"))
+    return e.select("event_id", F.get_json_object(X.json_blob(F.col("t")), "$.k").cast("long").alias("k"))
+
+
+@query
+def scan_jsonl(spark, d):
+    e = S.table(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("j"))
+    return e.select("event_id", F.col("j.k").alias("k"))
+
+
+# aggregates and reports
+
+
+@query
+def confidence_audit(spark, d):
+    return R.audit(S.relations(spark, d))
+
+
+@query
+def status_histogram(spark, d):
+    r, p = S.relations(spark, d).select(F.lit("relation").alias("entity"), "status"), S.persons(spark, d).select(F.lit("person").alias("entity"), "status")
+    return r.unionAll(p).groupBy("entity", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def statement_summary(spark, d):
+    a = F.col("affirms")
+    return S.statements(spark, d).agg(F.count_if(a).alias("affirm"), F.count_if(~a).alias("deny"), F.count_if(a.isNull()).alias("undefined"))
+
+
+@query
+def institution_members(spark, d):
+    members = S.persons(spark, d).groupBy("institution").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
+    i = S.institutions(spark, d)
+    return i.join(members, i["id"] == members["institution"], "left").select("id", "name", F.coalesce("n", F.lit(0)).cast("long").alias("members"), "first")
+
+
+@query
+def temporal_coverage(spark, d):
+    iv = P.parse(F.col("period"))
+    return S.relations(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("period") != "").alias("with_period"), F.count_if(iv.isNotNull()).alias("parsable"), F.count_if((F.col("period") != "") & iv.isNull()).alias("invalid"))
+
+
+@query
+def coverage_pending(spark, d):
+    has = F.trim(F.coalesce("issue", F.lit(""))) != ""
+    p = S.persons(spark, d).where(has).select(F.lit("person").alias("entity"), F.col("id").cast("string").alias("id"), "name", "issue")
+    r = _named(spark, d).where(has).select(F.lit("relation").alias("entity"), "id", F.concat("src_name", F.lit(" → "), "dst_name", F.lit(" ("), "type", F.lit(")")).alias("name"), "issue")
+    return p.unionAll(r)
+
+
+@query
+def per_type_metrics(spark, d):
+    r = S.relations(spark, d)
+    e = R.collapse(r, ["type"])
+    nodes = R.both_ways(e, "type").groupBy("type").agg(F.count_distinct("node").alias("nodes"))
+    edges = e.groupBy("type").agg(F.count("*").alias("edges"))
+    comps = graph.components(e, ["type"]).groupBy("type", "comp").agg(F.count("*").alias("size")).groupBy("type").agg(F.count("*").alias("components"), F.max("size").alias("largest"))
+    tri = graph.triangles(e, ["type"]).groupBy("type").agg(F.count("*").alias("triangles"))
+    rel = r.groupBy("type").agg(F.count("*").alias("relations"), F.count_if(F.col("confidence") == "documentado").alias("documented"), F.count_if(F.col("period") != "").alias("with_period"))
+    types = spark.createDataFrame([(t,) for t in V.RELATION_TYPES], "type string")
+    out = types
+    for part in (rel, nodes, edges, comps, tri):
+        out = out.join(part, "type", "left")
+    return out.select("type", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("relations", "documented", "with_period", "nodes", "edges", "components", "largest", "triangles")))
+
+
+@query
+def component_roles(spark, d):
+    comps = graph.components(_edges(spark, d, "sparse"))
+    p = S.persons(spark, d).select(F.col("id").alias("node"), F.coalesce("role", F.lit("outro")).alias("role"), F.coalesce("attribution", F.lit("indefinida")).alias("attribution"))
+    return comps.join(p, "node").groupBy("comp", "role", "attribution").agg(F.count("*").alias("n"))
+
+
+@query
+def source_status(spark, d):
+    docs = S.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"))
+    n_chunks = S.chunks(spark, d).groupBy("source").agg(F.count("*").alias("chunks"))
+    n_cand = funnel.candidates(S.chunks(spark, d)).groupBy("source").agg(F.count("*").alias("candidates"))
+    out = docs.join(n_chunks, "source", "left").join(n_cand, "source", "left")
+    return out.select("source", "documents", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+
+
+@query
+def person_timeline(spark, d):
+    p = S.persons(spark, d).where("id < 50")
+    iv = P.parse(F.col("period"))
+    r = _named(spark, d).withColumns({"y": F.coalesce(iv["first"], iv["last"]), "e": iv["last"]}).where("y is not null")
+    none = F.lit(None).cast("int")
+    end = lambda me, other: r.where(f"{me} < 50").select(F.col(me).alias("person"), F.col("y").alias("year"), F.col("e").alias("until"), F.lit("relation").alias("kind"), F.concat("type", F.lit(" — "), F.col(other)).alias("label"))
+    own = lambda c, kind: p.where(F.col(c).isNotNull()).select(F.col("id").alias("person"), F.col(c).alias("year"), none.alias("until"), F.lit(kind).alias("kind"), F.lit(kind).alias("label"))
+    study = p.where("birth is not null").join(S.institutions(spark, d).select(F.col("id").alias("institution"), F.col("name").alias("inst")), "institution", "left")
+    school = study.select(F.col("id").alias("person"), (F.col("birth") + 20).alias("year"), (F.col("birth") + 25).alias("until"), F.lit("education").alias("kind"), F.concat(F.lit("Course — "), "inst").alias("label"))
+    return own("birth", "birth").unionByName(school).unionByName(end("src", "dst_name")).unionByName(end("dst", "src_name")).unionByName(own("death", "death"))
+
+
+# graph structure
+
+
+@query
+def connected_components(spark, d):
+    return graph.numbered(graph.components(_edges(spark, d, "sparse")))
+
+
+@query
+def largest_component(spark, d):
+    return connected_components(spark, d).where("number = 0").select("node")
+
+
+@query
+def origin_hops(spark, d):
+    return graph.hops(_edges(spark, d, "sparse"), S.persons(spark, d).where(F.col("id").isin(_sparse_origins(spark, d))).select(F.col("id").alias("node")))
+
+
+def _sparse_origins(spark, d) -> list[int]:
+    """The four smallest connected persons, as reference points of distances."""
+    near = R.both_ways(_edges(spark, d, "sparse")).select("node").distinct()
+    return [r["node"] for r in near.orderBy("node").limit(4).collect()]
+
+
+@query
+def apsp_hops(spark, d):
+    return graph.hops(_edges(spark, d, "sparse"))
+
+
+@query
+def path_stats(spark, d):
+    c = largest_component(spark, d)
+    h = graph.hops(_edges(spark, d, "sparse"), c).where("hops > 0")
+    return h.agg(F.count("*").alias("pairs"), F.sum("hops").alias("total"), F.max("hops").alias("diameter"))
+
+
+@query
+def clustering(spark, d):
+    return graph.clustering(_edges(spark, d, "multi"))
+
+
+@query
+def transitivity(spark, d):
+    c = graph.clustering(_edges(spark, d, "multi"))
+    tri, triples = F.sum("triangles"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2)
+    return c.agg((tri / 3).cast("long").alias("triangles"), triples.cast("long").alias("triples"), F.when(triples > 0, tri / triples).otherwise(0.0).alias("transitivity"))
+
+
+@query
+def graph_summary(spark, d):
+    e = _edges(spark, d, "multi")
+    n = S.persons(spark, d).agg(F.count("*").alias("persons"))
+    h = R.both_ways(e).agg(F.count_distinct("node").alias("connected"))
+    m = e.agg(F.count("*").alias("edges"), F.sum("n_relations").alias("relations"), F.sum("weight20").alias("weight20"), F.count_if("only_hypotheses").alias("hypothetical"))
+    c = graph.components(e).groupBy("comp").agg(F.count("*").alias("size")).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
+    one = n.crossJoin(h).crossJoin(m).crossJoin(c)
+    density = lambda x: F.when(F.col(x) > 1, 2.0 * F.col("edges") / (F.col(x) * (F.col(x) - 1))).otherwise(0.0)
+    return one.select("*", (F.col("persons") - F.col("connected")).alias("isolated"), density("persons").alias("density"), density("connected").alias("density_connected"))
+
+
+@query
+def ego_network(spark, d):
+    return graph.ego(_edges(spark, d, "sparse"), _sparse_origins(spark, d)[0], 2)
+
+
+@query
+def origin_reach(spark, d):
+    h = origin_hops(spark, d).where("hops > 0")
+    at = lambda k: F.count_if(F.col("hops") == k).alias(f"hops_{k}")
+    return h.groupBy("origin").agg(at(1), at(2), at(3), F.count("*").alias("reachable"))
+
+
+@query
+def origin_convergence(spark, d):
+    """Of the pairs of others that a path connects, those with a shortest path through an origin.
+
+    Only the origins' rows of distances are joined to the pairs, never pairs to pairs.
+    """
+    e = graph.cut(_edges(spark, d, "sparse"))
+    origins = _sparse_origins(spark, d)
+    h = graph.hops(e)
+    pairs = h.where("origin < node").where(~F.col("origin").isin(origins) & ~F.col("node").isin(origins))
+    via = h.where(F.col("origin").isin(origins)).select(F.col("origin").alias("o"), F.col("node").alias("x"), F.col("hops").alias("d"))
+    first = pairs.join(via.select("o", F.col("x").alias("origin"), F.col("d").alias("d1")), "origin").join(via.select("o", F.col("x").alias("node"), F.col("d").alias("d2")), ["o", "node"])
+    on = first.where("d1 + d2 = hops")
+    total = pairs.agg(F.count("*").alias("pairs"))
+    through = on.select("origin", "node").distinct().agg(F.count("*").alias("via_any"))
+    return total.crossJoin(through).crossJoin(on.agg(F.count("*").alias("via_each")))
+
+
+@query
+def teaching_out_degree(spark, d):
+    arcs = R.collapse_arcs(R.filtered(S.relations(spark, d), types=V.TEACHING_TYPES))
+    return arcs.groupBy("src").agg(F.count("*").alias("out_degree")).withColumnRenamed("src", "id")
+
+
+@query
+def teaching_concentration(spark, d):
+    out = graph.cut(teaching_out_degree(spark, d))
+    top = out.orderBy(F.desc("out_degree"), "id").limit(3).agg(F.sum("out_degree").alias("top3"))
+    return out.agg(F.sum("out_degree").alias("arcs"), F.count("*").alias("emitters")).crossJoin(top).select("arcs", "emitters", "top3", _bp(F.col("top3"), F.col("arcs")).alias("share_bp"), (F.col("top3") * 10 >= F.col("arcs") * 6).alias("concentrated"))
+
+
+@query
+def decade_slices(spark, d):
+    """Active and cumulative networks of every decade, all in one pass with the decade as key."""
+    iv = P.effective(P.parse(F.col("period")))
+    r = S.relations(spark, d).withColumns({"first": iv["first"], "last": iv["last"]}).where("first is not null")
+    bounds = r.agg(P.decade(F.min("first")).alias("lo"), P.decade(F.max("last")).alias("hi"))
+    decades = bounds.where("lo <= hi").select(F.explode(F.sequence("lo", "hi", F.lit(10))).alias("decade"))
+    # decades are few: a century has ten
+    active = r.join(F.broadcast(decades), (F.col("first") <= F.col("decade") + 9) & (F.col("last") >= F.col("decade"))).withColumn("mode", F.lit("active"))
+    total = r.join(F.broadcast(decades), F.col("first") <= F.col("decade") + 9).withColumn("mode", F.lit("cumulative"))
+    keys = ["decade", "mode"]
+    e = graph.cut(R.collapse(active.unionAll(total), keys))
+    nodes = R.both_ways(e, *keys).groupBy(*keys).agg(F.count_distinct("node").alias("nodes"))
+    comps = graph.components(e, keys).groupBy(*keys, "comp").agg(F.count("*").alias("size")).groupBy(*keys).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
+    return e.groupBy(*keys).agg(F.count("*").alias("edges")).join(nodes, keys).join(comps, keys).select(*keys, "nodes", "edges", "components", "largest")
+
+
+@query
+def betweenness(spark, d):
+    return centrality.shortest_path_centralities(graph.cut(_edges(spark, d, "dense")), S.persons(spark, d).count()).select("node", "betweenness")
+
+
+@query
+def closeness(spark, d):
+    return centrality.shortest_path_centralities(graph.cut(_edges(spark, d, "dense")), S.persons(spark, d).count()).select("node", "closeness")
+
+
+def _main_component(e: DataFrame) -> DataFrame:
+    c = graph.numbered(graph.components(e)).where("number = 0").select(F.col("node").alias("a"))
+    return e.join(c, "a", "left_semi")
+
+
+@query
+def eigenvector(spark, d):
+    return centrality.eigenvector(_main_component(graph.cut(_edges(spark, d, "dense"))))
+
+
+@query
+def communities(spark, d):
+    return centrality.communities(graph.cut(_edges(spark, d, "dense")))
+
+
+@query
+def modularity(spark, d):
+    e = graph.cut(_edges(spark, d, "multi"))
+    given = R.both_ways(e).select("node", (F.col("node") % 5).alias("community")).distinct()
+    return centrality.modularity(e, given)
+
+
+@query
+def node_metrics(spark, d):
+    e = graph.cut(_edges(spark, d, "dense"))
+    p = S.persons(spark, d).select("id")
+    c = centrality.shortest_path_centralities(e, p.count())
+    out = R.degrees(p, e).join(c.withColumnRenamed("node", "id"), "id", "left").join(centrality.communities(e).withColumnRenamed("node", "id"), "id", "left").join(centrality.eigenvector(_main_component(e)).withColumnRenamed("node", "id"), "id", "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
+    return out.select("id", "degree", "strength20", zero("betweenness"), zero("closeness"), zero("eigenvector"), F.coalesce("community", F.lit(-1)).alias("community"))
+
+
+# exports
+
+
+@query
+def graph_json_persons(spark, d):
+    deg = node_degree(spark, d)
+    p = S.persons(spark, d).join(deg, "id")
+    i = S.institutions(spark, d).select(F.col("id").alias("institution"), F.col("name").alias("inst"))
+    return p.join(i, "institution", "left").select("id", F.to_json(F.struct("id", "name", "role", "inst", "degree"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query
+def graph_json_edges(spark, d):
+    e = _edges(spark, d, "multi")
+    return e.select("a", "b", F.to_json(F.struct("a", "b", "dominant", "weight20")).alias("json"))
+
+
+@query
+def export_persons_flat(spark, d):
+    near = R.both_ways(_edges(spark, d, "multi")).groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("other")), "; ").alias("neighbors"))
+    p = S.persons(spark, d).join(node_degree(spark, d), "id")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return p.join(near, p["id"] == near["node"], "left").select("id", "name", text("role"), text("attribution"), text("birth"), text("death"), "degree", text("neighbors"))
+
+
+@query
+def export_relations_flat(spark, d):
+    r = R.with_weight(_named(spark, d))
+    return r.select("id", "src_name", "dst_name", "type", F.coalesce("period", F.lit("")).alias("period"), "weight20", F.array_join(F.transform("sources", lambda x: F.concat(F.lit("ord-"), x.cast("string"))), "; ").alias("sources"))
+
+
+# the text funnel
+
+
+@query
+def lexicon_triggers(spark, d):
+    return funnel.triggers(S.chunks(spark, d)).select("chunk_id", "grp", "phrase")
+
+
+@query
+def gazetteer_matches(spark, d):
+    return funnel.known_names(S.chunks(spark, d)).select("chunk_id", "person", "phrase").distinct()
+
+
+@query
+def name_variants(spark, d):
+    p = S.persons(spark, d)
+    all_ = p.select("id", "name").unionAll(p.where("id % 2 = 0").select("id", F.concat(F.lit("Dr "), F.col("id").cast("string")))).unionAll(p.where("id % 10 = 1").select("id", F.lit("Common Name")))
+    norm = X.normalize(F.col("name"))
+    return all_.select("id", norm.alias("variant")).distinct().groupBy("variant").agg(F.count("*").alias("n_persons"), F.min("id").alias("first"))
+
+
+@query
+def unknown_names(spark, d):
+    return S.chunks(spark, d).select("chunk_id", F.explode(X.unknown_names(F.col("text"))).alias("name"))
+
+
+@query
+def prefilter_candidates(spark, d):
+    return funnel.candidates(S.chunks(spark, d)).select("chunk_id", "n_known", "n_triggers", F.array_join("types", ",").alias("types"))
+
+
+@query
+def context_window(spark, d):
+    return funnel.with_context(S.chunks(spark, d)).select("chunk_id", F.length("before").cast("long").alias("chars_before"), F.length("after").cast("long").alias("chars_after"), F.substring("before", -20, 20).alias("before_tail"), F.substring("after", 1, 20).alias("after_head"))
+
+
+@query
+def prefilter_stats(spark, d):
+    m = graph.cut(funnel.matched(S.chunks(spark, d)))
+    out = m.agg(F.count("*").alias("sound"), F.count_if(F.col("n_known") > 0).alias("with_known"), F.count_if(F.col("n_triggers") > 0).alias("with_trigger"), F.count_if(funnel.passes()).alias("candidates"))
+    n = S.chunks(spark, d).agg(F.count("*").alias("chunks"))
+    return n.crossJoin(out).select("chunks", "sound", "with_known", "with_trigger", "candidates", _bp(F.col("chunks") - F.col("candidates"), F.col("chunks")).alias("discarded_bp"))
+
+
+@query
+def top_triggers(spark, d):
+    return funnel.triggers(S.chunks(spark, d)).groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(25)
+
+
+@query
+def top_persons(spark, d):
+    hits = funnel.known_names(S.chunks(spark, d)).select("chunk_id", "person").distinct()
+    return hits.groupBy("person").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "person").limit(25)
+
+
+GOLD = [(1, 4, "trabalho"), (2, 4, "estudo"), (3, 4, "societario"), (1, 2, "heranca"), (5, 6, "estudo")]
+
+
+@query
+def prefilter_recall(spark, d):
+    c = S.chunks(spark, d)
+    gold = spark.createDataFrame(GOLD, "a long, b long, type string")
+    loc = graph.cut(funnel.localisable(c, gold.select("a", "b")))
+    kept = funnel.candidates(c).select("chunk_id")
+    found = loc.join(kept, "chunk_id", "left_semi").groupBy("a", "b").agg(F.count("*").alias("recovered"))
+    there = loc.groupBy("a", "b").agg(F.count("*").alias("localisable"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
+    return gold.join(there, ["a", "b"], "left").join(found, ["a", "b"], "left").select("a", "b", zero("localisable"), zero("recovered"))
+
+
+def _proposals(spark, d):
+    """Extraction proposals: one for each candidate chunk, with a pair, a type and an excerpt."""
+    c = funnel.candidates(S.chunks(spark, d))
+    kind = F.element_at(F.array(*map(F.lit, [*V.RELATION_TYPES, "unknown-type"])), (F.col("idx") % 8 + 1).cast("int"))
+    return c.select("chunk_id", "source", "doc_id", "idx", (F.col("doc_id") % 20).alias("src"), (F.col("doc_id") % 17).alias("dst"), kind.alias("type"), F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"), F.when(F.col("idx") % 3 == 0, "made up words").otherwise(F.substring("text", 3, 25)).alias("excerpt"), "text")
+
+
+@query
+def extraction_recall(spark, d):
+    gold = S.relations(spark, d).where("confidence = 'documentado'").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "type").distinct()
+    said = _proposals(spark, d).where("error is null and src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "type").distinct()
+    n_gold, hit = gold.agg(F.count("*").alias("gold")), gold.join(said, ["a", "b", "type"], "left_semi").agg(F.count("*").alias("found"))
+    wrong = said.select("a", "b").distinct().join(gold.select("a", "b").distinct(), ["a", "b"], "left_anti").agg(F.count("*").alias("false_pairs"))
+    return n_gold.crossJoin(hit).crossJoin(wrong)
+
+
+@query
+def pending_candidates(spark, d):
+    done = _proposals(spark, d).where("error is null").select("chunk_id").where("substr(chunk_id, -1) <> '1'")
+    return funnel.candidates(S.chunks(spark, d)).join(done, "chunk_id", "left_anti").select("chunk_id", "source")
+
+
+@query
+def import_extractions(spark, d):
+    """Rows that may be imported: of a known candidate, of a known type, with an excerpt that is literal."""
+    p = _proposals(spark, d)
+    status = F.when(~F.col("type").isin(V.RELATION_TYPES), "bad-schema").when(~X.is_literal(F.col("excerpt"), F.col("text")), "not-literal").otherwise("accepted")
+    return p.select("chunk_id", status.alias("status"))
+
+
+@query
+def upsert_extractions(spark, d):
+    from linkloom.sources.jsonl import upsert
+
+    p = _proposals(spark, d)
+    old = p.where("idx % 2 = 0").select("chunk_id", "type", F.lit("old").alias("version"))
+    return upsert(old, p.where("idx % 3 = 0").select("chunk_id", "type", F.lit("new").alias("version")), "chunk_id")
+
+
+@query
+def restore_extractions(spark, d):
+    """Saved rows put back where a row is missing or failed."""
+    p = _proposals(spark, d)
+    now = p.where("idx % 2 = 0").select("chunk_id", "error")
+    saved = p.where("error is null").select("chunk_id")
+    joined = saved.join(now.withColumn("there", F.lit(True)), "chunk_id", "full")
+    return joined.select("chunk_id", F.when(F.col("there").isNull(), "added").when(F.col("error").isNotNull(), "replaced").otherwise("kept").alias("status"))
+
+
+@query
+def unlinked_mentions(spark, d):
+    c = S.chunks(spark, d)
+    known = S.persons(spark, d).select(X.normalize(F.col("name")).alias("name")).distinct()
+    said = c.select("source", F.explode(X.unknown_names(F.col("text"))).alias("name")).where(F.contains("name", F.lit(" ")))
+    out = said.join(known, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+    return out.orderBy(F.desc("n"), "name").limit(100)
+
+
+# resolution, duplicates, queue, curation
+
+
+@query
+def resolve_entities(spark, d):
+    p = S.persons(spark, d)
+    asked = p.where("id < 200").select(F.col("id").alias("key"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("Prof. "), "name")).when(F.col("id") % 4 == 1, F.regexp_replace("name", "Supplier#", "Suplier ")).when(F.col("id") % 4 == 2, F.lit("Maria")).otherwise(F.concat("name", F.lit(" Neto"))).alias("name"))
+    return resolution.resolve(asked, p.select(F.col("id").alias("person"), F.col("name").alias("variant")))
+
+
+def _keyed(df):
+    a, b = R.pair_key(F.col("src"), F.col("dst"), F.col("type"), F.lit(False))
+    return df.withColumns({"ka": a, "kb": b})
+
+
+@query
+def find_duplicates(spark, d):
+    p = _keyed(_proposals(spark, d).where("src <> dst")).select("chunk_id", "ka", "kb", "type")
+    r = _keyed(S.relations(spark, d)).groupBy("ka", "kb", "type").agg(F.min("id").alias("relation"))
+    return p.join(r, ["ka", "kb", "type"], "left").select("chunk_id", "relation")
+
+
+@query
+def build_queue(spark, d):
+    p = _keyed(_proposals(spark, d).where("error is null"))
+    r = _keyed(S.relations(spark, d)).groupBy("ka", "kb", "type").agg(F.min("id").alias("relation"))
+    j = p.join(r, ["ka", "kb", "type"], "left")
+    alerts = F.filter(
+        F.array(
+            F.when(F.col("src") == F.col("dst"), "same-person"), F.when(F.col("relation").isNotNull(), "duplicate"), F.when(~X.is_literal(F.col("excerpt"), F.col("text")), "not-literal"), F.when(~F.col("type").isin(V.RELATION_TYPES), "bad-type")
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return j.select(F.concat("chunk_id", F.lit("-r1")).alias("item"), F.lit("relation").alias("category"), "relation", F.array_join(alerts, ",").alias("alerts"))
+
+
+@query
+def queue_stats(spark, d):
+    q = build_queue(spark, d)
+    return q.groupBy("category").agg(F.count("*").alias("items"), F.count("relation").alias("duplicates"), F.count_if(F.col("alerts") == "").alias("clean"))
+
+
+def _log(spark, d):
+    return S.decisions(spark, d).select("source", F.struct("ts", "event_id").alias("seq"), "event_id", "item", "action")
+
+
+@query
+def replay_decisions(spark, d):
+    return curation.replay(_log(spark, d)).select("source", F.col("seq.event_id").alias("event_id"), "item", "action")
+
+
+@query
+def decision_scoreboard(spark, d):
+    return curation.scoreboard(_log(spark, d))
+
+
+@query
+def queue_pending(spark, d):
+    log = graph.cut(_log(spark, d))
+    return curation.pending(log.select("source", "item").distinct(), log)
+
+
+@query
+def learn_aliases(spark, d):
+    p = S.persons(spark, d)
+    known = p.select(F.col("id").alias("person"), F.col("name").alias("variant"))
+    proposed = p.select(F.col("id").alias("person"), F.when(F.col("id") % 3 == 0, F.upper("name")).when(F.col("id") % 3 == 1, F.lit("ab")).otherwise(F.concat(F.lit("Sr. "), "name")).alias("variant"))
+    return curation.learn_aliases(known, proposed).select("person", "variant")
+
+
+@query
+def merge_relations(spark, d):
+    r = S.relations(spark, d).select(F.col("id").alias("key"), "sources")
+    accepted = S.relations(spark, d).select(F.when(F.col("first_order") % 5 == 0, F.concat(F.lit("new-"), F.col("id"))).otherwise(F.col("id")).alias("key"), (F.col("first_order") % 100).alias("source")).where("source % 2 = 0")
+    return curation.merge(r, accepted)
+
+
+# rules
+
+
+def _rule(name: str, make) -> None:
+    def run(spark, d):
+        return make(spark, d)
+
+    run.__name__ = name
+    query(run)
+
+
+def _aliases(spark, d):
+    p = S.persons(spark, d)
+    return p.select(F.when(F.col("id") % 13 == 0, F.col("id") + 1_000_000).otherwise(F.col("id")).alias("person"), F.concat(F.lit("S "), (F.floor(F.col("id") / 2)).cast("string")).alias("variant")).withColumn("id", F.col("person"))
+
+
+_rule("rule_schema", lambda s, d: rules.schema(S.persons(s, d), S.relations(s, d)))
+_rule("rule_unique_id", lambda s, d: rules.unique_id(S.table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")), "lines"))
+_rule("rule_referential", lambda s, d: rules.missing_reference(S.relations(s, d).withColumn("ref", F.when(F.col("first_order") % 29 == 0, -1).otherwise(F.col("src"))), "ref", S.persons(s, d), "relations"))
+_rule("rule_vocabulary", lambda s, d: rules.missing_reference(S.persons(s, d).withColumn("ref", F.when(F.col("id") % 17 == 0, 99).otherwise(F.col("institution"))), "ref", S.institutions(s, d), "persons", "institution"))
+_rule("rule_single_token_name", lambda s, d: rules.single_token_name(S.persons(s, d)))
+_rule("rule_missing_attr", lambda s, d: rules.where(S.persons(s, d), F.col("attribution").isNull(), "warning", "missing-attribution", "persons"))
+_rule("rule_verified_unsourced", lambda s, d: rules.where(S.persons(s, d), (F.col("status") == "verificado") & (F.col("n_sources") == 0), "warning", "unsourced", "persons"))
+_rule("rule_evidence", lambda s, d: rules.evidence(S.relations(s, d)))
+_rule("rule_direction", lambda s, d: rules.direction(S.relations(s, d)))
+_rule("rule_period_format", lambda s, d: rules.period_format(S.relations(s, d)))
+_rule("rule_long_excerpt", lambda s, d: rules.long_excerpt(S.relations(s, d)))
+_rule("rule_duplicate_key", lambda s, d: rules.duplicate_key(S.relations(s, d).unionAll(S.relations(s, d).where("first_order % 31 = 0"))))
+_rule("rule_alias_target", lambda s, d: rules.missing_reference(_aliases(s, d), "person", S.persons(s, d), "aliases", "alias"))
+_rule("rule_alias_ambiguous", lambda s, d: rules.ambiguous_alias(_aliases(s, d)))
+_rule("rule_missing_file", lambda s, d: rules.missing_reference(_files(s, d).select(F.col("doc_id").alias("id"), "file"), "file", _files(s, d).where("doc_id % 8 <> 0").select(F.col("file").alias("id")), "sources", "missing-file"))
+_rule("validation_summary", lambda s, d: rules.summary(*(QUERIES[f"rule_{x}"](s, d) for x in ("schema", "referential", "vocabulary", "single_token_name", "missing_attr", "verified_unsourced", "evidence", "direction", "period_format", "long_excerpt", "duplicate_key", "alias_target", "alias_ambiguous", "missing_file"))))
