@@ -19,9 +19,9 @@ def unique_id(df: DataFrame, table: str, key: str = "id") -> DataFrame:
     return problem(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1"), "error", "duplicate-id", table, key)
 
 
-def missing_reference(df: DataFrame, column: str, target: DataFrame, table: str, rule: str = "reference", target_key: str = "id") -> DataFrame:
-    known = target.select(F.col(target_key).alias("__t")).distinct()
-    return problem(df.join(known, F.col(column).eqNullSafe(F.col("__t")), "left_anti"), "error", rule, table)
+def missing_reference(df: DataFrame, column: str, target: DataFrame, table: str, rule: str = "reference", level: str = "error") -> DataFrame:
+    known = target.select(F.col("id").alias("__t")).distinct()
+    return problem(df.join(known, F.col(column).eqNullSafe(F.col("__t")), "left_anti"), level, rule, table)
 
 
 def where(df: DataFrame, condition: Column, level: str, rule: str, table: str) -> DataFrame:

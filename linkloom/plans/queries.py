@@ -255,7 +255,7 @@ def next_id(spark, d):
 @query
 def literal_excerpt_check(spark, d):
     c = S.chunks(spark, d)
-    said = F.when(F.col("idx") % 2 == 0, F.upper(F.substring("text", 5, 20))).otherwise(F.concat(F.lit("zz "), F.substring("text", 5, 20)))
+    said = F.when(F.col("idx") % 2 == 0, F.regexp_replace(F.substring("text", 5, 20), " ", "   ")).otherwise(F.concat(F.lit("zz "), F.substring("text", 5, 20)))
     return c.select("chunk_id", X.is_literal(said, F.col("text")).alias("literal"))
 
 
@@ -791,5 +791,5 @@ _rule("rule_long_excerpt", lambda s, d: rules.long_excerpt(S.relations(s, d)))
 _rule("rule_duplicate_key", lambda s, d: rules.duplicate_key(S.relations(s, d).unionAll(S.relations(s, d).where("first_order % 31 = 0"))))
 _rule("rule_alias_target", lambda s, d: rules.missing_reference(_aliases(s, d), "person", S.persons(s, d), "aliases", "alias"))
 _rule("rule_alias_ambiguous", lambda s, d: rules.ambiguous_alias(_aliases(s, d)))
-_rule("rule_missing_file", lambda s, d: rules.missing_reference(_files(s, d).select(F.col("doc_id").alias("id"), "file"), "file", _files(s, d).where("doc_id % 8 <> 0").select(F.col("file").alias("id")), "sources", "missing-file"))
+_rule("rule_missing_file", lambda s, d: rules.missing_reference(_files(s, d).select(F.col("doc_id").alias("id"), "file"), "file", _files(s, d).where("doc_id % 8 <> 0").select(F.col("file").alias("id")), "sources", "missing-file", "warning"))
 _rule("validation_summary", lambda s, d: rules.summary(*(QUERIES[f"rule_{x}"](s, d) for x in ("schema", "referential", "vocabulary", "single_token_name", "missing_attr", "verified_unsourced", "evidence", "direction", "period_format", "long_excerpt", "duplicate_key", "alias_target", "alias_ambiguous", "missing_file"))))
