@@ -1,29 +1,73 @@
-"""Connected components of links between integer nodes, as Spark jobs."""
+"""Connected components of links between integer nodes.
+
+One level deals with links in two steps: every task reduces its links to stars
+(a smallest node and the nodes it reaches), then stars are dealt by node, where
+the roots that share a node meet.  What remains is a graph among roots alone,
+which the next level takes, with as many fewer partitions.  A node turns up at
+most once for each task, so no node draws many rows to one task, and no task
+holds more than its share of the links.  Every level is written to the
+checkpoint folder; labels join back from the last level to the first.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import cut
 
+ROWS_PER_TASK = 200_000
+
+
+def _top(place: dict[int, int], x: int) -> int:
+    while place[x] != x:
+        place[x] = place[place[x]]
+        x = place[x]
+    return x
+
+
+def _forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
+    place: dict[int, int] = {}
+    for a, b in pairs:
+        p, q = _top(place, place.setdefault(a, a)), _top(place, place.setdefault(b, b))
+        if p != q:
+            place[max(p, q)] = min(p, q)
+    return place
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place = _forest(_pairs(batches))
+    nodes = list(place)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_top(place, n) for n in nodes], pa.int64())], names=["node", "root"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, upper): the smallest root of each node dealt here; upper rows are links among roots."""
+    rows = list(_pairs(batches))
+    place = _forest(iter(rows))
+    own = {n for n, _ in rows}
+    roots = {r for _, r in rows}
+    out = [(n, _top(place, n), False) for n in own] + [(r, t, True) for r in roots if (t := _top(place, r)) != r]
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["node", "root", "upper"])
+
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of links (a, b); comp is the smallest node reachable.
-
-    Each round takes the smallest label among a node's neighbours, then the
-    label's own label, so that the rounds grow with the logarithm of the longest
-    path.  Labels are cut to the checkpoint folder after each round.  Aggregates
-    combine before they shuffle, and the joins on labels can be split by skew.
-    """
-    both = cut(links.select("a", "b").where("a <> b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        low = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        root = labels.select(F.col("node").alias("low"), F.col("comp").alias("further"))
-        new = cut(low.join(root, "low", "left").select("node", F.least("low", F.coalesce("further", "low")).alias("new"), "comp"))
-        changed = new.where("new < comp").limit(1).count()
-        labels = new.select("node", F.col("new").alias("comp"))
-        if not changed:
-            return labels
+    """(node, comp) for every node of links (a, b); comp is the smallest node reachable."""
+    spark = links.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stars = links.select("a", "b").mapInArrow(_stars, "node long, root long")
+    met = cut(stars.repartition(parts, "node").mapInArrow(_meet, "node long, root long, upper boolean"))
+    labels, upper = met.where("not upper").select("node", "root"), met.where("upper").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    left = upper.count()
+    if not left:
+        return labels.withColumnRenamed("root", "comp")
+    higher = connected(upper.coalesce(max(1, -(-left // ROWS_PER_TASK)))).withColumnRenamed("node", "root")
+    return labels.join(higher, "root", "left").select("node", F.coalesce("comp", "root").alias("comp"))

@@ -10,12 +10,12 @@ HALVES**2 * 2 * ROWS.  A pair of similarity 0.75 shares no table with probabilit
 1. Documents with equal sets form a class, which its smallest id stands for.
 2. Half keys that only one class has are dropped: a shared table needs both
    halves shared.
-3. Hub rounds: in every table each class is compared with the smallest (then the
-   largest) one that isn't known to be connected with it.  Links of equal
-   components need no more comparison, and a half key whose classes are all
-   connected is dropped with all its tables.
-4. What still shares a table across components is compared exhaustively, in
-   blocks of ``BLOCK`` classes; only what joins components is emitted.
+3. In the tables that pair half keys of equal index, each class is compared with
+   the smallest one of its table.  That connects most of what is alike with a
+   number of comparisons in proportion to the classes.  A half key whose classes
+   are all connected is dropped with all its tables.
+4. What still shares any of the tables across components is compared exhaustively,
+   in blocks of ``BLOCK`` classes; only what joins components is emitted.
 
 Defined results: a document without words (or null) has an empty set, is linked
 with nothing and kept.  One with fewer than five words has one shingle, its whole
@@ -133,12 +133,10 @@ def _tables(halves: DataFrame, diagonal: bool) -> DataFrame:
     return both.select("node", "comp", F.explode(paired).alias("table"))
 
 
-def _hub_pairs(tables: DataFrame, largest: bool) -> DataFrame:
-    """Each class paired with the hub of each of its tables where the hub's component is another one."""
-    pick = F.max if largest else F.min
-    hubs = tables.groupBy("table").agg(pick(F.struct("node", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("table", "hub")
-    met = tables.join(hubs, "table").where("comp <> hub.comp")
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+def _hub_pairs(tables: DataFrame) -> DataFrame:
+    """Each class paired with the smallest class of each of its tables."""
+    hubs = tables.groupBy("table").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("table", "a")
+    return tables.join(hubs, "table").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
@@ -206,13 +204,6 @@ def _rest(tables: DataFrame, sets: DataFrame) -> DataFrame:
     return work.groupBy("group", "p", "q").applyInArrow(_compare_blocks, "a long, b long")
 
 
-def _tested(pairs: list[DataFrame]) -> DataFrame:
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     fields = [T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", _KEYS)]
@@ -228,20 +219,11 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     wanted = classes.join(live, "node", "left_semi").select("node", "fp", "n")
     held = source.join(wanted.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     sets = cut(_full_sets(held).join(wanted.withColumnRenamed("node", "id"), ["id", "fp", "n"]).select(F.col("id").alias("node"), "n", "set").dropDuplicates(["node", "n"]))
-    found, tried = [], []
-    for diagonal, largest in ((True, False), (False, True)):
-        left = _with_components(halves, comps)
-        pairs = _hub_pairs(_tables(left, diagonal), largest)
-        for p in tried:
-            pairs = pairs.join(p, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried.append(pairs)
-        found.append(cut(_links(pairs, sets)))
-        comps = connected(_tested(found))
-    tables = cut(_tables(_with_components(halves, comps), False))
-    found.append(cut(_rest(tables, sets)))
-    if found[-1].limit(1).count():
-        comps = connected(_tested(found))
+    pairs = cut(_hub_pairs(_tables(_with_components(halves, None), True)))
+    links = cut(_links(pairs, sets))
+    comps = connected(links)
+    more = _rest(cut(_tables(_with_components(halves, comps), False)), sets)
+    comps = connected(links.unionAll(more))
     labelled = classes.join(comps, "node", "left").select("fp", "n", F.coalesce("comp", "node").alias("component"))
     out = signed.drop("keys").join(labelled, ["fp", "n"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
