@@ -29,7 +29,7 @@ from linkloom.llm.quality_classifier import labelled_sample
 
 #: Labelled documents of each class that training may use, those of the smallest id hashes.
 LABELLED_PER_CLASS = 3000
-TREES, DEPTH, RATE, BINS, LEAF_L2, LEAST_IN_LEAF = 80, 3, 0.15, 32, 1.0, 20
+TREES, DEPTH, RATE, BINS, LEAF_L2, LEAST_IN_LEAF = 80, 3, 0.15, 32, 1.0, 5
 PREFIXES = (4, 5, 6)  #: bytes of a word's beginning
 NEAR = 4  #: words around a pronoun
 SLICE = 1 << 17
@@ -132,7 +132,7 @@ def _telling(keys: list[np.ndarray], y: np.ndarray) -> HashTable:
     toxic = np.bincount(inv, weights=y[text], minlength=len(u))
     clean = np.bincount(inv, weights=1 - y[text], minlength=len(u))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
-    return HashTable(u[(toxic >= 5) & (odds > 3.0) & (u != 0)])
+    return HashTable(u[(toxic >= 3) & (odds > 3.0) & (u != 0)])
 
 
 def lexicons(texts: pa.Array, y: np.ndarray) -> Lexicons:
