@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions import vocab as V
 
 
+def fixed(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """keep and the named columns, computed once here.
+
+    Filters and projections above would otherwise each repeat a long expression; a generator of one row isn't
+    merged with them.
+    """
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select(*keep, made)
+
+
 def blank_to_null(c: Column) -> Column:
     t = F.trim(c)
     return F.when(t == "", None).otherwise(t)

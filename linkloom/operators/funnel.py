@@ -62,10 +62,10 @@ def matched(chunks: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("grp") != "depoimento", F.col("type")))).alias("types"),
     )
     out = sound.join(names, "chunk_id", "left").join(found, "chunk_id", "left")
-    known = F.when(F.col("persons").isNotNull(), F.size("persons")).otherwise(0).cast("long")
-    return out.select(
-        "chunk_id", "doc_id", "idx", "source", "text", known.alias("n_known"), F.size(X.unknown_names(F.col("text"))).cast("long").alias("n_unknown"), F.coalesce("n_triggers", F.lit(0)).cast("long").alias("n_triggers"),
-        F.coalesce("statement", F.lit(False)).alias("statement"), F.coalesce("persons", F.array().cast("array<bigint>")).alias("persons"), F.coalesce("types", F.array().cast("array<string>")).alias("types"),
+    return X.fixed(
+        out, "chunk_id", "doc_id", "idx", "source", "text", n_known=F.when(F.col("persons").isNotNull(), F.size("persons")).otherwise(0).cast("long"),
+        n_unknown=F.size(X.unknown_names(F.col("text"))).cast("long"), n_triggers=F.coalesce("n_triggers", F.lit(0)).cast("long"), statement=F.coalesce("statement", F.lit(False)),
+        persons=F.coalesce("persons", F.array().cast("array<bigint>")), types=F.coalesce("types", F.array().cast("array<string>")),
     )
 
 

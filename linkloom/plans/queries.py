@@ -470,7 +470,8 @@ def teaching_concentration(spark, d):
 def decade_slices(spark, d):
     """Active and cumulative networks of every decade, all in one pass with the decade as key."""
     iv = P.effective(P.parse(F.col("period")))
-    r = S.relations(spark, d).withColumns({"first": iv["first"], "last": iv["last"]}).where("first is not null")
+    raw = S.relations(spark, d)
+    r = X.fixed(raw, *raw.columns, iv=iv).select("*", "iv.first", "iv.last").where("first is not null").drop("iv")
     bounds = r.agg(P.decade(F.min("first")).alias("lo"), P.decade(F.max("last")).alias("hi"))
     decades = bounds.where("lo <= hi").select(F.explode(F.sequence("lo", "hi", F.lit(10))).alias("decade"))
     # decades are few: a century has ten

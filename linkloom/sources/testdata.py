@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import vocab as V
-from linkloom.functions.text import clean, is_noise
+from linkloom.functions.text import clean, fixed, is_noise
 
 #: Which order lines make links, by graph: a predicate on each line, and one on the pair.
 GRAPHS = {
@@ -84,7 +84,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str, min_chars: int = 40) -> DataFrame:
     """Cleaned lines of the documents that are long enough and no noise, with the documents as pages."""
-    cleaned = blocks(spark, sf_dir).withColumn("text", clean(F.col("block")))
+    cleaned = fixed(blocks(spark, sf_dir), "doc_id", "idx", "source", text=clean(F.col("block")))
     kept = cleaned.where((F.length("text") >= min_chars) & ~is_noise(F.col("text")))
     return kept.select(F.concat_ws("-", "doc_id", "idx").alias("chunk_id"), "doc_id", F.col("idx").cast("long").alias("idx"), "source", "text")
 
