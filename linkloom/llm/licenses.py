@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, as Spark expressions.
 
 Every text is searched for a few keywords; only texts with a keyword meet the
-rules that it gates.  A rule is a regular expression over the lower-cased text
+rules that it gates.  Each alternative of a rule needs one of the rule's keywords
+(parted by |), and no keyword has blanks, so gating loses no match.  A rule is a regular expression over the lower-cased text
 with runs of blanks collapsed, with a label, a rank (lower ranks are more
 specific and win) and a confidence.  A match that lies inside a match of a lower
 rank is suppressed; what survives gives the labels and the score.
@@ -66,9 +67,9 @@ NAMES = [
     ("apache-2.0", "apache", r"apache\.org/licenses/license-2\.0"),
     ("mit", "licen", r"\bmit licen[sc]e\b"),
     ("mit", "licen", r"\bexpat licen[sc]e\b"),
-    ("mit-0", "licen", r"\bmit no attribution\b|\bmit-0\b"),
+    ("mit-0", "mit", r"\bmit no attribution\b|\bmit-0\b"),
     ("x11", "licen", r"\bx11 licen[sc]e\b"),
-    ("bsd-2-clause", "bsd", r"\b(?:simplified|freebsd|2-clause|two-clause) (?:bsd )?licen[sc]e\b|\bbsd[ -](?:2|two)[ -]clause\b"),
+    ("bsd-2-clause", "bsd|licen", r"\b(?:simplified|freebsd|2-clause|two-clause) (?:bsd )?licen[sc]e\b|\bbsd[ -](?:2|two)[ -]clause\b"),
     ("bsd-3-clause", "bsd", r"\b(?:new|modified|revised|3-clause|three-clause) bsd licen[sc]e\b|\bbsd[ -](?:3|three)[ -]clause\b"),
     ("bsd-4-clause", "bsd", r"\b(?:original|old|4-clause|four-clause) bsd licen[sc]e\b|\bbsd[ -](?:4|four)[ -]clause\b"),
     ("bsd", "bsd", r"\bbsd(?:-style)? licen[sc]es?\b"),
@@ -91,7 +92,7 @@ NAMES = [
     ("cecill", "licen", r"\bcecill(?:-[bc])? licen[sc]e\b"),
     ("artistic-1.0", "licen", r"\bartistic licen[sc]e(?! 2)"),
     ("artistic-2.0", "licen", r"\bartistic licen[sc]e,? (?:version )?2(?:\.0)?\b"),
-    ("perl", "licen", r"same terms as perl itself"),
+    ("perl", "perl", r"same terms as perl itself"),
     ("php-3.01", "licen", r"\bphp licen[sc]e\b"),
     ("python-2.0", "licen", r"\bpython software foundation licen[sc]e\b|\bpsf licen[sc]e\b"),
     ("ruby", "licen", r"\bruby licen[sc]e\b"),
@@ -108,26 +109,26 @@ NAMES = [
     ("upl-1.0", "licen", r"universal permissive licen[sc]e"),
     ("vim", "licen", r"\bvim licen[sc]e\b"),
     ("beerware", "licen", r"beer-?ware licen[sc]e"),
-    ("wtfpl", "licen", r"do what the f\w+ you want to public licen[sc]e|\bwtfpl\b"),
+    ("wtfpl", "licen|wtfpl", r"do what the f\w+ you want to public licen[sc]e|\bwtfpl\b"),
     ("unlicense", "licen", r"\bthe unlicense\b|unlicense\.org"),
-    ("odbl-1.0", "licen", r"open database licen[sc]e|\bodbl\b"),
+    ("odbl-1.0", "licen|odbl", r"open database licen[sc]e|\bodbl\b"),
     ("odc-by", "licen", r"open data commons attribution licen[sc]e"),
-    ("pddl-1.0", "licen", r"public domain dedication and licen[sc]e|\bpddl\b"),
+    ("pddl-1.0", "licen|pddl", r"public domain dedication and licen[sc]e|\bpddl\b"),
     ("sspl-1.0", "licen", r"server side public licen[sc]e"),
     ("busl-1.1", "licen", r"business source licen[sc]e"),
     ("elastic-2.0", "licen", r"\belastic licen[sc]e\b"),
     ("bigscience-rail", "licen", r"\b(?:bigscience|responsible ai|open ?rail)(?:-m)? licen[sc]e\b"),
     ("cc0-1.0", "cc0", r"\bcc0(?:[ -]1\.0)?\b"),
-    ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)"),
-    ("cc-by", "creative commons", r"creative commons attribution(?! ?-| non| share| no)"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution[ -]share ?-?alike"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution[ -]non-?commercial(?! ?-| share| no)"),
-    ("cc-by-nd", "creative commons", r"creative commons attribution[ -]no-?deriv\w*"),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution[ -]non-?commercial[ -]share ?-?alike"),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution[ -]non-?commercial[ -]no-?deriv\w*"),
-    ("cc", "creative commons", r"creative commons"),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain"),
-    ("public-domain", "public domain", r"\bpublic domain\b"),
+    ("cc0-1.0", "creative", r"creative commons (?:zero|cc0)"),
+    ("cc-by", "creative", r"creative commons attribution(?! ?-| non| share| no)"),
+    ("cc-by-sa", "creative", r"creative commons attribution[ -]share ?-?alike"),
+    ("cc-by-nc", "creative", r"creative commons attribution[ -]non-?commercial(?! ?-| share| no)"),
+    ("cc-by-nd", "creative", r"creative commons attribution[ -]no-?deriv\w*"),
+    ("cc-by-nc-sa", "creative", r"creative commons attribution[ -]non-?commercial[ -]share ?-?alike"),
+    ("cc-by-nc-nd", "creative", r"creative commons attribution[ -]non-?commercial[ -]no-?deriv\w*"),
+    ("cc", "creative", r"creative commons"),
+    ("public-domain", "domain", r"(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain"),
+    ("public-domain", "domain", r"\bpublic domain\b"),
     ("copyleft", "copyleft", r"\bcopyleft\b"),
 ]
 
@@ -144,24 +145,24 @@ SENTENCES = [
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software"),
     ("apache-2.0", "licen", r"you may not use this file except in compliance with the licen[sc]e"),
     ("apache-2.0", "licen", r"unless required by applicable law or agreed to in writing, software distributed under the licen[sc]e"),
-    ("gpl", "free software", r"this program is free software[:;,]? you can redistribute it and/or modify"),
+    ("gpl", "redistribut", r"this program is free software[:;,]? you can redistribute it and/or modify"),
     ("gpl", "warranty", r"in the hope that it will be useful,? but without any warranty"),
-    ("lgpl", "free software", r"this library is free software[:;,]? you can redistribute it and/or modify"),
+    ("lgpl", "redistribut", r"this library is free software[:;,]? you can redistribute it and/or modify"),
     ("mpl-2.0", "licen", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
     ("zlib", "warranty", r"this software is provided \W?as-is\W?,? without any express or implied warranty"),
     ("zlib", "misrepresent", r"the origin of this software must not be misrepresented"),
     ("boost-1.0", "permission", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy"),
-    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("cc0-1.0", "waive", r"to the extent possible under law, .{1,80}? has waived all copyright"),
     ("ofl-1.1", "font", r"the fonts? and derivatives, however, cannot be released under any other type of licen[sc]e"),
-    ("wtfpl", "you just do", r"you just do what the f\w+ you want to"),
+    ("wtfpl", "just", r"you just do what the f\w+ you want to"),
     ("beerware", "beer", r"you can buy me a beer in return"),
-    ("all-rights-reserved", "rights reserved", r"all rights reserved"),
+    ("all-rights-reserved", "reserved", r"all rights reserved"),
     ("all-rights-reserved", "droits", r"tous droits r[ée]serv[ée]s"),
     ("all-rights-reserved", "rechte", r"alle rechte vorbehalten"),
     ("all-rights-reserved", "derechos", r"todos los derechos reservados"),
-    ("some-rights-reserved", "rights reserved", r"some rights reserved"),
-    ("no-rights-reserved", "rights reserved", r"no rights reserved"),
+    ("some-rights-reserved", "reserved", r"some rights reserved"),
+    ("no-rights-reserved", "reserved", r"no rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary"),
     ("proprietary", "permission", r"without (?:the )?(?:prior )?(?:express )?(?:written )?permission of"),
     ("copyright-notice", "copyright", r"\bcopyright (?:\(c\)|©)? ?(?:by )?(?:19|20)\d\d"),
@@ -201,7 +202,7 @@ def _rules() -> list[Rule]:
 
 
 RULES = _rules()
-KEYWORDS = sorted({r.keyword for r in RULES} | {"cc"} | {p.split()[0] for p in PHRASES} | {"licen"})
+KEYWORDS = sorted({k for r in RULES for k in r.keyword.split("|")} | {"cc"} | {p.split()[0] for p in PHRASES} | {"licen"})
 
 
 def _places(words: Column) -> Column:
@@ -224,7 +225,7 @@ def _places(words: Column) -> Column:
 
 def _matches(canon: Column, present: Column) -> Column:
     """Intervals of all matches of the rules that a present keyword gates."""
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.rank).alias("rank"), F.lit(r.confidence).alias("confidence")) for r in RULES))
+    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.array(*map(F.lit, r.keyword.split("|"))).alias("keywords"), F.lit(r.pattern).alias("pattern"), F.lit(r.rank).alias("rank"), F.lit(r.confidence).alias("confidence")) for r in RULES))
 
     def intervals(r: Column) -> Column:
         def spans(parts: Column) -> Column:
@@ -235,7 +236,7 @@ def _matches(canon: Column, present: Column) -> Column:
 
         return let(F.struct(F.split(canon, r["pattern"], -1).alias("gaps"), F.regexp_extract_all(canon, r["pattern"], F.lit(0)).alias("hits")), spans)
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(present, r["keyword"]) & F.rlike(canon, r["pattern"])), intervals))
+    return F.flatten(F.transform(F.filter(table, lambda r: F.arrays_overlap(present, r["keywords"]) & F.rlike(canon, r["pattern"])), intervals))
 
 
 def _surviving(found: Column) -> Column:

@@ -418,6 +418,47 @@ def test_license_places(spark):
 # empty tables, and the pipeline
 
 
+def _samples(parsed):
+    """Strings that a parsed pattern matches: one or more for every alternative and optional part."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            one = [chr(arg)]
+        elif name == "BRANCH":
+            one = [x for branch in arg[1] for x in _samples(branch)]
+        elif name == "SUBPATTERN":
+            one = _samples(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = [x * n for x in _samples(arg[2]) for n in {arg[0], min(arg[1], arg[0] + 1)}]
+        elif name == "IN":
+            one = [chr(v) for k, v in arg if str(k) == "LITERAL"] or ["7"]
+        else:
+            one = ["7"] if name == "ANY" else [""]
+        out = [a + b for a in out for b in dict.fromkeys(one)]
+    return out
+
+
+def test_every_alternative_of_a_license_rule_holds_a_keyword():
+    assert not [k for k in licenses.KEYWORDS if re.search(r"\s", k)]
+    for r in licenses.RULES:
+        for x in _samples(re._parser.parse(r.pattern)):
+            assert any(k in x for k in r.keyword.split("|")), (r, x)
+
+
+def test_gated_licenses_are_the_ungated_ones(spark, monkeypatch):
+    said = [
+        "This program is free\nsoftware; you can redistribute it and/or modify it", "All  rights\r\nreserved.", "in the public\ndomain", "Creative\n Commons Attribution", "You just\ndo what the fun you want to",
+        "under the same terms as Perl itself", "MIT-0", "mit no attribution", "WTFPL", "ODbL", "pddl", "under the two-clause license", "simplified  licence", "nothing here", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    gated = {r["doc_id"]: (r["labels"], r["matches"], r["score"]) for r in licenses.scan(rows).collect()}
+    monkeypatch.setattr(licenses, "RULES", [r._replace(keyword="") for r in licenses.RULES])
+    monkeypatch.setattr(licenses, "KEYWORDS", [*licenses.KEYWORDS, ""])
+    assert gated == {r["doc_id"]: (r["labels"], r["matches"], r["score"]) for r in licenses.scan(rows).collect()}
+    assert all(gated[i][0] for i in range(13)) and not gated[13][0] and not gated[14][0]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
