@@ -132,6 +132,8 @@ def assign(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None
         base = base.withColumn("cluster_id", F.when(~F.col("blank"), F.col("print")))
     else:
         base = base.join(clusters.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("cluster_id").cast("long").alias("cluster_id")).dropDuplicates(["doc_id"]), "doc_id", "left")
+        # clusters can't name rows without an id: those are told by their texts
+        base = base.withColumn("cluster_id", F.when(F.col("doc_id").isNull() & ~F.col("blank"), F.col("print")).otherwise(F.col("cluster_id")))
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "print"), F.lit(shards)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:

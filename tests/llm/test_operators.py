@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, decontamination, hpylm, language_id, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from linkloom.llm import components, decontamination, hpylm, language_id, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -148,6 +148,24 @@ def test_packing_is_best_fit(spark):
     assert packing.pack(pieces, 100) == place
 
 
+def test_the_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    rng = random.Random(21)
+    rows = []
+    for g in range(4):
+        words = [f"w{g}x{rng.randrange(10**6)}" for _ in range(60)]
+        for k in range(6):
+            changed = [*words]
+            changed[10 * k] = f"other{g}x{k}"
+            rows.append((6 * g + k, " ".join(changed), None, None, 0))
+    rows += [(None, "no id but equal texts", None, None, 0)] * 2
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = _rows(queries.op2_best_fit_packing(spark, str(tmp_path)))
+    assert len(got) == len(rows)
+    held = collections.Counter((r["bin"], "none" if r["doc_id"] is None else r["doc_id"] // 6) for r in got)
+    assert max(held.values()) == 1
+    assert len({r["bin"] for r in got}) < len(got)
+
+
 def test_packing_places_every_token_once(docs, texts):
     rows = _rows(packing.assign(docs, capacity=64))
     tokens = collections.Counter()
