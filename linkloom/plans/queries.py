@@ -691,7 +691,7 @@ def unlinked_mentions(spark, d):
 @query
 def resolve_entities(spark, d):
     p = S.persons(spark, d)
-    asked = p.where("id < 200").select(F.col("id").alias("key"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("Prof. "), "name")).when(F.col("id") % 4 == 1, F.regexp_replace("name", "Supplier#", "Suplier ")).when(F.col("id") % 4 == 2, F.lit("Maria")).otherwise(F.concat("name", F.lit(" Neto"))).alias("name"))
+    asked = p.select(F.col("id").alias("key"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("Prof. "), "name")).when(F.col("id") % 4 == 1, F.regexp_replace("name", "Supplier#", "Suplier ")).when(F.col("id") % 4 == 2, F.lit("Maria")).otherwise(F.concat("name", F.lit(" Neto"))).alias("name"))
     return resolution.resolve(asked, p.select(F.col("id").alias("person"), F.col("name").alias("variant")))
 
 

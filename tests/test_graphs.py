@@ -139,3 +139,11 @@ def test_resolution_decisions(spark):
     names = spark.createDataFrame([(1, "arquiteto Ana Maria Lima"), (2, "Rui Costa"), (3, "Borsoi"), (4, "Ana Maria Limma"), (5, "Zélia Nunes"), (6, "")], "key long, name string")
     got = {r["key"]: (r["decision"], r["person"]) for r in resolution.resolve(names, variants).collect()}
     assert got == {1: ("auto", 1), 2: ("human", None), 3: ("human", 4), 4: ("auto", 1), 5: ("new", None), 6: ("human", None)}
+
+
+def test_every_person_is_resolved(spark, tmp_path):
+    rows = [(i, f"Supplier#{i:09d}", i % 25, 10.0 * i) for i in (1, 199, 200, 201, 4000)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    from linkloom.plans.queries import resolve_entities
+
+    assert sorted(r["key"] for r in resolve_entities(spark, str(tmp_path)).collect()) == [1, 199, 200, 201, 4000]
