@@ -50,31 +50,24 @@ def _scores(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([token_set_ratio(a or "", b or "") for a, b in zip(names, variants, strict=True)], dtype="float64")
 
 
-def _blocks(c):
-    """Words, and their first three letters: variants worth comparing share one of them."""
-    words = F.split(c, " ")
-    return F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.lit("^"), F.substring(w, 1, 3)))))
-
-
 def resolve(names: DataFrame, variants: DataFrame) -> DataFrame:
     """names (key, name) against variants (person, variant): decision auto, human or new with the best person.
 
-    Exact matches come first; the rest is compared with the variants that share a word or the beginning of one.
+    Exact matches come first.  Every distinct name is scored against every variant, so the work is their product.
     """
     clean = names.select("key", "name", normalize(clean_name(F.col("name"))).alias("norm"))
     count = F.size(F.filter(F.split("norm", " "), lambda t: (t != "") & ~t.isin(V.CONNECTORS)))
     clean = clean.withColumn("tokens", count)
     known = variants.select("person", normalize(F.col("variant")).alias("variant")).where("variant <> ''").distinct()
     exact = clean.join(known, clean["norm"] == known["variant"]).groupBy("key").agg(F.count_distinct("person").alias("n_exact"), F.min("person").alias("exact_person"))
-    left = clean.select("key", "norm", F.explode(_blocks(F.col("norm"))).alias("block"))
-    right = known.select("person", "variant", F.explode(_blocks(F.col("variant"))).alias("block"))
-    pairs = left.join(right, "block").select("key", "norm", "person", "variant").distinct()
-    raw = pairs.withColumn("score", _scores("norm", "variant"))
+    # a fixed number of partitions, which adaptive execution leaves: the pairs are many where the names are few
+    left = clean.select("norm").where("norm <> ''").distinct().repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "norm")
+    raw = left.crossJoin(known).withColumn("score", _scores("norm", "variant"))
     capped = F.when((F.size(F.split("variant", " ")) == 1) & (F.size(F.split("norm", " ")) > 1), F.least("score", F.lit(SINGLE_CAP))).otherwise(F.col("score"))
-    best = raw.select("key", "person", capped.alias("score")).groupBy("key", "person").agg(F.max("score").alias("score"))
-    rank = Window.partitionBy("key").orderBy(F.desc("score"), "person")
+    best = raw.select("norm", "person", capped.alias("score")).groupBy("norm", "person").agg(F.max("score").alias("score"))
+    rank = Window.partitionBy("norm").orderBy(F.desc("score"), "person")
     top = best.withColumns({"rn": F.row_number().over(rank), "second": F.lead("score").over(rank)}).where("rn = 1")
-    out = clean.join(exact, "key", "left").join(top.select("key", F.col("person").alias("best"), "score", "second"), "key", "left")
+    out = clean.join(exact, "key", "left").join(top.select("norm", F.col("person").alias("best"), "score", "second"), "norm", "left")
     one, several = F.col("n_exact") == 1, F.col("n_exact") > 1
     score, margin = F.coalesce("score", F.lit(0.0)), F.coalesce("score", F.lit(0.0)) - F.coalesce("second", F.lit(0.0))
     decision = (

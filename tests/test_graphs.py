@@ -147,3 +147,25 @@ def test_every_person_is_resolved(spark, tmp_path):
     from linkloom.plans.queries import resolve_entities
 
     assert sorted(r["key"] for r in resolve_entities(spark, str(tmp_path)).collect()) == [1, 199, 200, 201, 4000]
+
+
+def test_names_are_scored_against_all_variants(spark):
+    known = {1: "wilson thompson", 2: "gilson thompsen", 3: "maria", 4: "kestrel auboin", 5: "ana lima"}
+    asked = {1: "Vilson Tompson", 2: "Estrel Oboin", 3: "Qzx Wvy", 4: "Naria", 5: "Wilson Thompson", 6: "Ena Limo", 7: "Vilson Tompson", 8: "Gilson Tompsen"}
+    names = spark.createDataFrame(list(asked.items()), "key long, name string")
+    variants = spark.createDataFrame(list(known.items()), "person long, variant string")
+    got = {r["key"]: r for r in resolution.resolve(names, variants).collect()}
+    assert len(got) == len(asked)
+    for key, name in asked.items():
+        norm = name.lower()
+        ranked = []
+        for person, variant in known.items():
+            score = resolution.token_set_ratio(norm, variant)
+            ranked.append((-min(score, 70.0) if " " in norm and " " not in variant else -score, person))
+        ranked.sort()
+        score, second = -ranked[0][0], -ranked[1][0]
+        auto = norm in known.values() or (score >= 92 and score - second >= 6)
+        want = "human" if " " not in norm else "auto" if auto else "human" if score >= 72 else "new"
+        assert (got[key]["decision"], got[key]["person"]) == (want, ranked[0][1] if score >= 72 else None), name
+        assert got[key]["score"] == pytest.approx(score), name
+    assert got[1]["decision"] == "human" and got[1]["person"] == 1
