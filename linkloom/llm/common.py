@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.llm import kernels as K
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,10 +41,62 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder beneath the shared checkpoint folder; it goes when the application ends."""
+    sc = spark.sparkContext
+    if getattr(sc, "_linkloom_folder", None) is None:
+        ensure_checkpoint_dir(spark)
+        sc._linkloom_folder = f"{sc._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
+        atexit.register(_remove_at_exit, sc, sc._linkloom_folder)
+    return sc._linkloom_folder
+
+
+def _remove(sc, folder: str) -> None:
+    if sc._jsc is not None:  # a context that was stopped can't remove anything
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(sc, folder: str) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended first
+        _remove(sc, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written as a table to the shared checkpoint folder and read back from there, so nothing before it runs again.
+
+    Shuffle files that only tables written before needed are let go of first.
+    """
+    spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Removes tables that cut wrote and no plan reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f.startswith(shared_folder(df.sparkSession)):
+                _remove(sc, f)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_arrow(df: DataFrame, run: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), after which an idle worker holds no memory of the task's arrays."""
+
+    def tidy(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            K.release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 ArrowColumns = Callable[[pa.Array], Sequence[pa.Array]]
@@ -61,7 +120,7 @@ def attach(df: DataFrame, make: Callable[[], ArrowColumns], fields: Sequence[T.S
             made = columns(batch.column("__text"))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + list(made), names=keep + new)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -4,20 +4,22 @@ One level deals with links in two steps: every task reduces its links to stars
 (a smallest node and the nodes it reaches), then stars are dealt by node, where
 the roots that share a node meet.  What remains is a graph among roots alone,
 which the next level takes, with as many fewer partitions.  A node turns up at
-most once for each task, so no node draws many rows to one task, and no task
-holds more than its share of the links.  Every level is written to the
-checkpoint folder; labels join back from the last level to the first.
+most once for each run of ``ROWS_PER_TASK`` links, so no node draws many rows to
+one task, and both steps hold about that many rows however many links there are.
+Every level is written to the checkpoint folder; labels join back from the last
+level to the first.
+
+Defined results: no links give no rows; repeated links, both directions of one
+and links of a node to itself change nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import Batches, cut, map_arrow
 
 ROWS_PER_TASK = 200_000
 
@@ -29,45 +31,59 @@ def _top(place: dict[int, int], x: int) -> int:
     return x
 
 
-def _forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
+def _forest(a: list[int], b: list[int]) -> dict[int, int]:
     place: dict[int, int] = {}
-    for a, b in pairs:
-        p, q = _top(place, place.setdefault(a, a)), _top(place, place.setdefault(b, b))
+    for x, y in zip(a, b, strict=True):
+        p, q = _top(place, place.setdefault(x, x)), _top(place, place.setdefault(y, y))
         if p != q:
             place[max(p, q)] = min(p, q)
     return place
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+def _stars(batches: Batches) -> Batches:
+    """(node, root) of the forest of each run of links."""
+    a, b = [], []
 
+    def star() -> pa.RecordBatch:
+        place = _forest(a, b)
+        nodes = list(place)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_top(place, n) for n in nodes], pa.int64())], names=["node", "root"])
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place = _forest(_pairs(batches))
-    nodes = list(place)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_top(place, n) for n in nodes], pa.int64())], names=["node", "root"])
+    for batch in batches:
+        a += batch.column(0).to_pylist()
+        b += batch.column(1).to_pylist()
+        if len(a) >= ROWS_PER_TASK:
+            yield star()
+            a, b = [], []
+    yield star()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Batches) -> Batches:
     """(node, root, upper): the smallest root of each node dealt here; upper rows are links among roots."""
-    rows = list(_pairs(batches))
-    place = _forest(iter(rows))
-    own = {n for n, _ in rows}
-    roots = {r for _, r in rows}
-    out = [(n, _top(place, n), False) for n in own] + [(r, t, True) for r in roots if (t := _top(place, r)) != r]
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["node", "root", "upper"])
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of links (a, b); comp is the smallest node reachable."""
-    spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = links.select("a", "b").mapInArrow(_stars, "node long, root long")
-    met = cut(stars.repartition(parts, "node").mapInArrow(_meet, "node long, root long, upper boolean"))
+    node, root = [], []
+    for batch in batches:
+        node += batch.column(0).to_pylist()
+        root += batch.column(1).to_pylist()
+    place = _forest(node, root)
+    own = [(n, _top(place, n), False) for n in set(node)]
+    upper = [(r, t, True) for r in set(root) if (t := _top(place, r)) != r]
+    columns = list(zip(*own, *upper, strict=True)) if own else [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["node", "root", "upper"])
+
+
+def connected(links: DataFrame, count: int | None = None) -> DataFrame:
+    """(node, comp) for every node of links (a, b); comp is the smallest node reachable.
+
+    links should be a written table: it is counted, if its count isn't given.
+    """
+    least = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = links.count() if count is None else count
+    parts = max(least, -(-2 * count // ROWS_PER_TASK))
+    stars = map_arrow(links.select("a", "b"), _stars, "node long, root long")
+    met = cut(map_arrow(stars.repartition(parts, "node"), _meet, "node long, root long, upper boolean"))
     labels, upper = met.where("not upper").select("node", "root"), met.where("upper").select(F.col("node").alias("a"), F.col("root").alias("b"))
     left = upper.count()
     if not left:
         return labels.withColumnRenamed("root", "comp")
-    higher = connected(upper.coalesce(max(1, -(-left // ROWS_PER_TASK)))).withColumnRenamed("node", "root")
+    higher = connected(upper.coalesce(max(1, -(-left // ROWS_PER_TASK))), left).withColumnRenamed("node", "root")
     return labels.join(higher, "root", "left").select("node", F.coalesce("comp", "root").alias("comp"))

@@ -12,6 +12,8 @@ working arrays stay in cache; one longer text forms a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,17 +37,28 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64, at least n of them."""
+    """1, base, base**2, ... modulo 2**64, at least n of them; those of a slice are kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(SLICE + 64, n)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if size == SLICE + 64:
+            _powers[base] = have
     return have[:n]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that idle workers don't hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U64(30))
@@ -56,7 +69,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of codes[start:end], equal for equal contents; codes are bytes."""
+    """Hashes of codes[start:end], equal for equal contents; codes are bytes.  Starts rise.
+
+    Long codes are taken in stretches of about a slice, so working memory doesn't follow a text's length.
+    """
+    if len(codes) <= SLICE + 64:
+        return _span_hashes(codes, starts, ends)
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, side="right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        out[i:j] = _span_hashes(codes[lo:hi], starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
+def _span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(codes)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     terms = _BYTE[codes]

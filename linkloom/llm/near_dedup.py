@@ -7,21 +7,25 @@ with half key j of the second.  So 2 * HALVES * ROWS minhashes do the work of
 HALVES**2 * 2 * ROWS.  A pair of similarity 0.75 shares no table with probability
 2 * (1 - 0.75**3)**20 = 3e-5; all that share one are compared on their full sets.
 
-1. Documents with equal sets form a class, which its smallest id stands for.
+1. Documents with equal sets form a class, named by the fingerprint of its set.
 2. Half keys that only one class has are dropped: a shared table needs both
    halves shared.
 3. In the tables that pair half keys of equal index, each class is compared with
    the smallest one of its table.  That connects most of what is alike with a
    number of comparisons in proportion to the classes.  A half key whose classes
    are all connected is dropped with all its tables.
-4. What still shares any of the tables across components is compared exhaustively,
-   in blocks of ``BLOCK`` classes; only what joins components is emitted.
+4. Classes that still share any of the tables across components are compared with
+   each other, table by table, in tiles; only what joins components is emitted.
+
+Full sets are made again from the texts of the classes that have candidates, so
+no other set is ever stored.
 
 Defined results: a document without words (or null) has an empty set, is linked
 with nothing and kept.  One with fewer than five words has one shingle, its whole
-sequence.  Rows of a null id are never linked; their component is null and they
-are kept.  Rows that repeat an id are each labelled by their own text's group;
-classes with the same smallest id are one.  Sets are compared by 64-bit hashes.
+sequence.  Very long texts count whole.  Rows of a null id are never linked; their
+component is null and they are kept.  Rows that repeat an id are each labelled by
+their own text's group.  Of documents of one group the one of the smallest id is
+kept, and all rows of that id and group are.  Sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import attach, cut
+from linkloom.llm.common import Batches, attach, cut, map_arrow
 from linkloom.llm.components import connected
+from linkloom.llm.tiles import mixed_groups, tiles
 
 WORDS = 5
 ROWS, HALVES = 3, 20
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
-BLOCK = 256
 SLICE = 1 << 17
 U64 = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64) * U64(2) + U64(1)
@@ -62,6 +66,16 @@ def _sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (np.concatenate(parts) if parts else g), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
+def _print(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set."""
+    n = np.diff(first)
+    out = np.zeros(len(n), dtype=np.uint64)
+    some = n > 0
+    if some.any():
+        out[some] = K.mix(np.add.reduceat(K.mix(g), first[:-1][some]) + n[some].astype(np.uint64))
+    return out
+
+
 def _signatures(texts: pa.Array) -> list[pa.Array]:
     """Set size, fingerprint of the set, and the half keys of both collections."""
     sizes, prints, keys = [], [], []
@@ -75,12 +89,9 @@ def _signatures(texts: pa.Array) -> list[pa.Array]:
                 half = np.full(len(at), k + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     half = K.mix(half * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(g * _FACTORS[k * ROWS + r], at))
-                out[some, k] = half
-        fp = np.zeros(len(n), dtype=np.uint64)
-        if len(at):
-            fp[some] = K.mix(np.add.reduceat(K.mix(g), at) + n[some].astype(np.uint64))
+                out[some, k] = half & ~U64(63) | U64(k)  # the lowest bits tell a half key's place
         sizes.append(n)
-        prints.append(fp)
+        prints.append(_print(g, first))
         keys.append(out)
     if not sizes:
         return [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))]
@@ -99,7 +110,7 @@ def _similar(shared: int, a: int, b: int) -> bool:
     return 100 * shared >= PERCENT * (a + b - shared)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Batches) -> Batches:
     """Pairs (a, b) whose sets sa and sb are similar enough."""
     for batch in batches:
         keep = []
@@ -109,38 +120,45 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _close(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets' sizes don't rule similarity out."""
+    na, nb = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    return pairs.join(na, "a").join(nb, "b").where(F.greatest("na", "nb") * PERCENT <= F.least("na", "nb") * 100).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are confirmed on full sets.  Sizes alone rule many out before the sets are fetched."""
-    na, nb = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    close = F.greatest("na", "nb") * PERCENT <= F.least("na", "nb") * 100
-    return pairs.join(na, "a").join(nb, "b").where(close).select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
+    """The pairs (a, b) that are confirmed on full sets."""
+    sa, sb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    return map_arrow(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), _verify, "a long, b long")
 
 
 def _with_components(halves: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The half keys (node, side, key, comp) at which classes of different components meet."""
+    """The half keys (node, key, comp) at which classes of different components meet."""
     if comps is None:
         return halves.withColumn("comp", F.col("node"))
-    own = halves.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = halves.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return own.join(mixed, "key", "left_semi")
 
 
 def _tables(halves: DataFrame, diagonal: bool) -> DataFrame:
-    """Table keys (table, node, comp) from the half keys that are left; a class has at most HALVES on each side."""
-    side = lambda s: F.filter("h", lambda x: x["side"] == s)
-    both = halves.groupBy("node", "comp").agg(F.collect_list(F.struct("side", "i", "key")).alias("h"))
-    paired = F.flatten(F.transform(side(0), lambda x: F.transform(F.filter(side(1), lambda y: (y["i"] == x["i"]) if diagonal else F.lit(True)), lambda y: F.xxhash64(x["key"], y["key"]))))
-    return both.select("node", "comp", F.explode(paired).alias("table"))
+    """Table keys (group, node, comp) from the half keys that are left; a class has at most HALVES on each side."""
+    both = halves.groupBy("node", "comp").agg(F.collect_list("key").alias("h"))
+    place = lambda x: x.bitwiseAND(F.lit(63))
+    left, right = F.filter("h", lambda x: place(x) < HALVES), F.filter("h", lambda x: place(x) >= HALVES)
+    met = lambda x: F.filter(right, lambda y: (place(y) == place(x) + HALVES) if diagonal else F.lit(True))
+    paired = F.flatten(F.transform(left, lambda x: F.transform(met(x), lambda y: F.xxhash64(x, y))))
+    return both.select(F.explode(paired).alias("group"), "node", "comp")
 
 
 def _hub_pairs(tables: DataFrame) -> DataFrame:
     """Each class paired with the smallest class of each of its tables."""
-    hubs = tables.groupBy("table").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("table", "a")
-    return tables.join(hubs, "table").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    hubs = tables.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("group", "a")
+    return tables.join(hubs, "group").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links between two blocks of classes (or within one) that join different components."""
+    """Links between the two blocks of a tile (or within one) that join different components."""
     node, comp, side = (rows[c].to_numpy() for c in ("node", "comp", "side"))
     sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows["set"]]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if key[1].as_py() == key[2].as_py() else 1))
@@ -177,81 +195,63 @@ def _compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
 
-def _rest(tables: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among what still shares tables across components.
-
-    Classes connected by shared tables form a group.  Its classes outside the
-    group's largest component are compared with all others, block by block, so a
-    large group is spread over many tasks and none holds more than two blocks.
-    """
-    mixed = tables.groupBy("table").agg(F.min("node").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    met = cut(tables.join(mixed.select("table", "hub"), "table").select("node", "comp", "hub").distinct())
-    group = connected(met.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("comp", "group")
-    member = met.select("node", "comp").distinct().join(group, "node")
-    sizes = member.groupBy("group", "comp").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("group").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    spread = member.join(main, "group").withColumn("apart", F.col("comp") != F.col("main"))
-    # blocks by hash: those outside the main component from 0, those inside from where the former end
-    outside = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
-    inside = F.ceil(F.col("most") / BLOCK).cast("int")
-    slot = F.pmod(F.xxhash64("node"), F.when(F.col("apart"), outside).otherwise(inside)).cast("int") + F.when(F.col("apart"), 0).otherwise(outside)
-    placed = cut(spread.select("group", "node", "comp", slot.alias("block"), outside.alias("outside"), (outside + inside).alias("blocks")))
-    # pairs (p, q) with p outside the main component and p <= q
-    firsts = F.sequence(F.lit(0), F.least(F.col("block"), F.col("outside") - 1))
-    as_second = placed.select("*", F.explode(firsts).alias("p")).select("group", "p", F.col("block").alias("q"), "node", "comp", F.when(F.col("p") == F.col("block"), 0).otherwise(1).alias("side"))
-    as_first = placed.where("block < outside and block + 1 < blocks").select("*", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("q")).select("group", F.col("block").alias("p"), "q", "node", "comp", F.lit(0).alias("side"))
-    work = as_second.unionByName(as_first).join(sets.select("node", "set"), "node")
-    return work.groupBy("group", "p", "q").applyInArrow(_compare_blocks, "a long, b long")
+def _sets_of(nodes: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """(node, set) of classes, made from the texts of their smallest ids and written."""
+    wanted = classes.select("node", "id").join(nodes, "node", "left_semi")
+    held = _full_sets(source.join(wanted.select("id").distinct(), "id", "left_semi"))
+    return cut(held.join(wanted.select("node"), held["fp"] == wanted["node"], "left_semi").select(F.col("fp").alias("node"), "set").dropDuplicates(["node"]))
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, h, n, component) of every row: its id, a hash of its text, its set's size, its group."""
     fields = [T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", _KEYS)]
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = cut(attach(source, lambda: _signatures, fields, keep=["id"]))
-    classes = signed.where("n > 0 and id is not null").groupBy("fp", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
-    classes = cut(classes)
-    halves = classes.select("node", F.posexplode("keys").alias("k", "key")).select("node", (F.col("k") / HALVES).cast("int").alias("side"), (F.col("k") % HALVES).alias("i"), "key")
-    common = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    halves = cut(halves.join(common, "key", "left_semi").select("node", "side", "i", "key"))
-    comps = None
-    live = halves.select("node").distinct()
-    wanted = classes.join(live, "node", "left_semi").select("node", "fp", "n")
-    held = source.join(wanted.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    sets = cut(_full_sets(held).join(wanted.withColumnRenamed("node", "id"), ["id", "fp", "n"]).select(F.col("id").alias("node"), "n", "set").dropDuplicates(["node", "n"]))
-    pairs = cut(_hub_pairs(_tables(_with_components(halves, None), True)))
+    signed = cut(attach(source.withColumn("h", F.xxhash64("text")), lambda: _signatures, fields, keep=["id", "h"]))
+    # one class for each fingerprint
+    classes = cut(signed.where("n > 0 and id is not null").groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys")))
+    halves = classes.select("node", F.explode("keys").alias("key"))
+    common = halves.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    halves = cut(halves.join(common, "key", "left_semi").select("node", "key"))
+    pairs = cut(_close(_hub_pairs(_tables(_with_components(halves, None), True)), classes))
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), classes, source)
     links = cut(_links(pairs, sets))
+    tables = cut(_tables(_with_components(halves, connected(links)), False))
+    members = cut(mixed_groups(tables))
+    if members.limit(1).count():
+        sets = _sets_of(members.select("node").distinct(), classes, source)
+        links = cut(links.unionAll(tiles(members).join(sets, "node").groupBy("group", "p", "q").applyInArrow(_compare_blocks, "a long, b long")))
     comps = connected(links)
-    more = _rest(cut(_tables(_with_components(halves, comps), False)), sets)
-    comps = connected(links.unionAll(more))
-    labelled = classes.join(comps, "node", "left").select("fp", "n", F.coalesce("comp", "node").alias("component"))
-    out = signed.drop("keys").join(labelled, ["fp", "n"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.coalesce(component, F.lit(0)) == F.coalesce("id", F.lit(0))).alias("kept"))
+    joined = classes.select("node", "id").join(comps, "node")
+    joined = joined.join(joined.groupBy("comp").agg(F.min("id").alias("component")), "comp").select("node", "component")
+    own = classes.select("node", "id").join(joined, "node", "left").select(F.col("node").alias("fp"), F.coalesce("component", "id").alias("component"))
+    out = signed.drop("keys").join(own, "fp", "left")
+    return out.withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))).select("id", "h", "n", "component")
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    out = _grouped(docs, doc_id, text)
+    kept = F.col("id").isNull() | (F.col("component") == F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
-    """id, n, fp and the sorted set of each document, as bytes."""
+    """id, fingerprint and the sorted set of each document, as bytes."""
 
     def columns(texts: pa.Array) -> list[pa.Array]:
-        sizes, prints, blobs = [], [], []
+        prints, blobs = [np.zeros(0, dtype=np.uint64)], []
         for g, first in _sets(texts):
-            n = np.diff(first)
-            some = n > 0
-            fp = np.zeros(len(n), dtype=np.uint64)
-            if some.any():
-                fp[some] = K.mix(np.add.reduceat(K.mix(g), first[:-1][some]) + n[some].astype(np.uint64))
-            sizes.append(n)
-            prints.append(fp)
-            blobs += [g[first[i] : first[i + 1]].tobytes() for i in range(len(n))]
-        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-        return [pa.array(join(sizes), pa.int64()), pa.array(join(prints).view(np.int64)), pa.array(blobs, pa.binary())]
+            prints.append(_print(g, first))
+            blobs += [g[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
+        return [pa.array(np.concatenate(prints).view(np.int64)), pa.array(blobs, pa.binary())]
 
-    return attach(docs, lambda: columns, [T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("set", T.BinaryType())], keep=["id"])
+    return attach(docs, lambda: columns, [T.StructField("fp", T.LongType()), T.StructField("set", T.BinaryType())], keep=["id"])
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: the one of the smallest id.  Columns are docs' own."""
-    gone = find(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
-    return out
+    """docs with one document of each group: the one of the smallest id.  Columns are docs' own.
+
+    Rows go by id and text, so a row that shares its id with a copy of another document stays.
+    """
+    gone = _grouped(docs, doc_id, text).where("component <> id").select(F.col("id").alias("__gone"), F.col("h").alias("__h")).distinct()
+    return docs.join(gone, (docs[doc_id].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text].cast("string")) == F.col("__h")), "left_anti")

@@ -214,6 +214,17 @@ def test_near_duplicates_that_no_hub_connects(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.find(df).collect()} == want
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Two texts of one id and of equally many shingles, each with a copy of its own."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (6, b + " more"), (6, "some other text of its own here"), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.find(df).collect())
+    assert got == [(1, 36, 1, True), (1, 36, 1, True), (5, 37, 1, False), (6, 3, 6, True), (6, 37, 1, False), (6, 37, 1, False), (7, 0, 7, True), (7, 0, 7, True)]
+    left = near_dedup.deduplicate(df).collect()
+    assert sorted((r["doc_id"], (r["text"] or "")[:4]) for r in left) == [(1, "a0 a"), (1, "b0 b"), (6, "some"), (7, ""), (7, "")]
+
+
 def test_components_of_random_links(spark):
     rng = random.Random(6)
     links = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)] + [(i, i + 1) for i in range(2000, 2100)]
