@@ -13,7 +13,6 @@ working arrays stay in cache; one longer text forms a slice of its own.
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -51,7 +50,6 @@ def _geometric(base: int, n: int) -> np.ndarray:
 
 def release() -> None:
     """Gives freed memory back to the system, so that idle workers don't hold it."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
