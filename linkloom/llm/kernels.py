@@ -48,6 +48,11 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(inverse: bool, n: int) -> np.ndarray:
+    """Powers of the hash base, or of its inverse modulo 2**64."""
+    return _geometric(_BASE_INV if inverse else _BASE, n)
+
+
 def release() -> None:
     """Gives freed memory back to the system, so that idle workers don't hold it."""
     pa.default_memory_pool().release_unused()

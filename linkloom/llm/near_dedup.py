@@ -11,11 +11,13 @@ HALVES**2 * 2 * ROWS.  A pair of similarity 0.75 shares no table with probabilit
 2. Half keys that only one class has are dropped: a shared table needs both
    halves shared.
 3. In the tables that pair half keys of equal index, each class is compared with
-   the smallest one of its table.  That connects most of what is alike with a
+   the most central one of its table.  That connects most of what is alike with a
    number of comparisons in proportion to the classes.  A half key whose classes
    are all connected is dropped with all its tables.
-4. Classes that still share any of the tables across components are compared with
-   each other, table by table, in tiles; only what joins components is emitted.
+4. In all tables that are left, classes are compared with their tables' most
+   central ones again.
+5. Classes that still share any of the tables across components are compared with
+   each other in tiles; only what joins components is emitted.
 
 Full sets are made again from the texts of the classes that have candidates, so
 no other set is ever stored.
@@ -41,7 +43,7 @@ from pyspark.sql import types as T
 from linkloom.llm import kernels as K
 from linkloom.llm.common import Batches, attach, cut, map_arrow
 from linkloom.llm.components import connected
-from linkloom.llm.tiles import mixed_groups, tiles
+from linkloom.llm.tiles import centrality, hub_pairs, joined_groups, mixed_groups, shared, tiles
 
 WORDS = 5
 ROWS, HALVES = 3, 20
@@ -151,12 +153,6 @@ def _tables(halves: DataFrame, diagonal: bool) -> DataFrame:
     return both.select(F.explode(paired).alias("group"), "node", "comp")
 
 
-def _hub_pairs(tables: DataFrame) -> DataFrame:
-    """Each class paired with the smallest class of each of its tables."""
-    hubs = tables.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("group", "a")
-    return tables.join(hubs, "group").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-
-
 def _compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
     """Links between the two blocks of a tile (or within one) that join different components."""
     node, comp, side = (rows[c].to_numpy() for c in ("node", "comp", "side"))
@@ -209,18 +205,25 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     signed = cut(attach(source.withColumn("h", F.xxhash64("text")), lambda: _signatures, fields, keep=["id", "h"]))
     # one class for each fingerprint
     classes = cut(signed.where("n > 0 and id is not null").groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys")))
-    halves = classes.select("node", F.explode("keys").alias("key"))
-    common = halves.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    halves = cut(halves.join(common, "key", "left_semi").select("node", "key"))
-    pairs = cut(_close(_hub_pairs(_tables(_with_components(halves, None), True)), classes))
-    sets = _sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), classes, source)
-    links = cut(_links(pairs, sets))
-    tables = cut(_tables(_with_components(halves, connected(links)), False))
-    members = cut(mixed_groups(tables))
+    halves = shared(classes.select(F.explode("keys").alias("group"), "node"))
+    weights = cut(centrality(halves))
+    halves = halves.select(F.col("group").alias("key"), "node")
+    links, comps = None, None
+    for diagonal in (True, False):
+        tables = cut(_tables(_with_components(halves, comps), diagonal))
+        if comps is not None:
+            tables = cut(mixed_groups(tables))
+        pairs = cut(_close(hub_pairs(tables, weights), classes))
+        sets = _sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), classes, source)
+        new = _links(pairs, sets)
+        links = cut(new if links is None else links.unionAll(new))
+        comps = connected(links)
+    members = mixed_groups(tables.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    members = joined_groups(members)
     if members.limit(1).count():
         sets = _sets_of(members.select("node").distinct(), classes, source)
         links = cut(links.unionAll(tiles(members).join(sets, "node").groupBy("group", "p", "q").applyInArrow(_compare_blocks, "a long, b long")))
-    comps = connected(links)
+        comps = connected(links)
     joined = classes.select("node", "id").join(comps, "node")
     joined = joined.join(joined.groupBy("comp").agg(F.min("id").alias("component")), "comp").select("node", "component")
     own = classes.select("node", "id").join(joined, "node", "left").select(F.col("node").alias("fp"), F.coalesce("component", "id").alias("component"))

@@ -10,8 +10,10 @@ the list as one ordered conditional expression.
 Defined results: a null text has no words; it and every text of fewer than
 ``MIN_WORDS`` words fail the base rules.  Without labels, or with labels of one
 class, the list is empty and the base rules alone decide.  Windows are compared
-by 64-bit hashes of their words' hashes.  Repeated rows get equal verdicts;
-columns of the same names as the counts are replaced.
+by 64-bit hashes of their words' hashes.  Repeated rows get equal verdicts, and a
+repeated id is learned from each of its texts.  Very long texts count whole, in
+arrays of one word's size each.  Columns of the same names as the counts are
+replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import bounded_sample
@@ -177,12 +179,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def _fails(r: Row) -> bool:
+    return r["n_words"] < MIN_WORDS or 100 * r["n_repeat_words"] > MAX_REPEAT_PERCENT * r["n_words"]
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_class: int = LABELLED_PER_CLASS) -> list[Rule]:
     """Rules from the statistics of a bounded labelled sample that passes the base rules; the sample is bounded by its limits, so it is broadcast."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__k"), F.col(label).cast("int").alias("__y"))
     few = bounded_sample(known.where("__y = 0"), "__k", per_class).unionAll(bounded_sample(known.where("__y = 1"), "__k", per_class))
     joined = docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__t")).join(F.broadcast(few), F.col("__d") == F.col("__k"))
-    got = statistics(joined, "__t").where(~base_failed()).select("__d", "__y", *COUNTS).collect()
+    # the base rules are applied to what is collected: as a filter they would move below the join, onto all documents
+    got = [r for r in statistics(joined, "__t").select("__d", "__y", *COUNTS).collect() if not _fails(r)]
     rows = []
     for i, r in enumerate(sorted(got, key=lambda r: (str(r["__d"]), r["__y"], [r[c] for c in COUNTS]))):
         rows.append({name: r[a] / max(r[b], 1) for name, (a, b) in RATIOS.items()} | {"bad": int(r["__y"] == 0), "at": i})

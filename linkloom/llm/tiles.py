@@ -1,9 +1,11 @@
-"""Comparing all members of groups with each other, spread over tasks in tiles.
+"""Which members of groups to compare: each with its group's hub, or all with each other in tiles.
 
-A group's members outside its largest component are to be compared with all its
-others.  Members are dealt by hash to blocks of about ``BLOCK``; a tile is a pair
-of blocks, so a group of any size is spread over many tasks and none holds more
-than two blocks.
+The hub of a group is its most central member, the one that shares most groups
+with most others; comparing with it costs as many comparisons as there are
+members.  For what that leaves unconnected, a group's members outside its largest
+component are to be compared with all its others.  Members are dealt by hash to
+blocks of about ``BLOCK``; a tile is a pair of blocks, so a group of any size is
+spread over many tasks and none holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -12,8 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import cut
+from linkloom.llm.components import connected
 
-BLOCK = 128
+BLOCK = 256
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows (group, node) of groups of several nodes, with the group's size n; written."""
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("group", "n")
+    return cut(rows.join(sizes, "group").select("group", "node", "n"))
+
+
+def centrality(rows: DataFrame) -> DataFrame:
+    """(node, weight): how many members the groups of each node have together."""
+    return rows.groupBy("node").agg(F.sum("n").alias("weight"))
+
+
+def hub_pairs(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of the hub and another node of each group."""
+    hubs = rows.join(weights, "node").groupBy("group").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+    return rows.join(hubs, "group").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def mixed_groups(rows: DataFrame) -> DataFrame:
@@ -23,6 +43,14 @@ def mixed_groups(rows: DataFrame) -> DataFrame:
     return rows.join(chosen, "group", "left_semi").select("group", "node", "comp")
 
 
+def joined_groups(rows: DataFrame) -> DataFrame:
+    """Groups (group, node, comp) that share nodes made one, so that each node is in one group; written."""
+    rows = cut(rows)
+    hubs = rows.groupBy("group").agg(F.min("node").alias("a"))
+    group = connected(cut(rows.join(hubs, "group").select("a", F.col("node").alias("b")).distinct())).withColumnRenamed("comp", "group")
+    return cut(rows.select("node", "comp").distinct().join(group, "node").select("group", "node", "comp"))
+
+
 def tiles(members: DataFrame) -> DataFrame:
     """(group, p, q, side, node, comp): the members (group, node, comp) of every tile; side 0 is block p, side 1 block q > p."""
     sizes = members.groupBy("group", "comp").agg(F.count("*").alias("size"))
