@@ -1,179 +1,259 @@
-"""Document scoring by a hierarchical Pitman-Yor language model.
-
-Every token's context is the word before it, hashed to one of ``CONTEXTS``
-restaurants; all of them share the unigram restaurant as parent, whose base is
-uniform over the training vocabulary and one unknown word.  A restaurant keeps
-for each word its customers and tables; each table of a context is a customer of
-the parent.  Tables are Gibbs-sampled given the customers: with discount d and
-strength s the conditional of t tables for c customers is proportional to
+"""Document scoring by a hierarchical Pitman-Yor trigram model.
+
+Every context of two words has a restaurant, every context of one word has one,
+and there is a root.  The restaurant of (u2, u1) shares the parent u1 with all
+others that end in u1; the parent of u1 is the root, whose base is uniform over
+the training vocabulary and one unknown word.  Restaurants are told apart by whole
+words (64-bit hashes), so there are as many as the training texts have contexts.
+A restaurant keeps for each word its customers and tables; each table is a
+customer of the parent.  Tables are Gibbs-sampled given the customers: with
+discount d and strength s the conditional of t tables for c customers is
+proportional to
 
     S_d(c, t) * prod_{k<t} (s + d (T + k)) * p_parent(w)^t
 
-(S_d: generalised Stirling numbers; T: the other tables of the restaurant).  It
-is drawn exactly up to ``EXACT`` customers; further customers are seated in
-blocks of growing size.  The predictive probabilities of the last ``SAMPLES`` of
-``SWEEPS`` sweeps are averaged.  Each sweep draws all pairs given the state that
-the sweep before left, so buckets of words can be drawn apart; only the tables of
-the restaurants (a vector of bounded size) are summed over buckets between
-sweeps.  Draws come from hashes of (word, context, sweep): a lost task that runs
-again draws the same.
+(S_d: generalised Stirling numbers; T: the other tables of the restaurant).  It is
+drawn exactly up to ``EXACT`` customers; what follows is seated by the
+restaurant's rule in blocks of a sixteenth of those that sit.  Discounts are
+estimated for each level from its counts of one and two.  The predictive
+probabilities of the last ``SAMPLES`` of ``SWEEPS`` sweeps are averaged.  Each
+sweep draws every level given the level above as the sweep before left it.
 
 Data flow: one pass over the texts deals token occurrences, packed in arrays, to
-buckets of words; buckets grow in number with the input.  Words so common that
-they would fill a bucket are dealt by their contexts over several.  All counts,
-sweeps and scores are made bucket by bucket on that one written table, and sums
-go back to the texts.  Words count by 64-bit hashes.
+buckets by the word before (u1), so that a bucket has the restaurants of u1 and of
+all (u2, u1) to itself.  Buckets grow in number with the input.  A u1 that is too
+common for one bucket is dealt by u2 over several, and its own restaurant, like
+the root, is kept by word in separate buckets: a sweep sends these the customers
+of each word and gets back customers and tables.  Only sums over whole
+restaurants of that kind, bounded by ``COMMON``, pass through the driver.  Draws
+are seeded by bucket and sweep: a lost task that runs again draws the same.
 
 Defined results: a null text is an empty one; it has one token, its end.  Without
-training tokens every probability is the uniform base.  Rows are scored each,
+training tokens every probability is the uniform base.  Very long texts are
+scored whole; their tokens are dealt like any others.  Rows are scored each,
 repeated or null ids included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import HashTable, bounded_sample, cut
+from linkloom.llm.common import Batches, bounded_sample, cut, drop_table, ensure_checkpoint_dir, map_arrow
 
-CONTEXTS = 1 << 16
 SWEEPS, SAMPLES = 3, 2
 STRENGTH, EXACT = 1.0, 32
-#: Tokens that a task packs together, and that a bucket holds in expectation.
-FLUSH_TOKENS, BUCKET_TOKENS = 2_000_000, 6_000_000
-#: Documents from which common words are told; they only steer how words are dealt, not any result.
-PROBE_DOCUMENTS = 2000
+#: Tokens that a task packs together, and that a bucket holds in expectation; words in a bucket of words.
+FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_500_000, 3_000_000, 4_000_000
+#: Documents from which common words are told, and most of these; they only steer how tokens are dealt.
+PROBE_DOCUMENTS, COMMON = 2000, 1000
 SLICE = 1 << 18
-CHUNK = 4096  #: contexts summed in one row
 U64 = np.uint64
 START, END = U64(0x5354415254), U64(0x454E44454E44454E)
 
 
-def _tokens(s: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with ends, their contexts, and the tokens of each text."""
+def _tokens(s: K.Slice, starts: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes with ends, the words before and before those, and the tokens of each text.
+
+    What stands before a text's start is one of so many restaurants of the same parent, by the id.
+    """
     low = K.LOWER[s.codes]
     w = K.words(low, s.bounds)
     n = len(w.counts)
     out = np.full(len(w.starts) + n, END)
     out[np.arange(len(w.starts)) + w.text] = K.span_hashes(low, w.starts, w.ends)
     counts = w.counts + 1
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[np.cumsum(counts) - counts] = START
-    return out, (K.mix(before + U64(0x632BE59BD9B4E019)) >> U64(48)).astype(np.uint16), counts
-
-
-def _probe(docs: DataFrame, total: int) -> tuple[float, dict[int, float]]:
-    """Mean tokens of a document, and the shares of common words, from a bounded sample."""
+    first = np.cumsum(counts) - counts
+    one, two = np.empty_like(out), np.empty_like(out)
+    one[1:], two[2:] = out[:-1], out[:-2]
+    one[first] = START
+    second = first[counts > 1] + 1
+    two[second] = START
+    two[first] = START + U64(1) + K.mix(ids.astype(np.uint64)) % U64(starts)
+    return out, one, two, counts
+
+
+def _probe(docs: DataFrame) -> tuple[float, dict[int, float]]:
+    """Mean tokens of a document, and the shares of the most common words before others, from a bounded sample."""
     few = bounded_sample(docs.select("doc_id"), "doc_id", PROBE_DOCUMENTS).distinct()
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi").select("text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Batches) -> Batches:
         for batch in batches:
             for s in K.slices(batch.column("text"), SLICE):
-                t, _, counts = _tokens(s)
-                u, n = np.unique(t, return_counts=True)
+                _, one, _, counts = _tokens(s, 1, np.zeros(len(s.bounds) - 1))
+                u, n = np.unique(one, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.array([len(counts)] + [0] * (len(u) - 1), pa.int64())], names=["w", "n", "docs"])
 
-    counted = rows.mapInArrow(count, "w long, n long, docs long")
+    counted = map_arrow(rows, count, "w long, n long, docs long")
     sums = counted.agg(F.sum("n"), F.sum("docs")).collect()[0]
     tokens, seen = sums[0] or 0, sums[1] or 0
-    top = counted.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(1000).collect() if tokens else []
+    top = counted.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(COMMON).collect() if tokens else []
     return tokens / max(seen, 1), {r["w"]: r["n"] / tokens for r in top}
 
 
-def _deal(docs: DataFrame, buckets: int, hot: HashTable, parts: np.ndarray) -> DataFrame:
-    """(bucket, flush, words, lengths, contexts, owners, held, header): occurrences of each bucket's words, packed.
+def _keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark's hash partitioning deals there."""
+    place = F.pmod(F.hash(F.col("id")), F.lit(n))
+    got = spark.range(30 * n + 100).groupBy(place.alias("p")).agg(F.min("id").alias("id")).collect()
+    keys = {r["p"]: r["id"] for r in got}
+    spare = 30 * n + 100  # for a partition that none of the numbers falls to: its bucket shares another's
+    return np.array([keys.get(p, spare + p) for p in range(n)], dtype=np.int64)
+
+
+class Plan(NamedTuple):
+    """How tokens and words are dealt: common words (sorted hashes) with their parts, and the names of buckets."""
+
+    common: np.ndarray
+    parts: np.ndarray
+    buckets: np.ndarray
+    word_buckets: np.ndarray
+
+    def word_bucket(self, words: np.ndarray) -> np.ndarray:
+        return ((words >> U64(20)) % U64(len(self.word_buckets))).astype(np.int64)
+
+    def common_at(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word among the common ones, -1 for others."""
+        if not len(self.common):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        return np.where(self.common[at] == words, at, -1)
+
 
-    owners are positions of documents in the flush; held has a byte for each; header, in one row of a flush,
-    its ids, held flags and token counts.
+def small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after a byte that tells how many."""
+    top = int(x.max()) if len(x) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def large(blob: bytes) -> np.ndarray:
+    """What small packed."""
+    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+_PACKED = "bucket long, flush long, dictionary binary, ones binary, lengths binary, twos binary, words binary, owners binary, times binary, header binary"
+
+
+def _deal(docs: DataFrame, plan: Plan, starts: int) -> DataFrame:
+    """(bucket, flush, ...): the occurrences of each bucket's contexts in one flush, packed.
+
+    dictionary: the words; ones (with lengths), twos and words are places in it; owners are places of documents in the
+    flush, doubled, plus one for those that aren't learned from; times: of each occurrence.  header, in one row of
+    each flush, has the flush's ids, held flags and token counts.
     """
+    buckets = len(plan.buckets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         base, serial = TaskContext.get().partitionId() << 32, 0
         pend: list[tuple] = []
         have = texts = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal serial
-            t, c = np.concatenate([p[0] for p in pend]), np.concatenate([p[1] for p in pend])
-            counts, held = np.concatenate([p[2] for p in pend]), np.concatenate([p[4] for p in pend]).astype(np.uint8)
-            ids = pa.concat_arrays([p[3] for p in pend])
-            owner = np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
-            bucket = (t >> U64(20)) % U64(buckets)
-            at = hot.find(t)
-            common = np.flatnonzero(at >= 0)
-            bucket[common] = (bucket[common] + K.mix(c[common].astype(np.uint64)) % parts[at[common]].astype(np.uint64)) % U64(buckets)
-            order = np.lexsort((c, t, bucket))
-            t, c, owner, bucket = t[order], c[order], owner[order], bucket[order]
-            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            stop = np.append(edge[1:], len(bucket))
+            t, one, two, counts = (np.concatenate([p[k] for p in pend]) for k in range(4))
+            held = np.concatenate([p[5] for p in pend])
+            owner = np.repeat((np.arange(len(counts)) * 2 + held).astype(np.uint16), counts)
+            bucket = K.mix(one) % U64(buckets)
+            at = plan.common_at(one)
+            hot = np.flatnonzero(at >= 0)
+            bucket[hot] = (bucket[hot] + K.mix(two[hot] + U64(7)) % plan.parts[at[hot]].astype(np.uint64)) % U64(buckets)
+            order = np.argsort(bucket << U64(40) | K.mix(one) >> U64(24))
+            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=U64(buckets))), len(order))
             rows = []
-            for a, b in zip(edge.tolist(), stop.tolist(), strict=True):
-                new = np.flatnonzero(np.r_[True, t[a + 1 : b] != t[a : b - 1]])
-                rows.append((int(bucket[a]), base + serial, t[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), c[a:b].tobytes(), owner[a:b].tobytes(), held.tobytes(), None))
-            head = pa.table({"id": ids, "held": pa.array(held), "n": pa.array(counts.astype(np.int64))})
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                mine = order[a:b]
+                dictionary, places = np.unique(np.concatenate((one[mine], two[mine], t[mine])), return_inverse=True)
+                code = np.stack((*places.reshape(3, -1), owner[mine])).astype(np.uint32)
+                times = b""
+                if b - a > 4 * (len(t) // buckets + 1):  # a common context: equal occurrences in a document are packed as one
+                    code, n = np.unique(code, axis=1, return_counts=True)
+                    times = small(n)
+                new = np.flatnonzero(np.diff(code[0].astype(np.int64), prepend=-1))
+                lengths = np.diff(np.append(new, code.shape[1]))
+                rows.append((int(plan.buckets[bucket[mine[0]]]), base + serial, dictionary.tobytes(), small(code[0][new]), small(lengths), small(code[1]), small(code[2]), code[3].astype(np.uint16).tobytes(), times, None))
+            head = pa.table({"id": pa.concat_arrays([p[4] for p in pend]), "held": pa.array(held), "n": pa.array(counts.astype(np.int64))})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_table(head)
             rows[0] = (*rows[0][:-1], sink.getvalue().to_pybytes())
-            serial += 1
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 8)
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             ids, held = batch.column("doc_id"), np.array(batch.column("held"), dtype=bool)
+            numbers = ids.fill_null(0).to_numpy()
             for s in K.slices(batch.column("text"), SLICE):
-                t, c, counts = _tokens(s)
-                n = len(counts)
-                if pend and (have + len(t) > FLUSH_TOKENS or texts + n > 60_000):
+                n = len(s.bounds) - 1
+                t, one, two, counts = _tokens(s, starts, numbers[s.first : s.first + n])
+                if pend and (have + len(t) > FLUSH_TOKENS or texts + n > 30_000):
                     yield flush()
+                    serial += 1
                     pend, have, texts = [], 0, 0
-                pend.append((t, c, counts, ids.slice(s.first, n), held[s.first : s.first + n]))
+                pend.append((t, one, two, counts, ids.slice(s.first, n), held[s.first : s.first + n]))
                 have, texts = have + len(t), texts + n
         if pend:
             yield flush()
 
-    names = ["bucket", "flush", "words", "lengths", "contexts", "owners", "held", "header"]
-    packed = docs.mapInArrow(run, "bucket long, flush long, words binary, lengths binary, contexts binary, owners binary, held binary, header binary")
-    return cut(packed.repartition(buckets, "bucket"))
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+    packed = map_arrow(docs, run, _PACKED).repartition(buckets, "bucket")
+    ensure_checkpoint_dir(docs.sparkSession)
+    return packed.checkpoint()  # keeps the partitioning, so that messages join it without another shuffle of tokens
+
+
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, and where each of codes is among them."""
+    return np.unique(codes, return_inverse=True)
 
 
 class Bucket:
-    """Training counts of a bucket: pairs (word, context) sorted by key, and where each row's tokens fall."""
-
-    def __init__(self, rows: list[dict]):
-        self.rows = rows
-        words = [np.frombuffer(r["words"], dtype=np.uint64) for r in rows]
-        self.words = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        self.rank = [np.searchsorted(self.words, w) for w in words]
-        keys = []
-        for i in range(len(rows)):
-            key, owner, held = self.tokens(i)
-            keys.append(key[held[owner] == 0])
-        self.keys, self.c = _counted(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
-        self.w = (self.keys >> U64(16)).astype(np.int64)
-        self.u = (self.keys & U64(0xFFFF)).astype(np.int64)
-        self.total = np.bincount(self.w, weights=self.c, minlength=len(self.words)).astype(np.int64)
-
-    def tokens(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys and owners of a row's tokens, and the held flags of its documents."""
-        r = self.rows[i]
-        lengths = np.frombuffer(r["lengths"], dtype=np.uint32)
-        key = np.repeat(self.rank[i].astype(np.uint64) << U64(16), lengths) | np.frombuffer(r["contexts"], dtype=np.uint16)
-        return key, np.frombuffer(r["owners"], dtype=np.uint16), np.frombuffer(r["held"], dtype=np.uint8)
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.diff(np.append(at, len(keys)))
+    """The contexts of a bucket and their training counts.
+
+    words: sorted hashes.  Contexts, pairs (u1, w) and triples are sorted codes; a triple has the place of its context
+    and of its pair, a pair that of its word before (ones).
+    """
+
+    def __init__(self, rows: pa.Table, plan: Plan):
+        rows = rows.sort_by("flush")
+        self.rows = [{c: rows[c][i] for c in rows.column_names} for i in range(rows.num_rows)]
+        dictionaries = [np.frombuffer(r["dictionary"].as_buffer(), dtype=np.uint64) for r in self.rows]
+        self.words = np.unique(np.concatenate(dictionaries))
+        self.maps = [np.searchsorted(self.words, d) for d in dictionaries]
+        self.plan = plan
+        parts = [self.tokens(i) for i in range(len(self.rows))]
+        self.asked = np.unique(np.concatenate([np.unique(p[2]) for p in parts]))  # all words that follow, learned from or not
+        one, two, w, times = (np.concatenate([p[k][p[3] & 1 == 0] for p in parts]) for k in (0, 1, 2, 4))
+        common = plan.common_at(self.words)
+        self.hot_of = common  # of each word
+        hot = [(common[p[0]], p[2]) for p in parts]
+        self.hot_pairs = np.unique(np.concatenate([(h[h >= 0] << 32) | x[h >= 0] for h, x in hot]))  # (common word, word), learned from or not
+        del parts, hot
+        self.contexts, place = _runs(one << 32 | two)
+        self.triples, back = _runs(place << 32 | w)
+        self.c = np.bincount(back, weights=times, minlength=len(self.triples)).astype(np.int64)
+        del place, back
+        self.context = self.triples >> 32
+        self.w = self.triples & 0xFFFFFFFF
+        self.pairs, self.pair = _runs((self.contexts[self.context] >> 32) << 32 | self.w)
+        self.pair_w = self.pairs & 0xFFFFFFFF
+        self.ones, self.one = _runs(self.pairs >> 32)  # words before, and that of each pair
+        self.hot = common[self.ones][self.one] >= 0 if len(self.pairs) else np.zeros(0, dtype=bool)
+        self.learned = np.bincount(w, weights=times, minlength=len(self.words)).astype(np.int64)
+        self.seed = int(K.mix(np.array([rows["bucket"][0].as_py()], dtype=np.uint64))[0] >> U64(1))
+
+    def tokens(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words before, before those, words, owners and times of a row's tokens; words are places in self.words."""
+        r, to = self.rows[i], self.maps[i]
+        owners = np.frombuffer(r["owners"].as_buffer(), dtype=np.uint16)
+        read = lambda c: large(r[c].as_py())
+        times = read("times") if len(r["times"].as_buffer()) else np.ones(len(owners), dtype=np.int64)
+        return np.repeat(to[read("ones")], read("lengths")), to[read("twos")], to[read("words")], owners, times
 
 
 def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -191,201 +271,292 @@ def _uniform(seed: np.ndarray, n: int) -> np.ndarray:
     return ((K.mix(seed + U64(n * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)) >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def draw_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, strength: float, seed: np.ndarray, stirling: np.ndarray) -> np.ndarray:
+def draw_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, strength: float, seed: int) -> np.ndarray:
     """Tables for c customers given the restaurant's other tables and the parent's probability of the word."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    stirling = log_stirling(d)
     t = np.minimum(c, 1).astype(np.int64)
     first = np.minimum(c, EXACT)
-    order = np.argsort(first, kind="stable")
-    edge = np.searchsorted(first[order], np.arange(EXACT + 2))
+    some = np.flatnonzero(first > 1)
+    some = some[np.argsort(first[some], kind="stable")]
+    edge = np.searchsorted(first[some], np.arange(EXACT + 2))
     for k in range(2, EXACT + 1):
-        for lo in range(edge[k], edge[k + 1], 200_000):
-            at = order[lo : min(lo + 200_000, edge[k + 1])]
+        for lo in range(edge[k], edge[k + 1], 100_000):
+            at = some[lo : min(lo + 100_000, edge[k + 1])]
             steps = np.log(strength + d * (others[at][:, None] + np.arange(k))) + np.log(parent[at])[:, None]
             logit = np.cumsum(steps, axis=1) + stirling[k, 1 : k + 1]
             p = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
-            t[at] = 1 + (p < (_uniform(seed[at], 0) * p[:, -1])[:, None]).sum(axis=1)
+            t[at] = 1 + (p < (rng.random(len(at)) * p[:, -1])[:, None]).sum(axis=1)
     big = np.flatnonzero(c > EXACT)
-    done, step = np.full(len(big), EXACT, dtype=np.int64), 1
+    done = np.full(len(big), EXACT, dtype=np.int64)
     while len(big):
-        block = np.minimum(np.maximum(done // 8, 1), c[big] - done)
+        block = np.minimum(done // 16, c[big] - done)
         new = (strength + d * (others[big] + t[big])) * parent[big]
-        p = new / (new + done - d * t[big])
-        normal = np.sqrt(-2 * np.log(_uniform(seed[big], 2 * step))) * np.cos(2 * np.pi * _uniform(seed[big], 2 * step + 1))
-        t[big] += np.clip(np.rint(block * p + np.sqrt(block * p * (1 - p)) * normal), 0, block).astype(np.int64)
+        t[big] += rng.binomial(block, new / (new + done - d * t[big]))
         done += block
-        step += 1
         more = done < c[big]
         big, done = big[more], done[more]
     return t
 
 
-class State:
-    """What all buckets share: totals, discounts, the restaurants' tables after each sweep, and common words."""
-
-    def __init__(self, hot: np.ndarray):
-        self.hot = hot  # sorted hashes of the words that several buckets hold
-        self.n = self.v = 0
-        self.d, self.d_root = 0.5, 0.5
-        self.customers = np.zeros(CONTEXTS, dtype=np.int64)
-        self.tables: list[np.ndarray] = []  # of each context, after each sweep
-        self.hot_total = np.zeros(len(hot), dtype=np.int64)
-        self.hot_root: list[np.ndarray] = []  # the common words' customers of the root
-        self.root_tables: list[int] = []
-
-
-def _chain(b: Bucket, g: State, sweeps: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tables of each pair, root customers, root tables of each word) at the start and after each sweep.
-
-    Sweep k needs the shared totals of sweep k - 1.
-    """
-    at = np.searchsorted(g.hot, b.words)
-    at = np.minimum(at, max(len(g.hot) - 1, 0))
-    common = (g.hot[at] == b.words) if len(g.hot) else np.zeros(len(b.words), dtype=bool)
-    stirling, stirling_root = log_stirling(g.d), log_stirling(g.d_root)
-
-    def root(t: np.ndarray, k: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        customers = np.bincount(b.w, weights=t, minlength=len(b.words)).astype(np.int64)
-        if k < len(g.hot_root):
-            customers[common] = g.hot_root[k][at[common]]
-        if before is None:
-            return customers, np.minimum(customers, 1)
-        others = np.maximum(g.root_tables[k - 1] - before, 0)
-        return customers, draw_tables(customers, others, np.full(len(customers), 1.0 / (g.v + 1)), g.d_root, STRENGTH, K.mix(b.words + U64(k)), stirling_root)
-
-    t = np.ones(len(b.c), dtype=np.int64)
-    c0, t0 = root(t, 0, None)
-    out = [(t, c0, t0)]
-    seed = K.mix(b.words[b.w] ^ K.mix(b.u.astype(np.uint64))) if len(b.w) else np.zeros(0, np.uint64)
-    for k in range(1, sweeps + 1):
-        parent = root_probability(c0, t0, g, k - 1)
-        t = draw_tables(b.c, np.maximum(g.tables[k - 1][b.u] - t, 0), parent[b.w], g.d, STRENGTH, seed + U64(k), stirling)
-        c0, t0 = root(t, k, t0)
-        out.append((t, c0, t0))
+def probability(c, t, customers, tables, d: float, parent, strength: float = STRENGTH):
+    """The predictive probability of a word with c customers at t tables, in a restaurant with so many in all."""
+    return (c - d * t + (strength + d * tables) * parent) / (strength + customers)
+
+
+class Sweep(NamedTuple):
+    """Sums that a sweep left: customers and tables of the root and of the common words' restaurants."""
+
+    root: tuple[int, int]
+    customers: np.ndarray
+    tables: np.ndarray
+
+
+class Model(NamedTuple):
+    """What all buckets know: training tokens, vocabulary, discounts from the root on, and the sums after each sweep."""
+
+    n: int
+    v: int
+    d: tuple[float, float, float]
+    sweeps: list[Sweep]
+
+    def root(self, c: np.ndarray, t: np.ndarray, k: int) -> np.ndarray:
+        s = self.sweeps[k]
+        return probability(c, t, s.root[0], s.root[1], self.d[0], 1.0 / (self.v + 1))
+
+
+_MESSAGE = "kind string, sweep int, target long, origin long, index long, a binary, b binary, c binary, d binary, e binary"
+_NAMES = [x.split()[0] for x in _MESSAGE.split(", ")]
+_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+
+
+def _messages(rows: Iterable[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
+    return pa.table([pa.array(x, k) for x, k in zip(columns, _TYPES, strict=True)], names=_NAMES)
+
+
+def _sum_row(index: int, value: int, sweep: int) -> tuple:
+    return ("sum", sweep, value, 0, index, None, None, None, None, None)
+
+
+def _ask(b: Bucket, key: int, k: int, pair_tables: np.ndarray, triple_tables: np.ndarray) -> Iterator[tuple]:
+    """To each bucket of words: the words of this bucket, the customers that they send to the root, the tokens learned
+    from; and the pairs of common words with the customers that they send there."""
+    customers = np.bincount(b.pair_w[~b.hot], weights=pair_tables[~b.hot], minlength=len(b.words)).astype(np.int64)
+    sent = np.zeros(len(b.hot_pairs), dtype=np.int64)
+    if b.hot.any():
+        own = np.bincount(b.pair, weights=triple_tables, minlength=len(b.pairs)).astype(np.int64)[b.hot]
+        code = b.hot_of[b.ones[b.one[b.hot]]] << 32 | b.pair_w[b.hot]
+        sent[np.searchsorted(b.hot_pairs, code)] = own
+    words = b.words[b.asked]
+    to, hot_w = b.plan.word_bucket(words), b.hot_pairs & 0xFFFFFFFF
+    hot_to = b.plan.word_bucket(b.words[hot_w])
+    for t in np.unique(to).tolist():
+        at, pairs = np.flatnonzero(to == t), np.flatnonzero(hot_to == t)
+        place = np.searchsorted(b.asked[at], hot_w[pairs])
+        learned = small(b.learned[b.asked[at]]) if k == 0 else None
+        hot = np.stack((b.hot_pairs[pairs] >> 32, place)) if len(pairs) else np.zeros((2, 0), dtype=np.int64)
+        yield ("ask", k, int(b.plan.word_buckets[t]), key, t, words[at].tobytes(), small(customers[b.asked[at]]), learned, small(hot.ravel()), small(sent[pairs]))
+
+
+def _heard(b: Bucket, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Root customers and tables and training tokens by word of the bucket, customers and tables by its common pairs."""
+    c, t, n = (np.zeros(len(b.words), dtype=np.int64) for _ in range(3))
+    hot = np.zeros((2, len(b.hot_pairs)), dtype=np.int64)
+    words = b.words[b.asked]
+    to, hot_to = b.plan.word_bucket(words), b.plan.word_bucket(b.words[b.hot_pairs & 0xFFFFFFFF])
+    for r in replies:
+        at, pairs = b.asked[to == r["index"]], np.flatnonzero(hot_to == r["index"])
+        c[at], t[at] = large(r["a"]), large(r["b"])
+        if r["c"] is not None:
+            n[at] = large(r["c"])
+        hot[0, pairs], hot[1, pairs] = large(r["d"]), large(r["e"])
+    return c, t, n, hot[0], hot[1]
+
+
+class Levels(NamedTuple):
+    """Customers and tables of a bucket's restaurants after a sweep, and the probabilities that they give."""
+
+    root: np.ndarray  #: by word
+    pair_c: np.ndarray
+    pair_t: np.ndarray
+    one_c: np.ndarray
+    one_t: np.ndarray
+    pair: np.ndarray  #: probability by pair
+    triple_t: np.ndarray
+    context_t: np.ndarray
+
+
+def _levels(b: Bucket, g: Model, k: int, replies: list[dict], state: dict | None) -> Levels:
+    root_c, root_t, _, hot_c, hot_t = _heard(b, replies)
+    root = g.root(root_c, root_t, k)
+    triple_t = large(state["a"]) if state else np.minimum(b.c, 1)
+    pair_c = np.bincount(b.pair, weights=triple_t, minlength=len(b.pairs)).astype(np.int64)
+    pair_t = large(state["b"]) if state else np.minimum(pair_c, 1)
+    if b.hot.any():
+        code = b.hot_of[b.ones[b.one[b.hot]]] << 32 | b.pair_w[b.hot]
+        at = np.searchsorted(b.hot_pairs, code)
+        pair_c[b.hot], pair_t[b.hot] = hot_c[at], hot_t[at]
+    one_c, one_t = (np.bincount(b.one, weights=x, minlength=len(b.ones)).astype(np.int64) for x in (pair_c, pair_t))
+    common = b.hot_of[b.ones]
+    there = common >= 0
+    one_c[there], one_t[there] = g.sweeps[k].customers[common[there]], g.sweeps[k].tables[common[there]]
+    pair = probability(pair_c, pair_t, one_c[b.one], one_t[b.one], g.d[1], root[b.pair_w])
+    context_t = np.bincount(b.context, weights=triple_t, minlength=len(b.contexts)).astype(np.int64)
+    return Levels(root, pair_c, pair_t, one_c, one_t, pair, triple_t, context_t)
+
+
+def _begin(key: tuple, rows: pa.Table, plan: Plan) -> pa.Table:
+    """The counts of a bucket, at one table for each word of a restaurant."""
+    b = Bucket(rows, plan)
+    ones = np.minimum(b.c, 1)
+    pair_c = np.bincount(b.pair, weights=ones, minlength=len(b.pairs)).astype(np.int64)
+    own = pair_c[~b.hot]
+    stats = [int(b.c.sum()), 0, int((b.c == 1).sum()), int((b.c == 2).sum()), int((own == 1).sum()), int((own == 2).sum())]
+    return _messages([*(_sum_row(i, x, 0) for i, x in enumerate(stats)), *_ask(b, key[0].as_py(), 0, np.minimum(pair_c, 1), ones)])
+
+
+def _sweep(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model, k: int) -> pa.Table:
+    """Sweep k over a bucket's restaurants, given what sweep k - 1 left."""
+    b, told = Bucket(rows, plan), side.to_pylist()
+    old = _levels(b, g, k - 1, [r for r in told if r["kind"] == "reply"], next((r for r in told if r["kind"] == "state"), None))
+    triple_t = draw_tables(b.c, np.maximum(old.context_t[b.context] - old.triple_t, 0), old.pair[b.pair], g.d[2], STRENGTH, b.seed + 2 * k)
+    pair_c = np.bincount(b.pair, weights=triple_t, minlength=len(b.pairs)).astype(np.int64)
+    pair_t = np.where(b.hot, 0, draw_tables(np.where(b.hot, 0, pair_c), np.maximum(old.one_t[b.one] - old.pair_t, 0), old.root[b.pair_w], g.d[1], STRENGTH, b.seed + 2 * k + 1))
+    me = key[0].as_py()
+    return _messages([("state", k, me, me, 0, small(triple_t), small(pair_t), None, None, None), *_ask(b, me, k, pair_t, triple_t)])
+
+
+def _words(key: tuple, asks: pa.Table, side: pa.Table, g: Model | None, k: int) -> pa.Table:
+    """One step of a bucket of words: the root's and the common words' customers are summed, and their tables drawn."""
+    rows = sorted(asks.to_pylist(), key=lambda r: r["origin"])
+    if not rows:
+        return _messages([])
+    words, place = np.unique(np.concatenate([np.frombuffer(r["a"], dtype=np.uint64) for r in rows]), return_inverse=True)
+    ends = np.cumsum([len(r["a"]) // 8 for r in rows])
+    places = np.split(place, ends[:-1])
+    codes, sent = [], []
+    for r, at in zip(rows, places, strict=True):
+        hot = large(r["d"]).reshape(2, -1)
+        codes.append(hot[0] << 32 | at[hot[1]])
+        sent.append(large(r["e"]))
+    pairs, where = np.unique(np.concatenate(codes), return_inverse=True)
+    pair_c = np.bincount(where, weights=np.concatenate(sent), minlength=len(pairs)).astype(np.int64)
+    pair_w, pair_h = pairs & 0xFFFFFFFF, pairs >> 32
+    c = np.bincount(place, weights=np.concatenate([large(r["b"]) for r in rows]), minlength=len(words)).astype(np.int64)
+    seed = int(K.mix(np.array([key[0].as_py() + 1], dtype=np.uint64))[0] >> U64(1))
+    tokens = np.bincount(place, weights=np.concatenate([large(r["c"]) for r in rows]), minlength=len(words)).astype(np.int64) if k == 0 else None
+    if k == 0:
+        pair_t = np.minimum(pair_c, 1)
+    else:
+        old = side.to_pylist()[0]
+        old_c, old_t, old_pair = large(old["a"]), large(old["b"]), large(old["c"])
+        root = g.root(old_c, old_t, k - 1)
+        pair_t = draw_tables(pair_c, np.maximum(g.sweeps[k - 1].tables[pair_h] - old_pair, 0), root[pair_w], g.d[1], STRENGTH, seed + 2 * k)
+    c += np.bincount(pair_w, weights=pair_t, minlength=len(words)).astype(np.int64)
+    if k == 0:
+        t = np.minimum(c, 1)
+    else:
+        t = draw_tables(c, np.maximum(g.sweeps[k - 1].root[1] - old_t, 0), np.full(len(c), 1.0 / (g.v + 1)), g.d[0], STRENGTH, seed + 2 * k + 1)
+    me = key[0].as_py()
+    out = [("state", k, me, me, 0, small(c), small(t), small(pair_t), None, None)]
+    sums = {6: c.sum(), 7: t.sum(), 8: (c == 1).sum(), 9: (c == 2).sum(), 4: (pair_c == 1).sum(), 5: (pair_c == 2).sum(), 1: (tokens > 0).sum() if k == 0 else 0}
+    for h in np.unique(pair_h).tolist():
+        sums[10 + 2 * h], sums[11 + 2 * h] = pair_c[pair_h == h].sum(), pair_t[pair_h == h].sum()
+    out += [_sum_row(i, int(x), k) for i, x in sums.items()]
+    at_pair = np.split(where, np.cumsum([len(x) for x in codes])[:-1])
+    for r, at, hot in zip(rows, places, at_pair, strict=True):
+        out.append(("reply", k, r["origin"], me, r["index"], small(c[at]), small(t[at]), small(tokens[at]) if k == 0 else None, small(pair_c[hot]), small(pair_t[hot])))
+    return _messages(out)
+
+
+def _totals(*tables: DataFrame) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for df in tables:
+        for r in df.where("kind = 'sum'").groupBy("index").agg(F.sum("target").alias("x")).collect():
+            out[r["index"]] = out.get(r["index"], 0) + r["x"]
     return out
 
 
-def root_probability(customers: np.ndarray, tables: np.ndarray, g: State, k: int) -> np.ndarray:
-    everything = float(g.tables[k].sum())
-    return (np.maximum(customers - g.d_root * tables, 0) + (STRENGTH + g.d_root * g.root_tables[k]) / (g.v + 1)) / (STRENGTH + everything)
-
-
-def _each_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[dict]]:
-    """The rows of one bucket after the other; a partition holds whole buckets."""
-    groups: dict[int, list[dict]] = {}
-    for batch in batches:
-        got = {c: batch.column(c) for c in columns}
-        for i, k in enumerate(batch.column("bucket").to_pylist()):
-            groups.setdefault(k, []).append({c: (x[i].as_py() if c in ("flush", "bucket") else x[i].as_buffer() if x[i].is_valid else None) for c, x in got.items()})
-    for k in sorted(groups):
-        rows = groups.pop(k)
-        rows.sort(key=lambda r: r["flush"])
-        yield rows
-
-
-_READ = ["bucket", "flush", "words", "lengths", "contexts", "owners", "held"]
-_SUMS = "part long, total binary"
+def _discount(one: int, two: int) -> float:
+    return float(min(0.95, max(0.05, one / (one + 2 * two)))) if one + two else 0.5
 
 
-def _summed(packed: DataFrame, make) -> dict[int, np.ndarray]:
-    """Sums over buckets of the vectors make(bucket) gives by part; parts and their lengths don't grow with the input."""
+def _left(sums: dict[int, int], common: int) -> Sweep:
+    of = lambda base: np.array([sums.get(base + 2 * h, 0) for h in range(common)], dtype=np.int64)
+    return Sweep((sums.get(6, 0), sums.get(7, 0)), of(10), of(11))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for rows in _each_bucket(batches, _READ):
-            for part, x in make(Bucket(rows)).items():
-                total[part] = total[part] + x if part in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.astype(np.int64).tobytes() for x in total.values()], pa.binary())], names=["part", "total"])
 
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rows["total"])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+def _cogroup(left: DataFrame, right: DataFrame, on: str, schema: str, f, *known) -> DataFrame:
+    """f(key, rows of left, rows of right, *known) for every value of on; right names it target."""
+    return left.groupBy(on).cogroup(right.withColumnRenamed("target", on).groupBy(on)).applyInArrow(lambda key, a, b: f(key, a, b, *known), schema)
 
-    got = packed.select(*_READ).mapInArrow(run, _SUMS).groupBy("part").applyInArrow(add, _SUMS).collect()
-    return {r["part"]: np.frombuffer(r["total"], dtype=np.int64) for r in got}
 
+def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) -> pa.Table:
+    """(flush, header, sums): for the documents with tokens in the bucket the known ones, log10(c + 1) and log10 probabilities."""
+    b, told = Bucket(rows, plan), side.to_pylist()
+    learned = _heard(b, [r for r in told if r["kind"] == "reply" and r["sweep"] == 0])[2]
+    samples = []
+    for k in range(SWEEPS - SAMPLES + 1, SWEEPS + 1):
+        replies = [r for r in told if r["kind"] == "reply" and r["sweep"] == k]
+        samples.append((_levels(b, g, k, replies, next(r for r in told if r["kind"] == "state" and r["sweep"] == k)), *_heard(b, replies)[3:], g.sweeps[k]))
+    context_c = np.bincount(b.context, weights=b.c, minlength=len(b.contexts)).astype(np.int64)
+    base, out = np.log10(learned + 1.0), []
 
-def _by_chunk(kind: int, x: np.ndarray) -> dict[int, np.ndarray]:
-    return {kind * 1000 + i: x[lo : lo + CHUNK] for i, lo in enumerate(range(0, len(x), CHUNK))}
+    def find(codes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(codes):
+            return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+        at = np.minimum(np.searchsorted(codes, x), len(codes) - 1)
+        return at, codes[at] == x
 
-
-def _joined(parts: dict[int, np.ndarray], kind: int, n: int = CONTEXTS) -> np.ndarray:
-    chunks = [parts.get(kind * 1000 + i) for i in range(-(-n // CHUNK))]
-    return np.concatenate([np.zeros(min(CHUNK, n - i * CHUNK), np.int64) if c is None else c for i, c in enumerate(chunks)]) if chunks else np.zeros(0, np.int64)
-
-
-def _of_hot(hot: np.ndarray, words: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x of the common words, by their place among these, and which words are common."""
-    at = np.minimum(np.searchsorted(hot, words), max(len(hot) - 1, 0))
-    common = (hot[at] == words) if len(hot) else np.zeros(len(words), dtype=bool)
-    return np.bincount(at[common], weights=x[common], minlength=max(len(hot), 1)).astype(np.int64)[: max(len(hot), 1)], common
-
-
-def _train(packed: DataFrame, hot: np.ndarray) -> State:
-    g = State(hot)
-
-    def counts(b: Bucket) -> dict[int, np.ndarray]:
-        own, common = _of_hot(hot, b.words, b.total)
-        rest = b.total[~common]
-        kinds = np.bincount(b.w, minlength=len(b.words))
-        own_kinds, _ = _of_hot(hot, b.words, kinds)
-        k = kinds[~common]
-        scalars = np.array([b.c.sum(), (rest > 0).sum(), (b.c == 1).sum(), (b.c == 2).sum(), (k == 1).sum(), (k == 2).sum()])
-        return {0: scalars} | _by_chunk(1, np.bincount(b.u, weights=b.c, minlength=CONTEXTS)) | _by_chunk(2, np.bincount(b.u, minlength=CONTEXTS)) | _by_chunk(3, own) | _by_chunk(4, own_kinds)
-
-    parts = _summed(packed, counts)
-    scalars = parts.get(0, np.zeros(6, np.int64))
-    n = max(len(hot), 1)
-    g.hot_total = _joined(parts, 3, n)
-    g.n, g.v = int(scalars[0]), int(scalars[1] + (g.hot_total > 0).sum())
-    discount = lambda one, two: float(min(0.95, max(0.05, one / (one + 2 * two)))) if one + two else 0.5
-    g.d, g.d_root = discount(scalars[2], scalars[3]), discount(scalars[4], scalars[5])
-    g.customers = _joined(parts, 1)
-    g.tables = [_joined(parts, 2)]
-    g.hot_root = [_joined(parts, 4, n)]
-    g.root_tables = [g.v]
-    for k in range(1, SWEEPS + 1):
-
-        def swept(b: Bucket, k: int = k, g: State = g) -> dict[int, np.ndarray]:
-            t, c0, t0 = _chain(b, g, k)[k]
-            own, common = _of_hot(hot, b.words, np.bincount(b.w, weights=t, minlength=len(b.words)))
-            return {0: np.array([t0[~common].sum()])} | _by_chunk(2, np.bincount(b.u, weights=t, minlength=CONTEXTS)) | _by_chunk(4, own)
-
-        parts = _summed(packed, swept)
-        g.tables.append(_joined(parts, 2))
-        g.hot_root.append(_joined(parts, 4, n))
-        # the common words' root tables, drawn as every bucket that holds them will draw them
-        before = np.minimum(g.hot_root[0], 1)
-        for j in range(1, k + 1):
-            others = np.maximum(g.root_tables[j - 1] - before, 0)
-            if len(hot):
-                before = draw_tables(g.hot_root[j], others, np.full(n, 1.0 / (g.v + 1)), g.d_root, STRENGTH, K.mix(hot + U64(j)), log_stirling(g.d_root))
-        g.root_tables.append(int(parts.get(0, np.zeros(1, np.int64))[0]) + (int(before.sum()) if len(hot) else 0))
-    return g
-
-
-def _score_bucket(b: Bucket, g: State) -> Iterator[tuple[int, bytes | None, bytes]]:
-    """(flush, header, sums): for the documents with words in the bucket the known tokens, log10(c + 1) and log10 probabilities."""
-    chain = _chain(b, g, SWEEPS)
-    total = b.total.copy()
-    at = np.minimum(np.searchsorted(g.hot, b.words), max(len(g.hot) - 1, 0))
-    if len(g.hot):
-        common = g.hot[at] == b.words
-        total[common] = g.hot_total[at[common]]
-    roots = [root_probability(chain[k][1], chain[k][2], g, k) for k in range(SWEEPS - SAMPLES + 1, SWEEPS + 1)]
-    base = np.log10(total + 1.0)
+    take = lambda x, at, there: np.where(there, x[at], 0) if len(x) else np.zeros(len(at), dtype=np.int64)
     for i, r in enumerate(b.rows):
-        key, owner, held = b.tokens(i)
-        w, u = (key >> U64(16)).astype(np.int64), (key & U64(0xFFFF)).astype(np.int64)
-        pos = np.minimum(np.searchsorted(b.keys, key), max(len(b.keys) - 1, 0))
-        seen = b.keys[pos] == key if len(b.keys) else np.zeros(len(key), dtype=bool)
-        p = np.zeros(len(key))
-        for k, root in zip(range(SWEEPS - SAMPLES + 1, SWEEPS + 1), roots, strict=True):
-            own = np.where(seen, b.c[pos] - g.d * chain[k][0][pos], 0.0) if len(b.keys) else 0.0
-            p += (own + (STRENGTH + g.d * g.tables[k][u]) * root[w]) / (STRENGTH + g.customers[u])
-        n = len(held)
-        touched = np.flatnonzero(np.bincount(owner, minlength=n))
-        sums = [np.bincount(owner, weights=x, minlength=n)[touched] for x in ((total[w] > 0).astype(float), base[w], np.log10(p / SAMPLES))]
-        yield r["flush"], r["header"].to_pybytes() if r["header"] is not None else None, touched.astype(np.uint16).tobytes() + b"".join(x.tobytes() for x in sums)
+        one, two, w, owner, times = b.tokens(i)
+        context, has_context = find(b.contexts, one << 32 | two)
+        triple, has_triple = find(b.triples, context << 32 | w)
+        has_triple &= has_context
+        pair, has_pair = find(b.pairs, one << 32 | w)
+        before, has_before = find(b.ones, one)
+        hot = b.hot_of[one]
+        hot_pair, has_hot = find(b.hot_pairs, np.maximum(hot, 0) << 32 | w)
+        p = np.zeros(len(w))
+        for x, hot_c, hot_t, left in samples:
+            common = hot >= 0
+            at = np.maximum(hot, 0)
+            pick = lambda own, shared: np.where(common, shared, own)  # noqa: B023, E731
+            pair_c, pair_t = pick(take(x.pair_c, pair, has_pair), take(hot_c, hot_pair, has_hot)), pick(take(x.pair_t, pair, has_pair), take(hot_t, hot_pair, has_hot))
+            one_c, one_t = pick(take(x.one_c, before, has_before), take(left.customers, at, common)), pick(take(x.one_t, before, has_before), take(left.tables, at, common))
+            lower = probability(pair_c, pair_t, one_c, one_t, g.d[1], x.root[w])
+            p += probability(take(b.c, triple, has_triple), take(x.triple_t, triple, has_triple), take(context_c, context, has_context), take(x.context_t, context, has_context), g.d[2], lower)
+        who = owner >> 1
+        n = int(who.max()) + 1
+        touched = np.flatnonzero(np.bincount(who, minlength=n))
+        sums = [np.bincount(who, weights=y * times, minlength=n)[touched] for y in ((learned[w] > 0).astype(float), base[w], np.log10(p / SAMPLES))]
+        out.append((r["flush"].as_py(), r["header"].as_py(), touched.astype(np.uint16).tobytes() + b"".join(y.tobytes() for y in sums)))
+    columns = list(zip(*out, strict=True))
+    return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["flush", "header", "sums"])
+
+
+def _gather(rows: pa.Table, g: Model) -> pa.Table:
+    """The results of a flush's documents, from the sums of all buckets."""
+    head = next(x for x in rows["header"].to_pylist() if x is not None)
+    docs = pa.ipc.open_stream(head).read_all()
+    n = docs.num_rows
+    known, base, logp = np.zeros(n), np.zeros(n), np.zeros(n)
+    for blob in sorted(rows["sums"].to_pylist()):
+        m = len(blob) // 26
+        at = np.frombuffer(blob, dtype=np.uint16, count=m)
+        x = np.frombuffer(blob[2 * m :], dtype=np.float64).reshape(3, m)
+        known[at] += x[0]
+        base[at] += x[1]
+        logp[at] += x[2]
+    tokens, shift = np.array(docs["n"]), np.log10(float(g.n + g.v + 1))
+    return pa.table(
+        {
+            "doc_id": docs["id"], "held_out": pa.array(np.array(docs["held"]).astype(bool)), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(np.rint(known).astype(np.int64)),
+            "train_tokens": pa.array(np.full(n, g.n), pa.int64()), "base_score": pa.array(base - tokens * shift), "score": pa.array(logp), "perplexity": pa.array(10 ** np.minimum(-logp / tokens, 300)),
+        }
+    )
 
 
 def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,41 +564,34 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
 
     held: rows that the model doesn't learn from.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     total = source.count()
-    mean, shares = _probe(source, total)
-    buckets = max(12, -(-int(mean * total) // BUCKET_TOKENS))
-    hot = {w: s for w, s in shares.items() if s * buckets > 0.25}
-    hashes = np.sort(np.array(list(hot), dtype=np.int64).view(np.uint64))
-    parts = np.array([min(buckets, max(1, -(-int(hot[int(h)] * buckets * 400) // 100))) for h in hashes.view(np.int64)], dtype=np.int64) if len(hashes) else np.ones(1, np.int64)
-    packed = _deal(source, buckets, HashTable(hashes), parts)
-    g = _train(packed, hashes)
-    shift = np.log10(float(g.n + g.v + 1))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _each_bucket(batches, [*_READ, "header"]):
-            out = list(_score_bucket(Bucket(rows), g))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["flush", "header", "sums"])
-
-    def gather(key: tuple, rows: pa.Table) -> pa.Table:
-        head = next(x for x in rows["header"].to_pylist() if x is not None)
-        docs_ = pa.ipc.open_stream(head).read_all()
-        n = docs_.num_rows
-        known, base, logp = np.zeros(n), np.zeros(n), np.zeros(n)
-        for blob in sorted(rows["sums"].to_pylist()):
-            m = len(blob) // 26
-            at = np.frombuffer(blob, dtype=np.uint16, count=m)
-            x = np.frombuffer(blob[2 * m :], dtype=np.float64).reshape(3, m)
-            known[at] += x[0]
-            base[at] += x[1]
-            logp[at] += x[2]
-        tokens = np.array(docs_["n"])
-        return pa.table(
-            {
-                "doc_id": docs_["id"], "held_out": pa.array(np.array(docs_["held"]).astype(bool)), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known.astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, g.n), pa.int64()), "base_score": pa.array(base - tokens * shift), "score": pa.array(logp), "perplexity": pa.array(10 ** np.minimum(-logp / tokens, 300)),
-            }
-        )
-
-    partial = packed.mapInArrow(sums, "flush long, header binary, sums binary")
-    return partial.groupBy("flush").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    mean, shares = _probe(source)
+    tokens = int(mean * total) + 1
+    buckets = max(12, -(-tokens // BUCKET_TOKENS))
+    hot = {w: s for w, s in shares.items() if s * tokens > BUCKET_TOKENS / 2 or s * buckets > 1}
+    common = np.sort(np.array(list(hot), dtype=np.int64).view(np.uint64))
+    parts = np.array([min(buckets, max(1, round(2 * hot[int(h)] * buckets))) for h in common.view(np.int64)], dtype=np.int64)
+    plan = Plan(common, parts, _keys(spark, buckets), _keys(spark, max(4, -(-tokens // (8 * BUCKET_WORDS)))))
+    packed = _deal(source, plan, max(1, -(-total // BUCKET_TOKENS)))
+    first = cut(packed.groupBy("bucket").applyInArrow(lambda key, rows: _begin(key, rows, plan), _MESSAGE))
+    no_state = first.where("kind = 'state'")
+    asks = lambda own: own.where("kind = 'ask'").withColumnRenamed("target", "place")
+    word_steps = [cut(_cogroup(asks(first), first.where("kind = 'state'"), "place", _MESSAGE, _words, None, 0))]
+    sums = _totals(first, word_steps[0])
+    discounts = tuple(_discount(sums.get(i, 0), sums.get(i + 1, 0)) for i in (8, 4, 2))
+    g = Model(sums.get(0, 0), sums.get(1, 0), discounts, [_left(sums, len(common))])
+    own_steps, last = [first], range(SWEEPS - SAMPLES + 1, SWEEPS + 1)
+    for k in range(1, SWEEPS + 1):
+        side = own_steps[-1].where("kind = 'state'").unionByName(word_steps[-1].where("kind = 'reply'"))
+        own_steps.append(cut(_cogroup(packed, side, "bucket", _MESSAGE, _sweep, plan, g, k)))
+        word_steps.append(cut(_cogroup(asks(own_steps[-1]), word_steps[-1].where("kind = 'state'"), "place", _MESSAGE, _words, g, k)))
+        g = g._replace(sweeps=[*g.sweeps, _left(_totals(word_steps[-1]), len(common))])
+        if k - 1 not in last:
+            drop_table(own_steps[k - 1], *word_steps[max(1, k - 1) : k])
+    side = word_steps[0].where("kind = 'reply'")
+    for k in last:
+        side = side.unionByName(own_steps[k].where("kind = 'state'")).unionByName(word_steps[k].where("kind = 'reply'"))
+    partial = _cogroup(packed, side, "bucket", "flush long, header binary, sums binary", _scores, plan, g)
+    return partial.groupBy("flush").applyInArrow(lambda key, rows: _gather(rows, g), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -84,28 +84,105 @@ def test_scoring_counts_and_bases(spark, docs, texts):
     assert one("score") > one("base_score")
 
 
+class _Seating:
+    """A hierarchical Pitman-Yor model that seats customer by customer."""
+
+    def __init__(self, d, words, rng):
+        self.d, self.words, self.rng = d, words, rng
+        self.at = [collections.defaultdict(lambda: collections.defaultdict(list)) for _ in range(3)]  # level, context, word: table sizes
+        self.n = [collections.defaultdict(lambda: [0, 0]) for _ in range(3)]  # customers and tables of a context
+
+    def p(self, context, w):
+        if context is None:
+            return 1 / (self.words + 1)
+        k = len(context)
+        own = self.at[k].get(context, {}).get(w, [])
+        c, t = self.n[k].get(context, (0, 0))
+        return hpylm.probability(sum(own), len(own), c, t, self.d[k], self.p(context[1:] if k else None, w))
+
+    def add(self, context, w):
+        if context is None:
+            return
+        k, up = len(context), context[1:] if context else None
+        own, n = self.at[k][context][w], self.n[k][context]
+        weights = [x - self.d[k] for x in own] + [(hpylm.STRENGTH + self.d[k] * n[1]) * self.p(up, w)]
+        at = self.rng.choices(range(len(weights)), weights)[0]
+        n[0] += 1
+        if at == len(own):
+            own.append(1)
+            n[1] += 1
+            self.add(up, w)
+        else:
+            own[at] += 1
+
+    def remove(self, context, w):
+        if context is None:
+            return
+        k = len(context)
+        own, n = self.at[k][context][w], self.n[k][context]
+        at = self.rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        n[0] -= 1
+        if not own[at]:
+            del own[at]
+            n[1] -= 1
+            self.remove(context[1:] if context else None, w)
+
+
+def test_scores_against_a_customer_by_customer_sampler(spark, monkeypatch):
+    """Over several buckets, some of them parts of a common word's."""
+    rng = random.Random(41)
+    vocab = [f"w{k}" for k in range(60)]
+    follow = {w: rng.sample(vocab, 4) for w in vocab}
+    texts = {}
+    for i in range(90):
+        words = [rng.choice(vocab)]
+        while len(words) < rng.randint(5, 60):
+            words.append("the" if rng.random() < 0.25 and words[-1] != "the" else rng.choice(follow.get(words[-1], vocab)) if rng.random() < 0.8 else rng.choice(vocab))
+        texts[i] = " ".join(words)
+    texts |= {90: None, 91: "never seen words", 92: "the the the the the the the the"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(hpylm, "BUCKET_TOKENS", 700)
+    monkeypatch.setattr(hpylm, "BUCKET_WORDS", 40)
+    monkeypatch.setattr(hpylm, "FLUSH_TOKENS", 900)
+    got = {r["doc_id"]: r for r in hpylm.score(docs, F.col("doc_id") % 5 == 0).collect()}
+    runs = {i: [("<s>", "<s>"), *zip(["<s>", *_words(t)], _words(t), strict=False)] for i, t in texts.items()}
+    tokens = {i: list(zip(runs[i], [*_words(t), "</s>"], strict=True)) for i, t in texts.items()}
+    learned = [x for i, v in tokens.items() if i % 5 for x in v]
+    counts = collections.Counter(learned)
+    first = lambda xs: hpylm._discount(*(list(xs).count(k) for k in (1, 2)))
+    pairs = collections.Counter((u[1:], w) for u, w in counts)
+    d = [first(collections.Counter(w for _, w in pairs).values()), first(pairs.values()), first(counts.values())]
+    model = _Seating(d, len({w for _, w in learned}), rng)
+    order = list(learned)
+    rng.shuffle(order)
+    for x in order:
+        model.add(*x)
+    want = collections.Counter()
+    for sweep in range(14):
+        for x in order:
+            model.remove(*x)
+            model.add(*x)
+        if sweep >= 4:
+            for i, v in tokens.items():
+                for k, x in enumerate(v):
+                    want[i, k] += model.p(*x) / 10
+    score = {i: sum(math.log10(want[i, k]) for k in range(len(v))) for i, v in tokens.items()}
+    off = {i: abs(got[i]["score"] / score[i] - 1) for i in texts}
+    print("off by", max(off.values()), sum(off.values()) / len(off))
+    assert max(off.values()) < 0.1 and sum(off.values()) / len(off) < 0.02
+    assert all(got[i]["n_tokens"] == len(v) for i, v in tokens.items())
+
+
 def test_the_probabilities_of_a_context_sum_to_one():
-    """With the seating of one state, over the vocabulary and one unknown word."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    g = hpylm.State(np.zeros(0, np.uint64))
-    words, contexts = 40, 3
-    c = rng.integers(0, 9, (contexts, words))
+    parent = rng.random(41)
+    parent /= parent.sum()
+    c = np.append(rng.integers(0, 9, 40), 0)
     t = np.minimum(c, 1 + c // 3)
-    g.v, g.d, g.d_root = words, 0.6, 0.4
-    root = t.sum(axis=0)
-    seen = root > 0
-    t0 = np.minimum(root, 1 + root // 4)
-    g.v = int(seen.sum())
-    g.tables = [np.bincount(np.arange(contexts), weights=t.sum(axis=1), minlength=hpylm.CONTEXTS)]
-    g.root_tables = [int(t0[seen].sum())]
-    p0 = hpylm.root_probability(np.append(root[seen], 0), np.append(t0[seen], 0), g, 0)
-    assert math.isclose(p0.sum(), 1, rel_tol=1e-12)
-    for u in range(contexts):
-        own = np.append(np.where(c[u] > 0, c[u] - g.d * t[u], 0.0)[seen], 0.0)
-        p = (own + (hpylm.STRENGTH + g.d * t[u].sum()) * p0) / (hpylm.STRENGTH + c[u].sum())
-        assert math.isclose(p.sum(), 1, rel_tol=1e-12)
+    assert math.isclose(hpylm.probability(c, t, c.sum(), t.sum(), 0.6, parent).sum(), 1, rel_tol=1e-12)
 
 
 def test_tables_are_drawn_from_their_conditional():
@@ -119,12 +196,20 @@ def test_tables_are_drawn_from_their_conditional():
             w *= hpylm.STRENGTH + d * (others + k)
         weights.append(w)
     want = np.array(weights) / sum(weights)
-    seeds = np.arange(n, dtype=np.uint64)
-    got = hpylm.draw_tables(np.full(n, c), np.full(n, others), np.full(n, parent), d, hpylm.STRENGTH, hpylm.K.mix(seeds), hpylm.log_stirling(d))
+    got = hpylm.draw_tables(np.full(n, c), np.full(n, others), np.full(n, parent), d, hpylm.STRENGTH, 3)
     share = np.bincount(got, minlength=c + 1)[1:] / n
     assert np.abs(share - want).max() < 0.01
-    big = hpylm.draw_tables(np.full(9, 100_000), np.full(9, 50), np.full(9, 0.01), d, hpylm.STRENGTH, hpylm.K.mix(np.arange(9, dtype=np.uint64)), hpylm.log_stirling(d))
-    assert ((big >= 1) & (big <= 100_000)).all()
+    # beyond EXACT: as seated one by one
+    rng = random.Random(5)
+    c, alone = 300, []
+    for _ in range(400):
+        t = int(hpylm.draw_tables(np.array([hpylm.EXACT]), np.array([others]), np.array([parent]), d, hpylm.STRENGTH, rng.randrange(1 << 40))[0])
+        for k in range(hpylm.EXACT, c):
+            a = (hpylm.STRENGTH + d * (others + t)) * parent
+            t += rng.random() < a / (a + k - d * t)
+        alone.append(t)
+    many = hpylm.draw_tables(np.full(4000, c), np.full(4000, others), np.full(4000, parent), d, hpylm.STRENGTH, 9)
+    assert abs(many.mean() - sum(alone) / 400) < 0.3
 
 
 # 2
