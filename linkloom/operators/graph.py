@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.relations import both_ways
@@ -44,25 +44,49 @@ def numbered(comps: DataFrame) -> DataFrame:
     return comps.join(ranked, "comp").select("node", "comp", "number", "size")
 
 
-def hops(edges: DataFrame, origins: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(origin, node, hops): breadth-first distances from the origins (column node; all nodes by default).
+def hops(edges: DataFrame, origins: DataFrame | None = None, most: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, origin, node, hops): breadth-first distances from the origins (column node; all nodes by default).
 
     Each round extends the frontier by one hop and drops what was reached before.
     """
-    near = cut(both_ways(edges).distinct())
-    starts = near.select("node").distinct() if origins is None else origins.select("node").distinct()
-    reached = cut(starts.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops")))
+    keys = keys or []
+    near = cut(both_ways(edges, *keys).distinct())
+    starts = near.select(*keys, "node").distinct() if origins is None else origins.select(*keys, "node").distinct()
+    reached = cut(starts.select(*keys, F.col("node").alias("origin"), "node", F.lit(0).alias("hops")))
     frontier, step = reached, 0
     while most is None or step < most:
         step += 1
-        ahead = frontier.join(near, "node").select("origin", F.col("other").alias("node")).distinct()
-        frontier = cut(ahead.join(reached, ["origin", "node"], "left_anti").withColumn("hops", F.lit(step)))
+        ahead = frontier.join(near, [*keys, "node"]).select(*keys, "origin", F.col("other").alias("node")).distinct()
+        frontier = cut(ahead.join(reached, [*keys, "origin", "node"], "left_anti").withColumn("hops", F.lit(step)))
         if not frontier.limit(1).count():
             break
         reached = cut(reached.unionAll(frontier))
     return reached
 
 
+def largest(comps: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, node) of the largest component (of each key), of equal ones that of the smallest node.
+
+    Found by one maximum over the components' sizes, which are summed where the nodes are.
+    """
+    keys = keys or []
+    sizes = comps.groupBy(*keys, "comp").agg(F.count("*").alias("size"))
+    top = sizes.groupBy(*keys).agg(F.max(F.struct("size", (-F.col("comp")).alias("c")))["c"].alias("c"))
+    chosen = top.select(*keys, (-F.col("c")).alias("comp"))
+    return comps.join(chosen, [*keys, "comp"], "left_semi").select(*keys, "node")
+
+
+def path_totals(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, pairs, total, diameter) over the ordered pairs of the largest component."""
+    keys = keys or []
+    h = hops(edges, largest(components(edges, keys), keys), keys=keys).where("hops > 0")
+    return h.groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum("hops").alias("total"), F.max("hops").alias("diameter"))
+
+
+def density(edges: Column, nodes: Column) -> Column:
+    return F.when(nodes > 1, 2.0 * edges / (nodes * (nodes - 1))).otherwise(0.0)
+
+
 def triangles(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Each triangle once, as (keys, x, y, z) with x < y < z."""
     keys = keys or []

@@ -85,3 +85,28 @@ def audit(relations: DataFrame) -> DataFrame:
     c = lambda name: F.count_if(F.col("confidence") == name).alias(name)
     out = relations.rollup("type").agg(*(c(x) for x in V.CONFIDENCES), F.count("*").alias("total"))
     return out.withColumn("documented_bp", F.floor(F.col("documentado") * 10000 / F.col("total")).cast("long"))
+
+
+def audit_verdict(relations: DataFrame) -> DataFrame:
+    """One row: documented and all relations of teaching and of practice, and whether teaching is documented less often by
+    more than a fifth."""
+    teaching, practice = F.col("type").isin(V.TEACHING_TYPES), F.col("type").isin(V.PRACTICE_TYPES)
+    firm = F.col("confidence") == "documentado"
+    out = relations.agg(F.count_if(teaching & firm).alias("teaching_documented"), F.count_if(teaching).alias("teaching"), F.count_if(practice & firm).alias("practice_documented"), F.count_if(practice).alias("practice"))
+    td, t, pd, p = (F.col(c) for c in out.columns)
+    less = (pd * t - td * p) * 5 > p * t
+    return out.withColumn("verdict", F.when((t == 0) | (p == 0), "too few").when(less, "teaching less documented").otherwise("alike"))
+
+
+def mix(groups: DataFrame, persons: DataFrame, group: str) -> DataFrame:
+    """(group, attribute, value, n): the roles and the attributions of each group's persons (node)."""
+    p = persons.select(F.col("id").alias("node"), F.coalesce("role", F.lit("outro")).alias("role"), F.coalesce("attribution", F.lit("indefinida")).alias("attribution"))
+    own = groups.join(p, "node")
+    of = lambda c: own.groupBy(group, F.col(c).alias("value")).agg(F.count("*").alias("n")).select(group, F.lit(c).alias("attribute"), "value", "n")
+    return of("role").unionAll(of("attribution"))
+
+
+def institution_links(persons: DataFrame) -> DataFrame:
+    """(institution, id): the distinct persons of an institution, by activity (activities: names) or education (educations)."""
+    either = persons.select("id", F.explode("activities").alias("institution")).unionAll(persons.select("id", F.explode("educations").alias("institution")))
+    return either.where("institution is not null").distinct()

@@ -17,7 +17,8 @@ _PERSONS = """persons AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS
  CASE s_nationkey % 6 WHEN 0 THEN 'arquiteto' WHEN 1 THEN 'urbanista' WHEN 2 THEN 'engenheiro' WHEN 3 THEN 'professor' WHEN 4 THEN 'outro' END AS attribution,
  CASE WHEN s_suppkey % 7 <> 0 THEN (1900 + s_suppkey % 60)::INT END AS birth, CASE WHEN s_suppkey % 5 = 0 THEN (1900 + s_suppkey % 60 + s_suppkey % 90)::INT END AS death,
  CASE s_suppkey % 4 WHEN 0 THEN 'verificado' WHEN 1 THEN 'contestado' ELSE 'rascunho' END AS status,
- CASE s_suppkey % 10 WHEN 3 THEN 'check dates' WHEN 4 THEN '  ' END AS issue, s_suppkey % 3 AS n_sources FROM supplier)"""
+ CASE s_suppkey % 10 WHEN 3 THEN 'check dates' WHEN 4 THEN '  ' END AS issue, s_suppkey % 3 AS n_sources,
+ [s_nationkey::BIGINT] AS activities, CASE WHEN s_suppkey % 3 = 0 THEN [((s_nationkey + 1) % 25)::BIGINT, s_nationkey::BIGINT] ELSE [] END AS educations, [s_suppkey % 40, s_suppkey * 2 % 40, s_suppkey * 3 % 40, s_suppkey * 4 % 40] AS source_ids FROM supplier)"""
 
 _LINES = {"dense": ("l_discount >= 0.09 AND l_returnflag = 'R'", "true"), "sparse": ("l_quantity >= 48 AND l_returnflag = 'R'", "true"), "multi": ("true", "(7 * x.s + 13 * y.s) % 19 = 0")}
 
@@ -186,46 +187,69 @@ _q("bibliography_filter", "t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN
 _q("extract_json_blob", select="SELECT event_id, (regexp_extract('said: ' || props || ' done', '\\{.*\\}', 0, 's')::JSON ->> '$.k')::BIGINT AS k FROM events")
 _q("scan_jsonl", select="SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
 _q("confidence_audit", _rels(), select="SELECT type, count(*) FILTER (confidence = 'documentado') AS documentado, count(*) FILTER (confidence = 'tradicao_oral') AS tradicao_oral, count(*) FILTER (confidence = 'hipotese') AS hipotese, count(*) AS total, (count(*) FILTER (confidence = 'documentado') * 10000 // count(*))::BIGINT AS documented_bp FROM rels GROUP BY ROLLUP (type)")
+_q("confidence_verdict", _rels(), "v AS (SELECT count(*) FILTER (type IN ('mestre-aprendiz','estudo') AND confidence = 'documentado') AS teaching_documented, count(*) FILTER (type IN ('mestre-aprendiz','estudo')) AS teaching, count(*) FILTER (type IN ('societario','trabalho','coautoria-pontual') AND confidence = 'documentado') AS practice_documented, count(*) FILTER (type IN ('societario','trabalho','coautoria-pontual')) AS practice FROM rels)", select="SELECT *, CASE WHEN teaching = 0 OR practice = 0 THEN 'too few' WHEN practice_documented / practice - teaching_documented / teaching > 0.2 THEN 'teaching less documented' ELSE 'alike' END AS verdict FROM v")
 _q("status_histogram", _PERSONS, _rels(), select="SELECT 'relation' AS entity, status, count(*) AS n FROM rels GROUP BY status UNION ALL SELECT 'person', status, count(*) FROM persons GROUP BY status")
 _q("statement_summary", select="SELECT count(*) FILTER (quality = 1) AS affirm, count(*) FILTER (quality <> 1) AS deny, count(*) FILTER (quality IS NULL) AS undefined FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-_q("institution_members", _PERSONS, select="SELECT n_nationkey AS id, n_name AS name, count(DISTINCT p.id) AS members, min(p.id) AS first FROM nation LEFT JOIN persons p ON p.institution = n_nationkey GROUP BY 1, 2")
-_q("temporal_coverage", _rels(), _iv(), select="SELECT count(*) AS n, count(*) FILTER (period <> '') AS with_period, count(*) FILTER (ok) AS parsable, count(*) FILTER (period <> '' AND NOT ok) AS invalid FROM dated")
+_q("institution_members", _PERSONS, "m AS (SELECT id, unnest(activities) AS i FROM persons UNION SELECT id, unnest(educations) FROM persons)", select="SELECT n_nationkey AS id, n_name AS name, count(m.id) AS members, coalesce(string_agg(m.id::VARCHAR, ',' ORDER BY m.id), '') AS ids FROM nation LEFT JOIN m ON i = n_nationkey GROUP BY 1, 2")
+_q("temporal_coverage", _PERSONS, _rels(), _iv(), select="SELECT count(*) AS n, count(*) FILTER (period <> '') AS with_period, count(*) FILTER (ok) AS parsable, count(*) FILTER (period <> '' AND NOT ok) AS invalid, (SELECT count(*) FROM persons WHERE birth IS NOT NULL OR death IS NOT NULL) AS dated_persons, (SELECT count(*) FROM persons) AS persons, CASE WHEN count(*) > 0 THEN count(*) FILTER (ok) * 10000 // count(*) END AS parsable_bp FROM dated")
+_q("invalid_periods", _rels(), _iv(), select="SELECT id, period FROM dated WHERE period <> '' AND NOT ok")
+_q("coverage_isolated", _PERSONS, *_GS, select="SELECT id, name, coalesce(role, 'outro') AS role FROM persons WHERE id NOT IN (SELECT node FROM near)")
+_SOURCES = "sources AS (SELECT DISTINCT source AS id, length(source) % 2 = 0 AS processed, CASE WHEN length(source) % 3 <> 0 THEN length(source)::INT END AS priority FROM documents WHERE source IS NOT NULL)"
+_q("coverage_sources", _SOURCES, select="SELECT id, processed FROM sources")
 _q("coverage_pending", _PERSONS, _rels(), _NAMED, select="SELECT 'person' AS entity, id::VARCHAR AS id, name, issue FROM persons WHERE trim(coalesce(issue, '')) <> '' UNION ALL SELECT 'relation', id, src_name || ' → ' || dst_name || ' (' || type || ')', issue FROM named WHERE trim(coalesce(issue, '')) <> ''")
 _REACH = "reach(node, other) AS (SELECT node, node FROM near UNION SELECT r.node, n.other FROM reach r JOIN near n ON n.node = r.other)"
 _COMPS = "comps AS (SELECT node, min(other) AS comp FROM reach GROUP BY node), sized AS (SELECT comp, count(*) AS size FROM comps GROUP BY comp), ranked AS (SELECT comp, size, row_number() OVER (ORDER BY size DESC, comp) - 1 AS number FROM sized)"
 _q(
     "per_type_metrics", _rels(), _edges("rels", "type"), "reach(type, node, other) AS (SELECT type, node, node FROM near UNION SELECT r.type, r.node, n.other FROM reach r JOIN near n ON n.type = r.type AND n.node = r.other)",
     "comps AS (SELECT type, node, min(other) AS comp FROM reach GROUP BY type, node), sized AS (SELECT type, comp, count(*) AS size FROM comps GROUP BY type, comp)",
-    "tri AS (SELECT x.type, count(*) AS n FROM edges x JOIN edges y ON y.type = x.type AND y.a = x.b JOIN edges z ON z.type = x.type AND z.a = x.a AND z.b = y.b GROUP BY x.type)",
-    select="""SELECT t.type, coalesce(r.n, 0) AS relations, coalesce(r.doc, 0) AS documented, coalesce(r.per, 0) AS with_period, coalesce(n.n, 0) AS nodes, coalesce(e.n, 0) AS edges, coalesce(c.n, 0) AS components, coalesce(c.m, 0) AS largest, coalesce(tri.n, 0) AS triangles FROM types t
- LEFT JOIN (SELECT type, count(*) AS n, count(*) FILTER (confidence = 'documentado') AS doc, count(*) FILTER (period <> '') AS per FROM rels GROUP BY type) r ON r.type = t.type
- LEFT JOIN (SELECT type, count(DISTINCT node) AS n FROM near GROUP BY type) n ON n.type = t.type LEFT JOIN (SELECT type, count(*) AS n FROM edges GROUP BY type) e ON e.type = t.type
- LEFT JOIN (SELECT type, count(*) AS n, max(size) AS m FROM sized GROUP BY type) c ON c.type = t.type LEFT JOIN tri ON tri.type = t.type""", recursive=True,
+    "tri AS (SELECT x.type, x.a AS x, x.b AS y, y.b AS z FROM edges x JOIN edges y ON y.type = x.type AND y.a = x.b JOIN edges z ON z.type = x.type AND z.a = x.a AND z.b = y.b)",
+    "att AS (SELECT type, node, count(*) AS t FROM (SELECT type, unnest([x, y, z]) AS node FROM tri) GROUP BY type, node), deg AS (SELECT type, node, count(*) AS k FROM near GROUP BY type, node)",
+    "clu AS (SELECT d.type, count(*) AS nodes, floor(avg(CASE WHEN k < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) END) * 10000)::BIGINT AS bp FROM deg d LEFT JOIN att a ON a.type = d.type AND a.node = d.node GROUP BY d.type)",
+    "top AS (SELECT type, string_agg(node || ':' || k, ',' ORDER BY r) AS top5 FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY k DESC, node) AS r FROM deg) WHERE r <= 5 GROUP BY type)",
+    "all_ AS (SELECT t.type, coalesce(r.n, 0) AS relations, coalesce(r.d, 0) AS documentado, coalesce(r.o, 0) AS tradicao_oral, coalesce(r.h, 0) AS hipotese, coalesce(r.per, 0) AS with_period, coalesce(u.nodes, 0) AS nodes, coalesce(e.n, 0) AS edges, coalesce(c.n, 0) AS components, coalesce(c.m, 0) AS largest, coalesce(tri.n, 0) AS triangles, coalesce(u.bp, 0) AS clustering_bp, coalesce(top5, '') AS top5 FROM types t"
+    " LEFT JOIN (SELECT type, count(*) AS n, count(*) FILTER (confidence = 'documentado') AS d, count(*) FILTER (confidence = 'tradicao_oral') AS o, count(*) FILTER (confidence = 'hipotese') AS h, count(*) FILTER (period <> '') AS per FROM rels GROUP BY type) r ON r.type = t.type"
+    " LEFT JOIN clu u ON u.type = t.type LEFT JOIN (SELECT type, count(*) AS n FROM edges GROUP BY type) e ON e.type = t.type LEFT JOIN (SELECT type, count(*) AS n, max(size) AS m FROM sized GROUP BY type) c ON c.type = t.type LEFT JOIN (SELECT type, count(*) AS n FROM tri GROUP BY type) tri ON tri.type = t.type LEFT JOIN top ON top.type = t.type)",
+    select="SELECT *, CASE WHEN nodes > 1 THEN 2.0::DOUBLE * edges / (nodes * (nodes - 1)) ELSE 0.0::DOUBLE END AS density, CASE WHEN relations > 0 THEN with_period * 10000 // relations END AS with_period_bp FROM all_", recursive=True,
 )
-_q("component_roles", _PERSONS, *_GS, _REACH, _COMPS, select="SELECT comp, coalesce(role, 'outro') AS role, coalesce(attribution, 'indefinida') AS attribution, count(*) AS n FROM comps JOIN persons ON id = node GROUP BY ALL", recursive=True)
+_TYPED = (
+    _rels("sparse"), _edges("rels", "type"), "reach(type, node, other) AS (SELECT type, node, node FROM near UNION SELECT r.type, r.node, n.other FROM reach r JOIN near n ON n.type = r.type AND n.node = r.other)",
+    "comps AS (SELECT type, node, min(other) AS comp FROM reach GROUP BY type, node), main AS (SELECT type, comp FROM (SELECT type, comp, row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, comp) AS r FROM comps GROUP BY type, comp) WHERE r = 1)",
+    "walk(type, origin, node, d) AS (SELECT DISTINCT type, node, node, 0 FROM near UNION SELECT w.type, w.origin, n.other, w.d + 1 FROM walk w JOIN near n ON n.type = w.type AND n.node = w.node WHERE w.d < 24), hops AS (SELECT type, origin, node, min(d) AS hops FROM walk GROUP BY type, origin, node)",
+)
+_q("per_type_paths", *_TYPED, select="SELECT h.type, count(*) AS pairs, sum(hops)::BIGINT AS total, max(hops) AS diameter, sum(hops)::DOUBLE / count(*) AS mean FROM hops h JOIN comps c ON c.type = h.type AND c.node = h.origin JOIN main m ON m.type = c.type AND m.comp = c.comp WHERE hops > 0 GROUP BY h.type", recursive=True)
+_q("component_roles", _PERSONS, *_GS, _REACH, _COMPS, select="SELECT comp, 'role' AS attribute, coalesce(role, 'outro') AS value, count(*) AS n FROM comps JOIN persons ON id = node GROUP BY ALL UNION ALL SELECT comp, 'attribution', coalesce(attribution, 'indefinida'), count(*) FROM comps JOIN persons ON id = node GROUP BY ALL", recursive=True)
 _q("connected_components", *_GS, _REACH, _COMPS, select="SELECT node, c.comp, number, size FROM comps c JOIN ranked r ON r.comp = c.comp", recursive=True)
 _q("largest_component", *_GS, _REACH, _COMPS, select="SELECT node FROM comps c JOIN ranked r ON r.comp = c.comp WHERE number = 0", recursive=True)
 # walks of bounded length; the distance is the shortest, and no path in these graphs is longer than the bound
 _WALK = "walk(origin, node, d) AS (SELECT DISTINCT node, node, 0 FROM near UNION SELECT w.origin, n.other, w.d + 1 FROM walk w JOIN near n ON n.node = w.node WHERE w.d < 24), hops AS (SELECT origin, node, min(d) AS hops FROM walk GROUP BY origin, node), origins AS (SELECT DISTINCT node FROM near ORDER BY node LIMIT 4)"
 _q("apsp_hops", *_GS, _WALK, select="SELECT origin, node, hops FROM hops", recursive=True)
 _q("origin_hops", *_GS, _WALK, select="SELECT origin, node, hops FROM hops WHERE origin IN (SELECT node FROM origins)", recursive=True)
-_q("path_stats", *_GS, _REACH, _COMPS, _WALK, select="SELECT count(*) AS pairs, sum(hops)::BIGINT AS total, max(hops) AS diameter FROM hops WHERE hops > 0 AND origin IN (SELECT node FROM comps c JOIN ranked r ON r.comp = c.comp WHERE number = 0)", recursive=True)
+_PATHS = "paths AS (SELECT count(*) AS pairs, sum(hops)::BIGINT AS total, max(hops) AS diameter FROM hops WHERE hops > 0 AND origin IN (SELECT node FROM comps c JOIN ranked r ON r.comp = c.comp WHERE number = 0))"
+_q("path_stats", *_GS, _REACH, _COMPS, _WALK, _PATHS, select="SELECT *, total::DOUBLE / pairs AS mean FROM paths", recursive=True)
 _q("origin_reach", *_GS, _WALK, select="SELECT origin, count(*) FILTER (hops = 1) AS hops_1, count(*) FILTER (hops = 2) AS hops_2, count(*) FILTER (hops = 3) AS hops_3, count(*) AS reachable FROM hops WHERE hops > 0 AND origin IN (SELECT node FROM origins) GROUP BY origin", recursive=True)
 _q("origin_convergence", *_GS, _WALK, "p AS (SELECT * FROM hops WHERE origin < node AND origin NOT IN (SELECT node FROM origins) AND node NOT IN (SELECT node FROM origins)), v AS (SELECT p.origin, p.node FROM p JOIN hops x ON x.node = p.origin JOIN hops y ON y.origin = x.origin AND y.node = p.node WHERE x.origin IN (SELECT node FROM origins) AND x.hops + y.hops = p.hops)", select="SELECT (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS via_any, (SELECT count(*) FROM v) AS via_each", recursive=True)
 _q("ego_network", *_GS, _WALK, "near2 AS (SELECT node, hops FROM hops WHERE origin = (SELECT min(node) FROM origins) AND hops <= 2)", select="SELECT a, b, weight20, x.hops AS hops_a, y.hops AS hops_b FROM edges JOIN near2 x ON x.node = a JOIN near2 y ON y.node = b", recursive=True)
 _CLUST = "tri AS (SELECT x.a AS x, x.b AS y, y.b AS z FROM edges x JOIN edges y ON y.a = x.b JOIN edges z ON z.a = x.a AND z.b = y.b), att AS (SELECT node, count(*) AS t FROM (SELECT unnest([x, y, z]) AS node FROM tri) GROUP BY node), deg AS (SELECT node, count(*) AS degree FROM near GROUP BY node), clust AS (SELECT d.node, degree, coalesce(t, 0) AS triangles, CASE WHEN degree < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (degree * (degree - 1)) END AS coefficient FROM deg d LEFT JOIN att ON att.node = d.node)"
 _q("clustering", *_G, _CLUST, select="SELECT * FROM clust")
 _q("transitivity", *_G, _CLUST, select="SELECT (sum(triangles) // 3)::BIGINT AS triangles, sum(degree * (degree - 1) // 2)::BIGINT AS triples, CASE WHEN sum(degree * (degree - 1) // 2) > 0 THEN sum(triangles)::DOUBLE / sum(degree * (degree - 1) // 2)::DOUBLE ELSE 0.0 END AS transitivity FROM clust")
-_q("graph_summary", _PERSONS, *_G, _REACH, _COMPS, "s AS (SELECT (SELECT count(*) FROM persons) AS persons, (SELECT count(DISTINCT node) FROM near) AS connected, (SELECT count(*) FROM edges) AS edges, (SELECT sum(n_relations)::BIGINT FROM edges) AS relations, (SELECT sum(weight20)::BIGINT FROM edges) AS weight20, (SELECT count(*) FROM edges WHERE only_hypotheses) AS hypothetical, (SELECT count(*) FROM sized) AS components, (SELECT max(size) FROM sized) AS largest)", select="SELECT *, persons - connected AS isolated, CASE WHEN persons > 1 THEN 2.0::DOUBLE * edges / (persons * (persons - 1)) ELSE 0.0 END AS density, CASE WHEN connected > 1 THEN 2.0::DOUBLE * edges / (connected * (connected - 1)) ELSE 0.0 END AS density_connected FROM s", recursive=True)
+_q(
+    "graph_summary", _PERSONS, *_GS, _REACH, _COMPS, _WALK, _PATHS, _CLUST,
+    "s AS (SELECT (SELECT count(*) FROM persons) AS persons, (SELECT count(*) FROM edges) AS edges, (SELECT coalesce(sum(n_relations), 0)::BIGINT FROM edges) AS relations, (SELECT coalesce(sum(weight20), 0)::BIGINT FROM edges) AS weight20, (SELECT count(*) FROM edges WHERE only_hypotheses) AS hypothetical, (SELECT count(*) FROM sized) AS components, (SELECT coalesce(max(size), 0) FROM sized) AS largest,"
+    " (SELECT count(*) FROM clust) AS connected, (SELECT (sum(triangles) // 3)::BIGINT FROM clust) AS triangles, (SELECT floor(avg(coefficient) * 10000)::BIGINT FROM clust) AS clustering_bp, (SELECT CASE WHEN sum(degree * (degree - 1) // 2) > 0 THEN sum(triangles)::DOUBLE / sum(degree * (degree - 1) // 2)::DOUBLE ELSE 0.0::DOUBLE END FROM clust) AS transitivity, (SELECT diameter FROM paths) AS diameter, (SELECT total::DOUBLE / pairs FROM paths) AS mean_path)",
+    select="SELECT *, persons - connected AS isolated, CASE WHEN persons > 1 THEN 2.0::DOUBLE * edges / (persons * (persons - 1)) ELSE 0.0::DOUBLE END AS density, CASE WHEN connected > 1 THEN 2.0::DOUBLE * edges / (connected * (connected - 1)) ELSE 0.0::DOUBLE END AS density_connected, CASE WHEN persons > 0 THEN largest * 10000 // persons END AS largest_bp, CASE WHEN persons > 0 THEN 2.0::DOUBLE * edges / persons ELSE 0.0::DOUBLE END AS mean_degree FROM s", recursive=True,
+)
 _ARCS = "arcs AS (SELECT DISTINCT src, dst FROM rels WHERE type IN ('mestre-aprendiz','estudo') AND NOT sym), outd AS (SELECT src AS id, count(*) AS out_degree FROM arcs GROUP BY src)"
 _q("teaching_out_degree", _rels(), _ARCS, select="SELECT * FROM outd")
-_q("teaching_concentration", _rels(), _ARCS, "t AS (SELECT (SELECT sum(out_degree)::BIGINT FROM outd) AS arcs, (SELECT count(*) FROM outd) AS emitters, (SELECT sum(out_degree)::BIGINT FROM (SELECT * FROM outd ORDER BY out_degree DESC, id LIMIT 3)) AS top3)", select="SELECT *, CASE WHEN arcs > 0 THEN top3 * 10000 // arcs END AS share_bp, top3 * 10 >= arcs * 6 AS concentrated FROM t")
+_q("teaching_in_degree", _rels(), _ARCS, select="SELECT dst AS id, count(*) AS in_degree FROM arcs GROUP BY dst ORDER BY in_degree DESC, id LIMIT 15")
+_q("teaching_concentration", _rels(), _ARCS, "t AS (SELECT (SELECT count(*) FROM rels WHERE type IN ('mestre-aprendiz','estudo')) AS relations, (SELECT count(*) FROM arcs) AS arcs, (SELECT count(*) FROM outd) AS emitters, (SELECT count(DISTINCT dst) FROM arcs) AS receivers, (SELECT sum(out_degree)::BIGINT FROM (SELECT * FROM outd ORDER BY out_degree DESC, id LIMIT 3)) AS top3)", select="SELECT *, CASE WHEN arcs > 0 THEN top3 * 10000 // arcs END AS share_bp, top3 * 10 >= arcs * 6 AS concentrated FROM t")
 _q(
     "decade_slices", _rels(), _iv(), "eff AS (SELECT *, coalesce(pf, pl) AS f, coalesce(pl, pf) AS l FROM dated WHERE ok), dec AS (SELECT unnest(range(min(f) // 10 * 10, max(l) // 10 * 10 + 1, 10)) AS decade FROM eff)",
     "sl AS (SELECT decade, 'active' AS mode, e.* FROM eff e JOIN dec ON f <= decade + 9 AND l >= decade UNION ALL SELECT decade, 'cumulative', e.* FROM eff e JOIN dec ON f <= decade + 9)", _edges("sl", "decade, mode"),
     "reach(decade, mode, node, other) AS (SELECT decade, mode, node, node FROM near UNION SELECT r.decade, r.mode, r.node, n.other FROM reach r JOIN near n ON n.decade = r.decade AND n.mode = r.mode AND n.node = r.other)",
     "comps AS (SELECT decade, mode, node, min(other) AS comp FROM reach GROUP BY ALL), sized AS (SELECT decade, mode, comp, count(*) AS size FROM comps GROUP BY ALL)",
-    select="SELECT e.decade::INT AS decade, e.mode, n.n AS nodes, e.n AS edges, c.n AS components, c.m AS largest FROM (SELECT decade, mode, count(*) AS n FROM edges GROUP BY ALL) e JOIN (SELECT decade, mode, count(DISTINCT node) AS n FROM near GROUP BY ALL) n ON n.decade = e.decade AND n.mode = e.mode JOIN (SELECT decade, mode, count(*) AS n, max(size) AS m FROM sized GROUP BY ALL) c ON c.decade = e.decade AND c.mode = e.mode", recursive=True,
+    "tri AS (SELECT decade, mode, unnest([x.a, x.b, y.b]) AS node FROM edges x JOIN edges y USING (decade, mode) JOIN edges z USING (decade, mode) WHERE y.a = x.b AND z.a = x.a AND z.b = y.b), att AS (SELECT decade, mode, node, count(*) AS t FROM tri GROUP BY ALL), deg AS (SELECT decade, mode, node, count(*) AS k FROM near GROUP BY ALL)",
+    "clu AS (SELECT decade, mode, count(*) AS nodes, floor(avg(CASE WHEN k < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) END) * 10000)::BIGINT AS clustering_bp FROM deg LEFT JOIN att USING (decade, mode, node) GROUP BY decade, mode)",
+    select="SELECT decade::INT AS decade, mode, r.n AS relations, nodes, e.n AS edges, c.n AS components, c.m AS largest, CASE WHEN nodes > 1 THEN 2.0::DOUBLE * e.n / (nodes * (nodes - 1)) ELSE 0.0::DOUBLE END AS density, clustering_bp FROM clu JOIN (SELECT decade, mode, count(*) AS n FROM edges GROUP BY ALL) e USING (decade, mode) JOIN (SELECT decade, mode, count(*) AS n FROM sl GROUP BY ALL) r USING (decade, mode) JOIN (SELECT decade, mode, count(*) AS n, max(size) AS m FROM sized GROUP BY ALL) c USING (decade, mode)", recursive=True,
 )
 _q("modularity", *_G, "k AS (SELECT node % 5 AS c, sum(weight20)::DOUBLE AS k FROM near GROUP BY 1), l AS (SELECT a % 5 AS c, sum(weight20)::DOUBLE AS l FROM edges WHERE a % 5 = b % 5 GROUP BY 1), m AS (SELECT sum(weight20)::DOUBLE AS m FROM edges)", select="SELECT sum(coalesce(l, 0) / m - (k / (2 * m)) * (k / (2 * m))) AS modularity FROM k LEFT JOIN l ON l.c = k.c, m")
 _q("graph_json_edges", *_G, select="""SELECT a, b, '{"a":' || a || ',"b":' || b || ',"dominant":"' || dominant || '","weight20":' || weight20 || '}' AS json FROM edges""")
@@ -274,9 +298,9 @@ _q("decision_scoreboard", _REPLAY, select="SELECT source, count(*) FILTER (actio
 _q("queue_pending", _REPLAY, "last AS (SELECT source, item, arg_max(action, seq) AS action FROM standing GROUP BY source, item)", select="SELECT i.source, i.item, CASE WHEN action = 'defer' THEN 1 ELSE 0 END AS deferred FROM (SELECT DISTINCT source, item FROM log) i LEFT JOIN last l ON l.source = i.source AND l.item = i.item WHERE action IS NULL OR action = 'defer'", recursive=True)
 _q(
     "person_timeline", _PERSONS, _rels(), _NAMED, _iv("named"), "r AS (SELECT src, dst, src_name, dst_name, type, coalesce(pf, pl) AS y, pl AS e FROM dated WHERE coalesce(pf, pl) IS NOT NULL)",
-    select="""SELECT id AS person, birth AS year, NULL::INT AS until, 'birth' AS kind, 'birth' AS label FROM persons WHERE id < 50 AND birth IS NOT NULL UNION ALL SELECT id, death, NULL, 'death', 'death' FROM persons WHERE id < 50 AND death IS NOT NULL
- UNION ALL SELECT id, birth + 20, birth + 25, 'education', 'Course — ' || n_name FROM persons LEFT JOIN nation ON n_nationkey = institution WHERE id < 50 AND birth IS NOT NULL
- UNION ALL SELECT src, y, e, 'relation', type || ' — ' || dst_name FROM r WHERE src < 50 UNION ALL SELECT dst, y, e, 'relation', type || ' — ' || src_name FROM r WHERE dst < 50""",
+    select="""SELECT id AS person, birth AS year, NULL::INT AS until, 'birth' AS kind, 'birth' AS label FROM persons WHERE birth IS NOT NULL UNION ALL SELECT id, death, NULL, 'death', 'death' FROM persons WHERE death IS NOT NULL
+ UNION ALL SELECT id, birth + 20, birth + 25, 'education', 'Course — ' || n_name FROM persons LEFT JOIN nation ON n_nationkey = institution WHERE birth IS NOT NULL
+ UNION ALL SELECT src, y, e, 'relation', type || ' — ' || dst_name FROM r UNION ALL SELECT dst, y, e, 'relation', type || ' — ' || src_name FROM r""",
 )
 
 # names: boundaries are consumed, so separators are doubled first; blanks inside names match any number of them
@@ -309,7 +333,10 @@ _q(
     "s AS (SELECT (SELECT count(*) FROM chunks) AS chunks, " + ", ".join(f"(SELECT count(*) FROM m WHERE {c}) AS {n}" for n, c in _COUNTS.items()) + ")",
     select="SELECT *, chunks - sound AS bibliography, CASE WHEN chunks > 0 THEN (chunks - candidates) * 10000 // chunks END AS discarded_bp FROM s",
 )
-_q("source_status", _FUNNEL, select="SELECT d.source, d.n AS documents, coalesce(c.n, 0) AS chunks, coalesce(k.n, 0) AS candidates FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) d LEFT JOIN (SELECT source, count(*) AS n FROM chunks GROUP BY source) c ON c.source = d.source LEFT JOIN (SELECT source, count(*) AS n FROM cand GROUP BY source) k ON k.source = d.source")
+_q(
+    "source_status", _SOURCES, _FUNNEL, "per AS (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 9 <> 0) AS done FROM cand GROUP BY source)",
+    select="SELECT id AS source, processed, priority, d.n AS documents, coalesce(c.n, 0) AS chunks, coalesce(k.n, 0) AS candidates, coalesce(k.done, 0) AS extracted FROM sources s JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) d ON d.source = id LEFT JOIN (SELECT source, count(*) AS n FROM chunks GROUP BY source) c ON c.source = id LEFT JOIN per k ON k.source = id",
+)
 _q("pending_candidates", _FUNNEL, select="SELECT chunk_id, source FROM cand WHERE chunk_id NOT IN (SELECT chunk_id FROM prop WHERE error IS NULL AND right(chunk_id, 1) <> '1')")
 _q("import_extractions", _FUNNEL, select="SELECT chunk_id, CASE WHEN type = 'unknown-type' THEN 'bad-schema' WHEN NOT (x <> '' AND contains(t, x)) THEN 'not-literal' ELSE 'accepted' END AS status FROM lit")
 _q("upsert_extractions", _FUNNEL, select="SELECT chunk_id, type, 'old' AS version FROM prop WHERE idx % 2 = 0 AND idx % 3 <> 0 UNION ALL SELECT chunk_id, type, 'new' FROM prop WHERE idx % 3 = 0")

@@ -286,6 +286,11 @@ def confidence_audit(spark, d):
     return R.audit(S.relations(spark, d))
 
 
+@query
+def confidence_verdict(spark, d):
+    return R.audit_verdict(S.relations(spark, d))
+
+
 @query
 def status_histogram(spark, d):
     r, p = S.relations(spark, d).select(F.lit("relation").alias("entity"), "status"), S.persons(spark, d).select(F.lit("person").alias("entity"), "status")
@@ -300,15 +305,33 @@ def statement_summary(spark, d):
 
 @query
 def institution_members(spark, d):
-    members = S.persons(spark, d).groupBy("institution").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
+    """Every institution of the vocabulary, with the persons of it by activity or education."""
+    members = R.institution_links(S.persons(spark, d)).groupBy("institution").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
     i = S.institutions(spark, d)
-    return i.join(members, i["id"] == members["institution"], "left").select("id", "name", F.coalesce("n", F.lit(0)).cast("long").alias("members"), "first")
+    return i.join(members, i["id"] == members["institution"], "left").select("id", "name", F.coalesce("n", F.lit(0)).cast("long").alias("members"), F.coalesce("ids", F.lit("")).alias("ids"))
 
 
 @query
 def temporal_coverage(spark, d):
     iv = P.parse(F.col("period"))
-    return S.relations(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("period") != "").alias("with_period"), F.count_if(iv.isNotNull()).alias("parsable"), F.count_if((F.col("period") != "") & iv.isNull()).alias("invalid"))
+    dated = S.persons(spark, d).agg(F.count_if(F.col("birth").isNotNull() | F.col("death").isNotNull()).alias("dated_persons"), F.count("*").alias("persons"))
+    out = S.relations(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("period") != "").alias("with_period"), F.count_if(iv.isNotNull()).alias("parsable"), F.count_if((F.col("period") != "") & iv.isNull()).alias("invalid"))
+    return out.crossJoin(dated).withColumn("parsable_bp", _bp(F.col("parsable"), F.col("n")))
+
+
+@query
+def invalid_periods(spark, d):
+    return S.relations(spark, d).where((F.col("period") != "") & P.parse(F.col("period")).isNull()).select("id", "period")
+
+
+@query
+def coverage_isolated(spark, d):
+    return graph.vertices(S.persons(spark, d), _edges(spark, d, "sparse")).where("not connected").select("id", "name", "role")
+
+
+@query
+def coverage_sources(spark, d):
+    return S.sources(spark, d).select("id", "processed")
 
 
 @query
@@ -321,44 +344,64 @@ def coverage_pending(spark, d):
 
 @query
 def per_type_metrics(spark, d):
-    r = S.relations(spark, d)
-    e = R.collapse(r, ["type"])
-    nodes = R.both_ways(e, "type").groupBy("type").agg(F.count_distinct("node").alias("nodes"))
+    r = graph.cut(S.relations(spark, d))
+    e = graph.cut(R.collapse(r, ["type"]))
+    degree = R.both_ways(e, "type").groupBy("type", "node").agg(F.count("*").alias("degree"))
+    nodes = degree.groupBy("type").agg(F.count("*").alias("nodes"))
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("degree"), "node"))
+    top = degree.withColumn("r", rank).where("r <= 5").groupBy("type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "node", "degree"))), lambda x: F.concat_ws(":", x["node"].cast("string"), x["degree"].cast("string"))), ",").alias("top5"))
     edges = e.groupBy("type").agg(F.count("*").alias("edges"))
     comps = graph.components(e, ["type"]).groupBy("type", "comp").agg(F.count("*").alias("size")).groupBy("type").agg(F.count("*").alias("components"), F.max("size").alias("largest"))
-    tri = graph.triangles(e, ["type"]).groupBy("type").agg(F.count("*").alias("triangles"))
-    rel = r.groupBy("type").agg(F.count("*").alias("relations"), F.count_if(F.col("confidence") == "documentado").alias("documented"), F.count_if(F.col("period") != "").alias("with_period"))
-    types = spark.createDataFrame([(t,) for t in V.RELATION_TYPES], "type string")
-    out = types
-    for part in (rel, nodes, edges, comps, tri):
+    c = graph.clustering(e, ["type"]).groupBy("type").agg((F.sum("triangles") / 3).cast("long").alias("triangles"), F.floor(F.avg("coefficient") * 10000).cast("long").alias("clustering_bp"))
+    count = lambda name: F.count_if(F.col("confidence") == name).alias(name)
+    rel = r.groupBy("type").agg(F.count("*").alias("relations"), *map(count, V.CONFIDENCES), F.count_if(F.col("period") != "").alias("with_period"))
+    out = spark.createDataFrame([(t,) for t in V.RELATION_TYPES], "type string")
+    for part in (rel, nodes, edges, comps, c, top):
         out = out.join(part, "type", "left")
-    return out.select("type", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("relations", "documented", "with_period", "nodes", "edges", "components", "largest", "triangles")))
+    zeros = ("relations", *V.CONFIDENCES, "with_period", "nodes", "edges", "components", "largest", "triangles", "clustering_bp")
+    out = out.select("type", *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in zeros), F.coalesce("top5", F.lit("")).alias("top5"))
+    return out.withColumns({"density": graph.density(F.col("edges"), F.col("nodes")), "with_period_bp": _bp(F.col("with_period"), F.col("relations"))})
+
+
+@query
+def per_type_paths(spark, d):
+    """Distances within the largest component of each type."""
+    e = graph.cut(R.collapse(S.relations(spark, d, "sparse"), ["type"]))
+    return graph.path_totals(e, ["type"]).withColumn("mean", F.col("total") / F.col("pairs"))
 
 
 @query
 def component_roles(spark, d):
-    comps = graph.components(_edges(spark, d, "sparse"))
-    p = S.persons(spark, d).select(F.col("id").alias("node"), F.coalesce("role", F.lit("outro")).alias("role"), F.coalesce("attribution", F.lit("indefinida")).alias("attribution"))
-    return comps.join(p, "node").groupBy("comp", "role", "attribution").agg(F.count("*").alias("n"))
+    return R.mix(graph.components(_edges(spark, d, "sparse")), S.persons(spark, d), "comp")
+
+
+@query
+def community_roles(spark, d):
+    return R.mix(centrality.communities(graph.cut(_edges(spark, d, "dense"))), S.persons(spark, d), "community")
 
 
 @query
 def source_status(spark, d):
+    """The sources by priority (none last), with what each stage of the funnel has made of them."""
     docs = S.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"))
     c = _chunks(spark, d)
     n_chunks = c.groupBy("source").agg(F.count("*").alias("chunks"))
-    n_cand = funnel.scored(_matched(spark, d, c)).groupBy("source").agg(F.count("*").alias("candidates"))
-    out = docs.join(n_chunks, "source", "left").join(n_cand, "source", "left")
-    return out.select("source", "documents", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+    cands = graph.cut(funnel.scored(_matched(spark, d, c)).select("chunk_id", "source", "doc_id", "idx"))
+    done = cands.where("doc_id % 9 <> 0").groupBy("source").agg(F.count("*").alias("extracted"))
+    out = S.sources(spark, d).withColumnRenamed("id", "source")
+    for part in (docs, n_chunks, cands.groupBy("source").agg(F.count("*").alias("candidates")), done):
+        out = out.join(part, "source", "left")
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
+    return out.select("source", "processed", "priority", *map(zero, ("documents", "chunks", "candidates", "extracted"))).orderBy(F.asc_nulls_last("priority"), "source")
 
 
 @query
 def person_timeline(spark, d):
-    p = S.persons(spark, d).where("id < 50")
+    p = S.persons(spark, d)
     iv = P.parse(F.col("period"))
     r = _named(spark, d).withColumns({"y": F.coalesce(iv["first"], iv["last"]), "e": iv["last"]}).where("y is not null")
     none = F.lit(None).cast("int")
-    end = lambda me, other: r.where(f"{me} < 50").select(F.col(me).alias("person"), F.col("y").alias("year"), F.col("e").alias("until"), F.lit("relation").alias("kind"), F.concat("type", F.lit(" — "), F.col(other)).alias("label"))
+    end = lambda me, other: r.select(F.col(me).alias("person"), F.col("y").alias("year"), F.col("e").alias("until"), F.lit("relation").alias("kind"), F.concat("type", F.lit(" — "), F.col(other)).alias("label"))
     own = lambda c, kind: p.where(F.col(c).isNotNull()).select(F.col("id").alias("person"), F.col(c).alias("year"), none.alias("until"), F.lit(kind).alias("kind"), F.lit(kind).alias("label"))
     study = p.where("birth is not null").join(S.institutions(spark, d).select(F.col("id").alias("institution"), F.col("name").alias("inst")), "institution", "left")
     school = study.select(F.col("id").alias("person"), (F.col("birth") + 20).alias("year"), (F.col("birth") + 25).alias("until"), F.lit("education").alias("kind"), F.concat(F.lit("Course — "), "inst").alias("label"))
@@ -375,7 +418,7 @@ def connected_components(spark, d):
 
 @query
 def largest_component(spark, d):
-    return connected_components(spark, d).where("number = 0").select("node")
+    return graph.largest(graph.components(_edges(spark, d, "sparse")))
 
 
 @query
@@ -396,9 +439,7 @@ def apsp_hops(spark, d):
 
 @query
 def path_stats(spark, d):
-    c = largest_component(spark, d)
-    h = graph.hops(_edges(spark, d, "sparse"), c).where("hops > 0")
-    return h.agg(F.count("*").alias("pairs"), F.sum("hops").alias("total"), F.max("hops").alias("diameter"))
+    return graph.path_totals(graph.cut(_edges(spark, d, "sparse"))).withColumn("mean", F.col("total") / F.col("pairs"))
 
 
 @query
@@ -415,14 +456,28 @@ def transitivity(spark, d):
 
 @query
 def graph_summary(spark, d):
-    e = _edges(spark, d, "multi")
+    """All figures of a network but those of its communities (see community_summary)."""
+    e = graph.cut(_edges(spark, d, "sparse"))
     n = S.persons(spark, d).agg(F.count("*").alias("persons"))
-    h = R.both_ways(e).agg(F.count_distinct("node").alias("connected"))
-    m = e.agg(F.count("*").alias("edges"), F.sum("n_relations").alias("relations"), F.sum("weight20").alias("weight20"), F.count_if("only_hypotheses").alias("hypothetical"))
-    c = graph.components(e).groupBy("comp").agg(F.count("*").alias("size")).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
-    one = n.crossJoin(h).crossJoin(m).crossJoin(c)
-    density = lambda x: F.when(F.col(x) > 1, 2.0 * F.col("edges") / (F.col(x) * (F.col(x) - 1))).otherwise(0.0)
-    return one.select("*", (F.col("persons") - F.col("connected")).alias("isolated"), density("persons").alias("density"), density("connected").alias("density_connected"))
+    m = e.agg(F.count("*").alias("edges"), F.coalesce(F.sum("n_relations"), F.lit(0)).alias("relations"), F.coalesce(F.sum("weight20"), F.lit(0)).alias("weight20"), F.count_if("only_hypotheses").alias("hypothetical"))
+    c = graph.components(e).groupBy("comp").agg(F.count("*").alias("size")).agg(F.count("*").alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
+    triples = F.sum(F.col("degree") * (F.col("degree") - 1) / 2)
+    near = graph.clustering(e).agg(
+        F.count("*").alias("connected"), (F.sum("triangles") / 3).cast("long").alias("triangles"), F.floor(F.avg("coefficient") * 10000).cast("long").alias("clustering_bp"), F.when(triples > 0, F.sum("triangles") / triples).otherwise(0.0).alias("transitivity")
+    )
+    paths = graph.path_totals(e).agg(F.max("pairs").alias("pairs"), F.max("total").alias("total"), F.max("diameter").alias("diameter"))
+    one = n.crossJoin(m).crossJoin(c).crossJoin(near).crossJoin(paths)
+    return one.select(
+        *(x for x in one.columns if x not in ("pairs", "total")), (F.col("persons") - F.col("connected")).alias("isolated"), graph.density(F.col("edges"), F.col("persons")).alias("density"), graph.density(F.col("edges"), F.col("connected")).alias("density_connected"),
+        _bp(F.col("largest"), F.col("persons")).alias("largest_bp"), (F.col("total") / F.col("pairs")).alias("mean_path"), F.when(F.col("persons") > 0, 2.0 * F.col("edges") / F.col("persons")).otherwise(0.0).alias("mean_degree"),
+    )
+
+
+@query
+def community_summary(spark, d):
+    e = graph.cut(_edges(spark, d, "dense"))
+    c = graph.cut(centrality.communities(e))
+    return centrality.modularity(e, c.select("node", "community")).crossJoin(c.agg(F.count_distinct("community").alias("communities")))
 
 
 @query
@@ -461,11 +516,21 @@ def teaching_out_degree(spark, d):
     return arcs.groupBy("src").agg(F.count("*").alias("out_degree")).withColumnRenamed("src", "id")
 
 
+@query
+def teaching_in_degree(spark, d):
+    """The receivers of most teaching."""
+    arcs = R.collapse_arcs(R.filtered(S.relations(spark, d), types=V.TEACHING_TYPES))
+    return arcs.groupBy("dst").agg(F.count("*").alias("in_degree")).withColumnRenamed("dst", "id").orderBy(F.desc("in_degree"), "id").limit(15)
+
+
 @query
 def teaching_concentration(spark, d):
-    out = graph.cut(teaching_out_degree(spark, d))
-    top = out.orderBy(F.desc("out_degree"), "id").limit(3).agg(F.sum("out_degree").alias("top3"))
-    return out.agg(F.sum("out_degree").alias("arcs"), F.count("*").alias("emitters")).crossJoin(top).select("arcs", "emitters", "top3", _bp(F.col("top3"), F.col("arcs")).alias("share_bp"), (F.col("top3") * 10 >= F.col("arcs") * 6).alias("concentrated"))
+    taught = R.filtered(S.relations(spark, d), types=V.TEACHING_TYPES)
+    arcs = graph.cut(R.collapse_arcs(taught))
+    out = arcs.groupBy("src").agg(F.count("*").alias("out_degree"))
+    top = out.orderBy(F.desc("out_degree"), "src").limit(3).agg(F.sum("out_degree").alias("top3"))
+    one = taught.agg(F.count("*").alias("relations")).crossJoin(arcs.agg(F.count("*").alias("arcs"), F.count_distinct("src").alias("emitters"), F.count_distinct("dst").alias("receivers"))).crossJoin(top)
+    return one.select("*", _bp(F.col("top3"), F.col("arcs")).alias("share_bp"), (F.col("top3") * 10 >= F.col("arcs") * 6).alias("concentrated"))
 
 
 @query
@@ -473,17 +538,19 @@ def decade_slices(spark, d):
     """Active and cumulative networks of every decade, all in one pass with the decade as key."""
     iv = P.effective(P.parse(F.col("period")))
     raw = S.relations(spark, d)
-    r = X.fixed(raw, *raw.columns, iv=iv).select("*", "iv.first", "iv.last").where("first is not null").drop("iv")
+    r = graph.cut(X.fixed(raw, *raw.columns, iv=iv).select("*", "iv.first", "iv.last").where("first is not null").drop("iv"))
     bounds = r.agg(P.decade(F.min("first")).alias("lo"), P.decade(F.max("last")).alias("hi"))
     decades = bounds.where("lo <= hi").select(F.explode(F.sequence("lo", "hi", F.lit(10))).alias("decade"))
     # decades are few: a century has ten
     active = r.join(F.broadcast(decades), (F.col("first") <= F.col("decade") + 9) & (F.col("last") >= F.col("decade"))).withColumn("mode", F.lit("active"))
     total = r.join(F.broadcast(decades), F.col("first") <= F.col("decade") + 9).withColumn("mode", F.lit("cumulative"))
     keys = ["decade", "mode"]
-    e = graph.cut(R.collapse(active.unionAll(total), keys))
-    nodes = R.both_ways(e, *keys).groupBy(*keys).agg(F.count_distinct("node").alias("nodes"))
+    both = active.unionAll(total)
+    e = graph.cut(R.collapse(both, keys))
     comps = graph.components(e, keys).groupBy(*keys, "comp").agg(F.count("*").alias("size")).groupBy(*keys).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
-    return e.groupBy(*keys).agg(F.count("*").alias("edges")).join(nodes, keys).join(comps, keys).select(*keys, "nodes", "edges", "components", "largest")
+    near = graph.clustering(e, keys).groupBy(*keys).agg(F.count("*").alias("nodes"), F.floor(F.avg("coefficient") * 10000).cast("long").alias("clustering_bp"))
+    out = e.groupBy(*keys).agg(F.count("*").alias("edges")).join(near, keys).join(comps, keys).join(both.groupBy(*keys).agg(F.count("*").alias("relations")), keys)
+    return out.select(*keys, "relations", "nodes", "edges", "components", "largest", graph.density(F.col("edges"), F.col("nodes")).alias("density"), "clustering_bp")
 
 
 @query
@@ -497,8 +564,7 @@ def closeness(spark, d):
 
 
 def _main_component(e: DataFrame) -> DataFrame:
-    c = graph.numbered(graph.components(e)).where("number = 0").select(F.col("node").alias("a"))
-    return e.join(c, "a", "left_semi")
+    return e.join(graph.largest(graph.components(e)).withColumnRenamed("node", "a"), "a", "left_semi")
 
 
 @query

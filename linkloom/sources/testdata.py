@@ -47,6 +47,8 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, (1900 + key % 60 + key % 90).cast("int")).alias("death"),
         F.when(key % 4 == 0, "verificado").when(key % 4 == 1, "contestado").otherwise("rascunho").alias("status"),
         F.when(key % 10 == 3, "check dates").when(key % 10 == 4, "  ").alias("issue"), (key % 3).cast("int").alias("n_sources"),
+        F.array(F.col("s_nationkey").cast("long")).alias("activities"), F.when(key % 3 == 0, F.array(((F.col("s_nationkey") + 1) % 25).cast("long"), F.col("s_nationkey").cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("educations"),
+        F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: key * i % 40).alias("source_ids"),
     )
 
 
@@ -107,6 +109,12 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "grp string, type string, pattern string")
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sources: processed ones and a priority by the length of their names."""
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("id")).where("id is not null").distinct()
+    return names.select("id", (F.length("id") % 2 == 0).alias("processed"), F.when(F.length("id") % 3 != 0, F.length("id")).alias("priority"))
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("affirms"))
