@@ -161,3 +161,24 @@ def unknown_names(c: Column, known: Column | None = None, common: list[str] = V.
     if known is None:
         return names
     return F.filter(names, lambda x: ~F.exists(known, lambda p: F.contains(tokens_padded(x), F.concat(F.lit(" "), p, F.lit(" ")))))
+
+
+def prompt(source: Column, page: Column, before: Column, text: Column, after: Column, known: Column, unknown: Column) -> Column:
+    """The message that asks for the relations of one paragraph, with its context and the names found in it as hints."""
+    given = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "(nenhum)").otherwise(c)
+    names = F.concat(F.array_sort(F.array_distinct(known)), unknown)
+    hints = F.when(F.size(names) > 0, F.concat(F.lit("\n\nNomes detectados automaticamente no parágrafo-alvo (apenas pistas; não invente vínculos para eles): "), F.array_join(names, "; "))).otherwise("")
+    return F.concat(
+        F.lit("FONTE: "), F.coalesce(source, F.lit("")), F.lit("\nPÁGINA: "), page.cast("string"), F.lit("\n\n[CONTEXTO ANTERIOR]\n"), given(before),
+        F.lit("\n\n[PARÁGRAFO-ALVO]\n"), text, F.lit("\n\n[CONTEXTO POSTERIOR]\n"), given(after), hints,
+    )
+
+
+def citation(author: Column, year: Column, page: Column) -> Column:
+    """Author (year), p. N; s.d. without a year, nothing without a page."""
+    return F.concat(F.coalesce(blank_to_null(author), F.lit("?")), F.lit(" ("), F.coalesce(year.cast("string"), F.lit("s.d.")), F.lit(")"), F.coalesce(F.concat(F.lit(", p. "), blank_to_null(page.cast("string"))), F.lit("")))
+
+
+def is_slug(c: Column) -> Column:
+    """Whether a text may name a source's folder: a slug, "manual" or "_"."""
+    return F.coalesce(c.rlike(V.ID_FORMAT) | c.isin("manual", "_"), F.lit(False))

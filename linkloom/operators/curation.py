@@ -52,7 +52,16 @@ def learn_aliases(known: DataFrame, proposed: DataFrame, least: int = 3) -> Data
     return new.groupBy("person", "norm").agg(F.min("variant").alias("variant"))
 
 
+def effects(log: DataFrame) -> DataFrame:
+    """(item, sources, first): what the standing acceptances leave of each item: the sources that it has, and the first.
+
+    A decision that was undone leaves nothing, so undoing is replaying what stands.
+    """
+    accepted = replay(log).where("action = 'accept'")
+    return accepted.groupBy("item").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.min_by("source", F.struct("seq", "source")).alias("first"))
+
+
 def merge(relations: DataFrame, accepted: DataFrame) -> DataFrame:
-    """relations with accepted rows (key, src_id) merged by key: sources join, nothing else changes; new keys are added."""
+    """relations (key, sources) with accepted rows (key, source) merged by key: sources join, nothing else changes; new keys are added."""
     both = relations.select("key", F.explode("sources").alias("s"), F.lit(0).alias("new")).unionAll(accepted.select("key", F.col("source").alias("s"), F.lit(1).alias("new")))
-    return both.groupBy("key").agg(F.count_distinct("s").alias("n_sources"), (F.min("new") == 1).alias("is_new"), F.count_if(F.col("new") == 1).alias("n_accepted"))
+    return both.groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("sources"), (F.min("new") == 1).alias("is_new"), F.count_if(F.col("new") == 1).alias("n_accepted"))

@@ -64,7 +64,7 @@ def name_hits(chunks: DataFrame, known: DataFrame) -> DataFrame:
     met = split.select("chunk_id", F.inline(runs(F.col("w")))).join(known.select("phrase", "persons"), "phrase")
     order = F.struct("at", (-F.col("n")).alias("back"), "phrase", "persons")
     hits = met.groupBy("chunk_id").agg(F.sort_array(F.collect_list(order)).alias("hits"))
-    none = F.array().cast("array<struct<phrase:string,persons:array<bigint>>>")
+    none = F.array().cast(f"array<struct<phrase:string,persons:{known.schema['persons'].dataType.simpleString()}>>")
     step = lambda acc, x: F.when(x["at"] >= acc["end"], F.struct((x["at"] - x["back"]).alias("end"), F.array_append(acc["kept"], F.struct(x["phrase"], x["persons"])).alias("kept"))).otherwise(acc)
     chosen = F.aggregate("hits", F.struct(F.lit(0).alias("end"), none.alias("kept")), step, lambda acc: acc["kept"])
     return hits.select("chunk_id", F.array_distinct(F.transform("hits", lambda x: x["phrase"])).alias("phrases"), chosen.alias("chosen"))
@@ -99,7 +99,7 @@ def matched(chunks: DataFrame, known: DataFrame, lexicon: DataFrame) -> DataFram
     pairs = F.flatten(F.transform("chosen", lambda x: F.transform(x["persons"], lambda p: F.struct(p.alias("person"), x["phrase"].alias("phrase")))))
     keep = [c for c in chunks.columns if c not in ("known", "unknown", "triggers")]
     made = X.fixed(
-        out, *keep, known=F.coalesce(F.array_distinct(pairs), F.array().cast("array<struct<person:bigint,phrase:string>>")),
+        out, *keep, known=F.coalesce(F.array_distinct(pairs), F.array().cast(f"array<struct<person:{known.schema['persons'].dataType.elementType.simpleString()},phrase:string>>")),
         unknown=X.unknown_names(F.col("text"), F.coalesce("phrases", F.array().cast("array<string>"))), triggers=triggers(F.col("text"), lexicon),
     )
     related = F.filter("triggers", lambda t: t["grp"] != STATEMENTS)

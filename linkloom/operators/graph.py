@@ -67,12 +67,13 @@ def hops(edges: DataFrame, origins: DataFrame | None = None, most: int | None =
 def largest(comps: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, node) of the largest component (of each key), of equal ones that of the smallest node.
 
-    Found by one maximum over the components' sizes, which are summed where the nodes are.
+    Found by maxima over the components' sizes, never by a sort of all of them in one task.
     """
     keys = keys or []
     sizes = comps.groupBy(*keys, "comp").agg(F.count("*").alias("size"))
-    top = sizes.groupBy(*keys).agg(F.max(F.struct("size", (-F.col("comp")).alias("c")))["c"].alias("c"))
-    chosen = top.select(*keys, (-F.col("c")).alias("comp"))
+    top = sizes.groupBy(*keys).agg(F.max("size").alias("size"))
+    tied = sizes.join(top, [*keys, "size"]) if keys else sizes.join(top, "size")
+    chosen = tied.groupBy(*keys).agg(F.min("comp").alias("comp"))
     return comps.join(chosen, [*keys, "comp"], "left_semi").select(*keys, "node")
 
 

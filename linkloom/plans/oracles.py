@@ -261,16 +261,52 @@ _q("gazetteer_matches", _CHUNKS, _HITS, select="SELECT chunk_id, person, phrase
 _q("name_variants", _CHUNKS, _HITS, select="SELECT phrase AS variant, len(string_split(phrase, ' '))::INT AS n_words, count(*) AS n_persons, string_agg(person::VARCHAR, ',' ORDER BY person) AS persons FROM gazetteer GROUP BY phrase")
 _q("context_window", _CHUNKS, "w AS (SELECT chunk_id, coalesce(lag(text) OVER o, '') AS b, coalesce(lead(text) OVER o, '') AS a FROM chunks WINDOW o AS (PARTITION BY doc_id ORDER BY idx))", select="SELECT chunk_id, length(b)::BIGINT AS chars_before, length(a)::BIGINT AS chars_after, right(b, 20) AS before_tail, substr(a, 1, 20) AS after_head FROM w")
 _q("learn_aliases", _PERSONS, select="SELECT id AS person, 'Sr. ' || name AS variant FROM persons WHERE id % 3 = 2")
-_q("merge_relations", _rels(), "b AS (SELECT id AS key, unnest(sources) AS s, 0 AS new FROM rels UNION ALL SELECT CASE WHEN first_order % 5 = 0 THEN 'new-' || id ELSE id END, first_order % 100, 1 FROM rels WHERE (first_order % 100) % 2 = 0)", select="SELECT key, count(DISTINCT s) AS n_sources, min(new) = 1 AS is_new, count(*) FILTER (new = 1) AS n_accepted FROM b GROUP BY key")
+_q("merge_relations", _rels(), "b AS (SELECT id AS key, unnest(sources) AS s, 0 AS new FROM rels UNION ALL SELECT CASE WHEN first_order % 5 = 0 THEN 'new-' || id ELSE id END, first_order % 100, 1 FROM rels WHERE (first_order % 100) % 2 = 0)", select="SELECT key, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources, min(new) = 1 AS is_new, count(*) FILTER (new = 1) AS n_accepted FROM b GROUP BY key")
+_q(
+    "create_persons", _PERSONS, "old AS (SELECT " + _slug("name") + " AS id FROM persons UNION ALL SELECT " + _slug("name") + " || '-2' FROM persons WHERE id % 6 = 0)",
+    "prop AS (SELECT seq, CASE id % 4 WHEN 0 THEN name WHEN 1 THEN 'Nova Pessoa' WHEN 2 THEN 'Só' || id END AS name FROM (SELECT unnest([2 * id, 2 * id + 1]) AS seq, id, name FROM persons) WHERE id % 4 <> 3)",
+    "based AS (SELECT *, " + _slug("name") + " AS base FROM prop), ranked AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) AS r FROM based)",
+    "slots AS (SELECT base, k, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS id FROM (SELECT base, unnest(range(1, n + 4)) AS k FROM (SELECT base, count(*) AS n FROM based GROUP BY base))), free AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY k) AS r FROM slots WHERE id NOT IN (SELECT id FROM old))",
+    select="SELECT seq, f.id, name, 'rascunho' AS status, CASE WHEN NOT contains(name, ' ') THEN 'confirmar nome completo em outra fonte' END AS issue FROM ranked JOIN free f ON f.base = ranked.base AND f.r = ranked.r",
+)
+_DECIDED = """decided AS (SELECT id AS seq, CASE WHEN first_order % 17 = 0 THEN -1 ELSE src END AS src, CASE WHEN first_order % 13 = 0 THEN src ELSE dst END AS dst, CASE WHEN first_order % 11 = 0 THEN 'dissidencia' WHEN first_order % 23 = 0 THEN 'friends' ELSE type END AS type,
+ sym, CASE WHEN first_order % 5 = 0 THEN 'hipotese' END AS confidence, CASE WHEN first_order % 7 <> 0 THEN first_order % 50 END AS source, CASE WHEN first_order % 10 = 0 THEN 'check' END AS issue FROM rels WHERE first_order % 3 <> 1),
+judged AS (SELECT *, CASE WHEN src = dst THEN 'same-person' WHEN type = 'friends' THEN 'bad-type' WHEN src NOT IN (SELECT id FROM persons) OR dst NOT IN (SELECT id FROM persons) THEN 'unknown-person' WHEN source >= 45 THEN 'unknown-source'
+ WHEN confidence IS NULL AND source IS NULL THEN 'needs-source' WHEN confidence = 'hipotese' AND source IS NULL AND issue IS NULL THEN 'needs-issue' END AS refused FROM decided)"""
+_q("relation_refusals", _PERSONS, _rels(), _DECIDED, select="SELECT seq, refused FROM judged WHERE refused IS NOT NULL")
+_KEYS = "CASE WHEN sym OR type NOT IN ('mestre-aprendiz','estudo','dissidencia') THEN least(src, dst) ELSE src END AS ka, CASE WHEN sym OR type NOT IN ('mestre-aprendiz','estudo','dissidencia') THEN greatest(src, dst) ELSE dst END AS kb"
+_q(
+    "accept_relations", _PERSONS, _rels(), _DECIDED, f"sound AS (SELECT *, {_KEYS} FROM judged WHERE refused IS NULL), old AS (SELECT *, {_KEYS} FROM rels), target AS (SELECT ka, kb, type, min(id) AS id FROM old GROUP BY ka, kb, type)",
+    "batch AS (SELECT ka, kb, type, min(seq) AS seq, arg_min({'src': src, 'dst': dst, 'sym': sym, 'confidence': coalesce(confidence, 'documentado')}, seq) AS f, list(DISTINCT source) FILTER (source IS NOT NULL) AS added, arg_min(issue, seq) FILTER (issue IS NOT NULL) AS opened FROM sound GROUP BY ka, kb, type)",
+    "hit AS (SELECT b.*, t.id FROM batch b LEFT JOIN target t ON t.ka = b.ka AND t.kb = b.kb AND t.type = b.type), fresh AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM hit WHERE id IS NULL)",
+    select="SELECT r.id, src, dst, r.type, sym AS symmetric, confidence, array_to_string(list_sort(list_distinct(list_concat(sources, coalesce(added, [])))), ',') AS source_ids, coalesce(issue, opened) AS issue, CASE WHEN h.id IS NULL THEN 'kept' ELSE 'merged' END AS effect FROM rels r LEFT JOIN (SELECT * FROM hit WHERE id IS NOT NULL) h ON h.id = r.id"
+    " UNION ALL SELECT 'rel-' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0'), f.src, f.dst, type, f.sym, f.confidence, array_to_string(list_sort(coalesce(added, [])), ','), opened, 'new' FROM fresh",
+)
+_q(
+    "accept_statements", _PERSONS, _SOURCES, "said AS (SELECT doc_id AS seq, doc_id % 150 AS person, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 4 THEN false END AS affirms, CASE WHEN doc_id % 4 <> 0 THEN 'point ' || doc_id ELSE '(sem argumento registrado)' END AS argument, source FROM documents WHERE doc_id % 150 IN (SELECT id FROM persons) AND source IN (SELECT id FROM sources WHERE processed))",
+    select="SELECT 'dep-' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') AS id, person, affirms, argument, source FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM said)",
+)
+_q("mark_processed", _SOURCES, "marks AS (SELECT source AS id, arg_max(doc_id % 2 = 0, doc_id) AS flag FROM documents WHERE source IS NOT NULL AND doc_id % 3 = 0 GROUP BY source)", select="SELECT s.id, coalesce(flag, processed) AS processed FROM sources s LEFT JOIN marks m ON m.id = s.id")
 
 
-def _rule(name: str, level: str, rule: str, table: str, *ctes: str, rows: str) -> None:
-    _q(name, *ctes, select=f"SELECT '{level}' AS level, '{rule}' AS rule, '{table}:' || id AS entity FROM ({rows})")
+def _rule(name: str, level: str, rule: str, table: str, *ctes: str, rows: str, message: str = "''") -> None:
+    _q(name, *ctes, select=f"SELECT '{level}' AS level, '{rule}' AS rule, '{table}:' || id AS entity, {message} AS message FROM ({rows})")
 
 
-_rule("rule_unique_id", "error", "duplicate-id", "lines", rows="SELECT l_orderkey || '-' || l_linenumber AS id FROM lineitem GROUP BY 1 HAVING count(*) > 1")
-_rule("rule_referential", "error", "reference", "relations", _PERSONS, _rels(), rows="SELECT id FROM rels WHERE CASE WHEN first_order % 29 = 0 THEN -1 ELSE src END NOT IN (SELECT id FROM persons)")
-_rule("rule_vocabulary", "error", "institution", "persons", _PERSONS, rows="SELECT id FROM persons WHERE CASE WHEN id % 17 = 0 THEN 99 ELSE institution END NOT IN (SELECT n_nationkey FROM nation)")
+_rule("rule_unique_id", "error", "duplicate-id", "lines", rows="SELECT l_orderkey || '-' || l_linenumber % 5 AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1", message="n::VARCHAR")
+_q(
+    "rule_referential", _PERSONS, _rels(), _SOURCES, "src AS (SELECT 'ord-' || o_orderkey AS id FROM orders WHERE o_orderkey % 41 <> 0 UNION ALL SELECT 'src-' || id FROM sources WHERE processed)",
+    "bad AS (SELECT 'relations:' || id AS entity, 'src' AS message FROM rels WHERE CASE WHEN first_order % 29 = 0 THEN -1 ELSE src END NOT IN (SELECT id FROM persons)"
+    " UNION ALL SELECT 'relations:' || id, 'dst' FROM rels WHERE CASE WHEN first_order % 31 = 0 THEN -2 ELSE dst END NOT IN (SELECT id FROM persons)"
+    " UNION ALL SELECT 'relations:' || id, 'source_ids' FROM (SELECT id, 'ord-' || unnest(sources) AS s FROM rels) WHERE s NOT IN (SELECT id FROM src)"
+    " UNION ALL SELECT 'relations:' || id, 'breaks' FROM rels WHERE first_order % 37 = 0"
+    " UNION ALL SELECT 'statements:' || doc_id, 'person' FROM documents WHERE doc_id % 101 + 1 NOT IN (SELECT id FROM persons)"
+    " UNION ALL SELECT 'statements:' || doc_id, 'source' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.id = 'src-' || d.source)"
+    " UNION ALL SELECT 'persons:' || id, 'source_ids' FROM (SELECT id, 'ord-' || unnest(source_ids) AS s FROM persons) WHERE s NOT IN (SELECT id FROM src))",
+    select="SELECT 'error' AS level, 'reference' AS rule, entity, message FROM bad",
+)
+_rule("rule_vocabulary", "error", "institution", "persons", _PERSONS, rows="SELECT id, 'activities' AS m FROM persons WHERE id % 17 = 0 OR institution = 3 UNION ALL SELECT id, 'educations' FROM (SELECT id, unnest(educations) AS i FROM persons) WHERE i = 3", message="m")
+_rule("rule_unknown_keys", "error", "schema", "persons", _PERSONS, rows="SELECT id, array_to_string(list_filter([CASE WHEN id % 6 = 0 THEN 'age' END, CASE WHEN id % 9 = 0 THEN 'nickname' END], lambda x: x IS NOT NULL), ',') AS m FROM persons WHERE id % 6 = 0 OR id % 9 = 0", message="m")
 _rule("rule_single_token_name", "warning", "single-token-name", "persons", _PERSONS, rows="SELECT id FROM persons WHERE trim(name) <> '' AND NOT regexp_matches(trim(name), '\\s')")
 _rule("rule_missing_attr", "warning", "missing-attribution", "persons", _PERSONS, rows="SELECT id FROM persons WHERE attribution IS NULL")
 _rule("rule_verified_unsourced", "warning", "unsourced", "persons", _PERSONS, rows="SELECT id FROM persons WHERE status = 'verificado' AND n_sources = 0")
@@ -279,15 +315,18 @@ _rule("rule_direction", "warning", "direction", "relations", _rels(), rows="SELE
 _rule("rule_period_format", "warning", "period", "relations", _rels(), rows="SELECT id FROM rels WHERE period <> '' AND NOT regexp_matches(period, '^((c\\.|ca\\.)\\s*)?(\\d{4}(-(\\d{4})?)?|-\\d{4}|anos \\d{4}|d[ée]cada de \\d{4})$')")
 _rule("rule_long_excerpt", "warning", "long-excerpt", "relations", _rels(), rows="SELECT id FROM rels WHERE excerpt_chars > 400")
 _KEY = "CASE WHEN sym OR type NOT IN ('mestre-aprendiz','estudo','dissidencia') THEN least(src, dst) || '-' || greatest(src, dst) ELSE src || '-' || dst END || '-' || type"
-_rule("rule_duplicate_key", "error", "duplicate", "relations", _rels(), rows=f"SELECT {_KEY} AS id FROM (SELECT * FROM rels UNION ALL SELECT * FROM rels WHERE first_order % 31 = 0) GROUP BY 1 HAVING count(*) > 1")
+_rule("rule_duplicate_key", "error", "duplicate", "relations", _rels(), rows=f"SELECT {_KEY} AS id, count(*) AS n FROM (SELECT * FROM rels UNION ALL SELECT * FROM rels WHERE first_order % 31 = 0) GROUP BY 1 HAVING count(*) > 1", message="n::VARCHAR")
 _ALIAS = "aliases AS (SELECT CASE WHEN id % 13 = 0 THEN id + 1000000 ELSE id END AS id, 's ' || (id // 2) AS variant FROM persons)"
-_rule("rule_alias_target", "error", "alias", "aliases", _PERSONS, _ALIAS, rows="SELECT id FROM aliases WHERE id NOT IN (SELECT id FROM persons)")
-_rule("rule_alias_ambiguous", "warning", "ambiguous-alias", "aliases", _PERSONS, _ALIAS, rows="SELECT variant AS id FROM aliases GROUP BY variant HAVING count(DISTINCT id) > 1")
-_rule("rule_missing_file", "warning", "missing-file", "sources", rows="SELECT doc_id AS id FROM documents WHERE doc_id % 8 = 0")
-_SCHEMA = """SELECT 'persons:' || id AS e FROM persons WHERE id IS NULL OR trim(coalesce(name, '')) = '' OR death < birth
- UNION ALL SELECT 'relations:' || id FROM rels WHERE src IS NULL OR dst IS NULL OR src = dst OR type IS NULL OR confidence IS NULL"""
-_q("rule_schema", _PERSONS, _rels(), select=f"SELECT 'error' AS level, 'schema' AS rule, e AS entity FROM ({_SCHEMA})")
-_NAMES = "schema referential vocabulary single_token_name missing_attr verified_unsourced evidence direction period_format long_excerpt duplicate_key alias_target alias_ambiguous missing_file".split()
+_rule("rule_alias_target", "error", "alias", "aliases", _PERSONS, _ALIAS, rows="SELECT id FROM aliases WHERE id NOT IN (SELECT id FROM persons)", message="'person'")
+_rule("rule_alias_ambiguous", "warning", "ambiguous-alias", "aliases", _PERSONS, _ALIAS, rows="SELECT variant AS id, count(DISTINCT id) AS n FROM aliases GROUP BY variant HAVING count(DISTINCT id) > 1", message="n::VARCHAR")
+_rule("rule_missing_file", "warning", "missing-file", "sources", rows="SELECT doc_id AS id FROM documents WHERE doc_id % 8 = 0", message="'file'")
+_WRONG = {
+    "persons": {"id": "id IS NULL", "name": "trim(coalesce(name, '')) = ''", "death": "death < birth"},
+    "relations": {"src": "src IS NULL", "dst": "dst IS NULL", "same": "src = dst", "type": "type IS NULL", "confidence": "confidence IS NULL"},
+}
+_SCHEMA = " UNION ALL ".join(f"SELECT '{t}:' || id AS e, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, c in w.items())}], lambda x: x IS NOT NULL), ',') AS m FROM {'persons' if t == 'persons' else 'rels'}" for t, w in _WRONG.items())
+_q("rule_schema", _PERSONS, _rels(), select=f"SELECT 'error' AS level, 'schema' AS rule, e AS entity, m AS message FROM ({_SCHEMA}) WHERE m <> ''")
+_NAMES = "schema unknown_keys unique_id referential vocabulary single_token_name missing_attr verified_unsourced evidence direction period_format long_excerpt duplicate_key alias_target alias_ambiguous missing_file".split()
 ORACLES["validation_summary"] = "SELECT level, rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT level, rule FROM ({ORACLES['rule_' + n]})" for n in _NAMES) + ") GROUP BY level, rule"
 
 _REPLAY = """log AS (SELECT user_id AS source, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, (props::JSON ->> '$.k')::BIGINT AS item, CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'discard' WHEN 'view' THEN 'defer' WHEN 'click' THEN 'undo' END AS action FROM events WHERE event_type IN ('purchase','error','view','click')),
@@ -295,6 +334,7 @@ fold(source, seq, stack) AS (SELECT source, 0::BIGINT, []::BIGINT[] FROM (SELECT
 standing AS (SELECT l.* FROM (SELECT source, unnest(arg_max(stack, seq)) AS event_id FROM fold GROUP BY source) s JOIN log l ON l.source = s.source AND l.event_id = s.event_id)"""
 _q("replay_decisions", _REPLAY, select="SELECT source, event_id, item, action FROM standing", recursive=True)
 _q("decision_scoreboard", _REPLAY, select="SELECT source, count(*) FILTER (action = 'accept') AS accepted, count(*) FILTER (action = 'discard') AS discarded, count(*) FILTER (action = 'defer') AS deferred FROM standing GROUP BY source", recursive=True)
+_q("standing_effects", _REPLAY.replace("event_id, (props", "event_id, ts, (props"), select="SELECT item, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, arg_min(source, {'ts': ts, 'event_id': event_id, 'source': source}) AS first FROM standing WHERE action = 'accept' GROUP BY item", recursive=True)
 _q("queue_pending", _REPLAY, "last AS (SELECT source, item, arg_max(action, seq) AS action FROM standing GROUP BY source, item)", select="SELECT i.source, i.item, CASE WHEN action = 'defer' THEN 1 ELSE 0 END AS deferred FROM (SELECT DISTINCT source, item FROM log) i LEFT JOIN last l ON l.source = i.source AND l.item = i.item WHERE action IS NULL OR action = 'defer'", recursive=True)
 _q(
     "person_timeline", _PERSONS, _rels(), _NAMED, _iv("named"), "r AS (SELECT src, dst, src_name, dst_name, type, coalesce(pf, pl) AS y, pl AS e FROM dated WHERE coalesce(pf, pl) IS NOT NULL)",
@@ -316,7 +356,7 @@ matched AS (SELECT c.*, coalesce(k.n, 0) AS n_known, coalesce(u.n, 0) AS n_unkno
  LEFT JOIN (SELECT chunk_id, count(DISTINCT person) AS n FROM known GROUP BY chunk_id) k ON k.chunk_id = c.chunk_id LEFT JOIN (SELECT chunk_id, count(*) AS n FROM names GROUP BY chunk_id) u ON u.chunk_id = c.chunk_id
  LEFT JOIN (SELECT chunk_id, count(*) FILTER (grp <> 'depoimento') AS n, bool_or(grp = 'depoimento') AS statement, array_to_string(list_sort(list(DISTINCT type) FILTER (grp <> 'depoimento' AND type IS NOT NULL)), ',') AS types FROM trig GROUP BY chunk_id) t ON t.chunk_id = c.chunk_id WHERE NOT {_biblio("text")}),
 cand AS (SELECT * FROM matched WHERE (n_known + n_unknown > 0 AND n_triggers > 0) OR (statement AND n_known > 0) OR n_known >= 2),
-prop AS (SELECT chunk_id, source, doc_id, idx, doc_id % 20 AS src, doc_id % 17 AS dst, ['heranca','mestre-aprendiz','estudo','trabalho','societario','dissidencia','coautoria-pontual','unknown-type'][idx % 8 + 1] AS type, CASE WHEN doc_id % 9 = 0 THEN 'timeout' END AS error, CASE WHEN idx % 3 = 0 THEN 'made up words' ELSE substr(text, 3, 25) END AS excerpt, text FROM cand),
+prop AS (SELECT chunk_id, source, doc_id, idx, statement, doc_id % 100 AS source_id, doc_id % 20 AS src, doc_id % 17 AS dst, ['heranca','mestre-aprendiz','estudo','trabalho','societario','dissidencia','coautoria-pontual','unknown-type'][idx % 8 + 1] AS type, CASE WHEN doc_id % 9 = 0 THEN 'timeout' END AS error, CASE WHEN idx % 3 = 0 THEN 'made up words' ELSE substr(text, 3, 25) END AS excerpt, text FROM cand),
 lit AS (SELECT *, lower(trim(regexp_replace(excerpt, '\\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM prop)"""
 _q("unknown_names", _FUNNEL, select="SELECT chunk_id, name FROM names WHERE chunk_id IN (SELECT chunk_id FROM matched)")
 _SCORE = "4 * n_known + 2 * n_unknown + n_triggers + CASE WHEN n_known >= 2 THEN 4 ELSE 0 END AS score2"
@@ -338,17 +378,18 @@ _q(
     select="SELECT id AS source, processed, priority, d.n AS documents, coalesce(c.n, 0) AS chunks, coalesce(k.n, 0) AS candidates, coalesce(k.done, 0) AS extracted FROM sources s JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) d ON d.source = id LEFT JOIN (SELECT source, count(*) AS n FROM chunks GROUP BY source) c ON c.source = id LEFT JOIN per k ON k.source = id",
 )
 _q("pending_candidates", _FUNNEL, select="SELECT chunk_id, source FROM cand WHERE chunk_id NOT IN (SELECT chunk_id FROM prop WHERE error IS NULL AND right(chunk_id, 1) <> '1')")
-_q("import_extractions", _FUNNEL, select="SELECT chunk_id, CASE WHEN type = 'unknown-type' THEN 'bad-schema' WHEN NOT (x <> '' AND contains(t, x)) THEN 'not-literal' ELSE 'accepted' END AS status FROM lit")
+_q("import_extractions", _FUNNEL, select="SELECT chunk_id, CASE WHEN type = 'unknown-type' THEN 'bad-schema' WHEN NOT (x <> '' AND contains(t, x)) THEN 'not-literal' ELSE 'accepted' END AS status FROM lit UNION ALL SELECT 'gone-' || chunk_id, 'unknown-candidate' FROM lit WHERE idx % 5 = 0")
+_q("extraction_stats", _FUNNEL, select="SELECT source, count(*) AS rows, count(error) AS failed, count(*) FILTER (error IS NULL) AS relations, count(*) FILTER (error IS NULL AND statement) AS statements FROM prop GROUP BY source")
 _q("upsert_extractions", _FUNNEL, select="SELECT chunk_id, type, 'old' AS version FROM prop WHERE idx % 2 = 0 AND idx % 3 <> 0 UNION ALL SELECT chunk_id, type, 'new' FROM prop WHERE idx % 3 = 0")
 _q("restore_extractions", _FUNNEL, select="SELECT coalesce(s.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN n.chunk_id IS NULL THEN 'added' WHEN n.error IS NOT NULL THEN 'replaced' ELSE 'kept' END AS status FROM (SELECT chunk_id FROM prop WHERE error IS NULL) s FULL JOIN (SELECT chunk_id, error FROM prop WHERE idx % 2 = 0) n ON n.chunk_id = s.chunk_id")
 _q("unlinked_mentions", _FUNNEL, select=f"SELECT name, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM all_names WHERE contains(name, ' ') AND name NOT IN (SELECT {_norm('name')} FROM told) GROUP BY name ORDER BY n DESC, name LIMIT 100")
 _KEYED = "CASE WHEN {0}type NOT IN ('mestre-aprendiz','estudo','dissidencia') THEN least({0}src, {0}dst) || '-' || greatest({0}src, {0}dst) ELSE {0}src || '-' || {0}dst END || '-' || {0}type"
-_FIRST = f"firsts AS (SELECT {_KEYED.format('')} AS k, min(id) AS relation FROM rels GROUP BY 1)"
-_q("find_duplicates", _rels(), _FIRST, _FUNNEL, select=f"SELECT chunk_id, relation FROM prop p LEFT JOIN firsts ON k = {_KEYED.format('p.')} WHERE src <> dst")
-_QUEUE = f"queue AS (SELECT chunk_id || '-r1' AS item, 'relation' AS category, relation, array_to_string(list_filter([CASE WHEN src = dst THEN 'same-person' END, CASE WHEN relation IS NOT NULL THEN 'duplicate' END, CASE WHEN NOT (x <> '' AND contains(t, x)) THEN 'not-literal' END, CASE WHEN type = 'unknown-type' THEN 'bad-type' END], lambda a: a IS NOT NULL), ',') AS alerts FROM lit p LEFT JOIN firsts ON k = {_KEYED.format('p.')} WHERE error IS NULL)"
-_q("build_queue", _rels(), _FIRST, _FUNNEL, _QUEUE, select="SELECT item, category, relation, alerts FROM queue")
+_FIRST = f"firsts AS (SELECT {_KEYED.format('')} AS k, min(id) AS relation, arg_min(sources, id) AS sources FROM rels GROUP BY 1)"
+_q("find_duplicates", _rels(), _FIRST, _FUNNEL, select=f"SELECT chunk_id, relation, CASE WHEN relation IS NOT NULL THEN list_contains(sources, source_id) END AS same_source, coalesce((SELECT string_agg(id, ',' ORDER BY r.type, id) FROM rels r WHERE least(r.src, r.dst) = least(p.src, p.dst) AND greatest(r.src, r.dst) = greatest(p.src, p.dst) AND r.type <> p.type), '') AS other_links FROM prop p LEFT JOIN firsts ON k = {_KEYED.format('p.')} WHERE src <> dst")
+_QUEUE = f"queue AS (SELECT chunk_id || '-r1' AS item, 'relation' AS category, relation, array_to_string(list_filter([CASE WHEN src = dst THEN 'same-person' END, CASE WHEN relation IS NOT NULL THEN 'duplicate' END, CASE WHEN NOT (x <> '' AND contains(t, x)) THEN 'not-literal' END, CASE WHEN type = 'unknown-type' THEN 'bad-type' END], lambda a: a IS NOT NULL), ',') AS alerts, doc_id FROM lit p LEFT JOIN firsts ON k = {_KEYED.format('p.')} WHERE error IS NULL UNION ALL SELECT chunk_id || '-d1', 'statement', NULL, 'statement', doc_id FROM prop WHERE error IS NULL AND statement)"
+_q("build_queue", _rels(), _FIRST, _FUNNEL, _QUEUE, select="SELECT item, category, relation, alerts, doc_id FROM queue")
 _q("queue_stats", _rels(), _FIRST, _FUNNEL, _QUEUE, select="SELECT category, count(*) AS items, count(relation) AS duplicates, count(*) FILTER (alerts = '') AS clean FROM queue GROUP BY category")
-_q("extraction_recall", _rels(), _FUNNEL, "gold AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, type FROM rels WHERE confidence = 'documentado'), said AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, type FROM prop WHERE error IS NULL AND src <> dst)", select="SELECT (SELECT count(*) FROM gold) AS gold, (SELECT count(*) FROM gold JOIN said USING (a, b, type)) AS found, (SELECT count(*) FROM (SELECT DISTINCT a, b FROM said) s WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.a = s.a AND g.b = s.b)) AS false_pairs")
+_q("extraction_recall", _rels(), _FUNNEL, "gold AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, type FROM rels WHERE confidence = 'documentado'), said AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, type FROM prop WHERE error IS NULL AND src <> dst)", "o AS (SELECT (SELECT count(*) FROM gold) AS gold, (SELECT count(*) FROM gold JOIN said USING (a, b, type)) AS found, (SELECT count(*) FROM (SELECT DISTINCT a, b FROM said) s WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.a = s.a AND g.b = s.b)) AS false_pairs), c AS (SELECT count(*) AS pairs FROM (SELECT DISTINCT a, b FROM said))", select="SELECT *, found * 10 >= gold * 8 AS recall_met, false_pairs * 10 <= pairs * 2 AS false_met FROM o, c")
 _q(
     "prefilter_recall", _FUNNEL, "gold(a, b, type) AS (VALUES (1::BIGINT, 4::BIGINT, 'trabalho'), (2, 4, 'estudo'), (3, 4, 'societario'), (1, 2, 'heranca'), (5, 6, 'estudo'))",
     "pos AS (SELECT chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS p FROM chunks), has AS (SELECT DISTINCT k.chunk_id, pos.doc_id, p, person FROM known k JOIN pos ON pos.chunk_id = k.chunk_id)",

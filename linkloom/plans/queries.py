@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import period as P
 from linkloom.functions import text as X
 from linkloom.functions import vocab as V
-from linkloom.operators import centrality, curation, funnel, graph, resolution, rules
+from linkloom.operators import centrality, curation, editing, funnel, graph, resolution, rules
 from linkloom.operators import relations as R
 from linkloom.sources import testdata as S
 
@@ -715,7 +715,7 @@ def _proposals(spark, d):
     """Extraction proposals: one for each candidate chunk, with a pair, a type and an excerpt."""
     c = _candidates(spark, d)
     kind = F.element_at(F.array(*map(F.lit, [*V.RELATION_TYPES, "unknown-type"])), (F.col("idx") % 8 + 1).cast("int"))
-    return c.select("chunk_id", "source", "doc_id", "idx", (F.col("doc_id") % 20).alias("src"), (F.col("doc_id") % 17).alias("dst"), kind.alias("type"), F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"), F.when(F.col("idx") % 3 == 0, "made up words").otherwise(F.substring("text", 3, 25)).alias("excerpt"), "text")
+    return c.select("statement", (F.col("doc_id") % 100).alias("source_id"), "chunk_id", "source", "doc_id", "idx", (F.col("doc_id") % 20).alias("src"), (F.col("doc_id") % 17).alias("dst"), kind.alias("type"), F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"), F.when(F.col("idx") % 3 == 0, "made up words").otherwise(F.substring("text", 3, 25)).alias("excerpt"), "text")
 
 
 @query
@@ -724,7 +724,9 @@ def extraction_recall(spark, d):
     said = _proposals(spark, d).where("error is null and src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "type").distinct()
     n_gold, hit = gold.agg(F.count("*").alias("gold")), gold.join(said, ["a", "b", "type"], "left_semi").agg(F.count("*").alias("found"))
     wrong = said.select("a", "b").distinct().join(gold.select("a", "b").distinct(), ["a", "b"], "left_anti").agg(F.count("*").alias("false_pairs"))
-    return n_gold.crossJoin(hit).crossJoin(wrong)
+    pairs = said.select("a", "b").distinct().agg(F.count("*").alias("pairs"))
+    one = n_gold.crossJoin(hit).crossJoin(wrong).crossJoin(pairs)
+    return one.select("*", (F.col("found") * 10 >= F.col("gold") * 8).alias("recall_met"), (F.col("false_pairs") * 10 <= F.col("pairs") * 2).alias("false_met"))
 
 
 @query
@@ -736,9 +738,27 @@ def pending_candidates(spark, d):
 @query
 def import_extractions(spark, d):
     """Rows that may be imported: of a known candidate, of a known type, with an excerpt that is literal."""
+    p = graph.cut(_proposals(spark, d))
+    foreign = p.where("idx % 5 = 0").select(F.concat(F.lit("gone-"), F.col("chunk_id")).alias("chunk_id"), "type", "excerpt")
+    rows = p.select("chunk_id", "type", "excerpt").unionAll(foreign)
+    known = p.select("chunk_id", "text")
+    bad, there = ~F.col("type").isin(V.RELATION_TYPES), F.col("text").isNotNull()
+    status = F.when(~there, "unknown-candidate").when(bad, "bad-schema").when(~X.is_literal(F.col("excerpt"), F.col("text")), "not-literal").otherwise("accepted")
+    return rows.join(known, "chunk_id", "left").select("chunk_id", status.alias("status"))
+
+
+@query
+def extraction_stats(spark, d):
+    """Rows, failures and proposals of an extraction run by source."""
     p = _proposals(spark, d)
-    status = F.when(~F.col("type").isin(V.RELATION_TYPES), "bad-schema").when(~X.is_literal(F.col("excerpt"), F.col("text")), "not-literal").otherwise("accepted")
-    return p.select("chunk_id", status.alias("status"))
+    return p.groupBy("source").agg(F.count("*").alias("rows"), F.count("error").alias("failed"), F.count_if(F.col("error").isNull()).alias("relations"), F.count_if(F.col("error").isNull() & F.col("statement")).alias("statements"))
+
+
+@query
+def extraction_prompts(spark, d):
+    """The message that asks for the relations of each candidate."""
+    c = funnel.with_context(_chunks(spark, d)).select("chunk_id", "before", "after")
+    return _candidates(spark, d).join(c, "chunk_id").select("chunk_id", X.prompt(F.col("source"), F.col("doc_id"), F.col("before"), F.col("text"), F.col("after"), F.transform("known", lambda x: x["phrase"]), F.col("unknown")).alias("prompt"))
 
 
 @query
@@ -784,25 +804,33 @@ def _keyed(df):
     return df.withColumns({"ka": a, "kb": b})
 
 
+def _first_relations(spark, d):
+    """The first relation of each key, with its sources."""
+    return _keyed(S.relations(spark, d)).groupBy("ka", "kb", "type").agg(F.min("id").alias("relation"), F.min_by("sources", "id").alias("sources"))
+
+
 @query
 def find_duplicates(spark, d):
-    p = _keyed(_proposals(spark, d).where("src <> dst")).select("chunk_id", "ka", "kb", "type")
-    r = _keyed(S.relations(spark, d)).groupBy("ka", "kb", "type").agg(F.min("id").alias("relation"))
-    return p.join(r, ["ka", "kb", "type"], "left").select("chunk_id", "relation")
+    """The relation that a proposal repeats, whether it has the same source already, and what else links the pair."""
+    p = _keyed(_proposals(spark, d).where("src <> dst")).select("chunk_id", "ka", "kb", "type", "source_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    r = S.relations(spark, d).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.array_sort(F.collect_list(F.struct("type", "id"))).alias("links"))
+    out = p.join(_first_relations(spark, d), ["ka", "kb", "type"], "left").join(r, ["a", "b"], "left")
+    others = F.transform(F.filter("links", lambda x: x["type"] != F.col("type")), lambda x: x["id"])
+    return out.select("chunk_id", "relation", F.when(F.col("relation").isNotNull(), F.array_contains("sources", F.col("source_id"))).alias("same_source"), F.coalesce(F.array_join(others, ","), F.lit("")).alias("other_links"))
 
 
 @query
 def build_queue(spark, d):
-    p = _keyed(_proposals(spark, d).where("error is null"))
-    r = _keyed(S.relations(spark, d)).groupBy("ka", "kb", "type").agg(F.min("id").alias("relation"))
-    j = p.join(r, ["ka", "kb", "type"], "left")
+    """Relations and statements that extractions propose, with what a curator should look at."""
+    rows = graph.cut(_proposals(spark, d).where("error is null"))
+    j = _keyed(rows).join(_first_relations(spark, d), ["ka", "kb", "type"], "left")
+    literal = X.is_literal(F.col("excerpt"), F.col("text"))
     alerts = F.filter(
-        F.array(
-            F.when(F.col("src") == F.col("dst"), "same-person"), F.when(F.col("relation").isNotNull(), "duplicate"), F.when(~X.is_literal(F.col("excerpt"), F.col("text")), "not-literal"), F.when(~F.col("type").isin(V.RELATION_TYPES), "bad-type")
-        ),
-        lambda x: x.isNotNull(),
+        F.array(F.when(F.col("src") == F.col("dst"), "same-person"), F.when(F.col("relation").isNotNull(), "duplicate"), F.when(~literal, "not-literal"), F.when(~F.col("type").isin(V.RELATION_TYPES), "bad-type")), lambda x: x.isNotNull()
     )
-    return j.select(F.concat("chunk_id", F.lit("-r1")).alias("item"), F.lit("relation").alias("category"), "relation", F.array_join(alerts, ",").alias("alerts"))
+    said = rows.where("statement").select(F.concat("chunk_id", F.lit("-d1")).alias("item"), F.lit("statement").alias("category"), F.lit(None).cast("string").alias("relation"), F.lit("statement").alias("alerts"), "doc_id")
+    linked = j.select(F.concat("chunk_id", F.lit("-r1")).alias("item"), F.lit("relation").alias("category"), "relation", F.array_join(alerts, ",").alias("alerts"), "doc_id")
+    return linked.unionByName(said).orderBy("doc_id", "item")
 
 
 @query
@@ -843,7 +871,60 @@ def learn_aliases(spark, d):
 def merge_relations(spark, d):
     r = S.relations(spark, d).select(F.col("id").alias("key"), "sources")
     accepted = S.relations(spark, d).select(F.when(F.col("first_order") % 5 == 0, F.concat(F.lit("new-"), F.col("id"))).otherwise(F.col("id")).alias("key"), (F.col("first_order") % 100).alias("source")).where("source % 2 = 0")
-    return curation.merge(r, accepted)
+    return curation.merge(r, accepted).select("key", F.array_join("sources", ",").alias("sources"), "is_new", "n_accepted")
+
+
+@query
+def standing_effects(spark, d):
+    return curation.effects(_log(spark, d)).select("item", F.array_join("sources", ",").alias("sources"), "first")
+
+
+@query
+def create_persons(spark, d):
+    """Names anew: of suppliers (taken already, some twice), of one word, and blank."""
+    p = S.persons(spark, d)
+    old = p.select(X.slugify(F.col("name")).alias("id")).unionAll(p.where("id % 6 = 0").select(F.concat(X.slugify(F.col("name")), F.lit("-2"))))
+    twice = p.select(F.explode(F.array((2 * F.col("id")).alias("s"), 2 * F.col("id") + 1)).alias("seq"), "id", "name")
+    name = F.when(F.col("id") % 4 == 0, F.col("name")).when(F.col("id") % 4 == 1, F.lit("Nova Pessoa")).when(F.col("id") % 4 == 2, F.concat(F.lit("Só"), F.col("id").cast("string"))).otherwise(F.lit("  "))
+    return editing.create_persons(old, twice.select("seq", name.alias("name"))).select("seq", "id", "name", "status", "issue")
+
+
+def _decided(spark, d):
+    """Accepted relations: some repeat old ones, some are of a new type, and some can't be carried out."""
+    r, k = S.relations(spark, d), F.col("first_order")
+    return r.where("first_order % 3 <> 1").select(
+        F.col("id").alias("seq"), F.when(k % 17 == 0, -1).otherwise(F.col("src")).alias("src"), F.when(k % 13 == 0, F.col("src")).otherwise(F.col("dst")).alias("dst"), F.when(k % 11 == 0, "dissidencia").when(k % 23 == 0, "friends").otherwise(F.col("type")).alias("type"),
+        "symmetric", F.when(k % 5 == 0, "hipotese").alias("confidence"), F.when(k % 7 != 0, k % 50).alias("source"), F.when(k % 10 == 0, " check ").alias("issue"),
+    )
+
+
+def _known_sources(spark, d):
+    return spark.range(45).select("id")
+
+
+@query
+def relation_refusals(spark, d):
+    return editing.refusals(_decided(spark, d), S.persons(spark, d), _known_sources(spark, d)).where("refused is not null").select("seq", "refused")
+
+
+@query
+def accept_relations(spark, d):
+    old = S.relations(spark, d).select("id", "src", "dst", "type", "symmetric", "confidence", F.col("sources").alias("source_ids"), "issue")
+    sound = editing.refusals(_decided(spark, d), S.persons(spark, d), _known_sources(spark, d)).where("refused is null").drop("refused")
+    return editing.accept_relations(old, sound).withColumn("source_ids", F.array_join("source_ids", ","))
+
+
+@query
+def accept_statements(spark, d):
+    said = F.element_at(F.array(*map(F.lit, ["sim", "Não", "true", "talvez", "FALSE"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 150).alias("person"), said.alias("affirms"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit(" point "), F.col("doc_id").cast("string"))).otherwise(F.lit("  ")).alias("argument"), "source")
+    return editing.accept_statements(S.statements(spark, d), rows, S.persons(spark, d), S.sources(spark, d).where("processed"))
+
+
+@query
+def mark_processed(spark, d):
+    marks = S.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("id"), (F.col("doc_id") % 2 == 0).alias("processed")).where("id is not null and doc_id % 3 = 0")
+    return editing.mark_processed(S.sources(spark, d), marks).select("id", "processed")
 
 
 # rules
@@ -862,10 +943,29 @@ def _aliases(spark, d):
     return p.select(F.when(F.col("id") % 13 == 0, F.col("id") + 1_000_000).otherwise(F.col("id")).alias("person"), F.concat(F.lit("S "), (F.floor(F.col("id") / 2)).cast("string")).alias("variant")).withColumn("id", F.col("person"))
 
 
+def _referring(spark, d):
+    """Relations, statements, persons and sources of which some references lead nowhere."""
+    named = lambda xs: F.transform(xs, lambda x: F.concat(F.lit("ord-"), x.cast("string")))
+    k = F.col("first_order")
+    r = S.relations(spark, d).select("id", F.when(k % 29 == 0, -1).otherwise(F.col("src")).alias("src"), F.when(k % 31 == 0, -2).otherwise(F.col("dst")).alias("dst"), named(F.col("sources")).alias("source_ids"), F.when(k % 37 == 0, "rel-gone").when(k % 2 == 0, F.col("id")).alias("breaks"))
+    st = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 101 + 1).alias("person"), F.concat(F.lit("src-"), "source").alias("source"))
+    p = S.persons(spark, d).select("id", named(F.col("source_ids")).alias("source_ids"))
+    src = S.table(spark, d, "orders").where("o_orderkey % 41 <> 0").select(F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("id")).unionAll(S.sources(spark, d).where("processed").select(F.concat(F.lit("src-"), "id")))
+    return r, st, p, src
+
+
+def _raw_persons(spark, d):
+    """Persons as raw JSON lines, some with keys of which the schema knows nothing."""
+    p = S.persons(spark, d)
+    line = F.to_json(F.struct("id", "name", F.when(F.col("id") % 9 == 0, F.lit("x")).alias("nickname"), F.when(F.col("id") % 6 == 0, F.lit(1)).alias("age")))
+    return p.select("id", line.alias("value"))
+
+
 _rule("rule_schema", lambda s, d: rules.schema(S.persons(s, d), S.relations(s, d)))
-_rule("rule_unique_id", lambda s, d: rules.unique_id(S.table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")), "lines"))
-_rule("rule_referential", lambda s, d: rules.missing_reference(S.relations(s, d).withColumn("ref", F.when(F.col("first_order") % 29 == 0, -1).otherwise(F.col("src"))), "ref", S.persons(s, d), "relations"))
-_rule("rule_vocabulary", lambda s, d: rules.missing_reference(S.persons(s, d).withColumn("ref", F.when(F.col("id") % 17 == 0, 99).otherwise(F.col("institution"))), "ref", S.institutions(s, d), "persons", "institution"))
+_rule("rule_unknown_keys", lambda s, d: rules.unknown_keys(_raw_persons(s, d), ["id", "name"], "persons"))
+_rule("rule_unique_id", lambda s, d: rules.unique_id(S.table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", (F.col("l_linenumber") % 5).cast("string")).alias("id")), "lines"))
+_rule("rule_referential", lambda s, d: rules.references(*_referring(s, d)))
+_rule("rule_vocabulary", lambda s, d: rules.vocabulary(S.persons(s, d).withColumn("activities", F.when(F.col("id") % 17 == 0, F.array(F.lit(99).cast("long"))).otherwise(F.col("activities"))), S.institutions(s, d).where("id <> 3")))
 _rule("rule_single_token_name", lambda s, d: rules.single_token_name(S.persons(s, d)))
 _rule("rule_missing_attr", lambda s, d: rules.where(S.persons(s, d), F.col("attribution").isNull(), "warning", "missing-attribution", "persons"))
 _rule("rule_verified_unsourced", lambda s, d: rules.where(S.persons(s, d), (F.col("status") == "verificado") & (F.col("n_sources") == 0), "warning", "unsourced", "persons"))
@@ -877,4 +977,4 @@ _rule("rule_duplicate_key", lambda s, d: rules.duplicate_key(S.relations(s, d).u
 _rule("rule_alias_target", lambda s, d: rules.missing_reference(_aliases(s, d), "person", S.persons(s, d), "aliases", "alias"))
 _rule("rule_alias_ambiguous", lambda s, d: rules.ambiguous_alias(_aliases(s, d)))
 _rule("rule_missing_file", lambda s, d: rules.missing_reference(_files(s, d).select(F.col("doc_id").alias("id"), "file"), "file", _files(s, d).where("doc_id % 8 <> 0").select(F.col("file").alias("id")), "sources", "missing-file", "warning"))
-_rule("validation_summary", lambda s, d: rules.summary(*(QUERIES[f"rule_{x}"](s, d) for x in ("schema", "referential", "vocabulary", "single_token_name", "missing_attr", "verified_unsourced", "evidence", "direction", "period_format", "long_excerpt", "duplicate_key", "alias_target", "alias_ambiguous", "missing_file"))))
+_rule("validation_summary", lambda s, d: rules.summary(*(QUERIES[f"rule_{x}"](s, d) for x in ("schema", "unknown_keys", "unique_id", "referential", "vocabulary", "single_token_name", "missing_attr", "verified_unsourced", "evidence", "direction", "period_format", "long_excerpt", "duplicate_key", "alias_target", "alias_ambiguous", "missing_file"))))
