@@ -90,6 +90,8 @@ begun AS (SELECT *, CASE WHEN prev IS NOT NULL AND position(right(prev, 1) IN '.
 islands AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM begun),
 paragraphs AS (SELECT doc_id, source, min(idx) AS idx, string_agg(text, ' ' ORDER BY idx) AS text FROM islands GROUP BY doc_id, source, n),
 chunks AS (SELECT doc_id || '-' || idx AS chunk_id, doc_id, idx, source, text FROM paragraphs WHERE length(text) >= 40 AND NOT {_noise("text")})"""
+_ALIASES = "aliases(person, name) AS (VALUES (1::BIGINT,'Apache License'),(2,'General Public License'),(3,'MIT License'),(4,'Rights Reserved'),(5,'Creative Commons'),(6,'CC BY-NC'),(2,'Public License version 3'),(7,'License'),(8,'General Public License'))"
+_NAMES_ = f"{_ALIASES}, told AS (SELECT s_suppkey AS person, s_name AS name FROM supplier UNION ALL SELECT * FROM aliases)"
 _UPPER, _LOWER = "A-ZÁÉÍÓÚÂÊÔÃÕÇ", "a-záéíóúâêôãõç"
 
 
@@ -100,8 +102,6 @@ def _biblio(c: str) -> str:
     return f"({authors} >= 3 OR ({authors} >= 1 AND {marks} >= 3) OR {marks} >= 5)"
 
 
-_ALIASES = "aliases(person, name) AS (VALUES (1::BIGINT,'Apache License'),(2,'General Public License'),(3,'MIT License'),(4,'Rights Reserved'),(5,'Creative Commons'),(6,'CC BY-NC'),(2,'Public License version 3'),(7,'License'),(8,'General Public License'))"
-_NAMES_ = f"{_ALIASES}, told AS (SELECT s_suppkey AS person, s_name AS name FROM supplier UNION ALL SELECT * FROM aliases)"
 _LEXICON = "lexicon(grp, type, pattern) AS (VALUES ('sociedade','societario','licen[sc]ed? under'),('sociedade','societario','of the (?:in|on|th)'),('ensino','mestre-aprendiz','releas[a-z]+ under'),('ensino','mestre-aprendiz','der (?:die|das)'),('estudo','estudo','this (?:work|software)'),('estudo','estudo','de l[ao]s? '),('trabalho','trabalho','in the'),('depoimento',NULL,'all rights'))"
 
 
@@ -165,7 +165,8 @@ _q(
 _q("clean_person_name", _PERSONS, select="SELECT id, name AS clean FROM persons")
 _q("infer_surname", select="SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 2) ELSE coalesce(list_extract(list_filter(string_split(p_name, ' '), lambda x: length(x) > 2), -1), CASE WHEN p_partkey % 3 = 1 THEN 'Filho' ELSE split_part(p_name, ' ', -1) END) END AS surname FROM part")
 _FILES = "files AS (SELECT doc_id, ['TCC Ana_Silva','dissertacao','TESE Joao Lima (2)','revista','anais 1987','scan 2004 1998 2004'][doc_id % 6 + 1] || '_' || doc_id || '.pdf' AS file, CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 3 = 0 THEN 'Microsoft Word' END AS declared, substr(coalesce(text, ''), 1, 1500) AS opening FROM documents)"
-_q("infer_source_type", _FILES, "n AS (SELECT doc_id, " + _norm("file || ' ' || substr(opening, 1, 600)") + " AS n FROM files)", select="SELECT doc_id, CASE WHEN regexp_matches(n, 'tcc|trabalho de conclusao|trabalho final de graduacao') THEN 'tcc' WHEN regexp_matches(n, 'dissert|mestrado') THEN 'dissertacao' WHEN regexp_matches(n, '(^|[^a-z0-9_])tese([^a-z0-9_]|$)|doutorado') THEN 'tese' WHEN regexp_matches(n, 'arquitextos|revista|vitruvius|artigo') THEN 'artigo' WHEN regexp_matches(n, 'anais|seminario|docomomo') THEN 'anais' ELSE 'outro' END AS type FROM n")
+_KINDS = "n AS (SELECT doc_id, " + _norm("file || ' ' || substr(opening, 1, 600)") + " AS n FROM files)"
+_q("infer_source_type", _FILES, _KINDS, select="SELECT doc_id, CASE WHEN regexp_matches(n, 'tcc|trabalho de conclusao|trabalho final de graduacao') THEN 'tcc' WHEN regexp_matches(n, 'dissert|mestrado') THEN 'dissertacao' WHEN regexp_matches(n, '(^|[^a-z0-9_])tese([^a-z0-9_]|$)|doutorado') THEN 'tese' WHEN regexp_matches(n, 'arquitextos|revista|vitruvius|artigo') THEN 'artigo' WHEN regexp_matches(n, 'anais|seminario|docomomo') THEN 'anais' ELSE 'outro' END AS type FROM n")
 _YEARS = "y AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(' ' || file || ' ' || opening || ' ', '[^0-9A-Za-z_]', '  ', 'g'), ' (19[2-9][0-9]|20[0-2][0-9]) ', 1))::INT AS year FROM files), years AS (SELECT doc_id, max(year) AS year FROM (SELECT doc_id, year, rank() OVER (PARTITION BY doc_id ORDER BY count(*) DESC) AS r FROM y GROUP BY doc_id, year) WHERE r = 1 GROUP BY doc_id)"
 _q("infer_year", _FILES, _YEARS, select="SELECT f.doc_id, year FROM files f LEFT JOIN years y ON y.doc_id = f.doc_id")
 _AUTHOR = """authors AS (SELECT doc_id, file, CASE WHEN s <> '' THEN trim(replace(s, '_', ' ')) WHEN length(declared) > 3 AND NOT regexp_matches(lower(declared), '@|\\.com|user|admin|windows|microsoft') THEN declared END AS author
@@ -176,7 +177,8 @@ _q(
     "sur AS (SELECT a.doc_id, y.year, regexp_replace(file, '\\.[^.]*$', '') AS stem, CASE WHEN author IS NOT NULL THEN coalesce(list_extract(list_filter(regexp_split_to_array(author, '[\\s,]+'), lambda x: lower(x) NOT IN ('filho','neto','junior','júnior','sobrinho') AND length(x) > 2), -1), list_extract(list_filter(regexp_split_to_array(author, '[\\s,]+'), lambda x: x <> ''), -1)) END AS sur FROM authors a LEFT JOIN years y ON y.doc_id = a.doc_id)",
     "based AS (SELECT doc_id, substr(" + _slug("CASE WHEN sur IS NOT NULL AND year IS NOT NULL THEN sur || '-' || year ELSE coalesce(sur, stem) END") + ", 1, 48) AS b FROM sur)",
     "num AS (SELECT doc_id, CASE WHEN b = '' THEN 'fonte' ELSE b END AS b, row_number() OVER (PARTITION BY CASE WHEN b = '' THEN 'fonte' ELSE b END ORDER BY doc_id) AS rn FROM based)",
-    select="SELECT doc_id, CASE WHEN rn = 1 THEN b ELSE b || '-' || rn END AS id FROM num",
+    _KINDS, "kinds AS (SELECT doc_id, CASE WHEN regexp_matches(n, 'tcc|trabalho de conclusao|trabalho final de graduacao') THEN 'tcc' WHEN regexp_matches(n, 'dissert|mestrado') THEN 'dissertacao' WHEN regexp_matches(n, '(^|[^a-z0-9_])tese([^a-z0-9_]|$)|doutorado') THEN 'tese' WHEN regexp_matches(n, 'arquitextos|revista|vitruvius|artigo') THEN 'artigo' WHEN regexp_matches(n, 'anais|seminario|docomomo') THEN 'anais' ELSE 'outro' END AS type FROM n)",
+    select="SELECT n.doc_id, CASE WHEN rn = 1 THEN b ELSE b || '-' || rn END AS id, type, author, trim(translate(regexp_replace(a.file, '\\.[^.]*$', ''), '_+', '  ')) AS title, year, 'raw_pdfs/' || a.file AS file, false AS processed, true AS automatic FROM num n JOIN authors a ON a.doc_id = n.doc_id JOIN kinds k ON k.doc_id = n.doc_id LEFT JOIN years y ON y.doc_id = n.doc_id",
 )
 _q("inventory_new_sources", _FILES, select="SELECT file FROM files WHERE lower(file) NOT IN (SELECT lower(file) FROM files WHERE doc_id % 4 = 0)")
 _q("parse_period", _rels(), _iv(), select="SELECT id, period, pf AS first, pl AS last FROM dated")
@@ -252,10 +254,25 @@ _q(
     select="SELECT decade::INT AS decade, mode, r.n AS relations, nodes, e.n AS edges, c.n AS components, c.m AS largest, CASE WHEN nodes > 1 THEN 2.0::DOUBLE * e.n / (nodes * (nodes - 1)) ELSE 0.0::DOUBLE END AS density, clustering_bp FROM clu JOIN (SELECT decade, mode, count(*) AS n FROM edges GROUP BY ALL) e USING (decade, mode) JOIN (SELECT decade, mode, count(*) AS n FROM sl GROUP BY ALL) r USING (decade, mode) JOIN (SELECT decade, mode, count(*) AS n, max(size) AS m FROM sized GROUP BY ALL) c USING (decade, mode)", recursive=True,
 )
 _q("modularity", *_G, "k AS (SELECT node % 5 AS c, sum(weight20)::DOUBLE AS k FROM near GROUP BY 1), l AS (SELECT a % 5 AS c, sum(weight20)::DOUBLE AS l FROM edges WHERE a % 5 = b % 5 GROUP BY 1), m AS (SELECT sum(weight20)::DOUBLE AS m FROM edges)", select="SELECT sum(coalesce(l, 0) / m - (k / (2 * m)) * (k / (2 * m))) AS modularity FROM k LEFT JOIN l ON l.c = k.c, m")
-_q("graph_json_edges", *_G, select="""SELECT a, b, '{"a":' || a || ',"b":' || b || ',"dominant":"' || dominant || '","weight20":' || weight20 || '}' AS json FROM edges""")
-_q("graph_json_persons", _PERSONS, *_G, _DEGREES, select="""SELECT p.id, '{"id":' || p.id || ',"name":"' || name || '","role":' || coalesce('"' || role || '"', 'null') || ',"inst":' || coalesce('"' || n_name || '"', 'null') || ',"degree":' || degree || '}' AS json FROM persons p JOIN degrees d ON d.id = p.id LEFT JOIN nation ON n_nationkey = institution""")
-_q("export_persons_flat", _PERSONS, *_G, _DEGREES, select="SELECT p.id, name, coalesce(role, '') AS role, coalesce(attribution, '') AS attribution, coalesce(birth::VARCHAR, '') AS birth, coalesce(death::VARCHAR, '') AS death, degree, coalesce((SELECT string_agg(other::VARCHAR, '; ' ORDER BY other) FROM near WHERE node = p.id), '') AS neighbors FROM persons p JOIN degrees d ON d.id = p.id")
-_q("export_relations_flat", _PERSONS, _rels(), _NAMED, select="SELECT id, src_name, dst_name, type, coalesce(period, '') AS period, weight20, array_to_string(list_transform(sources, lambda x: 'ord-' || x), '; ') AS sources FROM named")
+_q("graph_json_edges", *_G, select="SELECT a, b, to_json({'a': a, 'b': b, 'n_relations': n_relations, 'weight20': weight20, 'dominant': dominant, 'types': types, 'confidences': confidences, 'only_hypotheses': only_hypotheses, 'n_sources': n_sources})::VARCHAR AS json FROM edges")
+_q(
+    "graph_json_persons", _PERSONS, *_G, _DEGREES, "own AS (SELECT x AS id, list_sort(list(r)) AS relations FROM (SELECT unnest([src, dst]) AS x, id AS r FROM rels) GROUP BY x)",
+    select="SELECT p.id, to_json({'id': p.id, 'name': name, 'birth': birth, 'death': death, 'attribution': attribution, 'role': role, 'status': status, 'issue': issue, 'activities': activities, 'educations': educations, 'degree': degree, 'strength20': strength20, 'relations': coalesce(relations, [])})::VARCHAR AS json FROM persons p JOIN degrees d ON d.id = p.id LEFT JOIN own o ON o.id = p.id",
+)
+_t = lambda c: f"coalesce({c}::VARCHAR, '')"
+_q(
+    "export_persons_flat", _PERSONS, *_GS, _DEGREES, _NAMES_, _WALK, "reach(node, other) AS (SELECT id, id FROM persons UNION SELECT r.node, n.other FROM reach r JOIN near n ON n.node = r.other)", _COMPS,
+    "nth AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM origins), far AS (SELECT h.node AS id, " + ", ".join(f"min(hops) FILTER (k = {k}) AS hops_{k}" for k in range(1, 5)) + " FROM hops h JOIN nth ON nth.node = origin GROUP BY h.node)",
+    "n AS (SELECT x AS id, count(*) AS n FROM (SELECT unnest([src, dst]) AS x FROM rels) GROUP BY x), inst AS (SELECT id, string_agg(i::VARCHAR, '; ' ORDER BY i) AS institutions FROM (SELECT id, unnest(activities) AS i FROM persons UNION SELECT id, unnest(educations) FROM persons) GROUP BY id)",
+    "also AS (SELECT person AS id, string_agg(name, '; ' ORDER BY name) AS aliases FROM aliases GROUP BY person)",
+    select="SELECT p.id, name, '' AS full_name, " + ", ".join(f"{_t(c)} AS {c}" for c in ("attribution", "role", "birth", "death")) + ", '' AS birthplace, status, coalesce(n.n, 0) AS n_relations, degree, strength20 / 20.0::DOUBLE AS strength, '' AS betweenness, '' AS closeness, '' AS eigenvector, number AS component, size AS component_size, '' AS community, degree = 0 AS isolated, "
+    + ", ".join(f"{_t(f'hops_{k}')} AS hops_{k}" for k in range(1, 5)) + ", coalesce(institutions, '') AS institutions, coalesce(aliases, '') AS aliases, array_to_string(source_ids, '; ') AS sources, coalesce(issue, '') AS issue"
+    " FROM persons p JOIN degrees d ON d.id = p.id JOIN comps c ON c.node = p.id JOIN ranked r ON r.comp = c.comp LEFT JOIN n ON n.id = p.id LEFT JOIN inst i ON i.id = p.id LEFT JOIN also a ON a.id = p.id LEFT JOIN far f ON f.id = p.id", recursive=True,
+)
+_q(
+    "export_relations_flat", _PERSONS, _rels(), _NAMED,
+    select="SELECT id, src, src_name, dst, dst_name, type, '' AS subtype, sym AS symmetric, coalesce(period, '') AS period, confidence, status, weight20 / 20.0::DOUBLE AS weight, n_sources, array_to_string(list_transform(sources, lambda x: 'ord-' || x), '; ') AS sources, array_to_string(list_transform(sources, lambda x: CASE WHEN x % 3 <> 0 THEN (x % 300)::VARCHAR ELSE '' END), '; ') AS pages, '' AS description, coalesce(issue, '') AS issue, '' AS breaks, '' AS entered_by, '' AS entered FROM named",
+)
 _q("lexicon_triggers", _CHUNKS, _HITS, select="SELECT chunk_id, grp, term FROM trig")
 _q("gazetteer_matches", _CHUNKS, _HITS, select="SELECT chunk_id, person, phrase FROM known")
 _q("name_variants", _CHUNKS, _HITS, select="SELECT phrase AS variant, len(string_split(phrase, ' '))::INT AS n_words, count(*) AS n_persons, string_agg(person::VARCHAR, ',' ORDER BY person) AS persons FROM gazetteer GROUP BY phrase")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import period as P
 from linkloom.functions import text as X
 from linkloom.functions import vocab as V
-from linkloom.operators import centrality, curation, editing, funnel, graph, resolution, rules
+from linkloom.operators import centrality, curation, editing, exports, funnel, graph, resolution, rules
 from linkloom.operators import relations as R
 from linkloom.sources import testdata as S
 
@@ -218,13 +218,16 @@ def infer_author(spark, d):
 
 @query
 def propose_source(spark, d):
-    f = _files(spark, d).select("doc_id", X.modal_year(F.concat_ws(" ", "file", "opening")).alias("year"), X.surname(X.author(F.col("file"), F.col("declared"))).alias("surname"), "file")
+    """A source for every file: its id, and what its name and text tell of it."""
+    opening = F.concat_ws(" ", "file", "opening")
+    f = _files(spark, d).select("doc_id", "file", X.modal_year(opening).alias("year"), X.author(F.col("file"), F.col("declared")).alias("author"), X.source_type(F.col("file"), F.col("opening")).alias("type"))
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    base = F.substring(X.slugify(F.when(F.col("surname").isNotNull() & F.col("year").isNotNull(), F.concat_ws("-", "surname", F.col("year").cast("string"))).otherwise(F.coalesce("surname", stem))), 1, 48)
-    named = f.select("doc_id", F.when(base == "", "fonte").otherwise(base).alias("base"))
+    who = X.surname(F.col("author"))
+    base = F.substring(X.slugify(F.when(who.isNotNull() & F.col("year").isNotNull(), F.concat_ws("-", who, F.col("year").cast("string"))).otherwise(F.coalesce(who, stem))), 1, 48)
+    named = f.withColumns({"base": F.when(base == "", "fonte").otherwise(base), "title": F.trim(F.translate(stem, "_+", "  "))})
     # numbering is by base, of which a common one is a sort of its ids alone
     rn = F.row_number().over(Window.partitionBy("base").orderBy("doc_id"))
-    return named.select("doc_id", F.when(rn == 1, F.col("base")).otherwise(F.concat_ws("-", "base", rn.cast("string"))).alias("id"))
+    return named.select("doc_id", F.when(rn == 1, F.col("base")).otherwise(F.concat_ws("-", "base", rn.cast("string"))).alias("id"), "type", "author", "title", "year", F.concat(F.lit("raw_pdfs/"), "file").alias("file"), F.lit(False).alias("processed"), F.lit(True).alias("automatic"))
 
 
 @query
@@ -599,30 +602,34 @@ def node_metrics(spark, d):
 
 @query
 def graph_json_persons(spark, d):
-    deg = node_degree(spark, d)
-    p = S.persons(spark, d).join(deg, "id")
-    i = S.institutions(spark, d).select(F.col("id").alias("institution"), F.col("name").alias("inst"))
-    return p.join(i, "institution", "left").select("id", F.to_json(F.struct("id", "name", "role", "inst", "degree"), {"ignoreNullFields": "false"}).alias("json"))
+    p = S.persons(spark, d).select("id", "name", "birth", "death", "attribution", "role", "status", "issue", "activities", "educations")
+    return exports.person_documents(p, S.relations(spark, d), node_degree(spark, d))
 
 
 @query
 def graph_json_edges(spark, d):
-    e = _edges(spark, d, "multi")
-    return e.select("a", "b", F.to_json(F.struct("a", "b", "dominant", "weight20")).alias("json"))
+    return exports.edge_documents(_edges(spark, d, "multi"))
 
 
 @query
 def export_persons_flat(spark, d):
-    near = R.both_ways(_edges(spark, d, "multi")).groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("other")), "; ").alias("neighbors"))
-    p = S.persons(spark, d).join(node_degree(spark, d), "id")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return p.join(near, p["id"] == near["node"], "left").select("id", "name", text("role"), text("attribution"), text("birth"), text("death"), "degree", text("neighbors"))
+    """All columns but those of whole-graph algorithms, which are empty here (see export_persons_measured)."""
+    p, r = S.persons(spark, d), S.relations(spark, d, "sparse")
+    return exports.persons_table(p, r, graph.cut(R.collapse(r)), S.names(spark, d).join(p.select(F.col("name")), "name", "left_anti"), _sparse_origins(spark, d))
+
+
+@query
+def export_persons_measured(spark, d):
+    """The same with all columns, on the dense graph."""
+    p, r = S.persons(spark, d), S.relations(spark, d, "dense")
+    measured = node_metrics(spark, d).select("id", "betweenness", "closeness", "eigenvector", "community")
+    return exports.persons_table(p, r, graph.cut(R.collapse(r)), S.names(spark, d).join(p.select(F.col("name")), "name", "left_anti"), [1, 2, 3, 4], measured)
 
 
 @query
 def export_relations_flat(spark, d):
-    r = R.with_weight(_named(spark, d))
-    return r.select("id", "src_name", "dst_name", "type", F.coalesce("period", F.lit("")).alias("period"), "weight20", F.array_join(F.transform("sources", lambda x: F.concat(F.lit("ord-"), x.cast("string"))), "; ").alias("sources"))
+    r = S.relations(spark, d).withColumns({"source_ids": F.transform("sources", lambda x: F.concat(F.lit("ord-"), x.cast("string"))), "pages": F.transform("sources", lambda x: F.when(x % 3 != 0, x % 300))})
+    return exports.relations_table(r, S.persons(spark, d))
 
 
 # the text funnel
