@@ -31,7 +31,7 @@ are seeded by bucket and sweep: a lost task that runs again draws the same.
 Defined results: a null text is an empty one; it has one token, its end.  Without
 training tokens every probability is the uniform base.  Very long texts are
 scored whole; their tokens are dealt like any others.  Rows are scored each,
-repeated or null ids included.
+repeated or null ids included.  Words count by 48-bit hashes.
 """
 
 from __future__ import annotations
@@ -51,12 +51,12 @@ from linkloom.llm.common import Batches, bounded_sample, cut, drop_table, ensure
 SWEEPS, SAMPLES = 3, 2
 STRENGTH, EXACT = 1.0, 32
 #: Tokens that a task packs together, and that a bucket holds in expectation; words in a bucket of words.
-FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_500_000, 3_000_000, 4_000_000
+FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 2_000_000, 3_000_000, 4_000_000
 #: Documents from which common words are told, and most of these; they only steer how tokens are dealt.
 PROBE_DOCUMENTS, COMMON = 2000, 1000
 SLICE = 1 << 18
 U64 = np.uint64
-START, END = U64(0x5354415254), U64(0x454E44454E44454E)
+START, END = U64(0x5354415254), U64(0x454E44454E44)
 
 
 def _tokens(s: K.Slice, starts: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def _tokens(s: K.Slice, starts: int, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     w = K.words(low, s.bounds)
     n = len(w.counts)
     out = np.full(len(w.starts) + n, END)
-    out[np.arange(len(w.starts)) + w.text] = K.span_hashes(low, w.starts, w.ends)
+    out[np.arange(len(w.starts)) + w.text] = K.span_hashes(low, w.starts, w.ends) >> U64(16)
     counts = w.counts + 1
     first = np.cumsum(counts) - counts
     one, two = np.empty_like(out), np.empty_like(out)
@@ -117,7 +117,7 @@ class Plan(NamedTuple):
     word_buckets: np.ndarray
 
     def word_bucket(self, words: np.ndarray) -> np.ndarray:
-        return ((words >> U64(20)) % U64(len(self.word_buckets))).astype(np.int64)
+        return (K.mix(words) % U64(len(self.word_buckets))).astype(np.int64)
 
     def common_at(self, words: np.ndarray) -> np.ndarray:
         """The place of each word among the common ones, -1 for others."""
@@ -139,14 +139,46 @@ def large(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
-_PACKED = "bucket long, flush long, dictionary binary, ones binary, lengths binary, twos binary, words binary, owners binary, times binary, header binary"
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Counts or sorted hashes' steps, byte plane by byte plane, compressed."""
+    planes, sizes = [], []
+    for x in arrays:
+        top = int(x.max()) if len(x) else 0
+        width = max(1, -(-top.bit_length() // 8))
+        planes.append(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+        sizes += [len(x), width]
+    raw = np.array([len(arrays), *sizes], dtype="<u4").tobytes() + b"".join(planes)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes | pa.Buffer) -> list[np.ndarray]:
+    """What squeeze packed, as int64."""
+    view = memoryview(blob)
+    raw = pa.decompress(view[4:], int.from_bytes(view[:4], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
+    sizes = np.frombuffer(raw, dtype="<u4", count=2 * n, offset=4).reshape(n, 2).tolist()
+    out, at = [], 4 + 8 * n
+    for count, width in sizes:
+        wide = np.zeros((count, 8), dtype=np.uint8)
+        wide[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=count * width, offset=at).reshape(width, count).T
+        out.append(wide.view("<i8").ravel())
+        at += count * width
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+_PACKED = "bucket long, flush long, tokens binary, header binary"
 
 
 def _deal(docs: DataFrame, plan: Plan, starts: int) -> DataFrame:
-    """(bucket, flush, ...): the occurrences of each bucket's contexts in one flush, packed.
+    """(bucket, flush, tokens, header): the occurrences of each bucket's contexts in one flush, packed.
 
-    dictionary: the words; ones (with lengths), twos and words are places in it; owners are places of documents in the
-    flush, doubled, plus one for those that aren't learned from; times: of each occurrence.  header, in one row of
+    tokens: steps of the sorted dictionary and each word's times in it, from which its rank follows; then, document by
+    document, the ranks of the words before, of those before these, and of the words; then the documents with their
+    tokens.  A document is its place in the flush, doubled, plus one if it isn't learned from.  header, in one row of
     each flush, has the flush's ids, held flags and token counts.
     """
     buckets = len(plan.buckets)
@@ -164,27 +196,26 @@ def _deal(docs: DataFrame, plan: Plan, starts: int) -> DataFrame:
             at = plan.common_at(one)
             hot = np.flatnonzero(at >= 0)
             bucket[hot] = (bucket[hot] + K.mix(two[hot] + U64(7)) % plan.parts[at[hot]].astype(np.uint64)) % U64(buckets)
-            order = np.argsort(bucket << U64(40) | K.mix(one) >> U64(24))
-            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=U64(buckets))), len(order))
+            bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
             rows = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 mine = order[a:b]
-                dictionary, places = np.unique(np.concatenate((one[mine], two[mine], t[mine])), return_inverse=True)
-                code = np.stack((*places.reshape(3, -1), owner[mine])).astype(np.uint32)
-                times = b""
-                if b - a > 4 * (len(t) // buckets + 1):  # a common context: equal occurrences in a document are packed as one
-                    code, n = np.unique(code, axis=1, return_counts=True)
-                    times = small(n)
-                new = np.flatnonzero(np.diff(code[0].astype(np.int64), prepend=-1))
-                lengths = np.diff(np.append(new, code.shape[1]))
-                rows.append((int(plan.buckets[bucket[mine[0]]]), base + serial, dictionary.tobytes(), small(code[0][new]), small(lengths), small(code[1]), small(code[2]), code[3].astype(np.uint16).tobytes(), times, None))
+                dictionary, places, times = np.unique(np.concatenate((one[mine], two[mine], t[mine])), return_inverse=True, return_counts=True)
+                rank = np.empty(len(dictionary), dtype=np.int64)
+                rank[np.argsort(-times, kind="stable")] = np.arange(len(dictionary))
+                who = owner[mine].astype(np.int64)
+                new = np.flatnonzero(np.diff(who, prepend=-1))
+                blob = squeeze(_steps(dictionary), times, *rank[places].reshape(3, -1), _steps(who[new]), np.diff(np.append(new, b - a)))
+                rows.append((int(plan.buckets[int(bucket[mine[0]])]), base + serial, blob, None))
             head = pa.table({"id": pa.concat_arrays([p[4] for p in pend]), "held": pa.array(held), "n": pa.array(counts.astype(np.int64))})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_table(head)
             rows[0] = (*rows[0][:-1], sink.getvalue().to_pybytes())
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 8)
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "flush", "tokens", "header"])
 
         for batch in batches:
             ids, held = batch.column("doc_id"), np.array(batch.column("held"), dtype=bool)
@@ -201,7 +232,6 @@ def _deal(docs: DataFrame, plan: Plan, starts: int) -> DataFrame:
         if pend:
             yield flush()
 
-    names = [x.split()[0] for x in _PACKED.split(", ")]
     packed = map_arrow(docs, run, _PACKED).repartition(buckets, "bucket")
     ensure_checkpoint_dir(docs.sparkSession)
     return packed.checkpoint()  # keeps the partitioning, so that messages join it without another shuffle of tokens
@@ -221,40 +251,37 @@ class Bucket:
 
     def __init__(self, rows: pa.Table, plan: Plan):
         rows = rows.sort_by("flush")
-        self.rows = [{c: rows[c][i] for c in rows.column_names} for i in range(rows.num_rows)]
-        dictionaries = [np.frombuffer(r["dictionary"].as_buffer(), dtype=np.uint64) for r in self.rows]
-        self.words = np.unique(np.concatenate(dictionaries))
-        self.maps = [np.searchsorted(self.words, d) for d in dictionaries]
-        self.plan = plan
-        parts = [self.tokens(i) for i in range(len(self.rows))]
-        self.asked = np.unique(np.concatenate([np.unique(p[2]) for p in parts]))  # all words that follow, learned from or not
-        one, two, w, times = (np.concatenate([p[k][p[3] & 1 == 0] for p in parts]) for k in (0, 1, 2, 4))
-        common = plan.common_at(self.words)
-        self.hot_of = common  # of each word
-        hot = [(common[p[0]], p[2]) for p in parts]
-        self.hot_pairs = np.unique(np.concatenate([(h[h >= 0] << 32) | x[h >= 0] for h, x in hot]))  # (common word, word), learned from or not
-        del parts, hot
+        self.flushes, self.headers = rows["flush"].to_pylist(), rows["header"].to_pylist()
+        self.plan, self.rows = plan, []
+        dictionaries, learned = [], []
+        for blob in rows["tokens"]:
+            steps, times, one, two, w, who, lengths = unsqueeze(blob.as_buffer())
+            rank = np.argsort(-times, kind="stable")  # places in the dictionary by rank
+            dictionaries.append(np.cumsum(steps))
+            self.rows.append((*(rank[x].astype(np.int32) for x in (one, two, w)), np.cumsum(who).astype(np.uint16), lengths.astype(np.int32)))
+        self.words = np.unique(np.concatenate(dictionaries)).view(np.uint64)
+        for i, (one, two, w, who, lengths) in enumerate(self.rows):
+            to = np.searchsorted(self.words, dictionaries[i].view(np.uint64)).astype(np.int32)
+            self.rows[i] = (to[one], to[two], to[w], who, lengths)
+            learned.append(np.repeat(who & 1 == 0, lengths))
+        dictionaries.clear()
+        self.asked = np.unique(np.concatenate([r[2] for r in self.rows]))  # all words that follow, learned from or not
+        self.hot_of = common = plan.common_at(self.words)  # of each word
+        self.hot_pairs = np.unique(np.concatenate([(h[h >= 0] << 32) | r[2][h >= 0] for r in self.rows for h in (common[r[0]],)]))  # (common word, word), learned from or not
+        one, two, w = (np.concatenate([r[k][m] for r, m in zip(self.rows, learned, strict=True)]).astype(np.int64) for k in range(3))
+        self.learned = np.bincount(w, minlength=len(self.words)).astype(np.int64)
         self.contexts, place = _runs(one << 32 | two)
-        self.triples, back = _runs(place << 32 | w)
-        self.c = np.bincount(back, weights=times, minlength=len(self.triples)).astype(np.int64)
-        del place, back
+        del one, two
+        self.triples, self.c = np.unique(place << 32 | w, return_counts=True)
+        del place, w
         self.context = self.triples >> 32
         self.w = self.triples & 0xFFFFFFFF
         self.pairs, self.pair = _runs((self.contexts[self.context] >> 32) << 32 | self.w)
         self.pair_w = self.pairs & 0xFFFFFFFF
         self.ones, self.one = _runs(self.pairs >> 32)  # words before, and that of each pair
         self.hot = common[self.ones][self.one] >= 0 if len(self.pairs) else np.zeros(0, dtype=bool)
-        self.learned = np.bincount(w, weights=times, minlength=len(self.words)).astype(np.int64)
         self.seed = int(K.mix(np.array([rows["bucket"][0].as_py()], dtype=np.uint64))[0] >> U64(1))
 
-    def tokens(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words before, before those, words, owners and times of a row's tokens; words are places in self.words."""
-        r, to = self.rows[i], self.maps[i]
-        owners = np.frombuffer(r["owners"].as_buffer(), dtype=np.uint16)
-        read = lambda c: large(r[c].as_py())
-        times = read("times") if len(r["times"].as_buffer()) else np.ones(len(owners), dtype=np.int64)
-        return np.repeat(to[read("ones")], read("lengths")), to[read("twos")], to[read("words")], owners, times
-
 
 def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
     """log S_d(c, t) for 0 <= t <= c <= most."""
@@ -356,7 +383,7 @@ def _ask(b: Bucket, key: int, k: int, pair_tables: np.ndarray, triple_tables: np
         place = np.searchsorted(b.asked[at], hot_w[pairs])
         learned = small(b.learned[b.asked[at]]) if k == 0 else None
         hot = np.stack((b.hot_pairs[pairs] >> 32, place)) if len(pairs) else np.zeros((2, 0), dtype=np.int64)
-        yield ("ask", k, int(b.plan.word_buckets[t]), key, t, words[at].tobytes(), small(customers[b.asked[at]]), learned, small(hot.ravel()), small(sent[pairs]))
+        yield ("ask", k, int(b.plan.word_buckets[t]), key, t, squeeze(_steps(words[at])), small(customers[b.asked[at]]), learned, small(hot.ravel()), small(sent[pairs]))
 
 
 def _heard(b: Bucket, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -432,8 +459,9 @@ def _words(key: tuple, asks: pa.Table, side: pa.Table, g: Model | None, k: int)
     rows = sorted(asks.to_pylist(), key=lambda r: r["origin"])
     if not rows:
         return _messages([])
-    words, place = np.unique(np.concatenate([np.frombuffer(r["a"], dtype=np.uint64) for r in rows]), return_inverse=True)
-    ends = np.cumsum([len(r["a"]) // 8 for r in rows])
+    told = [np.cumsum(unsqueeze(r["a"])[0]) for r in rows]
+    words, place = np.unique(np.concatenate(told), return_inverse=True)
+    ends = np.cumsum([len(x) for x in told])
     places = np.split(place, ends[:-1])
     codes, sent = [], []
     for r, at in zip(rows, places, strict=True):
@@ -510,8 +538,9 @@ def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) ->
         return at, codes[at] == x
 
     take = lambda x, at, there: np.where(there, x[at], 0) if len(x) else np.zeros(len(at), dtype=np.int64)
-    for i, r in enumerate(b.rows):
-        one, two, w, owner, times = b.tokens(i)
+    for i, (*places, who, lengths) in enumerate(b.rows):
+        one, two, w = (x.astype(np.int64) for x in places)
+        who = np.repeat(who >> 1, lengths)
         context, has_context = find(b.contexts, one << 32 | two)
         triple, has_triple = find(b.triples, context << 32 | w)
         has_triple &= has_context
@@ -528,11 +557,10 @@ def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) ->
             one_c, one_t = pick(take(x.one_c, before, has_before), take(left.customers, at, common)), pick(take(x.one_t, before, has_before), take(left.tables, at, common))
             lower = probability(pair_c, pair_t, one_c, one_t, g.d[1], x.root[w])
             p += probability(take(b.c, triple, has_triple), take(x.triple_t, triple, has_triple), take(context_c, context, has_context), take(x.context_t, context, has_context), g.d[2], lower)
-        who = owner >> 1
         n = int(who.max()) + 1
         touched = np.flatnonzero(np.bincount(who, minlength=n))
-        sums = [np.bincount(who, weights=y * times, minlength=n)[touched] for y in ((learned[w] > 0).astype(float), base[w], np.log10(p / SAMPLES))]
-        out.append((r["flush"].as_py(), r["header"].as_py(), touched.astype(np.uint16).tobytes() + b"".join(y.tobytes() for y in sums)))
+        sums = [np.bincount(who, weights=y, minlength=n)[touched] for y in ((learned[w] > 0).astype(float), base[w], np.log10(p / SAMPLES))]
+        out.append((b.flushes[i], b.headers[i], touched.astype(np.uint16).tobytes() + b"".join(y.tobytes() for y in sums)))
     columns = list(zip(*out, strict=True))
     return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["flush", "header", "sums"])
 

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from linkloom.llm import kernels as K
 from linkloom.llm.common import Batches, attach, cut, map_arrow
 from linkloom.llm.components import connected
-from linkloom.llm.tiles import centrality, hub_pairs, joined_groups, mixed_groups, shared, tiles
+from linkloom.llm.tiles import centrality, hub_pairs, hubs_of, joined_groups, mixed_groups, shared, tiles
 
 WORDS = 5
 ROWS, HALVES = 3, 20
@@ -213,7 +213,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         tables = cut(_tables(_with_components(halves, comps), diagonal))
         if comps is not None:
             tables = cut(mixed_groups(tables))
-        pairs = cut(_close(hub_pairs(tables, weights), classes))
+        pairs = cut(_close(hub_pairs(tables, hubs_of(tables, weights)), classes))
         sets = _sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), classes, source)
         new = _links(pairs, sets)
         links = cut(new if links is None else links.unionAll(new))

@@ -30,9 +30,19 @@ def centrality(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.sum("n").alias("weight"))
 
 
-def hub_pairs(rows: DataFrame, weights: DataFrame) -> DataFrame:
+def hubs_of(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(group, a): the hub of each group."""
+    return rows.join(weights, "node").groupBy("group").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+
+
+def hubbed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of several nodes, and the groups' hubs; both written."""
+    met = shared(rows)
+    return met, cut(hubs_of(met, centrality(met)))
+
+
+def hub_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) of the hub and another node of each group."""
-    hubs = rows.join(weights, "node").groupBy("group").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
     return rows.join(hubs, "group").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 

@@ -503,8 +503,19 @@ def _form(x):
     return " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate(LOWER)))
 
 
-def test_line_groups(docs, texts):
-    """Against the edit similarity of all pairs of lines."""
+def test_line_groups(spark):
+    """Against the edit similarity of all pairs of lines, up to two words changed."""
+    rng = random.Random(23)
+    vocab = ["".join(rng.choice(["an", "the", "or", "ti", "sh", "on", "é"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = {i: "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.choice([1, 2, 5, 9, 14, 30, 70]))) for _ in range(3)) for i in range(30)}
+    for i in range(30, 70):
+        own = texts[rng.randrange(20)].split("\n")
+        for _ in range(i % 3):
+            k = rng.randrange(len(own))
+            own[k] = " ".join(rng.choice(vocab) if rng.random() < 0.5 and j == len(own[k]) % (own[k].count(" ") + 1) else w for j, w in enumerate(own[k].split(" ")))
+        texts[i] = "\n".join(own)
+    texts |= {70: None, 71: "", 72: " \n\t", 73: "! ? .", 74: " ".join(rng.choice(vocab) for _ in range(9000)), 75: "x"}
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string").repartition(5)
     lines = {(i, n): _form(x) for i, t in texts.items() for n, x in enumerate((t or "").split("\n")) if _form(x)}
     keys = list(lines)
     links = [(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if lines[a] == lines[b] or line_dedup.similar(lines[a], lines[b])]
@@ -516,7 +527,7 @@ def test_line_groups(docs, texts):
     cleaned = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(own).collect()}
     for i, t in texts.items():
         assert cleaned[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]))
-    assert line_dedup.deduplicate(own).columns == own.columns
+    assert cleaned[None] == texts[0] and line_dedup.deduplicate(own).columns == own.columns
 
 
 def _altered(rng, words, how):
@@ -538,6 +549,7 @@ def _altered(rng, words, how):
 @pytest.mark.parametrize(("how", "times"), [("letter", 1), ("word", 1), ("less", 1), ("more", 1), ("split", 1), ("letter", 3), ("word", 3), ("any", 2)])
 def test_recall_of_alike_lines(how, times):
     """Candidates share a table: of all pairs of at least the similarity, a few changes apart, few are missed."""
+    import numpy as np
     import pyarrow as pa
 
     rng = random.Random(how)
@@ -555,13 +567,18 @@ def test_recall_of_alike_lines(how, times):
     (s,) = line_dedup.K.slices(pa.array([x for p in pairs for x in p[1:]]), 1 << 30)
     _, _, _, h, first, w = line_dedup._lines(s)
     fp = line_dedup.K.simhashes(*line_dedup._distinct(h, first))
-    keys, at = line_dedup.part_keys(line_dedup.K.LOWER[s.codes], w, h, first)
+    low = line_dedup.K.LOWER[s.codes]
+    keys, at = line_dedup.part_keys(low, w, h, first)
+    words, chars = np.diff(first), line_dedup._length(low, w, first)
+    assert chars.tolist() == [len(_form(x)) for p in pairs for x in p[1:]]
     for k, (n, _, _) in enumerate(pairs):
         a, b = (set(keys[at[i] : at[i + 1]].tolist()) for i in (2 * k, 2 * k + 1))
-        found[n] += bool(a & b) and bin(int(fp[2 * k] ^ fp[2 * k + 1])).count("1") <= line_dedup.RADIUS
+        i, j = [2 * k], [2 * k + 1]
+        few = np.minimum(words[i], words[j]) < line_dedup.FEW_WORDS
+        found[n] += bool(a & b) and bool(line_dedup.may_be_alike(fp[i], fp[j], chars[i], chars[j], few)[0])
     of = collections.Counter(n for n, _, _ in pairs)
     print(how, times, {n: round(found[n] / of[n], 3) for n in of})
-    assert all(found[n] >= (0.95 if times == 1 else 0.75) * of[n] for n in of if n >= (8 if times == 1 else 10))
+    assert all(found[n] >= (0.95 if times == 1 else 0.7) * of[n] for n in of if n >= (8 if times == 1 else 10))
 
 
 def test_lines_that_no_hub_connects(spark, monkeypatch):
@@ -596,6 +613,8 @@ def test_edit_distances():
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         assert line_dedup.edit_distance(a, b) == row[-1]
+        most = rng.randint(0, 8)
+        assert min(line_dedup.edit_distance(a, b, most), most + 1) == min(row[-1], most + 1)
 
 
 # 10
