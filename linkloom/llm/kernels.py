@@ -203,7 +203,11 @@ def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     n = np.diff(first)
     some = np.flatnonzero(n > 0)
     if len(some):
+        # votes of eight bits at once, one to a byte of a word; up to 255 features can't overflow one
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > n[some][:, None], axis=1).view(np.uint64).ravel()
+        if n.max() < 256:
+            ones = np.add.reduceat(bits.view(np.uint64), first[:-1][some], axis=0).view(np.uint8)
+        else:
+            ones = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones.astype(np.int32) > n[some][:, None], axis=1).view(np.uint64).ravel()
     return out
