@@ -9,12 +9,15 @@ for each character wins.
 
 Calibration, on held-back sample texts: a temperature that turns differences of
 cross-entropy into a probability, and for each language the cross-entropy beyond
-which a text is rejected as being in no learned language.
+which a text is rejected as being in no learned language (none, if no text of it
+was held back).
 
 Defined results: a text that is null, empty or without letters gets ``und``,
 score 0 and is not accepted.  Equal cross-entropies go to the language whose
 name sorts first.  With no labelled text at all every text gets ``und``.
-Repeated rows are scored alike; null ids are kept.
+Repeated rows are scored alike; null ids are kept.  Very long texts are scored
+whole.  Columns of the results' names are replaced.  Beyond the 65,534 commonest
+letters of the training texts, letters count as one unknown.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from linkloom.llm.common import HashTable, attach, sums_by_text
 ORDER = 4
 #: Training texts of a language, in expectation; its texts of the smallest id hashes.
 TEXTS_PER_LANGUAGE = 600
-CHAR_BITS = 14
+CHAR_BITS = 16
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.15
 BLANK = 32
 #: Bytes of text scored together; the working arrays are some 60 times that.
@@ -78,7 +81,7 @@ def _letters(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k ids that end at each position; ids are below 2**CHAR_BITS, so keys don't collide."""
+    """Hash of the k ids that end at each position; ids are below 2**CHAR_BITS and k at most 4, so keys don't collide."""
     key = ids.astype(np.uint64)
     for j in range(1, k):
         key[j:] |= ids[:-j].astype(np.uint64) << np.uint64(CHAR_BITS * j)
@@ -93,7 +96,7 @@ class Model:
         self.tables: list[HashTable] = []
         self.logp: list[np.ndarray] = []
         self.backoff: list[np.ndarray] = []
-        self.floor = np.float32(-np.log(len(alphabet) + 2))
+        self.floor = np.float32(-np.log(len(alphabet) + 1))  # the alphabet and one unknown character
         self.temperature = 1.0
         self.limits = np.full(len(languages), np.inf)
 
@@ -194,7 +197,7 @@ def train(texts: pa.Array, langs: list[str]) -> Model:
                 e = np.zeros(0, np.uint64)
                 grams[k] = (e, np.zeros(0, np.int64), e, e)
         counts.append(grams)
-    n_lang, uniform = len(languages), 1.0 / (len(model.alphabet) + 2)
+    n_lang, uniform = len(languages), 1.0 / (len(model.alphabet) + 1)
     model.tables = [HashTable(np.unique(np.concatenate([g[k][0] for g in counts]))) for k in range(1, ORDER + 1)]
     model.root = np.zeros(n_lang, dtype=np.float32)
     model.logp = [np.zeros((len(t.hashes), n_lang), dtype=np.float32) for t in model.tables]
@@ -257,7 +260,7 @@ def _calibrate(model: Model, texts: pa.Array, label: np.ndarray, held: np.ndarra
             best, loss = t, nll
     model.temperature = best
     for lang in range(len(model.languages)):
-        own = entropy[(label == lang) & (letters > 0), lang]
+        own = entropy[use & (label == lang), lang]
         if len(own):
             model.limits[lang] = np.quantile(own, REJECT_QUANTILE) * REJECT_MARGIN
 

@@ -10,16 +10,18 @@ The bins of a shard hang on a segment tree over residuals.  A node holds the
 bitmaps that all bins below it share, so whole ranges of incompatible bins are
 passed over and the search stays exact.
 
-Shards are dealt by a hash of the id, in proportion to the input (about
+Shards are dealt by a hash of the id, in proportion to the input (at most about
 ``SHARD_ROWS`` documents each), whatever source or cluster is common.  Documents
-of one cluster in different shards are in different bins anyway.
+of one cluster in different shards are in different bins anyway.  Their number is
+a power of two, so a growing input is packed anew only when it has doubled.
 
 Defined results: a null or empty text has no words and makes one piece of one
 token (its end).  Null sources and null ids conflict with nothing.  Clusters are
 by default the equal texts after folding case and blanks; a frame (doc_id,
 cluster_id), such as near-duplicate groups, may be given instead.  Equally long
 pieces go by doc_id, then piece, then text hash; of equal residuals the bin that
-was opened first is taken.
+was opened first is taken.  Rows that repeat an id are documents of their own.
+Very long texts become as many pieces as they need, each in a bin of its own.
 """
 
 from __future__ import annotations
@@ -127,7 +129,7 @@ def assign(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
         (F.regexp_count(t, F.lit(WORD)) + 1).cast("long").alias("tokens"), F.xxhash64(folded).alias("print"), (folded == "").alias("blank"),
     )
-    shards = max(1, -(-docs.count() // SHARD_ROWS))
+    shards = 1 << max(0, (docs.count() - 1) // SHARD_ROWS).bit_length()
     if clusters is None:
         base = base.withColumn("cluster_id", F.when(~F.col("blank"), F.col("print")))
     else:
@@ -157,3 +159,9 @@ def assign(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None
         )
 
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece long, first_token long, n_tokens long, bin long, source string, cluster_id long")
+
+
+def summary(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: pieces, tokens, bins, and the share of the bins' capacity that is filled."""
+    out = assigned.agg(F.count("*").alias("pieces"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count_distinct("bin").alias("bins"))
+    return out.withColumn("fill", F.when(F.col("bins") > 0, F.col("tokens") / (F.col("bins") * capacity)))
