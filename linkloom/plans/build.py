@@ -69,7 +69,7 @@ def build(spark: SparkSession, root: str, folder: str, origins: list[str] | None
         F.count("*").alias("persons"), F.count_if(~F.col("isolated")).alias("connected"), F.count_if("isolated").alias("isolated"), F.max(F.when(~F.col("isolated"), F.col("component_size"))).alias("largest_component"), F.sum("degree").alias("degrees"),
     ).crossJoin(edges.agg(F.count("*").alias("edges"), F.sum("n_relations").alias("relations"), F.sum("weight20").alias("weight20"))).crossJoin(centrality.modularity(coded, groups))
     statements = ds.statements.agg(F.count("*").alias("n"), F.count_if("affirms").alias("affirm"), F.count_if(~F.col("affirms")).alias("deny"), F.count_if(F.col("affirms").isNull()).alias("undefined"))
-    ranks = {f"Highest {c}": R.ranking(people.withColumn(c, F.col(c).cast("double")), c).select("id", "name", c) for c in ("degree", "strength", "betweenness", "closeness", "eigenvector")}
+    ranks = {f"Highest {c}": R.ranking(people.withColumn(c, F.col(c).try_cast("double")), c).select("id", "name", c) for c in ("degree", "strength", "betweenness", "closeness", "eigenvector")}
     members = R.institution_links(ds.persons).groupBy(F.col("institution").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("members"))
     institutions = ds.institutions.join(members, "id", "left").withColumn("members", F.coalesce("members", F.array().cast("array<string>"))).orderBy(F.desc(F.size("members")), "name")
     arcs = R.collapse_arcs(R.filtered(ds.relations, types=V.TEACHING_TYPES))
@@ -91,7 +91,7 @@ def build(spark: SparkSession, root: str, folder: str, origins: list[str] | None
     documents.write_text(spark, out["open_issues.md"], exports.open_issues(issues, isolated, mentions(ds, D.extractions(spark, root)), ds.sources.where("not processed").select("id", "author", "title", "year", "density", "file")))
     exports.csv_with_bom(people, out["persons.csv"])
     exports.csv_with_bom(exports.relations_table(ds.relations, ds.persons), out["relations.csv"])
-    vertices = graph.vertices(ds.persons, edges).select("id", "name", "role", "status").join(people.select("id", "degree", "strength", "component", F.col("community").cast("int").alias("community")), "id", "left")
+    vertices = graph.vertices(ds.persons, edges).select("id", "name", "role", "status").join(people.select("id", "degree", "strength", "component", F.col("community").try_cast("int").alias("community")), "id", "left")
     flat = edges.select("a", "b", "weight20", "types", "dominant", "confidences", "n_relations", "n_sources")
     exports.gexf(vertices, flat, out["graph.gexf"])
     exports.graphml(vertices, flat, out["graph.graphml"])

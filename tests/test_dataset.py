@@ -90,7 +90,7 @@ def test_all_artifacts(spark, root, tmp_path):
     relations = list(csv.DictReader((tmp_path / "out/relations.csv").open(encoding="utf-8-sig")))
     assert len(relations) == 3 and len(relations[0]) == 20 and {r["sources"] for r in relations} == {"tese-1; gone", ""}
     text = (tmp_path / "out/open_issues.md").read_text()
-    assert "| person | rui-costa | Rui Costa | dates |" in text and "| Zé Souza | 2 | s1, s2 |" in text and "| eva | Eva |" in text and "| tese-1 |" in text
+    assert "| person | rui-costa | Rui Costa | dates |" in text and "| Ze Souza | 2 | s1, s2 |" in text and "| eva | Eva |" in text and "| tese-1 |" in text
     assert "## Summary" in (tmp_path / "out/metrics.md").read_text() and json.loads((tmp_path / "out/metrics.json").read_text())["Statements"][0]["undefined"] == 1
     for name in ("graph.gexf", "graph.graphml"):
         assert [x.tag.rpartition("}")[2] for x in ET.parse(tmp_path / "out" / name).iter()].count("node") == 3
