@@ -62,14 +62,19 @@ def _remove_at_exit(sc, folder: str) -> None:
         _remove(sc, folder)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that no plan refers to any more are removed."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table to the shared checkpoint folder and read back from there, so nothing before it runs again.
 
     Shuffle files that only tables written before needed are let go of first.
     """
     spark = df.sparkSession
-    gc.collect()
-    spark._jvm.System.gc()
+    let_go(spark)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

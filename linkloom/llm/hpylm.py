@@ -36,6 +36,7 @@ repeated or null ids included.  Words count by 48-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -46,12 +47,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import Batches, bounded_sample, cut, drop_table, ensure_checkpoint_dir, map_arrow
+from linkloom.llm.common import Batches, bounded_sample, cut, drop_table, ensure_checkpoint_dir, let_go, map_arrow
 
 SWEEPS, SAMPLES = 3, 2
 STRENGTH, EXACT = 1.0, 32
 #: Tokens that a task packs together, and that a bucket holds in expectation; words in a bucket of words.
 FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 2_000_000, 3_000_000, 4_000_000
+#: Tokens are dealt in so many shares, one after the other, so that only one is on disk twice, as dealt and as written.
+SHARES = 2
 #: Documents from which common words are told, and most of these; they only steer how tokens are dealt.
 PROBE_DOCUMENTS, COMMON = 2000, 1000
 SLICE = 1 << 18
@@ -173,15 +176,16 @@ def _steps(x: np.ndarray) -> np.ndarray:
 _PACKED = "bucket long, flush long, tokens binary, header binary"
 
 
-def _deal(docs: DataFrame, plan: Plan, starts: int) -> DataFrame:
+def _deal(docs: DataFrame, plan: Plan, starts: int, share: int) -> DataFrame:
     """(bucket, flush, tokens, header): the occurrences of each bucket's contexts in one flush, packed.
 
     tokens: steps of the sorted dictionary and each word's times in it, from which its rank follows; then, document by
     document, the ranks of the words before, of those before these, and of the words; then the documents with their
     tokens.  A document is its place in the flush, doubled, plus one if it isn't learned from.  header, in one row of
-    each flush, has the flush's ids, held flags and token counts.
+    each flush, has the flush's ids, held flags and token counts.  share: of SHARES, by the buckets' names.
     """
     buckets = len(plan.buckets)
+    mine_of = plan.buckets % SHARES == share
 
     def run(batches: Batches) -> Batches:
         base, serial = TaskContext.get().partitionId() << 32, 0
@@ -191,31 +195,46 @@ def _deal(docs: DataFrame, plan: Plan, starts: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             t, one, two, counts = (np.concatenate([p[k] for p in pend]) for k in range(4))
             held = np.concatenate([p[5] for p in pend])
-            owner = np.repeat((np.arange(len(counts)) * 2 + held).astype(np.uint16), counts)
             bucket = K.mix(one) % U64(buckets)
             at = plan.common_at(one)
             hot = np.flatnonzero(at >= 0)
             bucket[hot] = (bucket[hot] + K.mix(two[hot] + U64(7)) % plan.parts[at[hot]].astype(np.uint64)) % U64(buckets)
             bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
-            rows = []
+            own = np.flatnonzero(mine_of[bucket])
+            order = own[np.argsort(bucket[own], kind="stable")]
+            owner = np.repeat((np.arange(len(counts)) * 2 + held).astype(np.uint16), counts)[order]
+            bucket = bucket[order]
+            # a text's words are the words before its later ones, so places in the flush's vocabulary are found once
+            known, place = _runs(np.concatenate((t, START + np.arange(starts + 1, dtype=np.uint64))).view(np.int64))
+            place, mark = place[: len(t)].astype(np.int32), place[len(t) :].astype(np.int32)
+            first = np.cumsum(counts) - counts
+            before, further = np.empty_like(place), np.empty_like(place)
+            before[1:], further[2:] = place[:-1], place[:-2]
+            before[first] = mark[0]
+            further[first[counts > 1] + 1] = mark[0]
+            further[first] = mark[(two[first] - START).astype(np.int64)]
+            edges = np.append(np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)), len(order))
+            rank, rows = np.empty(len(known), dtype=np.int32), []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 mine = order[a:b]
-                dictionary, places, times = np.unique(np.concatenate((one[mine], two[mine], t[mine])), return_inverse=True, return_counts=True)
-                rank = np.empty(len(dictionary), dtype=np.int64)
-                rank[np.argsort(-times, kind="stable")] = np.arange(len(dictionary))
-                who = owner[mine].astype(np.int64)
-                new = np.flatnonzero(np.diff(who, prepend=-1))
-                blob = squeeze(_steps(dictionary), times, *rank[places].reshape(3, -1), _steps(who[new]), np.diff(np.append(new, b - a)))
-                rows.append((int(plan.buckets[int(bucket[mine[0]])]), base + serial, blob, None))
+                codes = np.concatenate((before[mine], further[mine], place[mine]))
+                sorted_ = np.sort(codes)
+                new = np.flatnonzero(np.diff(sorted_, prepend=-1))
+                times = np.diff(np.append(new, len(sorted_)))
+                local = sorted_[new]
+                rank[local[np.argsort(-times, kind="stable")]] = np.arange(len(local), dtype=np.int32)
+                who = owner[a:b].astype(np.int64)
+                turn = np.flatnonzero(np.diff(who, prepend=-1))
+                blob = squeeze(_steps(known[local].view(np.uint64)), times, *rank[codes].reshape(3, -1), _steps(who[turn]), np.diff(np.append(turn, b - a)))
+                rows.append((int(plan.buckets[int(bucket[a])]), base + serial, blob, None))
             head = pa.table({"id": pa.concat_arrays([p[4] for p in pend]), "held": pa.array(held), "n": pa.array(counts.astype(np.int64))})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_table(head)
-            rows[0] = (*rows[0][:-1], sink.getvalue().to_pybytes())
+            if share == 0:  # in its own row, if the share has none of the flush's buckets
+                rows = [(*rows[0][:-1], sink.getvalue().to_pybytes()), *rows[1:]] if rows else [(int(plan.buckets[np.flatnonzero(mine_of)[0]]), base + serial, squeeze(*[np.zeros(0, np.int64)] * 7), sink.getvalue().to_pybytes())]
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "flush", "tokens", "header"])
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["bucket", "flush", "tokens", "header"])
 
         for batch in batches:
             ids, held = batch.column("doc_id"), np.array(batch.column("held"), dtype=bool)
@@ -237,9 +256,19 @@ def _deal(docs: DataFrame, plan: Plan, starts: int) -> DataFrame:
     return packed.checkpoint()  # keeps the partitioning, so that messages join it without another shuffle of tokens
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; sorting beats hashing here."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=x[:1] - 1))] if len(x) else x
+
+
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes, and where each of codes is among them."""
-    return np.unique(codes, return_inverse=True)
+    order = np.argsort(codes)
+    new = np.diff(codes[order], prepend=codes[order[:1]] - 1) != 0
+    place = np.empty(len(codes), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return codes[order[new]], place
 
 
 class Bucket:
@@ -259,21 +288,24 @@ class Bucket:
             rank = np.argsort(-times, kind="stable")  # places in the dictionary by rank
             dictionaries.append(np.cumsum(steps))
             self.rows.append((*(rank[x].astype(np.int32) for x in (one, two, w)), np.cumsum(who).astype(np.uint16), lengths.astype(np.int32)))
-        self.words = np.unique(np.concatenate(dictionaries)).view(np.uint64)
+        self.words = _distinct(np.concatenate(dictionaries)).view(np.uint64)
         for i, (one, two, w, who, lengths) in enumerate(self.rows):
             to = np.searchsorted(self.words, dictionaries[i].view(np.uint64)).astype(np.int32)
             self.rows[i] = (to[one], to[two], to[w], who, lengths)
             learned.append(np.repeat(who & 1 == 0, lengths))
         dictionaries.clear()
-        self.asked = np.unique(np.concatenate([r[2] for r in self.rows]))  # all words that follow, learned from or not
+        self.asked = np.flatnonzero(np.bincount(np.concatenate([r[2] for r in self.rows]), minlength=len(self.words)))  # all words that follow, learned from or not
         self.hot_of = common = plan.common_at(self.words)  # of each word
-        self.hot_pairs = np.unique(np.concatenate([(h[h >= 0] << 32) | r[2][h >= 0] for r in self.rows for h in (common[r[0]],)]))  # (common word, word), learned from or not
+        self.hot_pairs = _distinct(np.concatenate([(h[h >= 0] << 32) | r[2][h >= 0] for r in self.rows for h in (common[r[0]],)]))  # (common word, word), learned from or not
         one, two, w = (np.concatenate([r[k][m] for r, m in zip(self.rows, learned, strict=True)]).astype(np.int64) for k in range(3))
         self.learned = np.bincount(w, minlength=len(self.words)).astype(np.int64)
         self.contexts, place = _runs(one << 32 | two)
         del one, two
-        self.triples, self.c = np.unique(place << 32 | w, return_counts=True)
+        codes = np.sort(place << 32 | w)
         del place, w
+        new = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
+        self.triples, self.c = codes[new], np.diff(np.append(new, len(codes)))
+        del codes
         self.context = self.triples >> 32
         self.w = self.triples & 0xFFFFFFFF
         self.pairs, self.pair = _runs((self.contexts[self.context] >> 32) << 32 | self.w)
@@ -520,6 +552,12 @@ def _cogroup(left: DataFrame, right: DataFrame, on: str, schema: str, f, *known)
     return left.groupBy(on).cogroup(right.withColumnRenamed("target", on).groupBy(on)).applyInArrow(lambda key, a, b: f(key, a, b, *known), schema)
 
 
+def _by_share(packed: list[DataFrame], side: DataFrame, schema: str, f, *known) -> DataFrame:
+    """f over all buckets and the messages to them."""
+    own = [_cogroup(p, side.where(F.pmod("target", F.lit(SHARES)) == share), "bucket", schema, f, *known) for share, p in enumerate(packed)]
+    return functools.reduce(DataFrame.unionAll, own)
+
+
 def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) -> pa.Table:
     """(flush, header, sums): for the documents with tokens in the bucket the known ones, log10(c + 1) and log10 probabilities."""
     b, told = Bucket(rows, plan), side.to_pylist()
@@ -540,7 +578,7 @@ def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) ->
     take = lambda x, at, there: np.where(there, x[at], 0) if len(x) else np.zeros(len(at), dtype=np.int64)
     for i, (*places, who, lengths) in enumerate(b.rows):
         one, two, w = (x.astype(np.int64) for x in places)
-        who = np.repeat(who >> 1, lengths)
+        who = np.repeat((who >> 1).astype(np.int64), lengths)
         context, has_context = find(b.contexts, one << 32 | two)
         triple, has_triple = find(b.triples, context << 32 | w)
         has_triple &= has_context
@@ -557,7 +595,7 @@ def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) ->
             one_c, one_t = pick(take(x.one_c, before, has_before), take(left.customers, at, common)), pick(take(x.one_t, before, has_before), take(left.tables, at, common))
             lower = probability(pair_c, pair_t, one_c, one_t, g.d[1], x.root[w])
             p += probability(take(b.c, triple, has_triple), take(x.triple_t, triple, has_triple), take(context_c, context, has_context), take(x.context_t, context, has_context), g.d[2], lower)
-        n = int(who.max()) + 1
+        n = int(who.max(initial=-1)) + 1
         touched = np.flatnonzero(np.bincount(who, minlength=n))
         sums = [np.bincount(who, weights=y, minlength=n)[touched] for y in ((learned[w] > 0).astype(float), base[w], np.log10(p / SAMPLES))]
         out.append((b.flushes[i], b.headers[i], touched.astype(np.uint16).tobytes() + b"".join(y.tobytes() for y in sums)))
@@ -602,8 +640,12 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     common = np.sort(np.array(list(hot), dtype=np.int64).view(np.uint64))
     parts = np.array([min(buckets, max(1, round(2 * hot[int(h)] * buckets))) for h in common.view(np.int64)], dtype=np.int64)
     plan = Plan(common, parts, _keys(spark, buckets), _keys(spark, max(4, -(-tokens // (8 * BUCKET_WORDS)))))
-    packed = _deal(source, plan, max(1, -(-total // BUCKET_TOKENS)))
-    first = cut(packed.groupBy("bucket").applyInArrow(lambda key, rows: _begin(key, rows, plan), _MESSAGE))
+    packed = []
+    for share in range(SHARES):
+        packed.append(_deal(source, plan, max(1, -(-total // BUCKET_TOKENS)), share))
+        let_go(spark)
+    begun = (p.groupBy("bucket").applyInArrow(lambda key, rows: _begin(key, rows, plan), _MESSAGE) for p in packed)
+    first = cut(functools.reduce(DataFrame.unionAll, begun))
     no_state = first.where("kind = 'state'")
     asks = lambda own: own.where("kind = 'ask'").withColumnRenamed("target", "place")
     word_steps = [cut(_cogroup(asks(first), first.where("kind = 'state'"), "place", _MESSAGE, _words, None, 0))]
@@ -613,7 +655,7 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     own_steps, last = [first], range(SWEEPS - SAMPLES + 1, SWEEPS + 1)
     for k in range(1, SWEEPS + 1):
         side = own_steps[-1].where("kind = 'state'").unionByName(word_steps[-1].where("kind = 'reply'"))
-        own_steps.append(cut(_cogroup(packed, side, "bucket", _MESSAGE, _sweep, plan, g, k)))
+        own_steps.append(cut(_by_share(packed, side, _MESSAGE, _sweep, plan, g, k)))
         word_steps.append(cut(_cogroup(asks(own_steps[-1]), word_steps[-1].where("kind = 'state'"), "place", _MESSAGE, _words, g, k)))
         g = g._replace(sweeps=[*g.sweeps, _left(_totals(word_steps[-1]), len(common))])
         if k - 1 not in last:
@@ -621,5 +663,5 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     side = word_steps[0].where("kind = 'reply'")
     for k in last:
         side = side.unionByName(own_steps[k].where("kind = 'state'")).unionByName(word_steps[k].where("kind = 'reply'"))
-    partial = _cogroup(packed, side, "bucket", "flush long, header binary, sums binary", _scores, plan, g)
+    partial = _by_share(packed, side, "flush long, header binary, sums binary", _scores, plan, g)
     return partial.groupBy("flush").applyInArrow(lambda key, rows: _gather(rows, g), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
