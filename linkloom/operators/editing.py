@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import vocab as V
 from linkloom.functions.text import blank_to_null, slugify
 from linkloom.operators.relations import pair_key
+from linkloom.plans.loops import ranked
 
 #: What stands for a missing argument, and the open issue of a person of one name.
 NO_ARGUMENT = "(sem argumento registrado)"
@@ -22,8 +23,8 @@ ONE_NAME_ISSUE = "confirmar nome completo em outra fonte"
 def numbered(df: DataFrame, prefix: str, taken: DataFrame, order: str, width: int = 4) -> DataFrame:
     """df with ids prefix-0001, ... after the highest of that form that is taken."""
     highest = taken.agg(F.coalesce(F.max(F.regexp_extract("id", rf"^{prefix}-(\d+)$", 1).try_cast("long")), F.lit(0)).alias("__highest"))
-    rank = df.select(order).distinct().withColumn("__rank", F.row_number().over(Window.orderBy(order)))
-    number = F.col("__highest") + F.col("__rank")
+    rank = ranked(df.select(order).distinct(), "__rank", order)
+    number = F.col("__highest") + F.col("__rank") + 1
     text = F.when(F.length(number.cast("string")) < width, F.lpad(number.cast("string"), width, "0")).otherwise(number.cast("string"))
     return df.join(rank, order).crossJoin(highest).withColumn("id", F.concat(F.lit(f"{prefix}-"), text)).drop("__highest", "__rank")
 

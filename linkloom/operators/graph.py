@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.relations import both_ways
-from linkloom.plans.loops import cut
+from linkloom.plans.loops import cut, ranked
 
 
 def vertices(persons: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,13 +35,9 @@ def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def numbered(comps: DataFrame) -> DataFrame:
-    """(node, comp, number, size): components numbered from 0 by falling size, then smallest node.
-
-    Only the sizes, one row for each component, are ranked.
-    """
+    """(node, comp, number, size): components numbered from 0 by falling size, then smallest node."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "comp")).cast("long") - 1)
-    return comps.join(ranked, "comp").select("node", "comp", "number", "size")
+    return comps.join(ranked(sizes, "number", F.desc("size"), "comp"), "comp").select("node", "comp", "number", "size")
 
 
 def hops(edges: DataFrame, origins: DataFrame | None = None, most: int | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as X
 from linkloom.functions import vocab as V
 from linkloom.operators import centrality, exports, graph, rules
 from linkloom.operators import relations as R
-from linkloom.plans.loops import cut
+from linkloom.plans.loops import cut, ranked
 from linkloom.sources import dataset as D
 from linkloom.sources import documents
 
@@ -48,8 +48,8 @@ def build(spark: SparkSession, root: str, folder: str, origins: list[str] | None
     origins = [] if origins is None else origins
     edges = cut(R.collapse(ds.relations))
     # whole-graph algorithms take numbers for ids
-    number = ds.persons.select("id").unionAll(ds.relations.select(F.explode(F.array("src", "dst")))).distinct().withColumn("k", F.row_number().over(Window.orderBy("id")).cast("long"))
-    number = cut(number)
+    number = ds.persons.select("id").unionAll(ds.relations.select(F.explode(F.array("src", "dst")))).distinct()
+    number = cut(ranked(number, "k", "id"))
     coded = edges.join(number.withColumnsRenamed({"id": "a", "k": "ka"}), "a").join(number.withColumnsRenamed({"id": "b", "k": "kb"}), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "weight20")
     coded = cut(coded)
     main = coded.join(graph.largest(graph.components(coded)).withColumnRenamed("node", "a"), "a", "left_semi")

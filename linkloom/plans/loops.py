@@ -1,10 +1,11 @@
-"""Iteration: state that is written to the shared checkpoint folder between rounds."""
+"""Iteration: state that is written to the shared checkpoint folder between rounds; and numbering of all rows."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,20 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-"))
     return df.checkpoint()
+
+
+def ranked(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with the place of each row in the given order, from 0, found without sorting all rows in one task.
+
+    Rows are dealt by ranges of the order and written; then each is numbered within its range, and the ranges' sizes,
+    one number for each, are added up.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect())
+    before, offsets = 0, [(-1, 0)]
+    for k, n in sizes:
+        offsets.append((k, before))
+        before += n
+    start = F.broadcast(df.sparkSession.createDataFrame(offsets, "__range int, __before long"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn("__inside", inside).join(start, "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")

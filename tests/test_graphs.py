@@ -169,3 +169,14 @@ def test_names_are_scored_against_all_variants(spark):
         assert (got[key]["decision"], got[key]["person"]) == (want, ranked[0][1] if score >= 72 else None), name
         assert got[key]["score"] == pytest.approx(score), name
     assert got[1]["decision"] == "human" and got[1]["person"] == 1
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from linkloom.plans.loops import ranked
+
+    df = spark.range(1000).select("id", (F.col("id") * 7 % 13).alias("x")).repartition(5)
+    got = [(r["x"], r["id"]) for r in ranked(df, "k", F.desc("x"), "id").orderBy("k").collect()]
+    assert got == sorted(got, key=lambda t: (-t[0], t[1])) and len(got) == 1000
+    assert ranked(df.limit(0), "k", "id").count() == 0
