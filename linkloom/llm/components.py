@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import Batches, cut, map_arrow
 
-ROWS_PER_TASK = 200_000
+ROWS_PER_TASK, LEAST_TASKS = 200_000, 6
 
 
 def _top(place: dict[int, int], x: int) -> int:
@@ -76,9 +76,8 @@ def connected(links: DataFrame, count: int | None = None) -> DataFrame:
 
     links should be a written table: it is counted, if its count isn't given.
     """
-    least = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = links.count() if count is None else count
-    parts = max(least, -(-2 * count // ROWS_PER_TASK))
+    parts = max(LEAST_TASKS, -(-4 * count // ROWS_PER_TASK))
     stars = map_arrow(links.select("a", "b"), _stars, "node long, root long")
     met = cut(map_arrow(stars.repartition(parts, "node"), _meet, "node long, root long, upper boolean"))
     labels, upper = met.where("not upper").select("node", "root"), met.where("upper").select(F.col("node").alias("a"), F.col("root").alias("b"))

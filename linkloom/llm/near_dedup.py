@@ -19,8 +19,8 @@ HALVES**2 * 2 * ROWS.  A pair of similarity 0.75 shares no table with probabilit
 5. Classes that still share any of the tables across components are compared with
    each other in tiles; only what joins components is emitted.
 
-Full sets are made again from the texts of the classes that have candidates, so
-no other set is ever stored.
+Full sets are made again from the texts of the classes that share half keys, so no
+other set is ever stored.
 
 Defined results: a document without words (or null) has an empty set, is linked
 with nothing and kept.  One with fewer than five words has one shingle, its whole
@@ -208,20 +208,19 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     halves = shared(classes.select(F.explode("keys").alias("group"), "node"))
     weights = cut(centrality(halves))
     halves = halves.select(F.col("group").alias("key"), "node")
+    sets = _sets_of(weights.select("node"), classes, source)
     links, comps = None, None
     for diagonal in (True, False):
         tables = cut(_tables(_with_components(halves, comps), diagonal))
         if comps is not None:
             tables = cut(mixed_groups(tables))
         pairs = cut(_close(hub_pairs(tables, hubs_of(tables, weights)), classes))
-        sets = _sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), classes, source)
         new = _links(pairs, sets)
         links = cut(new if links is None else links.unionAll(new))
         comps = connected(links)
     members = mixed_groups(tables.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     members = joined_groups(members)
     if members.limit(1).count():
-        sets = _sets_of(members.select("node").distinct(), classes, source)
         links = cut(links.unionAll(tiles(members).join(sets, "node").groupBy("group", "p", "q").applyInArrow(_compare_blocks, "a long, b long")))
         comps = connected(links)
     joined = classes.select("node", "id").join(comps, "node")
