@@ -389,6 +389,72 @@ def test_classifiers_without_labels(spark, docs, module):
     assert len({r["score"] for r in module.classify(docs, model).collect()}) == 1
 
 
+def test_ftrl_against_plain_updates():
+    """Weights of follow-the-regularised-leader, feature by feature in dictionaries."""
+    import numpy as np
+
+    c = quality_classifier
+    rng = np.random.default_rng(5)
+    size, rows, y = 30, [], []
+    for _ in range(40):
+        f = np.sort(rng.choice(np.arange(1, size), 6, replace=False))
+        rows.append((f, rng.random(6)))
+        y.append(float(f.sum() + rng.integers(0, 30) > 100))
+    got = c.train(rows, np.array(y), 0.3, size, epochs=2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= c.L1 else -(z[i] - math.copysign(c.L1, z[i])) / ((c.BETA + math.sqrt(n[i])) / c.ALPHA + c.L2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            x = {**dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True)), size: 1.0}
+            w = {i: weight(i) for i in x}
+            off = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))) - y[r]
+            for i, v in x.items():
+                g = off * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / c.ALPHA * w[i]
+                n[i] += g * g
+    assert np.allclose(got.weights, [weight(i) for i in range(size)], atol=1e-6)
+    share = sum(y) / len(y)
+    assert math.isclose(got.intercept, weight(size) + math.log(0.3 / 0.7) - math.log(share / (1 - share)), rel_tol=1e-9)
+
+
+def test_calibration_is_isotonic_regression():
+    """Each level is the largest of the smallest means of the runs around it."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    m, y, w = np.round(rng.normal(size=60), 1), rng.integers(0, 2, 60).astype(float), rng.random(60) + 0.1
+    steps, levels = toxicity.isotonic(m, y, w)
+    u = np.unique(m)
+    mean = lambda a, b: (w * y)[(m >= a) & (m <= b)].sum() / w[(m >= a) & (m <= b)].sum()
+    want = [max(min(mean(a, b) for b in u if b >= x) for a in u if a <= x) for x in u]
+    assert np.allclose(np.interp(u, steps, levels), want) and (np.diff(levels) >= 0).all()
+
+
+def test_tree_margins_and_scores_text_by_text(sample):
+    """Margins by walking each tree, and features of a text that don't depend on its neighbours."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = sample[0].orderBy("doc_id").limit(60).collect()
+    texts = [r["text"] for r in rows]
+    y = np.array([float("the" in (t or "")[:40]) for t in texts])
+    model = toxicity.train(pa.array(texts, pa.string()), y, 0.4)
+    together = np.concatenate([toxicity.dense(s, model.lexicons) for s in toxicity.K.slices(pa.array(texts, pa.string()))])
+    alone = np.concatenate([toxicity.dense(s, model.lexicons) for t in texts for s in toxicity.K.slices(pa.array([t], pa.string()))])
+    assert np.allclose(together, alone)
+    for x, got in zip(alone, model.margin(alone), strict=True):
+        total = model.base
+        for feature, threshold, leaf in model.trees:
+            k = 0
+            for _ in range(toxicity.DEPTH):
+                k = 2 * k + 1 + int(x[feature[k]] > threshold[k])
+            total += leaf[k - (2**toxicity.DEPTH - 1)]
+        assert math.isclose(total, got, rel_tol=1e-9, abs_tol=1e-9)
+    grams = lambda ts: [np.concatenate(x) for x in zip(*(quality_classifier.features(s)[0] for s in quality_classifier.K.slices(pa.array(ts, pa.string()))), strict=True)]
+    assert all((a == np.concatenate(b)).all() for a, b in zip(grams(texts), zip(*(grams([t]) for t in texts if t), strict=True), strict=True))
+
+
 def test_language_on_held_out_texts(sample, docs):
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = language_id.fit(sample[0].where(~held), texts_per_language=120)
