@@ -251,9 +251,16 @@ def _deal(docs: DataFrame, plan: Plan, starts: int, share: int) -> DataFrame:
         if pend:
             yield flush()
 
-    packed = map_arrow(docs, run, _PACKED).repartition(buckets, "bucket")
-    ensure_checkpoint_dir(docs.sparkSession)
-    return packed.checkpoint()  # keeps the partitioning, so that messages join it without another shuffle of tokens
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    # a checkpoint keeps its plan's partitioning, so that messages join it without another shuffle of tokens; an adaptive
+    # plan has none to keep
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return map_arrow(docs, run, _PACKED).repartition(buckets, "bucket").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -572,7 +579,8 @@ def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) ->
     def find(codes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(codes):
             return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
-        at = np.minimum(np.searchsorted(codes, x), len(codes) - 1)
+        order, at = np.argsort(x), np.empty(len(x), dtype=np.int64)
+        at[order] = np.minimum(np.searchsorted(codes, x[order]), len(codes) - 1)  # in order, for the cache
         return at, codes[at] == x
 
     take = lambda x, at, there: np.where(there, x[at], 0) if len(x) else np.zeros(len(at), dtype=np.int64)
