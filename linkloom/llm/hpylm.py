@@ -52,7 +52,7 @@ from linkloom.llm.common import Batches, bounded_sample, cut, drop_table, ensure
 SWEEPS, SAMPLES = 3, 2
 STRENGTH, EXACT = 1.0, 32
 #: Tokens that a task packs together, and that a bucket holds in expectation; words in a bucket of words.
-FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 2_000_000, 3_000_000, 4_000_000
+FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_200_000, 3_000_000, 4_000_000
 #: Tokens are dealt in so many shares, one after the other, so that only one is on disk twice, as dealt and as written.
 SHARES = 2
 #: Documents from which common words are told, and most of these; they only steer how tokens are dealt.
@@ -285,7 +285,8 @@ class Bucket:
     and of its pair, a pair that of its word before (ones).
     """
 
-    def __init__(self, rows: pa.Table, plan: Plan):
+    def __init__(self, rows: pa.Table, plan: Plan, where: bool = False):
+        """where: keep the triple of every token that is learned from, in the order of the rows."""
         rows = rows.sort_by("flush")
         self.flushes, self.headers = rows["flush"].to_pylist(), rows["header"].to_pylist()
         self.plan, self.rows = plan, []
@@ -308,11 +309,17 @@ class Bucket:
         self.learned = np.bincount(w, minlength=len(self.words)).astype(np.int64)
         self.contexts, place = _runs(one << 32 | two)
         del one, two
-        codes = np.sort(place << 32 | w)
-        del place, w
-        new = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
-        self.triples, self.c = codes[new], np.diff(np.append(new, len(codes)))
-        del codes
+        place <<= 32
+        place |= w
+        del w
+        if where:
+            self.triples, self.where = _runs(place)
+            self.c = np.bincount(self.where, minlength=len(self.triples)).astype(np.int64)
+        else:
+            place.sort()
+            new = np.flatnonzero(np.diff(place, prepend=place[:1] - 1))
+            self.triples, self.c = place[new], np.diff(np.append(new, len(place)))
+        del place
         self.context = self.triples >> 32
         self.w = self.triples & 0xFFFFFFFF
         self.pairs, self.pair = _runs((self.contexts[self.context] >> 32) << 32 | self.w)
@@ -567,7 +574,7 @@ def _by_share(packed: list[DataFrame], side: DataFrame, schema: str, f, *known)
 
 def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) -> pa.Table:
     """(flush, header, sums): for the documents with tokens in the bucket the known ones, log10(c + 1) and log10 probabilities."""
-    b, told = Bucket(rows, plan), side.to_pylist()
+    b, told = Bucket(rows, plan, where=True), side.to_pylist()
     learned = _heard(b, [r for r in told if r["kind"] == "reply" and r["sweep"] == 0])[2]
     samples = []
     for k in range(SWEEPS - SAMPLES + 1, SWEEPS + 1):
@@ -583,29 +590,44 @@ def _scores(key: tuple, rows: pa.Table, side: pa.Table, plan: Plan, g: Model) ->
         at[order] = np.minimum(np.searchsorted(codes, x[order]), len(codes) - 1)  # in order, for the cache
         return at, codes[at] == x
 
+    # what was learned from has the probability of its triple; only other tokens are looked up
+    own = np.zeros(len(b.triples))
+    for x, _, _, _ in samples:
+        own += probability(b.c, x.triple_t, context_c[b.context], x.context_t[b.context], g.d[2], x.pair[b.pair])
+    own, done = np.log10(own / SAMPLES), 0
+
     take = lambda x, at, there: np.where(there, x[at], 0) if len(x) else np.zeros(len(at), dtype=np.int64)
-    for i, (*places, who, lengths) in enumerate(b.rows):
-        one, two, w = (x.astype(np.int64) for x in places)
-        who = np.repeat((who >> 1).astype(np.int64), lengths)
+    pick = lambda common, own_, shared: np.where(common, shared, own_)
+
+    def unseen(one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens that weren't learned from."""
         context, has_context = find(b.contexts, one << 32 | two)
         triple, has_triple = find(b.triples, context << 32 | w)
         has_triple &= has_context
         pair, has_pair = find(b.pairs, one << 32 | w)
         before, has_before = find(b.ones, one)
         hot = b.hot_of[one]
-        hot_pair, has_hot = find(b.hot_pairs, np.maximum(hot, 0) << 32 | w)
+        at, common = np.maximum(hot, 0), hot >= 0
+        hot_pair, has_hot = find(b.hot_pairs, at << 32 | w)
         p = np.zeros(len(w))
         for x, hot_c, hot_t, left in samples:
-            common = hot >= 0
-            at = np.maximum(hot, 0)
-            pick = lambda own, shared: np.where(common, shared, own)  # noqa: B023, E731
-            pair_c, pair_t = pick(take(x.pair_c, pair, has_pair), take(hot_c, hot_pair, has_hot)), pick(take(x.pair_t, pair, has_pair), take(hot_t, hot_pair, has_hot))
-            one_c, one_t = pick(take(x.one_c, before, has_before), take(left.customers, at, common)), pick(take(x.one_t, before, has_before), take(left.tables, at, common))
+            pair_c, pair_t = pick(common, take(x.pair_c, pair, has_pair), take(hot_c, hot_pair, has_hot)), pick(common, take(x.pair_t, pair, has_pair), take(hot_t, hot_pair, has_hot))
+            one_c, one_t = pick(common, take(x.one_c, before, has_before), take(left.customers, at, common)), pick(common, take(x.one_t, before, has_before), take(left.tables, at, common))
             lower = probability(pair_c, pair_t, one_c, one_t, g.d[1], x.root[w])
             p += probability(take(b.c, triple, has_triple), take(x.triple_t, triple, has_triple), take(context_c, context, has_context), take(x.context_t, context, has_context), g.d[2], lower)
+        return np.log10(p / SAMPLES)
+
+    for i, (one, two, w, who, lengths) in enumerate(b.rows):
+        held = np.repeat(who & 1 == 1, lengths)
+        who = np.repeat((who >> 1).astype(np.int64), lengths)
+        logp = np.empty(len(w))
+        n = len(w) - int(held.sum())
+        logp[~held] = own[b.where[done : done + n]]
+        done += n
+        logp[held] = unseen(*(x[held].astype(np.int64) for x in (one, two, w)))
         n = int(who.max(initial=-1)) + 1
         touched = np.flatnonzero(np.bincount(who, minlength=n))
-        sums = [np.bincount(who, weights=y, minlength=n)[touched] for y in ((learned[w] > 0).astype(float), base[w], np.log10(p / SAMPLES))]
+        sums = [np.bincount(who, weights=y, minlength=n)[touched] for y in ((learned[w] > 0).astype(float), base[w], logp)]
         out.append((b.flushes[i], b.headers[i], touched.astype(np.uint16).tobytes() + b"".join(y.tobytes() for y in sums)))
     columns = list(zip(*out, strict=True))
     return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["flush", "header", "sums"])
