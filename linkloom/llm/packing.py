@@ -126,16 +126,16 @@ def assign(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     folded = F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
     base = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        (F.regexp_count(t, F.lit(WORD)) + 1).cast("long").alias("tokens"), F.xxhash64(folded).alias("print"), (folded == "").alias("blank"),
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), (F.regexp_count(t, F.lit(WORD)) + 1).cast("long").alias("tokens"), F.xxhash64(t).alias("print"),
+        # a frame of clusters can't name rows without an id: only those are told by their texts then
+        F.when(F.lit(clusters is None) | F.col(doc_id).isNull(), F.when(folded != "", F.xxhash64(folded))).alias("own"),
     )
     shards = 1 << max(0, (docs.count() - 1) // SHARD_ROWS).bit_length()
     if clusters is None:
-        base = base.withColumn("cluster_id", F.when(~F.col("blank"), F.col("print")))
+        base = base.withColumnRenamed("own", "cluster_id")
     else:
-        base = base.join(clusters.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("cluster_id").cast("long").alias("cluster_id")).dropDuplicates(["doc_id"]), "doc_id", "left")
-        # clusters can't name rows without an id: those are told by their texts
-        base = base.withColumn("cluster_id", F.when(F.col("doc_id").isNull() & ~F.col("blank"), F.col("print")).otherwise(F.col("cluster_id")))
+        given = clusters.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("cluster_id").cast("long").alias("cluster_id")).dropDuplicates(["doc_id"])
+        base = base.join(given, "doc_id", "left").withColumn("cluster_id", F.coalesce("own", "cluster_id"))
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "print"), F.lit(shards)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:

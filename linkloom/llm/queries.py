@@ -18,8 +18,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # lower case beyond ASCII too, so that texts equal after folding stay in one cluster
-    near = near_dedup.find(docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text")))
+    near = near_dedup.find(docs)
     return packing.assign(docs, clusters=near.select("doc_id", F.col("component_id").alias("cluster_id")))
 
 
