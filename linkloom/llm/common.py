@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -62,9 +63,13 @@ def _remove_at_exit(sc, folder: str) -> None:
         _remove(sc, folder)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Shuffle files and checkpoints that no plan refers to any more are removed."""
+def let_go(spark: SparkSession, settle: float = 0.0) -> None:
+    """Shuffle files and checkpoints that no plan refers to any more are removed.
+
+    settle: seconds to wait, as plans that Python dropped this moment are told to the JVM within a second.
+    """
     gc.collect()
+    time.sleep(settle)
     spark._jvm.System.gc()
 
 

@@ -673,7 +673,7 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     packed = []
     for share in range(SHARES):
         packed.append(_deal(source, plan, max(1, -(-total // BUCKET_TOKENS)), share))
-        let_go(spark)
+        let_go(spark, settle=1.5)
     begun = (p.groupBy("bucket").applyInArrow(lambda key, rows: _begin(key, rows, plan), _MESSAGE) for p in packed)
     first = cut(functools.reduce(DataFrame.unionAll, begun))
     no_state = first.where("kind = 'state'")
