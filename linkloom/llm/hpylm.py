@@ -52,7 +52,7 @@ from linkloom.llm.common import Batches, bounded_sample, cut, drop_table, ensure
 SWEEPS, SAMPLES = 3, 2
 STRENGTH, EXACT = 1.0, 32
 #: Tokens that a task packs together, and that a bucket holds in expectation; words in a bucket of words.
-FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_200_000, 3_000_000, 4_000_000
+FLUSH_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_200_000, 2_000_000, 4_000_000
 #: Tokens are dealt in so many shares, one after the other, so that only one is on disk twice, as dealt and as written.
 SHARES = 2
 #: Documents from which common words are told, and most of these; they only steer how tokens are dealt.
