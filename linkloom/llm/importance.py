@@ -32,7 +32,7 @@ from linkloom.llm.common import Batches, cut, map_arrow
 from linkloom.plans.loops import ranked
 
 #: Bytes of text that share a dictionary; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 23
 
 #: Bytes outside of words: all of ASCII but digits and (lowered) letters.
 GAP = np.zeros(256, dtype=bool)
@@ -188,6 +188,7 @@ def weigh(docs: DataFrame, target: DataFrame, least: int = 1, most: int = 1, buc
         counted = lambda r: r.groupBy("key").agg(F.sum("total").alias("total")).join(buckets_of, "key")
         gain = gains(counted(runs), counted(wanted), buckets)
         back = runs.join(buckets_of, "key").join(gain, "bucket").select(F.col("block").alias("of"), "at", "gain")
+    back = cut(back)  # the words' shuffle is let go of before the texts are dealt
     texts = own.select("block", "doc_id", "n_words", "ids", "counts")
     return cut(texts.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_weigh, "doc_id string, n_words long, n_features long, weight long"))
 
