@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from re import _parser as sre
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from linkloom.functions import vocab as V
 
 from linkloom.functions import text as X
 
 #: Patterns that a lexicon may hold: they become part of the plan.
 MOST_PATTERNS = 5000
+#: Phrases of a gazetteer that tasks may hold, some 40 MB; a larger one is dealt.
+MOST_PHRASES = 200_000
 #: The lexicon's group of statements, which tell of no relation.
 STATEMENTS = "depoimento"
 
@@ -45,31 +55,94 @@ def gazetteer(names: DataFrame) -> DataFrame:
     return names.select("person", phrase.alias("phrase")).where("phrase <> ''").groupBy("phrase").agg(F.sort_array(F.collect_set("person")).alias("persons")).withColumn("n_words", F.size(F.split("phrase", " ")))
 
 
-def name_hits(chunks: DataFrame, known: DataFrame) -> DataFrame:
-    """(chunk_id, phrases, chosen): every phrase of a gazetteer in a chunk, and those that are left when matches, from
-    the left and the longest first, take their words: "Ana Lima" isn't "Lima" too.
-
-    Runs of words as long as some phrase meet the gazetteer by an equi join, which broadcasts a small gazetteer and
-    deals a large one; no row carries a text.
-    """
-    lengths = [r[0] for r in known.select("n_words").distinct().orderBy("n_words").collect()]  # as many as the longest name has words
-    empty = F.array().cast("array<struct<at:int,n:int,phrase:string>>")
-    words = F.filter(F.split(F.trim(X.tokens_padded(F.col("text"))), " "), lambda x: x != "")
-
-    def runs(w: Column) -> Column:
-        of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("phrase")))).otherwise(empty)
-        return F.flatten(F.array(*(of(n) for n in lengths))) if lengths else empty
-
-    split = X.fixed(chunks, "chunk_id", w=words)
-    met = split.select("chunk_id", F.inline(runs(F.col("w")))).join(known.select("phrase", "persons"), "phrase")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(X.tokens_padded(text)), " "), lambda x: x != "")
+
+
+def _hits_schema(chunks: DataFrame, known: DataFrame) -> T.StructType:
+    persons = T.StructField("persons", known.schema["persons"].dataType)
+    chosen = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), persons]))
+    return T.StructType([chunks.schema["chunk_id"], T.StructField("phrases", T.ArrayType(T.StringType())), T.StructField("chosen", chosen)])
+
+
+class Automaton:
+    """Phrases by their words: a tree whose nodes are words, and at its ends the phrases with their persons."""
+
+    def __init__(self, rows: list[tuple[str, list]]):
+        self.top: dict = {}
+        for phrase, persons in rows:
+            node = self.top
+            for word in phrase.split(" "):
+                node = node.setdefault(word, {})
+            node[""] = (phrase, persons)  # no word is empty
+
+    def find(self, words: list[str]) -> tuple[list[str], list[tuple[str, list]]]:
+        """All distinct phrases by place, the longest first, and those that stand when each takes its words, from the left."""
+        seen, chosen, end = {}, [], 0
+        for i, word in enumerate(words):
+            node = self.top.get(word)
+            if node is None:
+                continue
+            met, k = [], i
+            while node is not None:
+                k += 1
+                if "" in node:
+                    met.append((k, node[""]))
+                node = node.get(words[k]) if k < len(words) else None
+            for _, (phrase, _) in reversed(met):
+                seen.setdefault(phrase)
+            if met and i >= end:
+                end, best = met[-1]
+                chosen.append(best)
+        return list(seen), chosen
+
+
+def _hits_in_tasks(chunks: DataFrame, known: DataFrame, rows: list[tuple[str, list]]) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(Automaton(rows))
+    schema = _hits_schema(chunks, known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        kinds = {f.name: to_arrow_type(f.dataType) for f in schema}
+        for batch in batches:
+            at, phrases, chosen = [], [], []
+            for i, words in enumerate(batch.column("words").to_pylist()):
+                seen, best = automaton.find(words.split())
+                if seen:
+                    at.append(i)
+                    phrases.append(seen)
+                    chosen.append([{"phrase": p, "persons": who} for p, who in best])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(at, pa.int64())), pa.array(phrases, kinds["phrases"]), pa.array(chosen, kinds["chosen"])], names=schema.names)
+
+    return chunks.select("chunk_id", X.tokens_padded(F.coalesce("text", F.lit(""))).alias("words")).mapInArrow(run, schema)
+
+
+def _hits_by_first_word(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """A word meets the phrases that it starts by an equi join, with as many words behind it as the longest of all has."""
+    longest = known.agg(F.max("n_words")).first()[0] or 0
+    split = X.fixed(chunks, "chunk_id", w=_words(F.col("text")))
+    places = F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("head"), F.concat(F.array_join(F.slice(F.col("w"), i + 1, int(longest)), " "), F.lit(" ")).alias("run")))
+    heads = known.select(F.substring_index("phrase", " ", 1).alias("head"), "phrase", "persons", F.col("n_words").alias("n"))
+    met = split.where(F.lit(longest > 0)).select("chunk_id", F.inline(places)).join(heads, "head").where(F.startswith("run", F.concat("phrase", F.lit(" "))))
     order = F.struct("at", (-F.col("n")).alias("back"), "phrase", "persons")
     hits = met.groupBy("chunk_id").agg(F.sort_array(F.collect_list(order)).alias("hits"))
-    none = F.array().cast(f"array<struct<phrase:string,persons:{known.schema['persons'].dataType.simpleString()}>>")
+    none = F.array().cast(_hits_schema(chunks, known)["chosen"].dataType)
     step = lambda acc, x: F.when(x["at"] >= acc["end"], F.struct((x["at"] - x["back"]).alias("end"), F.array_append(acc["kept"], F.struct(x["phrase"], x["persons"])).alias("kept"))).otherwise(acc)
     chosen = F.aggregate("hits", F.struct(F.lit(0).alias("end"), none.alias("kept")), step, lambda acc: acc["kept"])
     return hits.select("chunk_id", F.array_distinct(F.transform("hits", lambda x: x["phrase"])).alias("phrases"), chosen.alias("chosen"))
 
 
+def name_hits(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk_id, phrases, chosen): every phrase of a gazetteer in a chunk, and those that are left when matches, from
+    the left and the longest first, take their words: "Ana Lima" isn't "Lima" too.
+
+    A gazetteer of at most MOST_PHRASES phrases is sent to the tasks as one automaton; a larger one is dealt by the
+    first words of its phrases.  The rows are the same.
+    """
+    rows = [(r["phrase"], r["persons"]) for r in known.select("phrase", "persons").limit(MOST_PHRASES + 1).collect()]
+    return _hits_in_tasks(chunks, known, rows) if len(rows) <= MOST_PHRASES else _hits_by_first_word(chunks, known)
+
+
 def known_names(chunks: DataFrame, known: DataFrame) -> DataFrame:
     """(chunk_id, person, phrase), distinct."""
     each = name_hits(chunks, known).select("chunk_id", F.inline("chosen"))
@@ -84,23 +157,74 @@ def patterns(lexicon: DataFrame) -> list[tuple[str, str | None, str]]:
     return sorted(rows, key=lambda r: (r[0], r[2]))
 
 
+def needed(pattern: str) -> list[str]:
+    """Texts of which each match of a regular expression holds one at least; none where nothing can be told.
+
+    Of a sequence the part with the longest texts counts, of alternatives all.
+    """
+
+    def of(items) -> list[str]:
+        best: list[str] = []
+        run = ""
+
+        def better(found: list[str]) -> None:
+            nonlocal best
+            if found and all(found) and (not best or (min(map(len, found)), -len(found)) > (min(map(len, best)), -len(best))):
+                best = found
+
+        for op, arg in items:
+            if op is sre.LITERAL:
+                run += chr(arg)
+                continue
+            better([run] if run else [])
+            run = ""
+            if op is sre.SUBPATTERN:
+                better(of(arg[-1]))
+            elif op is sre.BRANCH:
+                each = [of(x) for x in arg[1]]
+                better([t for x in each for t in x] if all(each) else [])
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+                better(of(arg[2]))
+        better([run] if run else [])
+        return best
+
+    return sorted(set(of(sre.parse(pattern))))
+
+
 def triggers(text: Column, lexicon: DataFrame) -> Column:
-    """The distinct (grp, type, term) that a lexicon's regular expressions find in a text, once normalised."""
-    norm = X.normalize(text)
-    of = lambda grp, kind, p: F.transform(F.regexp_extract_all(norm, F.lit(p), F.lit(0)), lambda x: F.struct(F.lit(grp).alias("grp"), F.lit(kind).cast("string").alias("type"), F.trim(x).alias("term")))
-    found = [of(*row) for row in patterns(lexicon)]
-    return F.array_distinct(F.flatten(F.array(*found))) if found else F.array().cast("array<struct<grp:string,type:string,term:string>>")
+    """The distinct (grp, type, term) that a lexicon's regular expressions find in a text, once normalised.
 
+    A text meets only the expressions of which it holds a needed part.
+    """
+    none = F.array().cast("array<struct<grp:string,type:string,term:string>>")
+
+    def of(norm: Column, grp: str, kind: str | None, p: str) -> Column:
+        found = F.transform(F.regexp_extract_all(norm, F.lit(p), F.lit(0)), lambda x: F.struct(F.lit(grp).alias("grp"), F.lit(kind).cast("string").alias("type"), F.trim(x).alias("term")))
+        parts = needed(p)
+        if not parts:
+            return found
+        holds = F.contains(norm, F.lit(parts[0]))
+        for x in parts[1:]:
+            holds = holds | F.contains(norm, F.lit(x))
+        return F.when(holds, found).otherwise(none)
+
+    rows = patterns(lexicon)
+    # a variable of a lambda is worked out once, however often the expressions name it
+    return F.element_at(F.transform(F.array(X.normalize(text)), lambda norm: F.array_distinct(F.flatten(F.array(*(of(norm, *row) for row in rows))))), 1) if rows else none
 
-def matched(chunks: DataFrame, known: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Chunks with their known persons, unknown names and triggers; chunks that look like references are left out."""
+
+def matched(chunks: DataFrame, known: DataFrame, lexicon: DataFrame, common: list[str] = V.NOT_NAMES) -> DataFrame:
+    """Chunks with their known persons, unknown names and triggers; chunks that look like references are left out.
+
+    common: capitalised words that make no name.
+    """
     sound = chunks.where(~X.is_bibliography(F.col("text")))
     out = sound.join(name_hits(sound, known), "chunk_id", "left")
     pairs = F.flatten(F.transform("chosen", lambda x: F.transform(x["persons"], lambda p: F.struct(p.alias("person"), x["phrase"].alias("phrase")))))
     keep = [c for c in chunks.columns if c not in ("known", "unknown", "triggers")]
     made = X.fixed(
         out, *keep, known=F.coalesce(F.array_distinct(pairs), F.array().cast(f"array<struct<person:{known.schema['persons'].dataType.elementType.simpleString()},phrase:string>>")),
-        unknown=X.unknown_names(F.col("text"), F.coalesce("phrases", F.array().cast("array<string>"))), triggers=triggers(F.col("text"), lexicon),
+        unknown=X.unknown_names(F.col("text"), F.coalesce("phrases", F.array().cast("array<string>")), common), triggers=triggers(F.col("text"), lexicon),
     )
     related = F.filter("triggers", lambda t: t["grp"] != STATEMENTS)
     return made.withColumns(
@@ -123,8 +247,8 @@ def scored(matched: DataFrame) -> DataFrame:
     return matched.where(passes()).withColumn("score2", score2.cast("long"))
 
 
-def candidates(chunks: DataFrame, known: DataFrame, lexicon: DataFrame) -> DataFrame:
-    return scored(matched(chunks, known, lexicon))
+def candidates(chunks: DataFrame, known: DataFrame, lexicon: DataFrame, common: list[str] = V.NOT_NAMES) -> DataFrame:
+    return scored(matched(chunks, known, lexicon, common))
 
 
 def statistics(chunks: DataFrame, matched: DataFrame) -> DataFrame:

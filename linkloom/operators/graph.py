@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.paths import totals
 from linkloom.operators.relations import both_ways
 from linkloom.plans.loops import cut, ranked
 
@@ -76,8 +77,8 @@ def largest(comps: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def path_totals(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, pairs, total, diameter) over the ordered pairs of the largest component."""
     keys = keys or []
-    h = hops(edges, largest(components(edges, keys), keys), keys=keys).where("hops > 0")
-    return h.groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum("hops").alias("total"), F.max("hops").alias("diameter"))
+    main = largest(components(edges, keys), keys)
+    return totals(edges.join(main.withColumnRenamed("node", "a"), [*keys, "a"], "left_semi"), keys)
 
 
 def density(edges: Column, nodes: Column) -> Column:
@@ -87,9 +88,17 @@ def density(edges: Column, nodes: Column) -> Column:
 def triangles(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Each triangle once, as (keys, x, y, z) with x < y < z."""
     keys = keys or []
-    e = edges.select(*keys, F.col("a").alias("x"), F.col("b").alias("y"))
-    two = e.join(e.select(*keys, F.col("x").alias("y"), F.col("y").alias("z")), [*keys, "y"])
-    return two.join(e.select(*keys, "x", F.col("y").alias("z")), [*keys, "x", "z"]).select(*keys, "x", "y", "z")
+    on = [*keys, "node"]
+    degree = both_ways(edges, *keys).groupBy(*on).agg(F.count("*").alias("k"))
+    # each edge leads to its end of more neighbours: so no node has more than the root of twice the edges ahead
+    both = edges.select(*keys, "a", "b").join(degree.withColumnsRenamed({"node": "a", "k": "ka"}), [*keys, "a"]).join(degree.withColumnsRenamed({"node": "b", "k": "kb"}), [*keys, "b"])
+    less = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
+    e = cut(both.select(*keys, F.when(less, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("y"), F.greatest("ka", "kb").alias("k")))
+    ahead = e.select(*keys, "x", F.col("y").alias("z"), F.col("k").alias("kz"))
+    two = e.join(ahead, [*keys, "x"]).where("k < kz OR (k = kz AND y < z)")
+    closed = e.select(*keys, F.col("x").alias("y"), F.col("y").alias("z"))
+    three = two.select(*keys, "x", "y", "z").join(closed, [*keys, "y", "z"]).withColumn("s", F.array_sort(F.array("x", "y", "z")))
+    return three.select(*keys, *(F.col("s")[i].alias(c) for i, c in enumerate("xyz")))
 
 
 def clustering(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import vocab as V
@@ -69,6 +69,15 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(d, vertices["id"] == d["node"], "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("strength20", F.lit(0)).cast("long").alias("strength20"))
 
 
+def top(df: DataFrame, k: int, keys: list[str], *order: Column | str, parts: int = 64) -> DataFrame:
+    """The first k rows of each of a few keys, with their place from 1: first of each of several parts of a key, then of these,
+    so no task holds more of a key than a part or k rows of each."""
+    part = F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.lit(parts))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = df.withColumn("__part", part).withColumn("__place", place(*keys, "__part")).where(F.col("__place") <= k).drop("__part", "__place")
+    return first.withColumn("place", place(*keys)).where(F.col("place") <= k)
+
+
 def ranking(nodes: DataFrame, value: str, k: int = 10) -> DataFrame:
     """The k highest values (ties by id), of these the positive ones."""
     return nodes.orderBy(F.desc(value), "id").limit(k).where(F.col(value) > 0)

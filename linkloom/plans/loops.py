@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's own folder beneath spark.checkpoint.dir (only where that is unset, as in tests, a temporary
+    one); it goes when the application ends."""
+    sc = spark.sparkContext
+    if getattr(sc, "_linkloom_rounds", None) is None:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-"))
+        sc._linkloom_rounds = f"{sc._jsc.sc().getCheckpointDir().get()}/rounds-{uuid.uuid4().hex}"
+        atexit.register(_remove, sc, sc._linkloom_rounds)
+    return sc._linkloom_rounds
+
+
+def _remove(sc, folder: str) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended first
+        if sc._jsc is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a written table: its lineage ends, and losing executors loses nothing.
 
-    The folder is the one named in spark.checkpoint.dir; only where that is unset (tests) a temporary one.
+    A checkpoint would keep the plan's constraints and statistics, which grow from round to round; a table that is read
+    again has neither, and its size is known.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-"))
-    return df.checkpoint()
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, name: str, *order: Column | str) -> DataFrame:

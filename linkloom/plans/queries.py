@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from linkloom.functions import period as P
 from linkloom.functions import text as X
 from linkloom.functions import vocab as V
-from linkloom.operators import centrality, curation, editing, exports, funnel, graph, resolution, rules
+from linkloom.operators import centrality, curation, editing, exports, funnel, graph, paths, resolution, rules, summaries
+from linkloom.operators import communities as groups
 from linkloom.operators import relations as R
 from linkloom.sources import testdata as S
 
@@ -28,9 +29,7 @@ def _edges(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return R.collapse(S.relations(spark, d, kind))
 
 
-def _bp(a, b):
-    """Share in basis points, rounded down; null without a base."""
-    return F.when(b > 0, F.floor(a * 10000 / b).cast("long"))
+_bp = summaries.basis_points
 
 
 # weights, edges, degrees
@@ -347,23 +346,7 @@ def coverage_pending(spark, d):
 
 @query
 def per_type_metrics(spark, d):
-    r = graph.cut(S.relations(spark, d))
-    e = graph.cut(R.collapse(r, ["type"]))
-    degree = R.both_ways(e, "type").groupBy("type", "node").agg(F.count("*").alias("degree"))
-    nodes = degree.groupBy("type").agg(F.count("*").alias("nodes"))
-    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("degree"), "node"))
-    top = degree.withColumn("r", rank).where("r <= 5").groupBy("type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "node", "degree"))), lambda x: F.concat_ws(":", x["node"].cast("string"), x["degree"].cast("string"))), ",").alias("top5"))
-    edges = e.groupBy("type").agg(F.count("*").alias("edges"))
-    comps = graph.components(e, ["type"]).groupBy("type", "comp").agg(F.count("*").alias("size")).groupBy("type").agg(F.count("*").alias("components"), F.max("size").alias("largest"))
-    c = graph.clustering(e, ["type"]).groupBy("type").agg((F.sum("triangles") / 3).cast("long").alias("triangles"), F.floor(F.avg("coefficient") * 10000).cast("long").alias("clustering_bp"))
-    count = lambda name: F.count_if(F.col("confidence") == name).alias(name)
-    rel = r.groupBy("type").agg(F.count("*").alias("relations"), *map(count, V.CONFIDENCES), F.count_if(F.col("period") != "").alias("with_period"))
-    out = spark.createDataFrame([(t,) for t in V.RELATION_TYPES], "type string")
-    for part in (rel, nodes, edges, comps, c, top):
-        out = out.join(part, "type", "left")
-    zeros = ("relations", *V.CONFIDENCES, "with_period", "nodes", "edges", "components", "largest", "triangles", "clustering_bp")
-    out = out.select("type", *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in zeros), F.coalesce("top5", F.lit("")).alias("top5"))
-    return out.withColumns({"density": graph.density(F.col("edges"), F.col("nodes")), "with_period_bp": _bp(F.col("with_period"), F.col("relations"))})
+    return summaries.by_type(S.relations(spark, d))
 
 
 @query
@@ -380,7 +363,7 @@ def component_roles(spark, d):
 
 @query
 def community_roles(spark, d):
-    return R.mix(centrality.communities(graph.cut(_edges(spark, d, "dense"))), S.persons(spark, d), "community")
+    return R.mix(groups.communities(graph.cut(_edges(spark, d, "dense"))), S.persons(spark, d), "community")
 
 
 @query
@@ -426,13 +409,13 @@ def largest_component(spark, d):
 
 @query
 def origin_hops(spark, d):
-    return graph.hops(_edges(spark, d, "sparse"), S.persons(spark, d).where(F.col("id").isin(_sparse_origins(spark, d))).select(F.col("id").alias("node")))
+    e = graph.cut(_edges(spark, d, "sparse"))
+    return graph.hops(e, _smallest(e, 4).join(S.persons(spark, d).select(F.col("id").alias("node")), "node", "left_semi"))
 
 
-def _sparse_origins(spark, d) -> list[int]:
-    """The four smallest connected persons, as reference points of distances."""
-    near = R.both_ways(_edges(spark, d, "sparse")).select("node").distinct()
-    return [r["node"] for r in near.orderBy("node").limit(4).collect()]
+def _smallest(edges: DataFrame, n: int) -> DataFrame:
+    """The smallest connected persons, as reference points of distances."""
+    return R.both_ways(edges).select("node").distinct().orderBy("node").limit(n)
 
 
 @query
@@ -479,13 +462,14 @@ def graph_summary(spark, d):
 @query
 def community_summary(spark, d):
     e = graph.cut(_edges(spark, d, "dense"))
-    c = graph.cut(centrality.communities(e))
-    return centrality.modularity(e, c.select("node", "community")).crossJoin(c.agg(F.count_distinct("community").alias("communities")))
+    c = graph.cut(groups.communities(e))
+    return groups.modularity(e, c.select("node", "community")).crossJoin(c.agg(F.count_distinct("community").alias("communities")))
 
 
 @query
 def ego_network(spark, d):
-    return graph.ego(_edges(spark, d, "sparse"), _sparse_origins(spark, d)[0], 2)
+    e = graph.cut(_edges(spark, d, "sparse"))
+    return graph.ego(e, _smallest(e, 1).first()[0], 2)
 
 
 @query
@@ -497,20 +481,9 @@ def origin_reach(spark, d):
 
 @query
 def origin_convergence(spark, d):
-    """Of the pairs of others that a path connects, those with a shortest path through an origin.
-
-    Only the origins' rows of distances are joined to the pairs, never pairs to pairs.
-    """
+    """Pairs are bits of their second node; only the origins' distances are rows."""
     e = graph.cut(_edges(spark, d, "sparse"))
-    origins = _sparse_origins(spark, d)
-    h = graph.hops(e)
-    pairs = h.where("origin < node").where(~F.col("origin").isin(origins) & ~F.col("node").isin(origins))
-    via = h.where(F.col("origin").isin(origins)).select(F.col("origin").alias("o"), F.col("node").alias("x"), F.col("hops").alias("d"))
-    first = pairs.join(via.select("o", F.col("x").alias("origin"), F.col("d").alias("d1")), "origin").join(via.select("o", F.col("x").alias("node"), F.col("d").alias("d2")), ["o", "node"])
-    on = first.where("d1 + d2 = hops")
-    total = pairs.agg(F.count("*").alias("pairs"))
-    through = on.select("origin", "node").distinct().agg(F.count("*").alias("via_any"))
-    return total.crossJoin(through).crossJoin(on.agg(F.count("*").alias("via_each")))
+    return summaries.convergence(e, _smallest(e, 4))
 
 
 @query
@@ -538,32 +511,19 @@ def teaching_concentration(spark, d):
 
 @query
 def decade_slices(spark, d):
-    """Active and cumulative networks of every decade, all in one pass with the decade as key."""
-    iv = P.effective(P.parse(F.col("period")))
-    raw = S.relations(spark, d)
-    r = graph.cut(X.fixed(raw, *raw.columns, iv=iv).select("*", "iv.first", "iv.last").where("first is not null").drop("iv"))
-    bounds = r.agg(P.decade(F.min("first")).alias("lo"), P.decade(F.max("last")).alias("hi"))
-    decades = bounds.where("lo <= hi").select(F.explode(F.sequence("lo", "hi", F.lit(10))).alias("decade"))
-    # decades are few: a century has ten
-    active = r.join(F.broadcast(decades), (F.col("first") <= F.col("decade") + 9) & (F.col("last") >= F.col("decade"))).withColumn("mode", F.lit("active"))
-    total = r.join(F.broadcast(decades), F.col("first") <= F.col("decade") + 9).withColumn("mode", F.lit("cumulative"))
-    keys = ["decade", "mode"]
-    both = active.unionAll(total)
-    e = graph.cut(R.collapse(both, keys))
-    comps = graph.components(e, keys).groupBy(*keys, "comp").agg(F.count("*").alias("size")).groupBy(*keys).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
-    near = graph.clustering(e, keys).groupBy(*keys).agg(F.count("*").alias("nodes"), F.floor(F.avg("coefficient") * 10000).cast("long").alias("clustering_bp"))
-    out = e.groupBy(*keys).agg(F.count("*").alias("edges")).join(near, keys).join(comps, keys).join(both.groupBy(*keys).agg(F.count("*").alias("relations")), keys)
-    return out.select(*keys, "relations", "nodes", "edges", "components", "largest", graph.density(F.col("edges"), F.col("nodes")).alias("density"), "clustering_bp")
+    return summaries.by_decade(S.relations(spark, d))
 
 
 @query
 def betweenness(spark, d):
-    return centrality.shortest_path_centralities(graph.cut(_edges(spark, d, "dense")), S.persons(spark, d).count()).select("node", "betweenness")
+    """Rounded to nine places: the sums' last digits depend on the order of their parts."""
+    c = paths.centralities(graph.cut(_edges(spark, d, "dense")), S.persons(spark, d).count())
+    return c.select("node", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query
 def closeness(spark, d):
-    return centrality.shortest_path_centralities(graph.cut(_edges(spark, d, "dense")), S.persons(spark, d).count()).select("node", "closeness")
+    return paths.closeness(graph.cut(_edges(spark, d, "dense")), S.persons(spark, d).count())
 
 
 def _main_component(e: DataFrame) -> DataFrame:
@@ -577,22 +537,22 @@ def eigenvector(spark, d):
 
 @query
 def communities(spark, d):
-    return centrality.communities(graph.cut(_edges(spark, d, "dense")))
+    return groups.communities(graph.cut(_edges(spark, d, "dense")))
 
 
 @query
 def modularity(spark, d):
     e = graph.cut(_edges(spark, d, "multi"))
     given = R.both_ways(e).select("node", (F.col("node") % 5).alias("community")).distinct()
-    return centrality.modularity(e, given)
+    return groups.modularity(e, given)
 
 
 @query
 def node_metrics(spark, d):
     e = graph.cut(_edges(spark, d, "dense"))
     p = S.persons(spark, d).select("id")
-    c = centrality.shortest_path_centralities(e, p.count())
-    out = R.degrees(p, e).join(c.withColumnRenamed("node", "id"), "id", "left").join(centrality.communities(e).withColumnRenamed("node", "id"), "id", "left").join(centrality.eigenvector(_main_component(e)).withColumnRenamed("node", "id"), "id", "left")
+    c = paths.centralities(e, p.count())
+    out = R.degrees(p, e).join(c.withColumnRenamed("node", "id"), "id", "left").join(groups.communities(e).withColumnRenamed("node", "id"), "id", "left").join(centrality.eigenvector(_main_component(e)).withColumnRenamed("node", "id"), "id", "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
     return out.select("id", "degree", "strength20", zero("betweenness"), zero("closeness"), zero("eigenvector"), F.coalesce("community", F.lit(-1)).alias("community"))
 
@@ -615,7 +575,8 @@ def graph_json_edges(spark, d):
 def export_persons_flat(spark, d):
     """All columns but those of whole-graph algorithms, which are empty here (see export_persons_measured)."""
     p, r = S.persons(spark, d), S.relations(spark, d, "sparse")
-    return exports.persons_table(p, r, graph.cut(R.collapse(r)), S.names(spark, d).join(p.select(F.col("name")), "name", "left_anti"), _sparse_origins(spark, d))
+    e = graph.cut(R.collapse(r))
+    return exports.persons_table(p, r, e, S.names(spark, d).join(p.select(F.col("name")), "name", "left_anti"), [x[0] for x in _smallest(e, 4).collect()])
 
 
 @query

@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.functions import vocab as V
 from linkloom.sources import documents, jsonl
 
 # The files, and the keys of their rows with the engine's column and type.
-FILES = {"persons": "pessoas.jsonl", "relations": "relacoes.jsonl", "statements": "depoimentos.jsonl", "sources": "fontes.jsonl", "institutions": "vocabularios/instituicoes.yaml", "aliases": "vocabularios/aliases.yaml"}
+FILES = {"persons": "pessoas.jsonl", "relations": "relacoes.jsonl", "statements": "depoimentos.jsonl", "sources": "fontes.jsonl", "institutions": "vocabularios/instituicoes.yaml", "aliases": "vocabularios/aliases.yaml", "lexicon": "vocabularios/lexico_relacional.yaml"}
+#: Where the folder keeps the sources' own files.
+FILES_FOLDER = "raw_pdfs"
+#: An optional list of capitalised words that make no name; not part of the format.
+COMMON_WORDS = "vocabularios/common_words.yaml"
 _EDUCATION = "array<struct<instituicao:string,curso:string,ano_inicio:int,ano_conclusao:int>>"
 _ACTIVITY = "array<struct<tipo:string,nome:string,papel:string,periodo:string>>"
 _REFERENCE = "struct<fonte:string,pagina:string,trecho:string>"
@@ -96,6 +101,19 @@ def load(spark: SparkSession, root: str) -> Dataset:
     return Dataset(persons, relations, statements, sources, spark.createDataFrame(inst, "id string, name string, kind string, city string, period string"), spark.createDataFrame(aliases, "person string, name string"))
 
 
+def lexicon(spark: SparkSession, root: str) -> DataFrame:
+    """(grp, type, pattern): the regular expressions of the folder's lexicon by group; a group may suggest a type or none."""
+    groups = documents.read_yaml(spark, f"{root}/{FILES['lexicon']}") or {}
+    rows = [(str(g), spec.get("tipo_sugerido"), str(p)) for g, spec in groups.items() for p in (spec or {}).get("padroes") or []]
+    return spark.createDataFrame(rows, "grp string, type string, pattern string")
+
+
+def common_words(spark: SparkSession, root: str) -> list[str]:
+    """Words that make no name, normalised; the engine's own where the folder has no list."""
+    words = documents.read_yaml(spark, f"{root}/{COMMON_WORDS}")
+    return V.NOT_NAMES if words is None else sorted({str(w) for w in words})
+
+
 def save(dataset_rows: DataFrame, table: str, path: str) -> None:
     """A table's rows as a folder of JSON Lines under the keys of the format."""
     jsonl.write(dataset_rows.select(*(F.col(name).alias(k) for k, (name, _) in KEYS[table].items())), path)

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from linkloom.operators import centrality, curation, graph, resolution
+from linkloom.operators import centrality, communities, curation, graph, paths, resolution
 from linkloom.operators import relations as R
 
 
@@ -79,7 +79,7 @@ def test_betweenness_and_closeness(spark, edges):
             for v in near:
                 if v not in (s, t) and v in dist[s] and abs(dist[s][v] + dist[v][t] - dist[s][t]) < 1e-9:
                     between[v] += count[s][v] * count[v][t] / count[s][t]
-    got = {r["node"]: r for r in centrality.shortest_path_centralities(_frame(spark, edges), n).collect()}
+    got = {r["node"]: r for r in paths.centralities(_frame(spark, edges), n).collect()}
     for v in near:
         assert math.isclose(got[v]["betweenness"], between[v] * 2 / ((n - 1) * (n - 2)), abs_tol=1e-9)
         r, total = len(dist[v]), sum(dist[v].values())
@@ -97,8 +97,8 @@ def test_eigenvector_is_a_unit_fixpoint(spark, edges):
 
 
 def test_communities_are_no_worse_than_one(spark, edges):
-    part = centrality.communities(_frame(spark, edges))
-    q = centrality.modularity(_frame(spark, edges), part).collect()[0][0]
+    part = communities.communities(_frame(spark, edges))
+    q = communities.modularity(_frame(spark, edges), part).collect()[0][0]
     near = _near(edges)
     m, place = sum(w for *_, w in edges), {r["node"]: r["community"] for r in part.collect()}
     want = sum(w for a, b, w in edges if place[a] == place[b]) / m - sum((sum(sum(near[v].values()) for v in near if place[v] == c) / (2 * m)) ** 2 for c in set(place.values()))

@@ -48,7 +48,8 @@ def test_graph_files(spark, tmp_path):
         assert tags.count("node") == 2 and tags.count("edge") == 1
     exports.csv_with_bom(v.orderBy("id"), str(tmp_path / "v.csv"))
     assert (tmp_path / "v.csv").read_bytes().startswith(b"\xef\xbb\xbfid,name,community")
-    assert "| 1 | A & <b> | — |" in exports.report({"Persons": v})
+    exports.report({"Persons": v.orderBy("id")}, str(tmp_path / "r.md"))
+    assert "## Persons\n\n| id | name | community |\n| --- | --- | --- |\n| 1 | A & <b> | — |\n| 2 | B | 4 |\n" in (tmp_path / "r.md").read_text()
 
 
 def test_decision_stream(spark, tmp_path):
