@@ -640,21 +640,45 @@ def test_recall_of_alike_lines(how, times):
                 pairs.append((n, " ".join(words), other))
     (s,) = line_dedup.K.slices(pa.array([x for p in pairs for x in p[1:]]), 1 << 30)
     _, _, _, h, first, w = line_dedup._lines(s)
-    fp = line_dedup.K.simhashes(*line_dedup._distinct(h, first))
     low = line_dedup.K.LOWER[s.codes]
+    bags = line_dedup.bags(low, w, first)
     keys, at = line_dedup.part_keys(low, w, h, first)
-    words, chars = np.diff(first), line_dedup._length(low, w, first)
+    chars = line_dedup._length(low, w, first)
     assert chars.tolist() == [len(_form(x)) for p in pairs for x in p[1:]]
     for k, (n, _, _) in enumerate(pairs):
         a, b = (set(keys[at[i] : at[i + 1]].tolist()) for i in (2 * k, 2 * k + 1))
         i, j = [2 * k], [2 * k + 1]
-        few = np.minimum(words[i], words[j]) < line_dedup.FEW_WORDS
-        found[n] += bool(a & b) and bool(line_dedup.may_be_alike(fp[i], fp[j], chars[i], chars[j], few)[0])
+        assert line_dedup.may_be_alike(bags[i], bags[j], chars[i], chars[j])[0]  # a bound loses nothing
+        found[n] += bool(a & b)
     of = collections.Counter(n for n, _, _ in pairs)
     print(how, times, {n: round(found[n] / of[n], 3) for n in of})
     assert all(found[n] >= (0.95 if times == 1 else 0.7) * of[n] for n in of if n >= (8 if times == 1 else 10))
 
 
+def test_bags_rule_out_no_alike_pair():
+    """Also beyond ASCII, with counts that are full, and for the shortest lines."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    letters = "abcé漢😀 "
+    pairs = []
+    for n in [1, 2, 3, 7, 20, 60, 200, 900, 5000]:
+        for _ in range(40):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randint(0, max(1, n // 6))):
+                i = rng.randrange(len(b) + 1)
+                b[i : i + rng.randrange(2)] = rng.choice(["", rng.choice(letters), " "])
+            pairs.append((a, "".join(b)))
+    pairs = [p for p in pairs if _form(p[0]) and _form(p[1])]
+    (s,) = line_dedup.K.slices(pa.array([x for p in pairs for x in p]), 1 << 30)
+    _, _, _, _, first, w = line_dedup._lines(s)
+    bags, chars = line_dedup.bags(line_dedup.K.LOWER[s.codes], w, first), line_dedup._length(line_dedup.K.LOWER[s.codes], w, first)
+    alike = [line_dedup.similar(_form(a), _form(b)) for a, b in pairs]
+    may = line_dedup.may_be_alike(bags[0::2], bags[1::2], chars[0::2], chars[1::2])
+    assert sum(alike) > 100 and all(m for m, x in zip(may, alike, strict=True) if x)
+
+
 def test_lines_that_no_hub_connects(spark, monkeypatch):
     """A table of many lines, compared in several tiles."""
     from linkloom.llm import tiles
