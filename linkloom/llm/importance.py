@@ -2,7 +2,8 @@
 
 Every task encodes documents in blocks of about ``BLOCK`` bytes of text: a block has a
 dictionary of its distinct words and of its distinct runs of words, as tuples of word
-numbers, and a document is the numbers of its runs with their counts.  So only a
+numbers, and a document is the numbers of its runs, as steps from one to the next, with
+their counts.  So only a
 block's distinct words and tuples are shuffled, never its tokens.  The corpus dictionary
 maps each distinct word to an id; each distinct tuple of ids is made bytes again and
 hashed once; counts are summed by bucket, and the buckets' gains are joined back to
@@ -75,6 +76,9 @@ def encode_block(block: int, ids: pa.Array, codes: np.ndarray, bounds: np.ndarra
     pairs, counts = np.unique(owner * kinds + run, return_counts=True)
     n_texts = len(bounds) - 1
     cuts = np.searchsorted(pairs // kinds, np.arange(n_texts + 1))
+    steps = np.diff(pairs, prepend=0)  # a text's numbers rise: their steps take less room
+    opens = np.unique(cuts[:-1][np.diff(cuts) > 0])
+    steps[opens] = pairs[opens] % kinds
     if most > 1:
         n = length[example]
         ends = np.cumsum(n)
@@ -91,7 +95,7 @@ def encode_block(block: int, ids: pa.Array, codes: np.ndarray, bounds: np.ndarra
     totals = pa.array(np.bincount(run, minlength=len(example)), pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(n_texts, block), pa.int64()), ids, pa.array(words.counts, pa.int64()), _lists(pairs % kinds, cuts, pa.int32()), _lists(counts, cuts, pa.int32()),
+            pa.array(np.full(n_texts, block), pa.int64()), ids, pa.array(words.counts, pa.int64()), _lists(steps, cuts, pa.int32()), _lists(counts, cuts, pa.int32()),
             whole_block(_strings(codes, words.starts[first], (words.ends - words.starts)[first])), whole_block(tuples), whole_block(totals),
         ],
         names=["block", "doc_id", "n_words", "ids", "counts", "words", "tuples", "totals"],
@@ -165,7 +169,9 @@ def _weigh(key: tuple, docs: pa.Table, gained: pa.Table) -> pa.Table:
     ids, counts = (docs[c].combine_chunks() for c in ("ids", "counts"))
     first = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
     each = counts.flatten().to_numpy().astype(np.int64)
-    sums = np.concatenate(([0], np.cumsum(by_run[ids.flatten().to_numpy()] * each)))
+    run = np.concatenate(([0], np.cumsum(ids.flatten().to_numpy().astype(np.int64))))
+    run = run[1:] - np.repeat(run[first[:-1]], np.diff(first))
+    sums = np.concatenate(([0], np.cumsum(by_run[run] * each)))
     n = np.concatenate(([0], np.cumsum(each)))
     return pa.table({"doc_id": docs["doc_id"], "n_words": docs["n_words"], "n_features": pa.array(n[first[1:]] - n[first[:-1]]), "weight": pa.array(sums[first[1:]] - sums[first[:-1]])})
 
