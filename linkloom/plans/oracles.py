@@ -414,3 +414,24 @@ _q(
     "loc AS (SELECT DISTINCT o.a, o.b, o.chunk_id FROM own o JOIN has va ON va.doc_id = o.doc_id AND abs(va.p - o.p) <= 1 AND va.person = o.a WHERE EXISTS (SELECT 1 FROM has x WHERE x.doc_id = o.doc_id AND x.p IN (va.p, o.p) AND x.person = o.b))",
     select="SELECT a, b, (SELECT count(*) FROM loc l WHERE l.a = g.a AND l.b = g.b) AS localisable, (SELECT count(*) FROM loc l WHERE l.a = g.a AND l.b = g.b AND l.chunk_id IN (SELECT chunk_id FROM cand)) AS recovered FROM gold g",
 )
+
+_GD = (_rels("dense"), _edges())
+# every round relaxes all edges once; no shortest path in this graph has more edges than there are rounds
+_LENGTHS = (
+    "unit AS (SELECT list_reduce(list(DISTINCT weight20::HUGEINT), lambda x, y: x * y // gcd(x, y)) AS u FROM edges), lens AS (SELECT a AS node, b AS other, weight20 FROM edges UNION ALL SELECT b, a, weight20 FROM edges)",
+    "len AS (SELECT node, other, CASE WHEN u < 1099511627776 THEN (u // weight20)::BIGINT ELSE round(1099511627776.0::DOUBLE / weight20)::BIGINT END AS length FROM lens, unit), scale AS (SELECT CASE WHEN u < 1099511627776 THEN u::DOUBLE ELSE 1099511627776.0::DOUBLE END / 20.0::DOUBLE AS one FROM unit)",
+    "relax(k, s, v, d) AS (SELECT DISTINCT 0, node, node, 0::BIGINT FROM len UNION ALL SELECT k + 1, s, v, min(d) FROM (SELECT k, s, v, d FROM relax UNION ALL SELECT r.k, r.s, l.other, r.d + l.length FROM relax r JOIN len l ON l.node = r.v) GROUP BY k, s, v HAVING k < 24)",
+    "dist AS (SELECT s, v, d FROM relax WHERE k = 24)",
+)
+_q(
+    "closeness", _PERSONS, *_GD, *_LENGTHS, "far AS (SELECT s, (count(*) - 1)::DOUBLE AS r, sum(d)::DOUBLE / (SELECT one FROM scale) AS total FROM dist GROUP BY s)",
+    select="SELECT s AS node, CASE WHEN total > 0 AND (SELECT count(*) FROM persons) > 1 THEN r / total * r / ((SELECT count(*) FROM persons) - 1)::DOUBLE ELSE 0.0::DOUBLE END AS closeness FROM far", recursive=True,
+)
+_q(
+    "betweenness", _PERSONS, *_GD, *_LENGTHS,
+    "dag AS (SELECT x.s, l.node, l.other FROM dist x JOIN len l ON l.node = x.v JOIN dist y ON y.s = x.s AND y.v = l.other WHERE abs(x.d + l.length - y.d) <= (SELECT CASE WHEN u < 1099511627776 THEN 0 ELSE 1024 END FROM unit))",
+    "walks(k, s, v, c) AS (SELECT DISTINCT 0, s, s, 1.0::DOUBLE FROM dist UNION ALL SELECT w.k + 1, w.s, g.other, sum(w.c) FROM walks w JOIN dag g ON g.s = w.s AND g.node = w.v GROUP BY w.k, w.s, g.other)",
+    "sigma AS (SELECT w.s, w.v, sum(c) AS c, any_value(d) AS d FROM walks w JOIN dist USING (s, v) GROUP BY w.s, w.v)",
+    "mid AS (SELECT x.v AS node, sum(x.c * y.c / z.c) AS b FROM sigma z JOIN sigma x ON x.s = z.s JOIN sigma y ON y.s = x.v AND y.v = z.v WHERE z.s < z.v AND x.v <> z.s AND x.v <> z.v AND abs(x.d + y.d - z.d) <= (SELECT CASE WHEN u < 1099511627776 THEN 0 ELSE 1024 END FROM unit) GROUP BY x.v)",
+    select="SELECT n.node, round(coalesce(b, 0.0::DOUBLE) * 2 * CASE WHEN (SELECT count(*) FROM persons) > 2 THEN 1.0::DOUBLE / (((SELECT count(*) FROM persons) - 1) * ((SELECT count(*) FROM persons) - 2)) ELSE 0.0::DOUBLE END, 9) AS betweenness FROM (SELECT DISTINCT node FROM len) n LEFT JOIN mid ON mid.node = n.node", recursive=True,
+)
