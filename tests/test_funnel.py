@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import text as X
 from linkloom.functions import vocab as V
 from linkloom.operators import exports, funnel
 from linkloom.plans import build
@@ -147,3 +148,21 @@ def test_queries_of_the_funnel_agree_either_way(spark, monkeypatch):
     a = sorted(map(tuple, Q.QUERIES["gazetteer_matches"](spark, d).collect()))
     monkeypatch.setattr(funnel, "MOST_PHRASES", 2)
     assert a and a == sorted(map(tuple, Q.QUERIES["gazetteer_matches"](spark, d).collect()))
+
+
+def test_matching_reads_texts_once(spark):
+    chunks = spark.createDataFrame([("a", "Ana Lima. Rui Costa, discípulos"), ("b", "nada"), ("c", None)], "chunk_id string, text string")
+    known = funnel.gazetteer(spark.createDataFrame([(1, "Ana Lima")], "person long, name string"))
+    lexicon = spark.createDataFrame([("ensino", "estudo", "disc[ií]pul[oa]s?")], "grp string, type string, pattern string")
+    out = funnel.matched(chunks, known, lexicon)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["chunk_id"]: ([x["phrase"] for x in r["known"]], r["unknown"], [x["term"] for x in r["triggers"]]) for r in out.collect()}
+    assert got == {"a": (["ana lima"], ["rui costa"], ["discipulos"]), "b": ([], [], [])}
+
+
+def test_every_mark_of_references_counts(spark):
+    marks = ["DISPONÍVEL EM", "Disponivel em", "acesso EM", " DOI ", "HTTP://x", "https://x", " In:", "(Ed.)", "(ORG.)", "(coord.)", " P. 3", " v. 2", " n. 41", "dissertação (", "Tese (", "Trabalho de conclusão", "[Entrevista cedida"]
+    rows = [(m, " ; ".join([m] * 5)) for m in marks]
+    got = {r["mark"]: r["is"] for r in spark.createDataFrame(rows, "mark string, text string").select("mark", X.is_bibliography(F.col("text")).alias("is")).collect()}
+    want = {m: m != "DISPONÍVEL EM" for m in marks}  # capitals beyond ASCII are no mark
+    assert got == want
