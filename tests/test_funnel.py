@@ -166,3 +166,27 @@ def test_every_mark_of_references_counts(spark):
     got = {r["mark"]: r["is"] for r in spark.createDataFrame(rows, "mark string, text string").select("mark", X.is_bibliography(F.col("text")).alias("is")).collect()}
     want = {m: m != "DISPONÍVEL EM" for m in marks}  # capitals beyond ASCII are no mark
     assert got == want
+
+
+def test_cheap_tests_change_no_text(spark):
+    """Texts are searched or folded only if a cheap test finds that they may hold what is sought; the results are the plain ones."""
+    rng = random.Random(7)
+    parts = ["SILVA, Ana", "Á, Éa", "ÇÃO LIMA, Ênio", "XX, Ab", "p. 3", "In:", "doi", "Ana Lima", "xAna Lima", "ana", "é", "`", "’", " ", "  ", "\t", "\n", "\x0b", "\f", "\r", " ", "1", "-", "a,"]
+    texts = [(i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9)))) for i in range(400)] + [(400, None)]
+    t = F.col("text")
+    folded = F.trim(F.regexp_replace(F.lower(F.translate(t, V.ACCENTED + "’`", V.PLAIN + "''")), r"\s+", " "))
+    authors, marks = F.regexp_count(t, F.lit(V.REFERENCE_AUTHOR)), F.regexp_count(t, F.lit(V.REFERENCE_MARKS))
+    plain = (authors >= 3) | ((authors >= 1) & (marks >= 3)) | (marks >= 5)
+    names = [F.regexp_extract_all(t, F.lit(p + V.NAME_PATTERN), F.lit(1)) for p in ("", V.NAME_START)]
+    df = spark.createDataFrame(texts, "id long, text string").select(
+        "id", "text", X.normalize(t).eqNullSafe(folded).alias("folded"), X.is_bibliography(t).eqNullSafe(plain).alias("listed"), names[0].eqNullSafe(names[1]).alias("named")
+    )
+    assert [r for r in df.collect() if not (r["folded"] and r["listed"] and r["named"])] == []
+
+
+def test_texts_stay_out_of_python(spark, texts):
+    """Only the words of a chunk go to Python, and only if it holds those that phrases share; its columns stay where they are."""
+    chunks = spark.createDataFrame(texts[1], "chunk_id string, text string")
+    known = funnel.gazetteer(spark.createDataFrame(texts[0], "person long, name string"))
+    plan = funnel.matched(chunks, known, spark.createDataFrame([("estudo", "estudo", "lima")], "grp string, type string, pattern string"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
