@@ -180,3 +180,22 @@ def test_rows_are_numbered_over_ranges(spark):
     got = [(r["x"], r["id"]) for r in ranked(df, "k", F.desc("x"), "id").orderBy("k").collect()]
     assert got == sorted(got, key=lambda t: (-t[0], t[1])) and len(got) == 1000
     assert ranked(df.limit(0), "k", "id").count() == 0
+
+
+def test_names_are_scored_by_blocks(spark, monkeypatch):
+    """Blocks of any size give the scores of a plain search; names with a word longer than 63 letters too."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+    known = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(40)} | {"x" * 70 + " y"})
+    asked = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(30)} | {"x" * 69 + " z"})
+    cap = lambda a, b, s: min(s, resolution.SINGLE_CAP) if " " not in b and " " in a else s
+    want = {a: 100.0 if a in known else max(cap(a, b, resolution.token_set_ratio(a, b)) for b in known) for a in asked}
+    names = spark.createDataFrame(list(enumerate(asked)), "key long, name string")
+    variants = spark.createDataFrame([(i // 2, v) for i, v in enumerate(known)], "person long, variant string")
+    monkeypatch.setattr(resolution, "BLOCK", 7)
+    rows = resolution.resolve(names, variants)
+    assert {r["norm"]: r["score"] for r in rows.collect()} == pytest.approx(want)
+    few = [resolution.indel_ratios(a, *resolution._codes(known)).tolist() for a in asked if len(a) < 64]
+    assert few == [[resolution.indel_ratio(a, b) for b in known] for a in asked if len(a) < 64]
