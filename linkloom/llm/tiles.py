@@ -31,8 +31,10 @@ def centrality(rows: DataFrame) -> DataFrame:
 
 
 def hubs_of(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """(group, a): the hub of each group."""
-    return rows.join(weights, "node").groupBy("group").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+    """(group, a): the hub of each group; with its component c, if rows have comp."""
+    hub = F.max_by(F.struct(*(c for c in ("node", "comp") if c in rows.columns)), F.struct("weight", "node"))
+    hubs = rows.join(weights, "node").groupBy("group").agg(hub.alias("hub"))
+    return hubs.select("group", F.col("hub.node").alias("a"), *([F.col("hub.comp").alias("c")] if "comp" in rows.columns else []))
 
 
 def hubbed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,8 +44,10 @@ def hubbed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hub_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of the hub and another node of each group."""
-    return rows.join(hubs, "group").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """The distinct pairs (a, b) of the hub and another node of each group; only of other components than the hub's, if
+    rows have comp: a link within one joins nothing."""
+    apart = "comp <> c" if "comp" in rows.columns else "node <> a"
+    return rows.join(hubs, "group").where(apart).select("a", F.col("node").alias("b")).distinct()
 
 
 def mixed_groups(rows: DataFrame) -> DataFrame:

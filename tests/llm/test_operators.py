@@ -307,6 +307,17 @@ def test_near_duplicates_that_no_hub_connects(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.find(df).collect()} == want
 
 
+def test_hubs_meet_only_other_components(spark):
+    """Of a group's members the hub meets those that no link joins to it yet; the others would join nothing."""
+    from linkloom.llm import tiles
+
+    rows = spark.createDataFrame([(g, i, 0 if i < 30 else i) for g in (1, 2) for i in range(33)] + [(3, i, 0) for i in range(30)], "group long, node long, comp long")
+    weights = spark.createDataFrame([(i, 100 - i) for i in range(33)], "node long, weight long")
+    assert sorted(map(tuple, tiles.hub_pairs(rows, tiles.hubs_of(rows, weights)).collect())) == [(0, 30), (0, 31), (0, 32)]
+    plain = rows.drop("comp")
+    assert sorted(map(tuple, tiles.hub_pairs(plain, tiles.hubs_of(plain, weights)).collect())) == [(0, i) for i in range(1, 33)]
+
+
 def test_near_duplicates_of_rows_that_share_an_id(spark):
     """Two texts of one id and of equally many shingles, each with a copy of its own."""
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
