@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import Batches, bounded_sample, cut, drop_table, ensure_checkpoint_dir, let_go, map_arrow
+from linkloom.llm.common import TIDY, Batches, bounded_sample, cut, drop_table, ensure_checkpoint_dir, let_go, map_arrow, settings
 
 SWEEPS, SAMPLES = 3, 2
 STRENGTH, EXACT = 1.0, 32
@@ -255,12 +255,8 @@ def _deal(docs: DataFrame, plan: Plan, starts: int, share: int) -> DataFrame:
     ensure_checkpoint_dir(spark)
     # a checkpoint keeps its plan's partitioning, so that messages join it without another shuffle of tokens; an adaptive
     # plan has none to keep
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    with settings(spark, TIDY | {"spark.sql.adaptive.enabled": "false"}):
         return map_arrow(docs, run, _PACKED).repartition(buckets, "bucket").checkpoint()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:

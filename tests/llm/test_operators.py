@@ -268,6 +268,26 @@ def test_packing_places_every_token_once(docs, texts):
         assert sum(r["n_tokens"] for r in own) <= 64 and len(set(sources)) == len(sources) and len(set(clusters)) == len(clusters)
 
 
+def test_shuffle_files_of_written_tables_go(spark):
+    """Without waiting for a garbage collection, and while the frames are still referred to."""
+    import pathlib
+    import time
+
+    from linkloom.llm.common import TIDY, cut, ensure_checkpoint_dir, settings
+
+    ensure_checkpoint_dir(spark)
+    folders = [pathlib.Path(str(x)) for x in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x.name for f in folders for x in f.rglob("shuffle_*.data")}
+    rows = spark.range(50_000).repartition(3, "id")
+    before, value = files(), spark.conf.get("spark.sql.adaptive.enabled")
+    table = cut(rows)
+    with settings(spark, TIDY | {"spark.sql.adaptive.enabled": "false"}):
+        held = spark.range(50_000).repartition(3, "id").checkpoint()
+    time.sleep(3)
+    assert not files() - before
+    assert table.count() == held.count() == 50_000 and spark.conf.get("spark.sql.adaptive.enabled") == value
+
+
 # 3
 
 
