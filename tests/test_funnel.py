@@ -190,3 +190,12 @@ def test_texts_stay_out_of_python(spark, texts):
     known = funnel.gazetteer(spark.createDataFrame(texts[0], "person long, name string"))
     plan = funnel.matched(chunks, known, spark.createDataFrame([("estudo", "estudo", "lima")], "grp string, type string, pattern string"))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_texts_that_are_read_once_are_not_written(spark, monkeypatch):
+    from linkloom.plans import queries
+
+    written, cut = [], queries.graph.cut
+    monkeypatch.setattr(queries.graph, "cut", lambda df: written.append(df.columns) or cut(df))
+    queries.find_duplicates(spark, "/root/testdata/sf0.001")
+    assert written and not [c for c in written if "text" in c]
